@@ -37,6 +37,7 @@ FANOUT_BITS = 3
 GROUP_BITS = 6
 FOLD_ROWS = 500_000
 AXES = ("_c0", "_c1", "_c2")
+SEPARATOR = "\u001f"  # between the ``by`` value and the label inside ``target`` keys
 
 
 def nearest_per_label(
@@ -45,6 +46,7 @@ def nearest_per_label(
     coords: list[str],
     label: str,
     *,
+    by: str | None = None,
     factor: str | None = None,
     strategy: str = "auto",
     broadcast_rows: int = BROADCAST_ROWS,
@@ -53,21 +55,24 @@ def nearest_per_label(
     """Each source row once per target label, with ``target`` and the smallest ``dist``.
 
     A point is its own legal neighbour. Rows with a missing coordinate or label are ignored.
+    ``by`` names a column of both sides (a sample, say) within which points may meet.
     ``factor`` names a target column that scales the distance to that target. ``spread`` hashes
     the sources over the shuffle partitions first; pass False when they are many and balanced.
     """
-    targets = _targets(targets, coords, label, factor)
+    targets = _targets(targets, coords, label, factor, by)
     sources = _complete(sources, coords)
+    if by is not None:
+        sources = sources.where(F.col(by).isNotNull())
     if strategy not in {"auto", "broadcast", "packed"}:
         raise ValueError("strategy must be one of: auto, broadcast, packed")
     if strategy != "packed":
         limit = broadcast_rows if strategy == "auto" else broadcast_rows * 50
         table = targets.limit(limit + 1).toArrow()
         if table.num_rows <= limit:
-            return _broadcast_nearest(sources, table, coords, factor, spread)
+            return _broadcast_nearest(sources, table, coords, factor, spread, by)
         if strategy == "broadcast":
             raise ValueError(f"more than {limit} target points; use strategy='packed'")
-    return _packed_join(sources, targets, coords, factor=factor)
+    return _packed_join(sources, targets, coords, factor=factor, by=by)
 
 
 def k_nearest(
@@ -87,7 +92,7 @@ def k_nearest(
         raise ValueError("k must be at least 1")
     points = _complete(points, coords).select(F.col(id_col).cast("long").alias(id_col), *coords)
     targets = points.select(
-        F.lit("").alias("target"),
+        F.lit(SEPARATOR).alias("target"),
         *[F.col(c).cast("double").alias(a) for c, a in zip(coords, AXES)],
         F.col(id_col).alias("_tid"),
     )
@@ -106,10 +111,14 @@ def _complete(df: DataFrame, coords: list[str]) -> DataFrame:
     return df
 
 
-def _targets(targets: DataFrame, coords, label, factor) -> DataFrame:
+def _targets(targets: DataFrame, coords, label, factor, by) -> DataFrame:
     """Distinct target coordinates per label; equal copies collapse before anything moves."""
     targets = _complete(targets, coords).where(F.col(label).isNotNull())
-    keys = [F.col(label).cast("string").alias("target")]
+    within = F.lit("")
+    if by is not None:
+        targets = targets.where(F.col(by).isNotNull())
+        within = F.col(by).cast("string")
+    keys = [F.concat(within, F.lit(SEPARATOR), F.col(label).cast("string")).alias("target")]
     keys += [F.col(c).cast("double").alias(a) for c, a in zip(coords, AXES)]
     if factor is None:
         return targets.select(*keys).distinct()
@@ -151,7 +160,18 @@ def _ready(clouds: list[tuple]) -> list[tuple[str, geo.TargetCloud]]:
             for name, xyz, scale, tid in clouds]
 
 
-def _broadcast_nearest(sources, table, coords, factor, spread) -> DataFrame:
+def _rows_by(batch: pa.RecordBatch, by: str | None) -> Iterator[tuple[str, pa.RecordBatch]]:
+    """The batch split by its ``by`` value."""
+    if by is None:
+        yield "", batch
+        return
+    names = batch.column(batch.schema.get_field_index(by)).cast(pa.string()).dictionary_encode()
+    codes = names.indices.to_numpy(zero_copy_only=False)
+    for code, name in enumerate(names.dictionary.to_pylist()):
+        yield name, batch.take(pa.array(np.flatnonzero(codes == code)))
+
+
+def _broadcast_nearest(sources, table, coords, factor, spread, by) -> DataFrame:
     spark = sources.sparkSession
     clouds = spark.sparkContext.broadcast(_clouds(table, len(coords), factor is not None, False))
     if spread:
@@ -159,21 +179,25 @@ def _broadcast_nearest(sources, table, coords, factor, spread) -> DataFrame:
     fields = sources.schema.fields
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = _ready(clouds.value)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            xyz = _source_matrix(batch, coords)
-            order = geo.morton_order(xyz)
-            xyz, batch = xyz[order], batch.take(pa.array(order))
-            starts = geo.chunk_starts(len(xyz), geo.SOURCE_CHUNK)
-            low, high = geo.chunk_bounds(xyz, starts)
-            names = [*batch.schema.names, "target", "dist"]
-            for name, cloud in ready:
-                best = np.full(len(xyz), np.inf)
-                geo.lower_to_nearest(xyz, starts, low, high, cloud, best)
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.repeat(name, len(xyz)), pa.array(best)], names)
+        ready: dict[str, list] = {}
+        for key, cloud in _ready(clouds.value):
+            within, _, name = key.partition(SEPARATOR)
+            ready.setdefault(within, []).append((name, cloud))
+        for whole in batches:
+            for within, batch in _rows_by(whole, by):
+                if not batch.num_rows:
+                    continue
+                xyz = _source_matrix(batch, coords)
+                order = geo.morton_order(xyz)
+                xyz, batch = xyz[order], batch.take(pa.array(order))
+                starts = geo.chunk_starts(len(xyz), geo.SOURCE_CHUNK)
+                low, high = geo.chunk_bounds(xyz, starts)
+                names = [*batch.schema.names, "target", "dist"]
+                for name, cloud in ready.get(within, []):
+                    best = np.full(len(xyz), np.inf)
+                    geo.lower_to_nearest(xyz, starts, low, high, cloud, best)
+                    yield pa.RecordBatch.from_arrays(
+                        [*batch.columns, pa.repeat(name, len(xyz)), pa.array(best)], names)
 
     out = T.StructType([*fields, T.StructField("target", T.StringType()),
                         T.StructField("dist", T.DoubleType())])
@@ -262,7 +286,7 @@ def _pack(df: DataFrame, axes: list[str], label: str | None, block: int) -> Data
     """Written table of blocks: (label, part, seq, n, bounding box, rows)."""
     low, high = _extent(df, axes)
     columns = [F.col(a).cast("double") for a in axes]
-    lead = [F.col(label)] if label else []
+    lead = [label] if label else []
     rows = df.withColumn("_z", curve_position(columns, low, high))
     rows = rows.repartitionByRange(_partitions(df), *lead, "_z", *axes)
     rows = rows.sortWithinPartitions(*lead, "_z", *axes).drop("_z")
@@ -334,7 +358,9 @@ def _numbered(blocks: DataFrame) -> tuple[DataFrame, int]:
 def _nodes(blocks: DataFrame, level: int, dims: int, side: str) -> DataFrame:
     """Summaries of all blocks under each node of one tree level."""
     node = F.shiftright(F.col("block"), FANOUT_BITS * level)
-    keys = [F.col("label").alias("target")] if side == "t" else []
+    keys = [F.col("label").alias("by")]
+    if side == "t":
+        keys = [F.substring_index("label", SEPARATOR, 1).alias("by"), F.col("label").alias("target")]
     aggs = [F.min(f"l{i}").alias(f"{side}l{i}") for i in range(dims)]
     aggs += [F.max(f"h{i}").alias(f"{side}h{i}") for i in range(dims)]
     aggs += [F.sum("n").alias(f"{side}n"), F.min("f").alias(f"{side}f")]
@@ -350,11 +376,11 @@ def _closest_pairs(pairs: DataFrame, dims: int, k: int) -> DataFrame:
         reach = F.greatest(F.col(f"th{i}") - F.col(f"sl{i}"), F.col(f"sh{i}") - F.col(f"tl{i}"))
         near, far = near + gap * gap, far + reach * reach
     pairs = pairs.withColumn("near", F.sqrt(near) * F.col("tf")).withColumn("far", F.sqrt(far) * F.col("tf"))
-    group = Window.partitionBy("s", "target")
+    group = Window.partitionBy("by", "s", "target")
     if k == 1:
         bound = F.min("far").over(group)
     else:
-        held = Window.partitionBy("s", "target").orderBy("far").rangeBetween(
+        held = Window.partitionBy("by", "s", "target").orderBy("far").rangeBetween(
             Window.unboundedPreceding, Window.currentRow)
         pairs = pairs.withColumn("held", F.sum("tn").over(held))
         enough = F.min(F.when(F.col("held") >= k + 1, F.col("far"))).over(group)
@@ -366,49 +392,50 @@ def _closest_pairs(pairs: DataFrame, dims: int, k: int) -> DataFrame:
 def _block_pairs(s_blocks, t_blocks, height: int, dims: int, k: int) -> DataFrame:
     """(source block, target block) pairs that can matter, found from the root downwards."""
     s_root, t_root = _nodes(s_blocks, height, dims, "s"), _nodes(t_blocks, height, dims, "t")
-    pairs = s_root.drop("s_up").withColumn("_root", F.lit(0)).join(
-        t_root.drop("t_up").withColumn("_root", F.lit(0)), "_root").drop("_root")
+    pairs = s_root.drop("s_up").join(t_root.drop("t_up"), "by")
     s_columns = [f"s{e}{i}" for e in "lh" for i in range(dims)] + ["sn", "sf"]
     t_columns = [f"t{e}{i}" for e in "lh" for i in range(dims)] + ["tn", "tf"]
     for level in range(height - 1, -1, -1):
         s_nodes = _nodes(s_blocks, level, dims, "s")
         t_nodes = _nodes(t_blocks, level, dims, "t")
-        pairs = pairs.drop(*s_columns).withColumnRenamed("s", "s_up").join(s_nodes, "s_up").drop("s_up")
+        pairs = pairs.drop(*s_columns).withColumnRenamed("s", "s_up").join(s_nodes, ["by", "s_up"]).drop("s_up")
         pairs = _closest_pairs(pairs, dims, k)
         pairs = pairs.drop(*t_columns).withColumnRenamed("t", "t_up").join(
-            t_nodes, ["target", "t_up"]).drop("t_up")
+            t_nodes.drop("by"), ["target", "t_up"]).drop("t_up")
         pairs = _closest_pairs(pairs, dims, k)
         if level % 3 == 0:
             pairs = written(pairs)
-    return pairs.select("s", "target", "t")
+    return pairs.select("by", "s", "target", "t")
 
 
-def _packed_join(sources, targets, coords, *, factor=None, k: int = 1, id_col=None) -> DataFrame:
+def _packed_join(sources, targets, coords, *, factor=None, k: int = 1, id_col=None, by=None) -> DataFrame:
     dims = len(coords)
     axes = list(AXES[:dims])
-    s_blocks, s_height = _numbered(_pack(sources, coords, None, SOURCE_BLOCK))
+    if by is not None:
+        sources = sources.withColumn("_by", F.col(by).cast("string"))
+    s_blocks, s_height = _numbered(_pack(sources, coords, None if by is None else "_by", SOURCE_BLOCK))
     t_blocks, t_height = _numbered(_pack(targets, axes, "target", TARGET_BLOCK))
     pairs = _block_pairs(s_blocks, t_blocks, max(s_height, t_height), dims, k)
     group = F.shiftright(F.col("s"), GROUP_BITS)
-    needed = pairs.select(group.alias("group"), "target", F.col("t").alias("block")).distinct()
+    needed = pairs.select("by", group.alias("group"), "target", F.col("t").alias("block")).distinct()
     payload = s_blocks.schema["rows"].dataType
     shipped = t_blocks.schema["rows"].dataType
     incoming = needed.join(
         t_blocks.select(F.col("label").alias("target"), "block", "rows"), ["target", "block"]
-    ).select("group", F.lit(1).alias("role"), "target", "block",
+    ).select("by", "group", F.lit(1).alias("role"), "target", "block",
              F.lit(None).cast(payload).alias("source"), F.col("rows").alias("cloud"))
     own = s_blocks.select(
-        F.shiftright(F.col("block"), GROUP_BITS).alias("group"), F.lit(0).alias("role"),
+        F.col("label").alias("by"), F.shiftright(F.col("block"), GROUP_BITS).alias("group"), F.lit(0).alias("role"),
         F.lit("").alias("target"), "block", F.col("rows").alias("source"),
         F.lit(None).cast(shipped).alias("cloud"))
-    stream = own.unionByName(incoming).repartition(_partitions(sources), "group")
-    stream = stream.sortWithinPartitions("group", "role", "target", "block")
+    stream = own.unionByName(incoming).repartition(_partitions(sources), "by", "group")
+    stream = stream.sortWithinPartitions("by", "group", "role", "target", "block")
     if k == 1 and id_col is None:
-        out = T.StructType([*sources.schema.fields, T.StructField("target", T.StringType()),
+        out = T.StructType([*payload.elementType.fields, T.StructField("target", T.StringType()),
                             T.StructField("dist", T.DoubleType())])
     else:
         out = _neighbor_schema(id_col)
-    return stream.mapInArrow(_folder(coords, axes, factor is not None, k, id_col), out)
+    return stream.mapInArrow(_folder(coords, axes, factor is not None, k, id_col), out).drop("_by")
 
 
 def _folder(coords, axes, scaled: bool, k: int, id_col: str | None):
@@ -455,12 +482,12 @@ def _folder(coords, axes, scaled: bool, k: int, id_col: str | None):
                 own = batch.column(batch.schema.get_field_index(id_col)).to_numpy()
                 return _neighbor_batch(own, best, ids, id_col)
             return pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.repeat(target, batch.num_rows), pa.array(best)],
+                [*batch.columns, pa.repeat(target.partition(SEPARATOR)[2], batch.num_rows), pa.array(best)],
                 [*batch.schema.names, "target", "dist"])
 
         for batch in batches:
             columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            groups = columns["group"].to_numpy()
+            groups = list(zip(columns["by"].to_pylist(), columns["group"].to_pylist()))
             roles = columns["role"].to_numpy()
             for i in range(batch.num_rows):
                 if roles[i] == 0:
