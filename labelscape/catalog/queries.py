@@ -269,8 +269,7 @@ QUERIES: dict[str, Query] = {
     "dendrogram_scores": lambda s, d: rounded(st.dendrogram(mx.searcher_findee(vectors(s, d)))),
     "leaf_positions": lambda s, d: st.leaf_positions(mx.searcher_findee(parts(s, d))),
     "newick_tree": lambda s, d: st.newick(mx.searcher_findee(parts(s, d))).select("newick"),
-    "finite_block": lambda s, d: rounded(mx.finite_block(holey_matrix(s, d).withColumn(
-        "value", F.when(F.col("source") == "9", F.col("value") / F.lit(1)).otherwise(F.col("value"))))),
+    "finite_block": lambda s, d: rounded(mx.finite_block(holey_matrix(s, d))),
     "weighted_searcher_findee": lambda s, d: rounded(mx.weighted_searcher_findee(weighted_cells(s, d))),
     "weighted_structure_map": lambda s, d: rounded(st.structure_map(mx.weighted_searcher_findee(
         weighted_cells(s, d), min_weight=10.0))),
