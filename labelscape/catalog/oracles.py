@@ -276,8 +276,8 @@ def gene_aggregate(method: str, name: str = "agg_rows") -> str:
     WHERE value BETWEEN lo AND hi GROUP BY ALL)"""
 
 
-HOLEY = """m AS (SELECT source, target, CASE WHEN CAST(target AS INT) - CAST(source AS INT) < 2 THEN AVG(dist) END AS value
-  FROM nn GROUP BY ALL)"""
+HOLEY = """m AS (SELECT source, target, CASE WHEN CAST(target AS INT) - CAST(source AS INT) < 2 THEN value END AS value
+  FROM (SELECT source, target, AVG(dist) AS value FROM nn GROUP BY ALL))"""
 WEIGHTED = """shifted AS (SELECT *, x - 50 - LEAST(MIN(x - 50) OVER (), 0) AS weight FROM cells),
 pts AS (SELECT * FROM shifted WHERE weight > {cut})"""
 WEIGHTED_MEAN = """m AS (SELECT source, target, SUM(dist * weight) / SUM(weight) AS value FROM nn JOIN pts USING (cell_id) GROUP BY ALL)"""

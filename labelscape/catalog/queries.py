@@ -17,6 +17,7 @@ from labelscape.operators import (
 )
 from labelscape.plans.interaction import ligand_receptor_topology
 from labelscape.plans.pathway import niche_smoothed, pathway_topology
+from labelscape.session import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 DIGITS = 6
@@ -110,7 +111,7 @@ def derived_topology(spark, folder) -> DataFrame:
 
 def detected_map(spark, folder) -> DataFrame:
     """Given label-to-label map: the mean distance over its largest value."""
-    matrix = mx.searcher_findee(cells(spark, folder))
+    matrix = written(mx.searcher_findee(cells(spark, folder)))
     top = matrix.agg(F.max("value")).scalar()
     return matrix.select(F.col("source").alias("row"), F.col("target").alias("col"), (F.col("value") / top).alias("value"))
 
@@ -142,7 +143,7 @@ def brand_contact(spark, folder) -> DataFrame:
 def brand_scores(spark, folder) -> DataFrame:
     pairs = ia.standard_pairs(brand_pairs(spark, folder))
     summary = ex.summarize_by_celltype(expression(spark, folder), cells(spark, folder))
-    return ia.pair_scores(pairs, brand_anchors(spark, folder), summary, brand_contact(spark, folder))
+    return written(ia.pair_scores(pairs, brand_anchors(spark, folder), summary, brand_contact(spark, folder)))
 
 
 def recomputed_scores(spark, folder) -> DataFrame:
@@ -197,7 +198,7 @@ def weighted_cells(spark, folder) -> DataFrame:
 
 
 def region_matrices(spark, folder) -> DataFrame:
-    return sm.sample_matrices(sampled_cells(spark, folder), "sample", min_points=100)
+    return written(sm.sample_matrices(sampled_cells(spark, folder), "sample", min_points=100))
 
 
 def _map(method: str, axis: str = "row") -> Query:

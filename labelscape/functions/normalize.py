@@ -52,16 +52,14 @@ def scale_to_unit(df: DataFrame, column: str, out: str | None = None) -> DataFra
 
 
 def winsor_limits(df: DataFrame, keys: list[str], value: str, *, upper: float = 0.99,
-                  freq: str | None = None) -> DataFrame:
+                  freq: str | None = None, bounded: bool = False) -> DataFrame:
     """Per group: ``low``, ``top`` (largest value after clipping at the upper quantile), ``flat``.
 
     ``flat`` is NULL for groups to be scaled as (v - low) / (top - low), else the value that
     every member gets: 0 for a group of zeros, 1 for any other constant group.
     """
     live = df.where(F.col(freq) > 0) if freq else df
-    ends = live.groupBy(*keys).agg(F.min(value).alias("low"), F.max(value).alias("high"))
-    cut = quantile(live, keys, value, {"cut": upper}, freq=freq)
-    limits = ends.join(cut, keys)
+    limits = quantile(live, keys, value, {"low": 0.0, "cut": upper, "high": 1.0}, freq=freq, bounded=bounded)
     top = F.greatest(F.least(F.col("cut"), F.col("high")), F.col("low"))
     same = (F.col("high") - F.col("low")) <= 1e-8 + 1e-5 * F.abs(F.col("low"))
     flat = F.when(same, F.when(F.col("low") == 0, 0.0).otherwise(1.0)).when(

@@ -53,19 +53,24 @@ def value_at_mass(df: DataFrame, keys: list[str], value: str, mass: str, wanted:
 
 
 def quantile(df: DataFrame, keys: list[str], value: str, q: dict[str, float], *,
-             freq: str | None = None, small_rows: int = SMALL_ROWS) -> DataFrame:
+             freq: str | None = None, bounded: bool = False, small_rows: int = SMALL_ROWS) -> DataFrame:
     """Linearly interpolated quantiles, one column per entry of ``q``; NULL values are ignored.
 
+    ``bounded`` says that every group is at most dictionary-sized (one row per label or gene), so
+    that its size need not be looked up first.
+
     ``freq`` names a column with the number of times a row counts, so that implicit zeros enter
     as one row per group.
     """
     if not keys:
-        return quantile(df.withColumn("_g", F.lit(0)), ["_g"], value, q, freq=freq,
+        return quantile(df.withColumn("_g", F.lit(0)), ["_g"], value, q, freq=freq, bounded=bounded,
                         small_rows=small_rows).drop("_g")
     base = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(
         F.sum(F.col(freq) if freq else F.lit(1)).cast("long").alias("_f"))
     base = base.where(F.col("_f") > 0)
-    if base.limit(small_rows + 1).count() <= small_rows:
+    if not bounded:
+        base = written(base)
+    if bounded or base.limit(small_rows + 1).count() <= small_rows:
         return base.groupBy(*keys).agg(
             *[F.percentile("_v", F.lit(float(p)), F.col("_f")).alias(name) for name, p in q.items()])
     total = base.groupBy(*keys).agg(F.sum("_f").alias("_n"))
@@ -102,13 +107,16 @@ def weighted_quantile(df: DataFrame, keys: list[str], value: str, weight: str |
         return quantile(df, keys, value, {out: q}, small_rows=small_rows)
     df = df.where(F.col(value).isNotNull() & F.col(weight).isNotNull())
     df = df.withColumn("_w", F.greatest(F.col(weight).cast("double"), F.lit(0.0)))
+    df = written(df.groupBy(*keys, value).agg(F.sum("_w").alias("_w"), F.count("*").alias("_f")))
     total = df.groupBy(*keys).agg(F.sum("_w").alias("_t"))
     wanted = total.where(F.col("_t") > 1e-8).select(
         *keys, F.lit("q").alias("slot"), (F.col("_t") * min(max(q, 0.0), 1.0)).alias("want"))
     weighted = value_at_mass(df, keys, value, "_w", wanted, small_rows=small_rows).select(
         *keys, F.col("found").alias(out))
     flat = df.join(total.where(F.col("_t") <= 1e-8).select(*keys), keys, "left_semi")
-    return weighted.unionByName(quantile(flat, keys, value, {out: q}, small_rows=small_rows))
+    if flat.isEmpty():
+        return weighted
+    return weighted.unionByName(quantile(flat, keys, value, {out: q}, freq="_f", small_rows=small_rows))
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:
@@ -127,6 +135,7 @@ def aggregate_weighted(df: DataFrame, keys: list[str], value: str, weight: str,
         return df.groupBy(*keys).agg(weighted_mean(F.col(value), F.col(weight)).alias(out))
     if method != "weighted_trimmed_mean":
         raise ValueError("method must be one of: weighted_median, weighted_trimmed_mean, mean")
+    df = written(df)
     low = weighted_quantile(df, keys, value, weight, 0.1, out="_low")
     high = weighted_quantile(df, keys, value, weight, 0.9, out="_high")
     total = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from labelscape.operators.entity import entity_points, entity_to_cell
 from labelscape.operators.matrices import searcher_findee
 from labelscape.operators.structure import structure_map
+from labelscape.session import written
 
 MODES = ("precomputed", "recompute", "hybrid")
 
@@ -42,9 +43,11 @@ def resolve_anchors(reference: DataFrame, expression: DataFrame, genes: DataFram
         structure = provided_structure
     parts, missing = [], genes
     if anchor_mode != "recompute" and topology is not None:
+        genes = written(genes)
         known = topology.select(F.col("gene").cast("string"), F.col("celltype").cast("string"),
                                 F.col("value").cast("double"), F.lit("precomputed").alias("source"))
-        parts.append(known.join(genes, "gene", "left_semi"))
+        known = written(known.join(genes, "gene", "left_semi"))
+        parts.append(known)
         missing = genes.join(known.select("gene").distinct(), "gene", "left_anti")
     if not parts or not missing.isEmpty():
         cloud = points if points is not None else entity_points(
@@ -55,6 +58,7 @@ def resolve_anchors(reference: DataFrame, expression: DataFrame, genes: DataFram
     have = parts[0]
     for part in parts[1:]:
         have = have.unionByName(part)
+    have = written(have)
     names = labels.agg(F.collect_list("celltype")).scalar()
     grid = genes.select("gene", F.explode(names).alias("celltype"))
     origin = have.select("gene", "source").distinct()
@@ -72,4 +76,4 @@ def resolve_anchors(reference: DataFrame, expression: DataFrame, genes: DataFram
     square = square.join(chosen.select("row", "col", F.col("value").cast("double").alias("value")), ["row", "col"], "left")
     square = square.select("row", "col", F.when(F.col("row") == F.col("col"), 0.0).otherwise(
         F.coalesce("value", F.lit(1.0))).alias("value"))
-    return Anchors(full, square, origin_name)
+    return Anchors(written(full), written(square), origin_name)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from labelscape.functions.quantiles import aggregate_distances
 from labelscape.operators.nearest import nearest_per_label
 from labelscape.operators.neighbors import spacing
+from labelscape.session import written
 from labelscape.sources.points import require
 
 CENTRE_CHUNK = 1024
@@ -99,6 +100,7 @@ def visium(expression: DataFrame, spots: DataFrame, *, genes: DataFrame | None =
     wide = F.coalesce("spots", F.lit(0)) >= min_spots
     status = names.join(held, "gene", "left").select(
         "gene", wide.alias("reachable"), (wide & (F.coalesce("total", F.lit(0.0)) > min_total_expr)).alias("dense"))
+    placed, status = written(placed), written(status)
     sources = placed.join(status.where("dense").select("gene"), "gene", "left_semi")
     targets = placed.join(status.where("reachable").select("gene"), "gene", "left_semi")
     near = nearest_per_label(sources.withColumnRenamed("gene", "source"), targets, coords, "gene", strategy=strategy)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelscape.functions.normalize import winsor_limits, winsorised
 from labelscape.functions.quantiles import quantile
+from labelscape.session import written
 from labelscape.sources.points import dense
 
 
@@ -27,13 +28,14 @@ def scaled_expression(expression: DataFrame, reference: DataFrame, genes: DataFr
     if isinstance(threshold, str) and threshold != "q75_nonzero":
         raise ValueError("contact_expr_threshold must be a float or 'q75_nonzero'")
     cells = reference.agg(F.count("*")).scalar()
-    counted = zero_completed(expression, genes, cells)
+    counted = written(zero_completed(expression, genes, cells))
     limits = winsor_limits(counted, ["gene"], "value", upper=upper, freq="n")
     if isinstance(threshold, str):
         cut = quantile(counted.where("value > 0"), ["gene"], "value", {"threshold": 0.75}, freq="n")
         limits = limits.join(cut, "gene", "left")
     else:
         limits = limits.withColumn("threshold", F.lit(float(threshold)))
+    limits = written(limits)
     zero = winsorised(F.lit(0.0))
     filled = limits.where((zero > 0) | (F.col("threshold") < 0)).select("gene")
     rows = dense(reference, filled, expression).select("cell_id", "gene", "value").unionByName(
@@ -54,14 +56,16 @@ def local_contact(reference: DataFrame, expression: DataFrame, edges: DataFrame,
     the receptor, so edges are never multiplied by pairs and receptors at once.
     """
     label = reference.select("cell_id", "celltype")
+    pairs = written(pairs)
     names = pairs.select(F.col("ligand").alias("gene")).union(pairs.select("receptor")).distinct()
-    scaled = scaled_expression(expression.join(names, "gene", "left_semi"), reference, names,
-                               threshold=contact_expr_threshold, upper=winsor_quantile)
-    directed = edges.join(label.withColumnRenamed("celltype", "sender"), "cell_id")
+    scaled = written(scaled_expression(written(expression.join(names, "gene", "left_semi")), reference, names,
+                                       threshold=contact_expr_threshold, upper=winsor_quantile))
+    directed = written(edges.join(label.withColumnRenamed("celltype", "sender"), "cell_id"))
     crossing = directed.groupBy("neighbor", "sender").agg(F.count("*").alias("_e")).join(
         label.select(F.col("cell_id").alias("neighbor"), F.col("celltype").alias("receiver")), "neighbor"
     ).groupBy("sender", "receiver").agg(F.sum("_e").alias("cross_edge_count"))
 
+    crossing = written(crossing)
     ligands = pairs.select(F.col("ligand").alias("gene")).distinct()
     sent = directed.join(scaled.join(ligands, "gene", "left_semi"), "cell_id").groupBy(
         F.col("gene").alias("ligand"), "neighbor", "sender").agg(
@@ -72,7 +76,7 @@ def local_contact(reference: DataFrame, expression: DataFrame, edges: DataFrame,
         F.sum(F.col("sent") * F.col("scaled")).alias("strength"),
         F.sum(F.col("sent_active") * F.col("active")).alias("both"))
 
-    order = label.groupBy("celltype").agg(F.lit(1).alias("_x")).agg(F.collect_list("celltype")).scalar()
+    order = label.agg(F.collect_set("celltype")).scalar()
     grid = pairs.select("pair_id").distinct().select("pair_id", F.explode(order).alias("sender")).select(
         "pair_id", "sender", F.explode(order).alias("receiver"))
     full = grid.join(crossing, ["sender", "receiver"], "left").join(met, ["pair_id", "sender", "receiver"], "left")
@@ -82,11 +86,12 @@ def local_contact(reference: DataFrame, expression: DataFrame, edges: DataFrame,
         F.coalesce(F.try_divide("strength", count), F.lit(0.0)).alias("contact_strength_raw"),
         F.coalesce(F.try_divide("both", count), F.lit(0.0)).alias("contact_coverage"))
 
+    full = written(full)
     keys = ["pair_id", "receiver"]
-    limits = winsor_limits(full, keys, "contact_strength_raw", upper=winsor_quantile)
+    limits = winsor_limits(full, keys, "contact_strength_raw", upper=winsor_quantile, bounded=True)
     full = full.join(limits, keys).withColumn("contact_strength_normalized", winsorised(F.col("contact_strength_raw")))
     busy = crossing.where("sender <> receiver")
-    scale = quantile(busy, [], "cross_edge_count", {"scale": 0.99}).agg(F.max("scale")).scalar()
+    scale = quantile(busy, [], "cross_edge_count", {"scale": 0.99}, bounded=True).agg(F.max("scale")).scalar()
     full = full.withColumn("edge_support", F.least(F.lit(1.0), F.col("cross_edge_count") / F.coalesce(scale, F.lit(1.0))))
     contact = F.sqrt(F.col("contact_strength_normalized") * F.col("contact_coverage")) * F.col("edge_support")
     return full.select(

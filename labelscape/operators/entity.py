@@ -19,6 +19,7 @@ from labelscape.functions.normalize import shifted_nonnegative
 from labelscape.operators.matrices import axes, located, mean_by_source, searcher_findee, weighted_searcher_findee
 from labelscape.operators.nearest import nearest_per_label
 from labelscape.operators.structure import structure_map
+from labelscape.session import written
 from labelscape.sources.points import dense, require
 
 
@@ -81,8 +82,8 @@ def entity_to_cell(reference: DataFrame, entities: DataFrame, *, x_col: str = "x
         raise ValueError(f"method must be one of: {', '.join(link.METHODS)}")
     cells = reference.where(F.col(celltype_col).isNotNull()).select(
         *coords, F.col(celltype_col).cast("string").alias("celltype"))
-    cloud = shifted_nonnegative(entities.select(
-        *coords, F.col(entity_col).cast("string").alias("entity"), F.col(weight_col).alias("weight")), "weight")
+    cloud = shifted_nonnegative(written(entities.select(
+        *coords, F.col(entity_col).cast("string").alias("entity"), F.col(weight_col).alias("weight"))), "weight")
     everyone = cloud.select("entity").distinct()
     cloud = cloud.where(F.col("weight") > float(min_weight))
     namesakes = cells.join(cloud.select(F.col("entity").alias("celltype")).distinct(), "celltype", "left_semi")
@@ -117,7 +118,7 @@ def entity_structuremap(entities: DataFrame, *, x_col: str = "x", y_col: str = "
                         entity_col: str = "entity", weight_col: str = "weight", min_weight: float = 0.0,
                         method: str = "average", strategy: str = "auto") -> DataFrame:
     """(row, col, value): structure map of the entities' own weighted clouds."""
-    matrix = weighted_searcher_findee(entities, x_col=x_col, y_col=y_col, z_col=z_col, group_col=entity_col,
+    matrix = weighted_searcher_findee(written(entities), x_col=x_col, y_col=y_col, z_col=z_col, group_col=entity_col,
                                       weight_col=weight_col, min_weight=min_weight, strategy=strategy)
     return structure_map(matrix, method=method)
 

@@ -22,8 +22,12 @@ def summarize_by_celltype(expression: DataFrame, reference: DataFrame, *, detect
     held = expression.join(label, "cell_id").groupBy("gene", "celltype").agg(
         F.sum("value").alias("total"), above.alias("above"), F.count("*").alias("present"))
     labels = sizes.agg(F.collect_list(F.struct("celltype", "cells"))).scalar()
-    grid = held.select("gene").distinct().select("gene", F.inline(labels))
-    full = grid.join(held, ["gene", "celltype"], "left").fillna(0, ["total", "above", "present"])
+    # per gene one map over the labels, so that labels without the gene get a row as well
+    packed = held.groupBy("gene").agg(F.map_from_entries(F.collect_list(F.struct(
+        "celltype", F.struct("total", "above", "present")))).alias("_by_label"))
+    full = packed.select("gene", "_by_label", F.inline(labels)).withColumn("_h", F.col("_by_label")[F.col("celltype")])
+    full = full.select("gene", "celltype", "cells", *[
+        F.coalesce(F.col(f"_h.{c}"), F.lit(0)).alias(c) for c in ("total", "above", "present")])
     if detection_threshold < 0:
         full = full.withColumn("above", F.col("above") + F.col("cells") - F.col("present"))
     gene = Window.partitionBy("gene")

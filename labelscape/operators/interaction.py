@@ -11,6 +11,7 @@ from labelscape.functions.normalize import geometric_mean, number, scale_to_unit
 from labelscape.functions.quantiles import quantile
 from labelscape.operators.anchors import Anchors
 from labelscape.operators.contact import zero_completed
+from labelscape.session import written
 from labelscape.sources.points import require
 
 SCORE_COLUMNS = (
@@ -34,7 +35,7 @@ def standard_pairs(pairs: DataFrame, *, ligand_col: str = "ligand", receptor_col
     copy = F.row_number().over(Window.partitionBy("ligand", "receptor").orderBy("prior_confidence"))
     out = out.withColumn("pair_id", F.concat_ws("|", "ligand", "receptor", copy.cast("string")))
     if prior_col is not None and prior_col in pairs.columns:
-        out = scale_to_unit(out, "prior_confidence")
+        out = scale_to_unit(written(out), "prior_confidence")
     return out
 
 
@@ -43,7 +44,7 @@ def pair_scores(pairs: DataFrame, anchors: Anchors, summary: DataFrame, contact:
     near = F.least(F.greatest(1 - F.coalesce("value", F.lit(1.0)), F.lit(0.0)), F.lit(1.0))
     anchor = anchors.topology.select("gene", "celltype", near.alias("anchor"), F.col("source").alias("origin"))
     level = summary.select("gene", "celltype", F.col("normalized").alias("expr"))
-    side = anchor.join(level, ["gene", "celltype"], "left").withColumn("expr", F.coalesce("expr", F.lit(0.0)))
+    side = written(anchor.join(level, ["gene", "celltype"], "left").withColumn("expr", F.coalesce("expr", F.lit(0.0))))
     sender = side.select(F.col("gene").alias("ligand"), F.col("celltype").alias("sender"),
                          F.col("anchor").alias("sender_anchor"), F.col("expr").alias("sender_expr"),
                          F.col("origin").alias("anchor_source_ligand"))
@@ -87,10 +88,11 @@ def hotspots(scores: DataFrame, expression: DataFrame, reference: DataFrame, *,
     roles = best.select("*", F.inline(F.array(
         F.struct(F.lit("sender").alias("role"), F.col("ligand").alias("feature"), F.col("sender_celltype").alias("_label")),
         F.struct(F.lit("receiver").alias("role"), F.col("receptor").alias("feature"), F.col("receiver_celltype").alias("_label")))))
+    roles = written(roles)
     genes = roles.select(F.col("feature").alias("gene")).distinct()
-    values = expression.join(genes, "gene", "left_semi")
+    values = written(expression.join(genes, "gene", "left_semi"))
     counted = zero_completed(values, genes, reference.agg(F.count("*")).scalar())
-    limits = winsor_limits(counted, ["gene"], "value", freq="n")
+    limits = written(winsor_limits(counted, ["gene"], "value", freq="n"))
     scaled = counted.join(limits, "gene").withColumn("score", winsorised(F.col("value")))
     cut = quantile(scaled, ["gene"], "score", {"cut": float(q)}, freq="n")
     cells = reference.join(roles, reference["celltype"] == roles["_label"]).withColumn("gene", F.col("feature"))
@@ -136,7 +138,7 @@ def target_consistency(scores: DataFrame, signatures: DataFrame | Mapping, prior
     out = scores.join(overlap.select("_l", "_r", "_support"),
                       (F.col(ligand_col) == F.col("_l")) & (F.col(receiver_col) == F.col("_r")), "left")
     out = out.withColumn("target_support", F.coalesce("_support", F.lit(0.0))).drop("_l", "_r", "_support")
-    out = scale_to_unit(out, "target_support")
+    out = scale_to_unit(written(out), "target_support")
     return out.withColumns({
         "topology_supported": F.col("LR_score").cast("double"), "target_supported": F.col("target_support"),
         "topology_and_target_supported": F.sqrt(F.col("LR_score") * F.col("target_support"))})

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from labelscape.functions.normalize import shifted_nonnegative
 from labelscape.operators.nearest import nearest_per_label
+from labelscape.session import written
 from labelscape.sources.points import require
 
 
@@ -92,7 +93,7 @@ def finite_block(matrix: DataFrame, *, dropna_axis: str = "both") -> DataFrame:
     NULL, then any column with one."""
     if dropna_axis not in {"rows", "index", "columns", "cols", "both", "none"}:
         raise ValueError("dropna_axis must be one of: rows, columns, both, none")
-    clean = matrix.withColumn("value", F.when(F.abs("value") < float("inf"), F.col("value")))
+    clean = written(matrix).withColumn("value", F.when(F.abs("value") < float("inf"), F.col("value")))
     if dropna_axis in {"rows", "index", "both"}:
         kept = clean.groupBy("source").agg(F.count("value").alias("_n")).where("_n > 0")
         clean = clean.join(kept, "source", "left_semi")

@@ -413,6 +413,8 @@ def _packed_join(sources, targets, coords, *, factor=None, k: int = 1, id_col=No
     axes = list(AXES[:dims])
     if by is not None:
         sources = sources.withColumn("_by", F.col(by).cast("string"))
+    # packing reads its input for the extent, the range sample and the sort: evaluate it once
+    sources, targets = written(sources), written(targets)
     s_blocks, s_height = _numbered(_pack(sources, coords, None if by is None else "_by", SOURCE_BLOCK))
     t_blocks, t_height = _numbered(_pack(targets, axes, "target", TARGET_BLOCK))
     pairs = _block_pairs(s_blocks, t_blocks, max(s_height, t_height), dims, k)

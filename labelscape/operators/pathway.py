@@ -11,6 +11,7 @@ from labelscape.functions.normalize import number, robust_limits, robust_scaled
 from labelscape.functions.quantiles import aggregate_weighted, quantile
 from labelscape.operators.expression import nonzero_ranks
 from labelscape.operators.interaction import long_weights
+from labelscape.session import written
 from labelscape.sources.points import require
 
 RANK_METHODS = ("rank_mean", "ucell", "aucell")
@@ -70,6 +71,7 @@ def pathway_activity(expression: DataFrame, reference: DataFrame, pathways: Data
 
 def robust_activity(activity: DataFrame) -> DataFrame:
     """Every pathway clipped to its 0.01 and 0.99 quantiles and scaled to [0, 1]."""
+    activity = written(activity)
     limits = robust_limits(activity, ["pathway"], "value")
     return activity.join(limits, "pathway").select(
         "cell_id", "pathway", robust_scaled(F.col("value")).alias("value"))
@@ -94,6 +96,7 @@ def activity_points(reference: DataFrame, activity: DataFrame, *, activity_mode:
     ``min_cells`` cells is used. If none does, the ``min_cells`` highest cells are kept, ties by id,
     and the last quantile of the schedule is reported.
     """
+    activity = written(activity)
     names = [f"q{i}" for i in range(len(schedule))]
     ends = activity.groupBy("pathway").agg(F.max("value").alias("_max"))
     full = activity.join(ends, "pathway")
@@ -106,6 +109,7 @@ def activity_points(reference: DataFrame, activity: DataFrame, *, activity_mode:
     full = full.join(cuts, "pathway", "left")
     counts = full.groupBy("pathway").agg(F.count("*").alias("_n"), *[F.sum(((F.col("value") >= F.col(c)) & allowed).cast("long")).alias(f"n_{c}") for c in names],
                                          *[F.first(c).alias(c) for c in names])
+    counts = written(counts)
     pick_cut, pick_q = F.lit(None).cast("double"), F.lit(None).cast("double")
     for c, q in reversed(list(zip(names, schedule))):
         enough = F.col(f"n_{c}") >= int(min_cells)
@@ -119,7 +123,7 @@ def activity_points(reference: DataFrame, activity: DataFrame, *, activity_mode:
     place = F.row_number().over(Window.partitionBy("pathway").orderBy(F.desc("value"), "cell_id"))
     fallback = marked.where(F.col("_q").isNull()).withColumn("_place", place).where(
         F.col("_place") <= int(min_cells)).select("cell_id", "pathway", "value")
-    retained = by_cut.select("cell_id", "pathway", "value").unionByName(fallback)
+    retained = written(by_cut.select("cell_id", "pathway", "value").unionByName(fallback))
     last = float(schedule[-1]) if schedule else 0.5
     sizes = retained.groupBy("pathway").agg(F.count("*").alias("retained_cell_count"))
     diagnostics = chosen.join(sizes, "pathway", "left").select(

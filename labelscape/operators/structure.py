@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelscape.functions import linkage as link
+from labelscape.session import written
 
 MAX_LABELS = 20_000
 
@@ -104,6 +105,7 @@ def cophenetic_correlation(matrix: DataFrame, *, method: str = "average", axis:
 
 def fill_missing(matrix: DataFrame) -> DataFrame:
     """NULL entries take their column's mean, else the overall mean, else 0."""
+    matrix = written(matrix)
     value = F.when(~F.isnan("value"), F.col("value"))
     overall = matrix.agg(F.avg(value)).scalar()
     column = F.avg(value).over(Window.partitionBy("target"))
