@@ -14,12 +14,14 @@ SLACK = 1.0 + 1e-9
 
 
 def morton_order(coords: np.ndarray) -> np.ndarray:
-    """Row order that keeps neighbours in space close together (16 bits per axis)."""
+    """Row order that keeps neighbours in space close together (16 bits per axis).
+
+    All axes share one scale, so that runs of the order fill compact boxes.
+    """
     if len(coords) == 0:
         return np.empty(0, dtype=np.int64)
     low = coords.min(axis=0)
-    span = coords.max(axis=0) - low
-    span[span <= 0] = 1.0
+    span = (coords.max(axis=0) - low).max() or 1.0
     cells = ((coords - low) / span * 65535.0).astype(np.uint64)
     code = np.zeros(len(coords), dtype=np.uint64)
     dims = coords.shape[1]

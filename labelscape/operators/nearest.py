@@ -248,9 +248,10 @@ def curve_position(columns: list[F.Column], low: list[float], high: list[float])
     dims = len(columns)
     bits = 62 // dims
     code = F.lit(0).cast("long")
+    top = (1 << bits) - 1
+    # one scale for all axes, so that runs along the curve fill compact boxes
+    span = max(h - l for l, h in zip(low, high)) or 1.0
     for axis, column in enumerate(columns):
-        span = (high[axis] - low[axis]) or 1.0
-        top = (1 << bits) - 1
         cell = F.least(F.greatest(F.floor((column - F.lit(low[axis])) / F.lit(span) * top),
                                   F.lit(0)), F.lit(top)).cast("long")
         code = code.bitwiseOR(F.shiftleft(_spread_bits(cell, dims), axis))
