@@ -10,7 +10,7 @@ from labelscape.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, "tests")
+    session = local_session(8, "tests", shuffle_partitions="3")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
