@@ -9,27 +9,42 @@ from __future__ import annotations
 import numpy as np
 
 SOURCE_CHUNK = 128
-TARGET_CHUNK = 64
+TARGET_CHUNK = 16
+FEW_TARGETS = 512
+PAIRS_AT_ONCE = 20_000
 SLACK = 1.0 + 1e-9
 
 
-def morton_order(coords: np.ndarray) -> np.ndarray:
-    """Row order that keeps neighbours in space close together (16 bits per axis).
+def scale_of(coords: np.ndarray) -> tuple[np.ndarray, float]:
+    """Lower corner and common span of all axes, so that runs of the order fill compact boxes."""
+    low = coords.min(axis=0)
+    return low, float((coords.max(axis=0) - low).max()) or 1.0
 
-    All axes share one scale, so that runs of the order fill compact boxes.
-    """
+
+def morton_codes(coords: np.ndarray, scale: tuple[np.ndarray, float]) -> np.ndarray:
+    """Position along a Z-order curve; rows outside the scale's box count as on its border."""
+    low, span = scale
+    dims = coords.shape[1]
+    bits = 62 // dims
+    cells = np.clip((coords - low) / span * (2.0**bits - 1), 0, 2.0**bits - 1).astype(np.uint64)
+    code = np.zeros(len(coords), dtype=np.uint64)
+    for axis in range(dims):
+        part, width = cells[:, axis], 32
+        while width >= 1 and dims > 1:  # leave dims - 1 zero bits between neighbouring bits
+            shift = width * (dims - 1)
+            if shift < 63:
+                mask = sum(((1 << width) - 1) << start for start in range(0, 63, width * dims)) & ((1 << 63) - 1)
+                part = (part | (part << np.uint64(shift))) & np.uint64(mask)
+            width //= 2
+        code |= part << np.uint64(axis)
+    return code
+
+
+def morton_order(coords: np.ndarray) -> np.ndarray:
+    """Row order that keeps neighbours in space close together."""
     if len(coords) == 0:
         return np.empty(0, dtype=np.int64)
-    low = coords.min(axis=0)
-    span = (coords.max(axis=0) - low).max() or 1.0
-    cells = ((coords - low) / span * 65535.0).astype(np.uint64)
-    code = np.zeros(len(coords), dtype=np.uint64)
-    dims = coords.shape[1]
-    for bit in range(16):
-        for axis in range(dims):
-            part = (cells[:, axis] >> np.uint64(bit)) & np.uint64(1)
-            code |= part << np.uint64(bit * dims + axis)
-    return np.argsort(code, kind="stable")
+    return np.argsort(morton_codes(coords, scale_of(coords)), kind="stable")
 
 
 def chunk_starts(n: int, size: int) -> np.ndarray:
@@ -60,6 +75,13 @@ class TargetCloud:
         self.sizes = self.stops - starts
         self.low, self.high = chunk_bounds(coords, starts)
         self.min_factor = None if factor is None else np.minimum.reduceat(factor, starts)
+        self.scale = scale_of(coords)
+        self.first_codes = morton_codes(coords[starts], self.scale)
+
+    def likely_chunk(self, source: np.ndarray) -> np.ndarray:
+        """The chunk each source row would fall into along the curve."""
+        at = np.searchsorted(self.first_codes, morton_codes(source, self.scale), side="right") - 1
+        return np.maximum(at, 0)
 
     def bounds_to(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Smallest and largest possible (scaled) distance from a source box to each chunk."""
@@ -91,21 +113,59 @@ def pairwise(source: np.ndarray, target: np.ndarray, factor=None) -> np.ndarray:
     return total
 
 
+def _meet(source: np.ndarray, rows: np.ndarray, chunks: np.ndarray, cloud: TargetCloud, best: np.ndarray) -> None:
+    """Lower ``best`` of the given source rows (ascending) by one target chunk each."""
+    for at in range(0, len(rows), PAIRS_AT_ONCE):
+        r, c = rows[at:at + PAIRS_AT_ONCE], chunks[at:at + PAIRS_AT_ONCE]
+        sizes = cloud.sizes[c]
+        hit = cloud.gather(c)
+        gap = np.repeat(source[r], sizes, axis=0)
+        gap -= cloud.coords[hit]
+        gap *= gap
+        dist = np.sqrt(gap.sum(axis=1))
+        if cloud.factor is not None:
+            dist *= cloud.factor[hit]
+        firsts = np.append(0, np.cumsum(sizes)[:-1])
+        new_row = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+        found = np.minimum.reduceat(dist, firsts[new_row])
+        best[r[new_row]] = np.minimum(best[r[new_row]], found)
+
+
 def lower_to_nearest(source: np.ndarray, starts: np.ndarray, low: np.ndarray, high: np.ndarray,
                      cloud: TargetCloud, best: np.ndarray) -> None:
-    """Fold one target cloud into ``best``, the running smallest distance per source row."""
+    """Fold one target cloud into ``best``, the running smallest distance per source row.
+
+    Every row first meets the chunk at its own place along the curve, which gives a good bound. Then
+    chunks are ruled out by their boxes, for a whole source chunk at once and after that row by row.
+    """
     stops = np.append(starts[1:], len(source))
+    if len(cloud.coords) > 4 * FEW_TARGETS:
+        _meet(source, np.arange(len(source)), cloud.likely_chunk(source), cloud, best)
     for i in range(len(starts)):
         a, b = starts[i], stops[i]
+        part, own = source[a:b], best[a:b]
         near, far = cloud.bounds_to(low[i], high[i])
-        cutoff = min(far.min(), best[a:b].max()) * SLACK
-        chosen = np.flatnonzero(near <= cutoff)
+        chosen = np.flatnonzero(near <= min(far.min(), own.max()) * SLACK)
         if not len(chosen):
             continue
-        rows = cloud.gather(chosen)
-        scale = None if cloud.factor is None else cloud.factor[rows]
-        found = pairwise(source[a:b], cloud.coords[rows], scale).min(axis=1)
-        np.minimum(best[a:b], found, out=best[a:b])
+        if cloud.sizes[chosen].sum() <= FEW_TARGETS:
+            hit = cloud.gather(chosen)
+            scale = None if cloud.factor is None else cloud.factor[hit]
+            np.minimum(own, pairwise(part, cloud.coords[hit], scale).min(axis=1), out=own)
+            continue
+        square = np.zeros((b - a, len(chosen)))
+        for axis in range(part.shape[1]):
+            x = part[:, axis, None]
+            gap = np.maximum(cloud.low[chosen, axis] - x, x - cloud.high[chosen, axis])
+            np.maximum(gap, 0.0, out=gap)
+            gap *= gap
+            square += gap
+        np.sqrt(square, out=square)
+        if cloud.min_factor is not None:
+            square *= cloud.min_factor[chosen]
+        rows, more = np.nonzero(square <= own[:, None] * SLACK)
+        if len(rows):
+            _meet(part, rows, chosen[more], cloud, own)
 
 
 def merge_k_nearest(source: np.ndarray, own: np.ndarray, starts: np.ndarray, low: np.ndarray,

@@ -31,6 +31,7 @@ from labelscape.functions import geometry as geo
 from labelscape.session import written
 
 BROADCAST_ROWS = 200_000
+FEW_TARGETS = 30_000
 SOURCE_BLOCK = 1024
 TARGET_BLOCK = 256
 FANOUT_BITS = 3
@@ -174,8 +175,14 @@ def _rows_by(batch: pa.RecordBatch, by: str | None) -> Iterator[tuple[str, pa.Re
 def _broadcast_nearest(sources, table, coords, factor, spread, by) -> DataFrame:
     spark = sources.sparkSession
     clouds = spark.sparkContext.broadcast(_clouds(table, len(coords), factor is not None, False))
-    if spread:
+    if spread and table.num_rows <= FEW_TARGETS:
         sources = sources.repartition(_partitions(sources), *coords)
+    elif spread:
+        # many targets: a batch of sources from one region rules out most of them at once
+        low, high = _table_extent(table, len(coords))
+        place = curve_position([F.col(c).cast("double") for c in coords], low, high)
+        sources = sources.withColumn("_z", place).repartitionByRange(
+            _partitions(sources), "_z", *coords).sortWithinPartitions("_z").drop("_z")
     fields = sources.schema.fields
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,6 +282,11 @@ def _spread_bits(value: F.Column, dims: int) -> F.Column:
     return value
 
 
+def _table_extent(table: pa.Table, dims: int) -> tuple[list[float], list[float]]:
+    columns = [table.column(AXES[i]).to_numpy() for i in range(dims)]
+    return [float(c.min()) for c in columns], [float(c.max()) for c in columns]
+
+
 def _extent(df: DataFrame, columns: list[str]) -> tuple[list[float], list[float]]:
     aggs = [F.min(F.col(c).cast("double")).alias(f"l{i}") for i, c in enumerate(columns)]
     aggs += [F.max(F.col(c).cast("double")).alias(f"h{i}") for i, c in enumerate(columns)]
