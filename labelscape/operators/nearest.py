@@ -180,8 +180,7 @@ def _broadcast_nearest(sources, table, coords, factor, spread, by) -> DataFrame:
     elif spread:
         # many targets: a batch of sources from one region rules out most of them at once
         low, high = _table_extent(table, len(coords))
-        place = curve_position([F.col(c).cast("double") for c in coords], low, high)
-        sources = sources.withColumn("_z", place).repartitionByRange(
+        sources = with_curve_position(sources, coords, low, high).repartitionByRange(
             _partitions(sources), "_z", *coords).sortWithinPartitions("_z").drop("_z")
     fields = sources.schema.fields
 
@@ -250,36 +249,32 @@ def _broadcast_k_nearest(points, table, coords, id_col, k) -> DataFrame:
 # --------------------------------------------------------------------------- packed plan
 
 
-def curve_position(columns: list[F.Column], low: list[float], high: list[float]) -> F.Column:
-    """Position along a Z-order curve: interleaved bits of the scaled coordinates."""
+def with_curve_position(df: DataFrame, columns: list[str], low: list[float], high: list[float]) -> DataFrame:
+    """Add ``_z``, the position along a Z-order curve: interleaved bits of the scaled coordinates.
+
+    Zero bits are spread in by repeated halving. Every step is a projection of its own, because it
+    uses the last step's value twice; nested into one expression it would double at each step.
+    """
     dims = len(columns)
-    bits = 62 // dims
-    code = F.lit(0).cast("long")
-    top = (1 << bits) - 1
+    top = (1 << (62 // dims)) - 1
     # one scale for all axes, so that runs along the curve fill compact boxes
     span = max(h - l for l, h in zip(low, high)) or 1.0
-    for axis, column in enumerate(columns):
-        cell = F.least(F.greatest(F.floor((column - F.lit(low[axis])) / F.lit(span) * top),
-                                  F.lit(0)), F.lit(top)).cast("long")
-        code = code.bitwiseOR(F.shiftleft(_spread_bits(cell, dims), axis))
-    return code
-
-
-def _spread_bits(value: F.Column, dims: int) -> F.Column:
-    """Leave ``dims - 1`` zero bits between neighbouring bits, by repeated halving."""
-    if dims == 1:
-        return value
+    names = [f"_z{i}" for i in range(dims)]
+    df = df.withColumns({
+        name: F.least(F.greatest(F.floor((F.col(c).cast("double") - F.lit(base)) / F.lit(span) * top), F.lit(0)),
+                      F.lit(top)).cast("long") for name, c, base in zip(names, columns, low)})
     width = 32
-    while width >= 1:
+    while width >= 1 and dims > 1:
         shift = width * (dims - 1)
-        mask = 0
-        for start in range(0, 63, width * dims):
-            mask |= ((1 << width) - 1) << start
-        mask &= (1 << 63) - 1
         if shift < 63:
-            value = value.bitwiseOR(F.shiftleft(value, shift)).bitwiseAND(F.lit(mask).cast("long"))
+            mask = sum(((1 << width) - 1) << start for start in range(0, 63, width * dims)) & ((1 << 63) - 1)
+            df = df.withColumns({name: F.col(name).bitwiseOR(F.shiftleft(name, shift)).bitwiseAND(
+                F.lit(mask).cast("long")) for name in names})
         width //= 2
-    return value
+    code = F.col(names[0])
+    for axis in range(1, dims):
+        code = code.bitwiseOR(F.shiftleft(names[axis], axis))
+    return df.withColumn("_z", code).drop(*names)
 
 
 def _table_extent(table: pa.Table, dims: int) -> tuple[list[float], list[float]]:
@@ -298,9 +293,8 @@ def _extent(df: DataFrame, columns: list[str]) -> tuple[list[float], list[float]
 def _pack(df: DataFrame, axes: list[str], label: str | None, block: int) -> DataFrame:
     """Written table of blocks: (label, part, seq, n, bounding box, rows)."""
     low, high = _extent(df, axes)
-    columns = [F.col(a).cast("double") for a in axes]
     lead = [label] if label else []
-    rows = df.withColumn("_z", curve_position(columns, low, high))
+    rows = with_curve_position(df, axes, low, high)
     rows = rows.repartitionByRange(_partitions(df), *lead, "_z", *axes)
     rows = rows.sortWithinPartitions(*lead, "_z", *axes).drop("_z")
     rows = rows.withColumn("_part", F.spark_partition_id())
