@@ -245,18 +245,14 @@ RANKS = """ranked AS (SELECT cell_id, gene, (RANK() OVER (PARTITION BY cell_id O
     + (COUNT(*) OVER (PARTITION BY cell_id, value) - 1) / 2.0) / COUNT(*) OVER (PARTITION BY cell_id) AS rank FROM full_expr)"""
 
 SCHEDULE = (0.95, 0.90, 0.80, 0.70, 0.60, 0.50)
-KEPT = ("""cuts AS (SELECT pathway, q, QUANTILE_CONT(value, q) AS cut FROM (SELECT pathway, value FROM scaled_act WHERE value > 0) t
-  CROSS JOIN (SELECT UNNEST([""" + ", ".join(map(str, SCHEDULE)) + """]) AS q) s GROUP BY pathway, q),
+# QUANTILE_CONT needs a constant fraction, so the schedule is written out
+KEPT = "cuts AS (" + " UNION ALL ".join(
+    f"SELECT pathway, CAST({q} AS DOUBLE) AS q, QUANTILE_CONT(value, {q}) AS cut FROM scaled_act WHERE value > 0 GROUP BY 1"
+    for q in SCHEDULE) + """),
 hits AS (SELECT c.pathway, c.q, c.cut, COUNT(*) AS n FROM cuts c JOIN scaled_act a ON a.pathway = c.pathway AND a.value >= c.cut AND a.value > 0
   GROUP BY ALL HAVING COUNT(*) >= 50),
 chosen AS (SELECT pathway, MAX(q) AS q, ARG_MAX(cut, q) AS cut, ARG_MAX(n, q) AS n FROM hits GROUP BY 1),
-kept AS (SELECT a.* FROM scaled_act a JOIN chosen c USING (pathway) WHERE a.value >= c.cut AND a.value > 0)""")
-# QUANTILE_CONT needs a constant fraction, so the schedule is written out
-KEPT = KEPT.replace(
-    KEPT[:KEPT.index("hits AS")],
-    "cuts AS (" + " UNION ALL ".join(
-        f"SELECT pathway, CAST({q} AS DOUBLE) AS q, QUANTILE_CONT(value, {q}) AS cut FROM scaled_act WHERE value > 0 GROUP BY 1"
-        for q in SCHEDULE) + "),\n")
+kept AS (SELECT a.* FROM scaled_act a JOIN chosen c USING (pathway) WHERE a.value >= c.cut AND a.value > 0)"""
 POINT_CTES = (CELLS, expr(), SETS, ACTIVITY, robust("act", "scaled_act"), KEPT)
 
 

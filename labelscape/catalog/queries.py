@@ -62,9 +62,9 @@ def event_expression(spark, folder) -> DataFrame:
 
 
 def vectors(spark, folder) -> DataFrame:
-    axis = lambda i: F.col("embedding")[i].cast("double")
+    axes = [F.col("embedding")[i].cast("double").alias(name) for i, name in enumerate("xyz")]
     return table(spark, folder, "embeddings").select(
-        F.col("vec_id").alias("cell_id"), axis(0).alias("x"), axis(1).alias("y"), axis(2).alias("z"),
+        F.col("vec_id").alias("cell_id"), *axes,
         F.col("label").cast("string").alias("celltype"))
 
 
