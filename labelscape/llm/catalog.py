@@ -7,12 +7,20 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from labelscape.llm import bpe, packing
+from labelscape.llm import bpe, order_minhash, packing, warc
 from labelscape.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archived(table(spark, folder, "pages"))
+
+
+def op6_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return order_minhash.neighbour_edits(table(spark, folder, "documents"))
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -22,5 +30,14 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
                       public_tokenizers.PATTERN, digests=True)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op9_packing, op10_byte_bpe)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_warc, op6_order_minhash, op9_packing, op10_byte_bpe)}
+ORACLES: dict[str, str] = {
+    "op3_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+        f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY 1)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+            CASE WHEN first IS NOT NULL AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN first <> page_id THEN first END AS refers_to
+        FROM d LEFT JOIN f USING (payload_digest)""",
+}
