@@ -6,13 +6,31 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from labelscape.llm import bpe, order_minhash, packing, warc
+from labelscape.llm import bpe, order_minhash, packing, toxicity, warc
 from labelscape.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def held_out(key: str) -> F.Column:
+    """Rows that no model may learn from."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2
+
+
+def toxicity_model(spark: SparkSession, folder: str) -> toxicity.Model:
+    labels = table(spark, folder, "labels").where(~held_out("doc_id"))
+    return toxicity.fit(table(spark, folder, "documents"), labels)
+
+
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity_model(spark, folder)).select(
+        "doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archived(table(spark, folder, "pages"))
 
@@ -30,7 +48,7 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
                       public_tokenizers.PATTERN, digests=True)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_warc, op6_order_minhash, op9_packing, op10_byte_bpe)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_toxicity, op3_warc, op6_order_minhash, op9_packing, op10_byte_bpe)}
 ORACLES: dict[str, str] = {
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
