@@ -25,7 +25,7 @@ from labelscape.llm.common import rows_of
 
 NEVER = 1 << 40
 #: Entries of a worker's caches; beyond, they start anew.
-CACHE = 300_000
+CACHE = 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -50,7 +50,8 @@ class Vocabulary:
         #: lengths of the tokens ending in a byte, longest first
         self.lengths = {end: sorted(lengths, reverse=True) for end, lengths in by_end.items()}
         self._edges: dict[int, tuple[list, list] | None] = {}
-        self._follows: dict[tuple[int, int], bool] = {}
+        #: answers of ``follows`` by both tokens in one number
+        self.follow_keys: dict[int, bool] = {}
 
     def merge(self, word: bytes, whole: bool = True) -> list[bytes]:
         """Plain merging, lowest rank first; ``whole=False`` stops short of the single token ``word``."""
@@ -88,12 +89,12 @@ class Vocabulary:
 
     def follows(self, first: int, second: int) -> bool:
         """Whether the bytes of both tokens encode to just these two."""
-        key = (first, second)
-        known = self._follows.get(key)
+        key = first << 32 | second
+        known = self.follow_keys.get(key)
         if known is None:
-            if len(self._follows) > 4 * CACHE:
-                self._follows.clear()
-            known = self._follows[key] = self._may_follow(first, second)
+            if len(self.follow_keys) > CACHE:
+                self.follow_keys.clear()
+            known = self.follow_keys[key] = self._may_follow(first, second)
         return known
 
     def _may_follow(self, first: int, second: int) -> bool:
@@ -122,26 +123,34 @@ class PrefixEncoder:
         self.vocabulary, self.data, self.last = vocabulary, b"", []
         self.append(data)
 
-    def _token_at(self, end: int) -> int:
+    def _extend(self, stop: int) -> None:
+        """Find the last token of each further prefix, up to ``stop`` bytes: the longest suffix token that may follow."""
         vocabulary, data, last = self.vocabulary, self.data, self.last
-        for length in vocabulary.lengths[data[end - 1]]:
-            if length > end:
-                continue
-            token = vocabulary.ranks.get(data[end - length:end])
-            if token is None:
-                continue
-            if length == end:
-                if vocabulary.edges(token) is not None:
-                    return token
-            elif vocabulary.follows(last[end - length - 1], token):
-                return token
-        raise ValueError("the vocabulary lacks a byte of the data")
+        rank, known, lengths = vocabulary.ranks.get, vocabulary.follow_keys, vocabulary.lengths
+        for end in range(len(last) + 1, stop + 1):
+            for length in lengths[data[end - 1]]:
+                start = end - length
+                if start < 0:
+                    continue
+                token = rank(data[start:end])
+                if token is None:
+                    continue
+                if start:
+                    before = last[start - 1]
+                    fits = known.get(before << 32 | token)
+                    if fits is None:
+                        fits = vocabulary.follows(before, token)
+                else:
+                    fits = vocabulary.edges(token) is not None
+                if fits:
+                    last.append(token)
+                    break
+            else:
+                raise ValueError("the vocabulary lacks a byte of the data")
 
     def append(self, more: bytes) -> None:
-        start = len(self.data)
         self.data += more
-        for end in range(start + 1, len(self.data) + 1):
-            self.last.append(self._token_at(end))
+        self._extend(len(self.data))
 
     def replace(self, start: int, end: int, by: bytes) -> int:
         """Put ``by`` in the place of bytes ``start`` to ``end``; returns how many prefixes were computed anew.
@@ -153,8 +162,8 @@ class PrefixEncoder:
         self.data = self.data[:start] + by + self.data[end:]
         self.last, same, done = old[:start], 0, 0
         for place in range(start + 1, len(self.data) + 1):
-            token = self._token_at(place)
-            self.last.append(token)
+            self._extend(place)
+            token = self.last[-1]
             done += 1
             beyond = place - (start + len(by))
             if beyond > 0:
