@@ -348,10 +348,10 @@ def spread_out(words: list[str], many: int, settings: Settings) -> list[str]:
 
 
 def curve(margins: np.ndarray, marks: np.ndarray) -> tuple[float, float]:
-    """Slope and middle of the logistic curve with the least log loss, both labels weighing alike, by Newton steps."""
+    """Slope and middle of the logistic curve with the least log loss, the rarer label weighing more, by Newton steps."""
     a, c = 4.0, 0.0
     target = np.where(marks == 1, (marks.sum() + 1) / (marks.sum() + 2), 1 / (len(marks) - marks.sum() + 2))
-    even = np.where(marks == 1, len(marks) / (2 * marks.sum()), len(marks) / (2 * (len(marks) - marks.sum())))
+    even = np.where(marks == 1, np.sqrt((len(marks) - marks.sum()) / marks.sum()), 1.0)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * margins - c, -40, 40)))
         g = np.array([(even * (p - target) * margins).sum(), -(even * (p - target)).sum()])
