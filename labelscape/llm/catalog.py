@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelscape.llm import bpe, order_minhash, packing, secrets, signature_tree, toxicity, warc
+from labelscape.llm import bit_codes, bpe, licenses, order_minhash, packing, secrets, signature_tree, toxicity, warc
 from labelscape.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,14 @@ def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archived(table(spark, folder, "pages"))
 
 
+def op4_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.license_scan(table(spark, folder, "documents"))
+
+
+def op5_bit_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return bit_codes.search(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return order_minhash.neighbour_edits(table(spark, folder, "documents"))
 
@@ -56,7 +64,7 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
                       public_tokenizers.PATTERN, digests=True)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_toxicity, op3_warc, op6_order_minhash, op7_secrets, op8_jaccard_join, op9_packing, op10_byte_bpe)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_toxicity, op3_warc, op4_licenses, op5_bit_codes, op6_order_minhash, op7_secrets, op8_jaccard_join, op9_packing, op10_byte_bpe)}
 ORACLES: dict[str, str] = {
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
