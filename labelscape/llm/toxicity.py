@@ -109,27 +109,34 @@ class Subsequences:
                     known &= letter > 0
                 yield np.where(known, number + self.offsets[r], 0), weight
 
-    def table(self, words: list[str]) -> np.ndarray:
-        """A column of feature values for each word."""
-        out = np.zeros((self.size, len(words)), np.float32)
+    def table(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where each feature stands, and a column of values for each word; only features of these words have a row, the first is empty."""
+        rows = []
         for j, word in enumerate(words):
             for numbers, weight in self.listed([word], len(word)):
-                np.add.at(out[:, j], numbers[0], weight)
-        out[0] = 0
-        return out
-
-    def products(self, words: list[str], table: np.ndarray) -> np.ndarray:
-        """Inner products of the words' features with each column of ``table``."""
-        out = np.zeros((len(words), table.shape[1]), np.float32)
+                rows.append((numbers[0], np.full(len(weight), j), weight))
+        numbers, column, weight = (np.concatenate(c) for c in zip(*rows))
+        kept = numbers > 0
+        used, row = np.unique(numbers[kept], return_inverse=True)
+        index = np.zeros(self.size, np.int32)
+        index[used] = np.arange(1, len(used) + 1)
+        values = np.zeros((len(used) + 1, len(words)), np.float32)
+        np.add.at(values, (row + 1, column[kept]), weight[kept])
+        return index, values
+
+    def products(self, words: list[str], index: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Inner products of the words' features with each column of ``values``."""
+        out = np.zeros((len(words), values.shape[1]), np.float32)
         for length, at in grouped(words):
-            step = max(1, (1 << 21) // (table.shape[1] * len(self.places(length)[-1][0]) + 1))
+            step = max(1, (1 << 21) // (values.shape[1] * len(self.places(length)[-1][0]) + 1))
             for start in range(0, len(at), step):
                 mine = at[start:start + step]
                 for numbers, weight in self.listed([words[i] for i in mine], length):
-                    if table.shape[1] == 1:
-                        out[mine, 0] += table[:, 0][numbers] @ weight
+                    rows = index[numbers]
+                    if values.shape[1] == 1:
+                        out[mine, 0] += values[:, 0][rows] @ weight
                     else:
-                        out[mine] += np.einsum("wcm,c->wm", table[numbers], weight)
+                        out[mine] += np.einsum("wcm,c->wm", values[rows], weight)
         return out
 
 
@@ -185,19 +192,24 @@ class Model:
         self.fold()
 
     def fold(self) -> None:
-        self.table = self.space.table(self.landmarks) / self.own
-        self.folded = (self.table @ self.weights.astype(np.float32))[:, None].astype(np.float32)
+        self.index, values = self.space.table(self.landmarks)
+        self.values = values / self.own
+        self.folded = (self.values @ self.weights.astype(np.float32))[:, None].astype(np.float32)
+
+    def __getstate__(self) -> tuple:
+        """What others need to build it again: the words seen stay here."""
+        return self.settings, self.landmarks, self.weights, self.bias, self.slope, self.middle
 
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("known", "table")} | {"known": {}}
+    def __setstate__(self, state: tuple) -> None:
+        self.__init__(*state)
 
     def features(self, words: list[str]) -> np.ndarray:
         s = self.settings
-        return self.space.products(words, self.table) / np.sqrt(self_kernel(words, s.order, s.decay))[:, None]
+        return self.space.products(words, self.index, self.values) / np.sqrt(self_kernel(words, s.order, s.decay))[:, None]
 
     def margins(self, words: list[str]) -> np.ndarray:
         s = self.settings
-        return self.space.products(words, self.folded)[:, 0] / np.sqrt(self_kernel(words, s.order, s.decay)) + self.bias
+        return self.space.products(words, self.index, self.folded)[:, 0] / np.sqrt(self_kernel(words, s.order, s.decay)) + self.bias
 
     def margin(self, words: Iterable[str]) -> float:
         """The largest margin of the words; those seen lately are not computed again."""
