@@ -6,17 +6,40 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from labelscape.llm import packing
+from labelscape.llm import packing, secrets, signature_tree, toxicity
+from labelscape.llm.catalog import THRESHOLD, held_out
 from labelscape.llm.common import table, written
 
 
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold."""
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id"))
+    return toxicity.score(docs, toxicity.fit(docs, labels)).where(F.col("toxicity") < THRESHOLD).select(*docs.columns)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8), the document with the smallest doc_id."""
+    return signature_tree.one_of_each(docs, width=5, percent=80)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced by a mark; n_chars follows the text."""
+    return secrets.redact(docs).withColumn(
+        "n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(
+            F.col("n_chars"))).select(*docs.columns)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, packed into sequences of at most 2048 tokens."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", without_toxic),
+    ("near_copies", without_near_copies),
+    ("secrets", without_secrets),
     ("packing", packed),
 ]
 

@@ -8,10 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelscape.llm import bit_codes, bpe, licenses, order_minhash, packing, secrets, signature_tree, toxicity, warc
+from labelscape.llm import bit_codes, bpe, chat, licenses, order_minhash, packing, secrets, signature_tree, toxicity, warc
 from labelscape.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Score from which a document counts as toxic.
+THRESHOLD = 0.3
+
+
+def op1_chat(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.perspectives(table(spark, folder, "conversations"))
 
 
 def held_out(key: str) -> F.Column:
@@ -28,7 +34,7 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return toxicity.score(docs, toxicity_model(spark, folder)).select(
         "doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"),
-        (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
+        (F.col("toxicity") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,8 +70,9 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
                       public_tokenizers.PATTERN, digests=True)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_toxicity, op3_warc, op4_licenses, op5_bit_codes, op6_order_minhash, op7_secrets, op8_jaccard_join, op9_packing, op10_byte_bpe)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat, op2_toxicity, op3_warc, op4_licenses, op5_bit_codes, op6_order_minhash, op7_secrets, op8_jaccard_join, op9_packing, op10_byte_bpe)}
 ORACLES: dict[str, str] = {
+    "op1_chat": chat.SQL,
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),

@@ -2,9 +2,10 @@
 
 Two documents link if the Jaccard similarity of their sets of word shingles reaches a threshold. The join is exact:
 
-1. Counting. How many documents hold a shingle becomes a level, a power of two, in a table of fixed size.
+1. Counting. How many documents hold a shingle becomes a level, a power of two, in a table of bounded size.
 2. Meeting. Ordered by level and number, the first shingles of two similar sets must share one (prefix filter). Documents
-   that share such a shingle, directly or through others, form a cluster; nothing outside it can link with them. Equal sets count once.
+   that share such a shingle and have sizes that may link, directly or through others, form a cluster; nothing outside it can link with them.
+   Equal sets count once.
 3. Trees. In each cluster a signature tree holds the sets: nodes carry the OR of their members' token bitmaps and the range of
    their sizes. Two nodes are compared with each other from the top down and dropped if their sizes or the
    largest overlap that their bitmaps allow cannot reach the threshold, or if all their members are linked already. Leaves are compared exactly.
@@ -26,14 +27,14 @@ from labelscape.llm.common import input_bytes, rows_of, written
 from labelscape.llm.components import components
 from labelscape.llm.shingles import shingle_set
 
-#: Shingle numbers are dealt by their highest bits; the table of levels has 2**LEVEL_BITS bytes, whatever the input.
-LEVEL_BITS = 24
+#: The table of levels has at most 2**LEVEL_BITS bytes, whatever the input.
+LEVEL_BITS = 26
 #: Shingles held back by a task before it sends them on.
 FLUSH = 1 << 21
 #: Sets in a block, children of a tree's node.
 BLOCK, FAN = 128, 8
-#: A shingle is frequent from so many documents on.
-FREQUENT = 8
+#: A set's mark has its size class in so many low bits; classes are a quarter of the largest step between sizes that link.
+CLASS_BITS, STEPS = 10, 4
 
 
 def shard_bits(df: DataFrame) -> int:
@@ -49,8 +50,13 @@ def texts_of(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
-def levels(texts: DataFrame, width: int, bits: int) -> np.ndarray:
-    """Byte i: floor(log2(documents)) of the most frequent shingle whose highest bits are i; 0 up to FREQUENT.
+def level_bits(df: DataFrame) -> int:
+    """Some entries of the table for each shingle, as far as its bound allows: decides how rare the first shingles are, not what links."""
+    return max(20, min(LEVEL_BITS, (input_bytes(df) // 16).bit_length()))
+
+
+def levels(texts: DataFrame, width: int, bits: int, table_bits: int) -> np.ndarray:
+    """Byte i: floor(log2(documents)) of the most frequent shingle whose highest ``table_bits`` bits are i.
 
     Tasks count what they hold before sending it on, so a shingle that is everywhere arrives once a task.
     """
@@ -88,17 +94,17 @@ def levels(texts: DataFrame, width: int, bits: int) -> np.ndarray:
         numbers, counts = numbers[order], counts[order]
         first = np.flatnonzero(np.concatenate([[True], numbers[1:] != numbers[:-1]]))
         counts = np.add.reduceat(counts, first)
-        mine = counts > FREQUENT
-        part = np.zeros(1 << (LEVEL_BITS - bits), np.uint8)
-        np.maximum.at(part, numbers[first][mine] >> np.uint32(32 - LEVEL_BITS + bits), np.log2(counts[mine]).astype(np.uint8))
+        mine = counts > 1
+        part = np.zeros(1 << (table_bits - bits), np.uint8)
+        np.maximum.at(part, numbers[first][mine] >> np.uint32(32 - table_bits + bits), np.log2(counts[mine]).astype(np.uint8))
         return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()),
                          "part": pa.array([part.tobytes() if mine.any() else b""], pa.binary())})
 
-    out = np.zeros(1 << LEVEL_BITS, np.uint8)
-    step = 1 << (LEVEL_BITS - bits)
+    out = np.zeros(1 << table_bits, np.uint8)
+    step = 1 << (table_bits - bits)
     found = texts.select("text").mapInArrow(count, "shard int, once binary, often binary").groupBy("shard").applyInArrow(
         total, "shard int, part binary").where("length(part) > 0")
-    for row in found.collect():  # 2**LEVEL_BITS bytes in all
+    for row in found.collect():  # at most 2**LEVEL_BITS bytes in all
         out[row["shard"] * step:(row["shard"] + 1) * step] = np.frombuffer(row["part"], np.uint8)
     return out
 
@@ -111,17 +117,23 @@ def least_overlap(n: int, percent: int) -> int:
 def prefix(numbers: np.ndarray, level: np.ndarray, percent: int) -> np.ndarray:
     """The rarest shingles, so many that two sets that link have one in common."""
     size = len(numbers) - least_overlap(len(numbers), percent) + 1
-    own = level[(numbers >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)]
+    own = level[(numbers >> np.uint64(65 - len(level).bit_length())).astype(np.int64)]
     rare = numbers[own == 0]
     if len(rare) >= size:
         return rare[:size]
     return numbers[np.lexsort((numbers, own))[:size]]
 
 
+def mark_of(key: bytes, n: int, percent: int) -> int:
+    """A number of the set, its size class in the low bits."""
+    size = int(np.log(max(1, n)) / np.log(100 / percent) * STEPS)
+    return int.from_bytes(key[:8], "little", signed=True) >> CLASS_BITS << CLASS_BITS | min(size, (1 << CLASS_BITS) - 1)
+
+
 def meetings(texts: DataFrame, width: int, percent: int, bits: int, level: np.ndarray) -> DataFrame:
     """Two kinds of rows: documents (doc, key, mark, n) and, by shard, blobs of (shingle, mark); ``mark`` is a number of the set.
 
-    Sets that meet in a task are tied to the smallest mark there (``a``, ``b``), and only that one is sent on.
+    Sets that meet in a task are tied there (``a``, ``b``), and only one of each size class is sent on.
     """
     shared = texts.sparkSession.sparkContext.broadcast(level)
     shards = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
@@ -135,12 +147,11 @@ def meetings(texts: DataFrame, width: int, percent: int, bits: int, level: np.nd
     def sent(held: list[np.ndarray], marks: list[int]) -> Iterator[pa.RecordBatch]:
         numbers = np.concatenate(held)
         owner = np.repeat(np.array(marks, np.int64), [len(h) for h in held])
-        order = np.lexsort((owner, numbers))
-        numbers, owner = numbers[order], owner[order]
-        first = np.concatenate([[True], numbers[1:] != numbers[:-1]])
-        a, b = tied(numbers, owner, first)
+        numbers, owner, a, b = tied(numbers, owner)
         if len(a):
             yield batch_of(a=pa.array(a), b=pa.array(b))
+        low = owner & ((1 << CLASS_BITS) - 1)
+        first = np.concatenate([[True], (numbers[1:] != numbers[:-1]) | (low[1:] != low[:-1])])
         numbers, owner = numbers[first], owner[first]
         cuts = np.searchsorted(numbers, shards).tolist() + [len(numbers)]
         rows = [(shard, np.stack([numbers[i:j].view(np.int64), owner[i:j]]).tobytes())
@@ -155,7 +166,7 @@ def meetings(texts: DataFrame, width: int, percent: int, bits: int, level: np.nd
                 numbers = shingle_set(value.as_py(), width)
                 key = digest(numbers)
                 keys.append(key)
-                own.append(int.from_bytes(key[:8], "little", signed=True))
+                own.append(mark_of(key, len(numbers), percent))
                 n.append(len(numbers))
                 if len(numbers):
                     held.append(prefix(numbers, table, percent))
@@ -172,12 +183,17 @@ def meetings(texts: DataFrame, width: int, percent: int, bits: int, level: np.nd
     return texts.mapInArrow(run, "doc long, key binary, mark long, n long, shard int, blob binary, a long, b long")
 
 
-def tied(numbers: np.ndarray, owner: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs of a shingle's smallest mark and each other one; rows are sorted by shingle and mark."""
-    smallest = owner[np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))]
-    other = owner != smallest
-    pairs = np.unique(np.stack([smallest[other], owner[other]], axis=1), axis=0)
-    return pairs[:, 0], pairs[:, 1]
+def tied(numbers: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles and marks, sorted by shingle and size class, and the distinct pairs of neighbours in that order whose sizes may link.
+
+    All sizes between two that may link may link with both, so the pairs connect whatever shares a shingle and may link.
+    """
+    low = owner & ((1 << CLASS_BITS) - 1)
+    order = np.lexsort((owner, low, numbers))
+    numbers, owner, low = numbers[order], owner[order], low[order]
+    near = (numbers[1:] == numbers[:-1]) & (low[1:] - low[:-1] <= STEPS + 1) & (owner[1:] != owner[:-1])
+    pairs = np.unique(np.stack([owner[:-1][near], owner[1:][near]], axis=1), axis=0)
+    return numbers, owner, pairs[:, 0], pairs[:, 1]
 
 
 def clusters(met: DataFrame) -> DataFrame:
@@ -185,9 +201,7 @@ def clusters(met: DataFrame) -> DataFrame:
     def meet(table: pa.Table) -> pa.Table:
         blobs = [np.frombuffer(v.as_py(), "<i8").reshape(2, -1) for v in table.column("blob")]
         numbers, owner = np.concatenate([b[0] for b in blobs]), np.concatenate([b[1] for b in blobs])
-        order = np.lexsort((owner, numbers))
-        numbers, owner = numbers[order], owner[order]
-        a, b = tied(numbers, owner, np.concatenate([[True], numbers[1:] != numbers[:-1]]))
+        _, _, a, b = tied(numbers, owner)
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
     across = met.where("blob is not null").select("shard", "blob").groupBy("shard").applyInArrow(meet, "a long, b long")
@@ -317,7 +331,7 @@ def jaccard_join(df: DataFrame, *, width: int = 4, percent: int = 85, key: str =
     """
     texts = texts_of(df, key, text)
     bits = shard_bits(df)
-    met = written(meetings(texts, width, percent, bits, levels(texts, width, bits)))
+    met = written(meetings(texts, width, percent, bits, levels(texts, width, bits, level_bits(df))))
     docs = met.where("key is not null").select("doc", "key", "mark", "n")
     sets = docs.where("n > 0 and doc is not null").groupBy("key", "mark", "n").agg(F.min("doc").alias("doc"))
     members = written(sets.join(clusters(met), "mark"))
@@ -368,3 +382,14 @@ def jaccard_join(df: DataFrame, *, width: int = 4, percent: int = 85, key: str =
     return docs.join(classes, "key", "left").select(
         F.col("doc").alias(key), F.col("n").alias("n_shingles"),
         F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))
+
+
+def one_of_each(df: DataFrame, *, width: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df`` that stay when of each group of linked documents only the one with the smallest key does.
+
+    Rows equal in key and text are one document; rows with a null key link with nothing and all stay.
+    """
+    found = jaccard_join(df, width=width, percent=percent, key=key, text=text)
+    kept = found.where(F.col(key) == F.col("component_id")).select(F.col(key).cast(df.schema[key].dataType).alias(key)).distinct()
+    return df.where(F.col(key).isNotNull()).join(kept, key, "left_semi").dropDuplicates([key, text]).unionByName(
+        df.where(F.col(key).isNull())).select(*df.columns)

@@ -42,7 +42,7 @@ class Settings:
     order: int = 4
     decay: float = 0.6
     landmarks: int = 96
-    sample: int = 5_000
+    sample: int = 3_000
     letters: int = 3_000  # of each sampled document's sentences, whole sentences
     rounds: int = 2
     telling: float = 3.0
@@ -347,8 +347,8 @@ def clipped(text: str, letters: int) -> str:
 
 
 def spread_out(words: list[str], many: int, settings: Settings) -> list[str]:
-    """The first words that are not nearly the same as one taken before."""
-    words = list(dict.fromkeys(words))[:600]
+    """The first of at most 200 words that are not nearly the same as one taken before."""
+    words = list(dict.fromkeys(words))[:200]
     if not words:
         return []
     near = Model(settings, words, np.zeros(len(words)), 0.0).features(words)
