@@ -35,7 +35,7 @@ KINDS = (
     Kind("hex", r"[0-9a-f]{16,}", "secret", True),
     Kind("account", r"""(?i:user(?:_?name|_?id)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,64}"""
                     r"""|[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+""", "identifier", False),
-    Kind("bare", r"(?<![A-Za-z0-9+/_-])(?=[A-Z+/_-]*[a-z0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}",
+    Kind("bare", r"(?<![A-Za-z0-9+/_-])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}",
          "secret", False),
     Kind("endpoint", r"""[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]{3,}|(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{1,5})?(?![0-9.])""",
          "endpoint", False),
