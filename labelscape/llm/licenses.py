@@ -101,6 +101,8 @@ class Index:
     def __init__(self, templates: dict[str, str], scan: Scan):
         self.scan, self.names = scan, list(templates)
         self.words = [words(text)[0] for text in templates.values()]
+        #: at most half a template, so that copies that follow each other stay apart
+        self.band = np.array([max(1, min(scan.band, len(w) // 2)) for w in self.words], np.int64)
         rows = [(h, t, p) for t, numbers in enumerate(self.words) for h, p in zip(*fingerprints(numbers, scan))]
         rows.sort()
         self.hashes = np.array([r[0] for r in rows], np.uint64)
@@ -122,7 +124,7 @@ class Index:
         template, diagonal = self.template[row], np.repeat(at[some], many) - self.place[row]
         order = np.lexsort((diagonal, template))
         template, diagonal = template[order], diagonal[order]
-        new = np.concatenate([[True], (template[1:] != template[:-1]) | (diagonal[1:] - diagonal[:-1] > self.scan.band)])
+        new = np.concatenate([[True], (template[1:] != template[:-1]) | (diagonal[1:] - diagonal[:-1] > self.band[template[1:]])])
         starts = np.flatnonzero(new)
         ends = np.concatenate([starts[1:], [len(template)]]) - 1
         for a, b in zip(starts, ends):
@@ -136,7 +138,7 @@ class Index:
         numbers, starts, ends = words(text)
         found: dict[int, list[tuple[int, int, int]]] = {}
         for t, first, last in self.candidates(numbers):
-            matched, a, b = align(self.words[t], numbers, first - self.scan.band, last + self.scan.band)
+            matched, a, b = align(self.words[t], numbers, first - int(self.band[t]), last + int(self.band[t]))
             if matched and matched >= self.scan.coverage * len(self.words[t]):
                 found.setdefault(t, []).append((-matched, a, b))
         if not found:
