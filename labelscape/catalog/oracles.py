@@ -131,6 +131,11 @@ def knn(points: str, k: int) -> str:
 DENSE = """full_expr AS (SELECT c.cell_id, c.celltype, g.gene, COALESCE(e.value, 0) AS value
   FROM cells c CROSS JOIN (SELECT DISTINCT p_brand AS gene FROM part) g LEFT JOIN expr e ON e.cell_id = c.cell_id AND e.gene = g.gene)"""
 
+SOME = DENSE.replace("FROM part)", "FROM part WHERE p_brand < 'Brand#3')")
+# two-sided tail of the standard normal distribution: x**(2n+1) sqrt(pi) / (2 gamma(n + 1.5)) are the terms of its series
+TAIL = """CASE WHEN z > 8.5 THEN 0.0 ELSE GREATEST(1 - 2 / sqrt(pi()) * exp(-z * z / 2) * list_sum(list_transform(range(0, 201),
+  lambda n: exp((2 * n + 1) * ln(GREATEST(z, 1e-300) / sqrt(2)) + ln(sqrt(pi()) / 2) - lgamma(n + 1.5)))), 0.0) END"""
+
 SCALED = """lim AS (SELECT gene, MIN(value) AS lo, LEAST(QUANTILE_CONT(value, 0.99), MAX(value)) AS hi,
     QUANTILE_CONT(value, 0.75) FILTER (value > 0) AS thr FROM full_expr GROUP BY 1),
 scaled AS (SELECT cell_id, celltype, gene, value, CASE WHEN hi = lo THEN CASE WHEN hi = 0 THEN 0.0 ELSE 1.0 END
@@ -280,6 +285,19 @@ WEIGHTED_MEAN = """m AS (SELECT source, target, SUM(dist * weight) / SUM(weight)
 REGION = f"""sm AS (SELECT sample, source, target, AVG(dist) AS value FROM (SELECT a.sample, a.cell_id, a.celltype AS source,
     b.celltype AS target, MIN({dist()}) AS dist FROM sampled a JOIN sampled b ON a.sample = b.sample GROUP BY ALL)
   WHERE sample IN (SELECT sample FROM sampled GROUP BY 1 HAVING COUNT(*) >= 100) GROUP BY ALL)"""
+# absent pairs are 1 and the diagonal is 0, on the labels of both stages
+STAGED = """staged AS (SELECT *, CASE WHEN sample < 'B' THEN 'early' ELSE 'late' END AS stage FROM sm),
+st AS (SELECT stage, source, target, AVG(value) AS value FROM staged
+  WHERE NOT (stage = 'early' AND 'BUILDING' IN (source, target)) AND NOT (stage = 'late' AND source = 'MACHINERY' AND target = 'FURNITURE') GROUP BY ALL),
+lab AS (SELECT source AS name FROM st UNION SELECT target FROM st),
+sg AS (SELECT e.stage, a.name AS source, b.name AS target, CASE WHEN a.name = b.name THEN 0.0 ELSE COALESCE(st.value, 1.0) END AS value
+  FROM (SELECT DISTINCT stage FROM st) e CROSS JOIN lab a CROSS JOIN lab b
+  LEFT JOIN st ON st.stage = e.stage AND st.source = a.name AND st.target = b.name)"""
+ENDS = """ends AS (SELECT sample, source, target, value FROM sm WHERE sample IN ((SELECT MIN(sample) FROM sm), (SELECT MAX(sample) FROM sm))),
+lab AS (SELECT source AS name FROM ends UNION SELECT target FROM ends),
+grid AS (SELECT e.sample, a.name AS source, b.name AS target, CASE WHEN a.name = b.name THEN 0.0 ELSE COALESCE(m.value, 1.0) END AS value
+  FROM (SELECT DISTINCT sample FROM ends) e CROSS JOIN lab a CROSS JOIN lab b
+  LEFT JOIN ends m ON m.sample = e.sample AND m.source = a.name AND m.target = b.name)"""
 PICKED = "picked AS (SELECT DISTINCT o_custkey AS cell_id FROM orders WHERE o_totalprice > 450000)"
 TRANSCRIPTS = """cloud AS (SELECT p_type AS entity, x, y, CAST(COUNT(*) AS DOUBLE) AS weight FROM lineitem
   JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN cells ON o_custkey = cell_id GROUP BY ALL)"""
@@ -443,15 +461,27 @@ ORACLES: dict[str, str] = {
                                    clustered(groups=True, source="gs"), recursive=True, select=f"SELECT grp AS sample, row, col, {r('value')} FROM smap"),
     "sample_mean_matrix": query(CELLS, SAMPLED, REGION, select=f"""SELECT source, target, CASE WHEN COUNT(value) = (SELECT COUNT(DISTINCT sample) FROM sm)
   THEN ROUND(AVG(value), 6) + 0.0 END AS value FROM sm GROUP BY ALL"""),
-    "sample_drift": query(CELLS, SAMPLED, REGION, select=f"""SELECT a.source, {r('AVG(abs(b.value - a.value))', 'mean_abs_delta')} FROM sm a JOIN sm b USING (source, target)
+    "sample_drift": query(CELLS, SAMPLED, REGION, ENDS, select=f"""SELECT a.source, {r('AVG(abs(b.value - a.value))', 'mean_abs_delta')} FROM grid a JOIN grid b USING (source, target)
   WHERE a.sample = (SELECT MIN(sample) FROM sm) AND b.sample = (SELECT MAX(sample) FROM sm) GROUP BY ALL"""),
+    "stage_mean": query(CELLS, SAMPLED, REGION, STAGED, select=f"SELECT stage, source, target, {r('value')} FROM sg"),
+    "stage_drift": query(CELLS, SAMPLED, REGION, STAGED, select=f"""SELECT source, target, {r('b.value - a.value', 'delta')}, {r('abs(b.value - a.value)', 'abs_delta')}
+  FROM (SELECT * FROM sg WHERE stage = 'early') a JOIN (SELECT * FROM sg WHERE stage = 'late') b USING (source, target)"""),
+    "label_pairs": query(CELLS, SAMPLED, REGION, "gs AS (SELECT sample AS grp, source, target, value FROM sm)",
+                         clustered(groups=True, source="gs"), recursive=True, select=f"SELECT grp AS sample, row, col, {r('value')} FROM smap WHERE row < col"),
+    "expression_rank_subset": query(CELLS, expr(), SOME, RANKS, select=f"SELECT cell_id, gene, {r('rank')} FROM ranked"),
+    "pathway_activity_rank_subset": query(
+        CELLS, expr(), SETS, SOME, RANKS, """part_act AS (SELECT cell_id, pathway, SUM(rank * abs(weight)) / SUM(abs(weight)) AS value FROM ranked JOIN sets USING (gene) GROUP BY ALL),
+  act AS (SELECT c.cell_id, p.pathway, COALESCE(a.value, 0) AS value FROM cells c CROSS JOIN (SELECT DISTINCT pathway FROM sets) p
+    LEFT JOIN part_act a ON a.cell_id = c.cell_id AND a.pathway = p.pathway)""",
+        select=UNIT_SCALE.format(source="act")),
     "rank_sum": query(
         CELLS, """rk AS (SELECT celltype, y < 12 AS low, x, COUNT(*) OVER (PARTITION BY celltype, x) AS t, RANK() OVER (PARTITION BY celltype ORDER BY x)
     + (COUNT(*) OVER (PARTITION BY celltype, x) - 1) / 2.0 AS rk FROM cells)""",
         """ag AS (SELECT celltype, SUM(CASE WHEN low THEN 1 ELSE 0 END) AS n1, SUM(CASE WHEN low THEN 0 ELSE 1 END) AS n2, SUM(CASE WHEN low THEN rk ELSE 0 END) AS s,
     SUM(CAST(t AS DOUBLE) * t - 1) AS ties FROM rk GROUP BY 1)""",
         select=f"""SELECT celltype, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, {r('s - n1 * (n1 + 1) / 2.0', '"W"')},
-  {r('GREATEST(abs(s - n1 * (n1 + 1) / 2.0 - n1 * n2 / 2.0) - 0.5, 0) / sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1.0))))', 'z')} FROM ag"""),
+  {r('z')}, {r(TAIL, 'p_value')} FROM (SELECT *, GREATEST(abs(s - n1 * (n1 + 1) / 2.0 - n1 * n2 / 2.0) - 0.5, 0)
+    / sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1.0)))) AS z FROM ag)"""),
     "selection_filter": query(CELLS, PICKED, select=f"SELECT cell_id, {r('x')}, {r('y')}, celltype FROM cells WHERE cell_id IN (SELECT cell_id FROM picked)"),
     "landmark_union": query(CELLS, PICKED, """pts AS (SELECT * FROM cells UNION ALL SELECT cell_id, x, y, 'Landmark' FROM cells
   WHERE cell_id IN (SELECT cell_id FROM picked))""", near(), MEAN, select=MATRIX),

@@ -233,6 +233,26 @@ def _rank_sum(s, d) -> DataFrame:
     return rounded(sm.rank_sum(values, ["celltype"]))
 
 
+def _staged(s, d) -> DataFrame:
+    """Regions A... are the early stage, the others the late one; the early one lacks one label, the late one a pair."""
+    matrices = region_matrices(s, d).withColumn("stage", F.when(F.col("sample") < "B", "early").otherwise("late"))
+    gone = (F.col("stage") == "early") & ((F.col("source") == "BUILDING") | (F.col("target") == "BUILDING"))
+    return matrices.where(~gone & ~((F.col("stage") == "late") & (F.col("source") == "MACHINERY") & (F.col("target") == "FURNITURE")))
+
+
+def _stage_drift(s, d) -> DataFrame:
+    means = written(_staged(s, d).groupBy("stage", "source", "target").agg(F.avg("value").alias("value")))
+    return rounded(mx.drift(means.where("stage = 'early'").drop("stage"), means.where("stage = 'late'").drop("stage"))[0])
+
+
+def _label_pairs(s, d) -> DataFrame:
+    return rounded(sm.label_pairs(sm.sample_structure_maps(sampled_cells(s, d), "sample", min_points=100), ["sample"]))
+
+
+def some_genes(spark, folder) -> DataFrame:
+    return genes(spark, folder).where(F.col("gene") < "Brand#3")
+
+
 def _drift(s, d) -> DataFrame:
     matrices = region_matrices(s, d)
     first = matrices.where(F.col("sample") == matrices.agg(F.min("sample")).scalar()).drop("sample")
@@ -329,9 +349,15 @@ QUERIES: dict[str, Query] = {
         structure=detected_map(s, d)).pathway_structuremap),
     "cluster_merge_hit_rate": _cluster_rates,
     "sample_matrices": lambda s, d: rounded(region_matrices(s, d)),
-    "sample_structure_maps": lambda s, d: rounded(sm.sample_structure_maps(sampled_cells(s, d), "sample")),
+    "sample_structure_maps": lambda s, d: rounded(sm.sample_structure_maps(sampled_cells(s, d), "sample", min_points=100)),
     "sample_mean_matrix": lambda s, d: rounded(mx.mean_matrix(region_matrices(s, d), "sample")),
     "sample_drift": _drift,
+    "stage_mean": lambda s, d: rounded(mx.stage_mean(_staged(s, d), "stage")),
+    "stage_drift": _stage_drift,
+    "label_pairs": _label_pairs,
+    "expression_rank_subset": lambda s, d: rounded(ex.ranks(expression(s, d), cells(s, d), some_genes(s, d))),
+    "pathway_activity_rank_subset": lambda s, d: rounded(pw.pathway_activity(
+        expression(s, d), cells(s, d), type_sets(s, d), genes=some_genes(s, d), method="rank_mean")),
     "rank_sum": _rank_sum,
     "selection_filter": lambda s, d: rounded(sm.selected(cells(s, d), _selection(s, d))),
     "landmark_union": lambda s, d: rounded(mx.searcher_findee(sm.with_landmark(cells(s, d), _selection(s, d)))),

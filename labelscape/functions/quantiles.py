@@ -134,7 +134,7 @@ def aggregate_weighted(df: DataFrame, keys: list[str], value: str, weight: str,
     if method == "mean":
         return df.groupBy(*keys).agg(weighted_mean(F.col(value), F.col(weight)).alias(out))
     if method != "weighted_trimmed_mean":
-        raise ValueError("method must be one of: weighted_median, weighted_trimmed_mean, mean")
+        raise ValueError(f"method={method!r} is unknown; use weighted_median, weighted_trimmed_mean or mean")
     df = written(df)
     low = weighted_quantile(df, keys, value, weight, 0.1, out="_low")
     high = weighted_quantile(df, keys, value, weight, 0.9, out="_high")

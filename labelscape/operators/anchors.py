@@ -36,7 +36,7 @@ def resolve_anchors(reference: DataFrame, expression: DataFrame, genes: DataFram
     and the diagonal 0.
     """
     if anchor_mode not in MODES:
-        raise ValueError("anchor_mode must be one of: precomputed, recompute, hybrid")
+        raise ValueError(f"anchor_mode={anchor_mode!r} is unknown; use one of {MODES}")
     genes = genes.select(F.col(genes.columns[0]).cast("string").alias("gene")).distinct()
     labels = reference.select("celltype").distinct()
     if structure is None:

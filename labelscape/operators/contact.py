@@ -26,7 +26,7 @@ def scaled_expression(expression: DataFrame, reference: DataFrame, genes: DataFr
     Cells absent from a gene are left out when their scaled value is 0 and they are not active.
     """
     if isinstance(threshold, str) and threshold != "q75_nonzero":
-        raise ValueError("contact_expr_threshold must be a float or 'q75_nonzero'")
+        raise ValueError(f"threshold {threshold!r} is neither a number nor 'q75_nonzero'")
     cells = reference.agg(F.count("*")).scalar()
     counted = written(zero_completed(expression, genes, cells))
     limits = winsor_limits(counted, ["gene"], "value", upper=upper, freq="n")

@@ -70,14 +70,12 @@ def entity_to_cell(reference: DataFrame, entities: DataFrame, *, x_col: str = "x
                    strategy: str = "auto") -> DataFrame:
     """(entity, celltype, value): cophenetic distance of every entity to every label.
 
-    An entity without points above ``min_weight`` gets NULLs. An entity named like a label shares
-    that label's points.
+    An entity without points above ``min_weight`` gets NULLs. An entity named like a label shares that label's points. Reference points
+    weigh 1: from a ``min_weight`` of 1 on none of them counts, and only an entity's distance to a label of its own name, 0, is left.
     """
     coords = axes(x_col, y_col, z_col)
     require(reference, [*coords, celltype_col], "reference")
     require(entities, [*coords, entity_col, weight_col], "entity points")
-    if min_weight >= 1:
-        raise ValueError("min_weight must be below 1, the weight of every reference point")
     if method not in link.METHODS:
         raise ValueError(f"method must be one of: {', '.join(link.METHODS)}")
     cells = reference.where(F.col(celltype_col).isNotNull()).select(
@@ -86,6 +84,10 @@ def entity_to_cell(reference: DataFrame, entities: DataFrame, *, x_col: str = "x
         *coords, F.col(entity_col).cast("string").alias("entity"), F.col(weight_col).alias("weight"))), "weight")
     everyone = cloud.select("entity").distinct()
     cloud = cloud.where(F.col("weight") > float(min_weight))
+    if min_weight >= 1:
+        every_label = cells.agg(F.sort_array(F.collect_set("celltype"))).scalar()
+        held = cloud.select("entity", F.col("entity").alias("celltype"), F.lit(0.0).alias("value")).distinct()
+        return everyone.select("entity", F.explode(every_label).alias("celltype")).join(held, ["entity", "celltype"], "left")
     namesakes = cells.join(cloud.select(F.col("entity").alias("celltype")).distinct(), "celltype", "left_semi")
     cloud = cloud.unionByName(namesakes.select(*coords, F.col("celltype").alias("entity"), F.lit(1.0).alias("weight")))
 

@@ -57,9 +57,10 @@ def nonzero_ranks(expression: DataFrame, n_genes) -> DataFrame:
 
 
 def ranks(expression: DataFrame, reference: DataFrame, genes: DataFrame) -> DataFrame:
-    """(cell_id, gene, rank) for every cell and every given gene, zeros included."""
-    n_genes = genes.distinct().agg(F.count("*")).scalar()
-    some = nonzero_ranks(expression, n_genes)
+    """(cell_id, gene, rank) for every cell and every given gene, zeros included; other genes do not count."""
+    genes = genes.select("gene").where("gene is not null").distinct()
+    n_genes = genes.agg(F.count("*")).scalar()
+    some = nonzero_ranks(expression.join(genes, "gene", "left_semi"), n_genes)
     zero = some.groupBy("cell_id").agg(F.first("zero_rank").alias("zero_rank"))
     grid = dense(reference, genes, expression).select("cell_id", "gene")
     none = (n_genes + 1) / 2 / n_genes

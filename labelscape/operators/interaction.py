@@ -26,7 +26,7 @@ def standard_pairs(pairs: DataFrame, *, ligand_col: str = "ligand", receptor_col
                    prior_col: str | None = "evidence_weight") -> DataFrame:
     """(pair_id, ligand, receptor, prior_confidence); repeated pairs stay apart."""
     if ligand_col not in pairs.columns or receptor_col not in pairs.columns:
-        raise ValueError(f"pairs must contain {ligand_col!r} and {receptor_col!r}.")
+        raise ValueError(f"no ligand or receptor column ({ligand_col}, {receptor_col}) among {pairs.columns}")
     prior = F.lit(1.0)
     if prior_col is not None and prior_col in pairs.columns:
         prior = number(prior_col)
@@ -120,7 +120,7 @@ def target_consistency(scores: DataFrame, signatures: DataFrame | Mapping, prior
                        signature_gene_col: str = "gene", signature_weight_col: str = "score") -> DataFrame:
     """Scores plus the share of a ligand's prior targets found in the receiver's signature."""
     if not {ligand_col, receiver_col, "LR_score"} <= set(scores.columns):
-        raise ValueError("scores must contain ligand, receiver_celltype, and LR_score columns.")
+        raise ValueError(f"scores lack one of {ligand_col}, {receiver_col}, LR_score; they have {scores.columns}")
     require(prior, [ligand_col, target_col], "prior")
     if isinstance(signatures, Mapping):
         signatures = long_weights(scores.sparkSession, signatures, receiver_col, signature_gene_col, signature_weight_col)

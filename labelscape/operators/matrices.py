@@ -92,7 +92,7 @@ def finite_block(matrix: DataFrame, *, dropna_axis: str = "both") -> DataFrame:
     """Infinite values become NULL; all-NULL rows/columns go by ``dropna_axis``; then any row with a
     NULL, then any column with one."""
     if dropna_axis not in {"rows", "index", "columns", "cols", "both", "none"}:
-        raise ValueError("dropna_axis must be one of: rows, columns, both, none")
+        raise ValueError(f"dropna_axis={dropna_axis!r} is unknown; use rows, columns, both or none")
     clean = written(matrix).withColumn("value", F.when(F.abs("value") < float("inf"), F.col("value")))
     if dropna_axis in {"rows", "index", "both"}:
         kept = clean.groupBy("source").agg(F.count("value").alias("_n")).where("_n > 0")
@@ -115,9 +115,37 @@ def mean_matrix(matrices: DataFrame, sample_col: str, *, strict: bool = True,
     return matrices.groupBy(*keys).agg(mean.alias("value"))
 
 
+def complete(matrix: DataFrame, names: DataFrame, groups: list[str], *, keys: tuple[str, str] = ("source", "target")) -> DataFrame:
+    """Every ordered pair of ``names`` for every group: an absent pair is 1, the diagonal 0. Label-sized."""
+    everyone = names.agg(F.sort_array(F.collect_set("name"))).scalar()
+    base = matrix.select(*groups).distinct() if groups else names.limit(1).select()
+    grid = base.select(*groups, F.explode(everyone).alias(keys[0])).select("*", F.explode(everyone).alias(keys[1]))
+    return grid.join(matrix, [*groups, *keys], "left").withColumn(
+        "value", F.when(F.col(keys[0]) == F.col(keys[1]), 0.0).otherwise(F.coalesce("value", F.lit(1.0)))).select(*groups, *keys, "value")
+
+
+def label_names(matrices: list[DataFrame], keys: tuple[str, str]) -> DataFrame:
+    """Union of both axes of all matrices."""
+    sides = [m.select(F.col(k).alias("name")) for m in matrices for k in keys]
+    out = sides[0]
+    for side in sides[1:]:
+        out = out.union(side)
+    return out.where("name is not null").distinct()
+
+
+def stage_mean(matrices: DataFrame, stage_col: str, *, keys: tuple[str, str] = ("source", "target")) -> DataFrame:
+    """(stage, source, target, value): one matrix per stage, the mean over its samples' entries, on the union of all labels."""
+    mean = matrices.groupBy(stage_col, *keys).agg(F.avg("value").alias("value"))
+    return complete(mean, label_names([matrices], keys), [stage_col], keys=keys)
+
+
 def drift(before: DataFrame, after: DataFrame, *, keys: tuple[str, str] = ("source", "target")) -> tuple[DataFrame, DataFrame]:
-    """Change of every entry (after - before), and the mean absolute change per row."""
-    delta = after.withColumnRenamed("value", "_after").join(
-        before.withColumnRenamed("value", "_before"), list(keys)
-    ).select(*keys, (F.col("_after") - F.col("_before")).alias("delta"))
-    return delta, delta.groupBy(keys[0]).agg(F.avg(F.abs("delta")).alias("mean_abs_delta"))
+    """Change of every entry (after - before, with its size), and the mean size per row.
+
+    Both matrices count on the union of their labels: a pair that one of them lacks is 1 there, the diagonal 0.
+    """
+    names = label_names([before, after], keys)
+    one, other = complete(before, names, [], keys=keys), complete(after, names, [], keys=keys)
+    delta = other.withColumnRenamed("value", "_after").join(one.withColumnRenamed("value", "_before"), list(keys)).select(
+        *keys, (F.col("_after") - F.col("_before")).alias("delta")).withColumn("abs_delta", F.abs("delta"))
+    return delta, delta.groupBy(keys[0]).agg(F.avg("abs_delta").alias("mean_abs_delta"))

@@ -15,14 +15,15 @@ def radius_edges(points: DataFrame, radius: float, *, id_col: str = "cell_id", x
                  y_col: str = "y") -> DataFrame:
     """(id, neighbor, dist) for all ordered pairs of different points at most ``radius`` apart.
 
-    Each point is looked up in the 3x3 ring of cells of side ``radius`` around it, so candidates
-    stay proportional to true neighbours.
+    Each point is looked up in the 3x3 ring of cells around it, so candidates stay proportional to true neighbours. Cells are a
+    little wider than the radius: rounding then cannot put two points that are just so far apart two cells from each other.
     """
     if radius <= 0:
         raise ValueError("radius must be positive")
     own = points.select(F.col(id_col).alias("_id"), F.col(x_col).cast("double").alias("_x"),
                         F.col(y_col).cast("double").alias("_y")).where("_x is not null and _y is not null")
-    cell_x, cell_y = F.floor(F.col("_x") / radius), F.floor(F.col("_y") / radius)
+    side = radius * (1 + 1e-6)
+    cell_x, cell_y = F.floor(F.col("_x") / side), F.floor(F.col("_y") / side)
     near = F.array([F.lit(i) for i in (-1, 0, 1)])
     left = own.withColumn("_dx", F.explode(near)).withColumn("_dy", F.explode(near)).select(
         (cell_x + F.col("_dx")).alias("_cx"), (cell_y + F.col("_dy")).alias("_cy"), "_id", "_x", "_y")

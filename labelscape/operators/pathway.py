@@ -31,17 +31,18 @@ def pathway_activity(expression: DataFrame, reference: DataFrame, pathways: Data
                      method: str = "rank_mean", normalize: bool = True) -> DataFrame:
     """(cell_id, pathway, value) for every cell and pathway.
 
-    ``genes`` lists the genes of the frame (default: those with any value); absent values are 0.
+    ``genes`` lists the genes of the frame, and only those count; absent values are 0. Without it the frame's genes are those of
+    the expression table, a gene with a zero in it included; a gene that has no row at all must be listed.
     Rank methods average the genes' within-cell ranks by absolute weight, sum methods add weighted
     values over the sum of absolute weights. A pathway without a known gene gives 0.
     """
     if method not in RANK_METHODS + SUM_METHODS:
-        raise ValueError("method must be one of: rank_mean, ucell, aucell, weighted_sum, progeny")
+        raise ValueError(f"method={method!r} is unknown; use one of {RANK_METHODS + SUM_METHODS}")
     names = (genes if genes is not None else expression).select("gene").distinct()
     members = pathways.join(names, "gene", "left_semi")
     whole = members.groupBy("pathway").agg(F.sum(F.abs("weight")).alias("_all"))
     if method in RANK_METHODS:
-        ranked = nonzero_ranks(expression, names.agg(F.count("*")).scalar())
+        ranked = nonzero_ranks(expression.join(names, "gene", "left_semi"), names.agg(F.count("*")).scalar())
         none = names.agg((F.count("*") + 1) / 2 / F.count("*")).scalar()
         zero = ranked.groupBy("cell_id").agg(F.first("zero_rank").alias("_zero"))
         lift = F.abs("weight") * (F.col("rank") - F.col("zero_rank"))

@@ -7,13 +7,14 @@ format (barcodes, features, matrix) and read that.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from pathlib import Path
+import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelscape.operators.expression import normalize_log_scale
-from labelscape.operators.samples import map_clusters
+from labelscape.operators.samples import map_clusters, single_labels
+from labelscape.sources import files
 from labelscape.sources.points import first_present, require, wide_to_long
 
 # Column names and patterns of the file formats read here.
@@ -44,16 +45,8 @@ class CellBundle:
     raw: DataFrame | None = None
 
 
-def bundle_path(folder: str, explicit: str | None, pattern: str) -> str:
-    """The explicit path, or the single file matching the pattern."""
-    if explicit is not None:
-        return str(explicit)
-    found = sorted(Path(folder).glob(pattern))
-    if not found:
-        raise FileNotFoundError(f"no file matching {pattern!r} under {folder}")
-    if len(found) > 1:
-        raise FileExistsError(f"one file matching {pattern!r} expected under {folder}, found {[p.name for p in found[:5]]}")
-    return str(found[0])
+def bundle_path(spark: SparkSession, folder: str, given: str | None, pattern: str) -> str:
+    return files.only(spark, folder, pattern) if given is None else str(given)
 
 
 def coerce_cells(cells: DataFrame, *, cluster_col: str | None = None, cell_id_col: str = "cell_id") -> DataFrame:
@@ -76,7 +69,7 @@ def read_text_matrix(spark: SparkSession, folder: str, *, gene_expression_only:
     The matrix names cells and genes by line number of the two name lists.
     """
     def lines(name: str) -> DataFrame:
-        return numbered_lines(spark.read.text(bundle_path(folder, None, f"{name}*")))
+        return numbered_lines(spark.read.text(bundle_path(spark, folder, None, f"{name}*")))
 
     cells = lines("barcodes").select(F.col("line").alias("_c"), F.split("value", "\t")[0].alias("cell_id"))
     parts = F.split("value", "\t")
@@ -84,7 +77,7 @@ def read_text_matrix(spark: SparkSession, folder: str, *, gene_expression_only:
                                      F.get(parts, F.lit(2)).alias("kind"))
     if gene_expression_only:
         genes = genes.where(F.col("kind").isNull() | (F.col("kind") == "Gene Expression"))
-    matrix = spark.read.text(bundle_path(folder, None, "matrix*")).where(~F.col("value").startswith("%"))
+    matrix = spark.read.text(bundle_path(spark, folder, None, "matrix*")).where(~F.col("value").startswith("%"))
     entry = F.split(F.trim("value"), r"\s+")
     # the first line after the comments only holds the sizes
     entries = numbered_lines(matrix).where("line > 1").select(
@@ -108,7 +101,7 @@ def read_expression(spark: SparkSession, path: str) -> DataFrame:
     """(cell_id, gene, value): a long parquet table or a text-matrix folder."""
     if path.endswith(".h5"):
         raise NotImplementedError("HDF5 has no Spark reader; convert it to parquet or a text matrix first")
-    if Path(path).is_dir() and list(Path(path).glob("matrix*")):
+    if files.listed(spark, path, "matrix*"):
         return read_text_matrix(spark, path)
     return spark.read.parquet(path).select(F.col("cell_id").cast("string"), F.col("gene").cast("string"),
                                            F.col("value").cast("double"))
@@ -118,20 +111,20 @@ def load_table_bundle(spark: SparkSession, folder: str, *, cells_path: str | Non
                       cell_groups_path: str | None = None, feature_matrix_path: str | None = None,
                       normalize: bool = False, cluster_col: str = "Clusters", cell_id_col: str = "Barcode") -> CellBundle:
     """Cells joined with their group file, and the expression matrix."""
-    cells = spark.read.parquet(bundle_path(folder, cells_path, "cells.parquet"))
-    groups = spark.read.csv(bundle_path(folder, cell_groups_path, "*_cell_groups.csv"), header=True)
+    cells = spark.read.parquet(bundle_path(spark, folder, cells_path, "cells.parquet"))
+    groups = spark.read.csv(bundle_path(spark, folder, cell_groups_path, "*_cell_groups.csv"), header=True)
     require(groups, [cell_id_col, cluster_col], "cell groups")
     own_id = cell_id_col if cell_id_col in cells.columns else "cell_id"
-    groups = groups.groupBy(F.col(cell_id_col).cast("string").alias("_id")).agg(F.min(cluster_col).alias(cluster_col))
+    groups = single_labels(groups, cell_id_col, cluster_col, cluster_col)
     joined = cells.drop(cluster_col).join(groups, F.col(own_id).cast("string") == F.col("_id"), "left").drop("_id")
-    matrix = bundle_path(folder, feature_matrix_path, "cell_feature_matrix*")
+    matrix = bundle_path(spark, folder, feature_matrix_path, "cell_feature_matrix*")
     return _bundle(coerce_cells(joined, cluster_col=cluster_col, cell_id_col=own_id), read_expression(spark, matrix), normalize)
 
 
 def load_cells(spark: SparkSession, folder: str, *, normalize: bool = True) -> CellBundle:
     """Cells with any cluster column they carry, and the expression matrix."""
     cells = coerce_cells(spark.read.parquet(f"{folder}/cells.parquet"), cluster_col="cluster")
-    return _bundle(cells, read_expression(spark, bundle_path(folder, None, "cell_feature_matrix*")), normalize)
+    return _bundle(cells, read_expression(spark, bundle_path(spark, folder, None, "cell_feature_matrix*")), normalize)
 
 
 def _bundle(cells: DataFrame, expression: DataFrame, normalize: bool) -> CellBundle:
@@ -164,10 +157,10 @@ def transcript_points(coords: DataFrame, *, min_quality: float | None = None) ->
 
 
 def load_transcripts(spark: SparkSession, folder: str, **options) -> DataFrame:
-    path = Path(folder) / "transcripts.parquet"
-    if not path.exists():
-        raise ValueError(f"no transcripts.parquet under {folder}")
-    return transcript_points(spark.read.parquet(str(path)), **options)
+    path = f"{folder}/transcripts.parquet"
+    if not files.exists(spark, path):
+        raise ValueError(f"{path} is absent")
+    return transcript_points(spark.read.parquet(path), **options)
 
 
 def location_columns(df: DataFrame) -> DataFrame:
@@ -181,35 +174,52 @@ def location_columns(df: DataFrame) -> DataFrame:
     return df
 
 
+#: What the clustering folders are called, and what their columns are called.
+CLUSTER_FOLDERS = (
+    (r".*graphclust.*", "xoa_graphclust"), (r"(?:.*_)?kmeans.*?_(\d+)(?:_.*)?", r"xoa_kmeans_\1"), (r".*kmeans.*", "xoa_kmeans"),
+    (r"(?:gene_expression_)?(.*?)(?:_clusters)?", r"xoa_\1"),
+)
+
+
 def cluster_column(directory: str) -> str:
-    """Column name for the clusters.csv of one clustering folder."""
+    """Column name for the clusters.csv of one clustering folder: the first rule that fits its name."""
     name = directory.lower()
-    if "graphclust" in name:
-        return "xoa_graphclust"
-    if "kmeans" in name:
-        number = next((part for part in name.split("_") if part.isdigit()), None)
-        return f"xoa_kmeans_{number}" if number else "xoa_kmeans"
-    return "xoa_" + name.replace("gene_expression_", "").replace("_clusters", "")
+    return next(re.sub(f"^{rule}$", column, name) for rule, column in CLUSTER_FOLDERS if re.fullmatch(rule, name))
 
 
 def merge_clusters(cells: DataFrame, folder: str, *, clustering_root: str = "analysis/clustering", id_col: str = "cell_id",
-                   barcode_col: str = "Barcode", cluster_col: str = "Cluster") -> tuple[DataFrame, list[str], DataFrame]:
-    """Every clusters.csv below the root as a column: (cells, new columns, hit rates)."""
-    files = sorted((Path(folder) / clustering_root).glob("**/clusters.csv"))
-    if not files:
-        raise FileNotFoundError(f"No clusters.csv under {folder}/{clustering_root}")
-    spark = cells.sparkSession
-    tables = {cluster_column(f.parent.name): spark.read.csv(str(f), header=True) for f in files}
-    merged, rates = map_clusters(cells, tables, id_col=id_col, barcode_col=barcode_col, cluster_col=cluster_col)
-    return merged, list(tables), rates
+                   barcode_col: str = "Barcode", cluster_col: str = "Cluster",
+                   label_ids: DataFrame | None = None) -> tuple[DataFrame, list[str], DataFrame]:
+    """Every clusters.csv below the root as a column: (cells, new columns, hit rates).
 
-
-def read_spot_bundle(spark: SparkSession, base: str, *, use_filtered: bool = True) -> CellBundle:
-    """Spot positions and counts; positions go under standard names, absent ones become 0."""
-    path = Path(base) / "spatial" / "tissue_positions.parquet"
-    if not path.exists():
-        raise FileNotFoundError(f"{path} does not exist")
-    spots = spark.read.parquet(str(path))
+    ``label_ids`` (label_id, cell_id) is for cells known by a number, as segmentation masks have them: ``id_col`` then holds label
+    ids, whole numbers that may have become text like "12.0", and the table leads to the barcodes.
+    """
+    spark = cells.sparkSession
+    found = files.below(spark, f"{folder}/{clustering_root}", "clusters.csv")
+    if not found:
+        raise FileNotFoundError(f"{folder}/{clustering_root} holds no clusters.csv")
+    tables = {cluster_column(f.split("/")[-2]): spark.read.csv(f, header=True) for f in found}
+    own = id_col
+    if label_ids is not None:
+        own = "_barcode"
+        lookup = single_labels(label_ids.select(whole_number("label_id").alias("label_id"), "cell_id"), "label_id", "cell_id", own)
+        cells = cells.join(lookup, whole_number(id_col) == F.col("_id"), "left").drop("_id")
+    merged, rates = map_clusters(cells, tables, id_col=own, barcode_col=barcode_col, cluster_col=cluster_col)
+    return merged.drop("_barcode"), list(tables), rates
+
+
+def whole_number(column: str) -> F.Column:
+    """Text of an id without a trailing ``.0``."""
+    return F.regexp_replace(F.trim(F.col(column).cast("string")), r"\.0+$", "")
+
+
+def read_spot_bundle(spark: SparkSession, base: str, *, use_filtered: bool = True, counts: bool = True) -> CellBundle:
+    """Spot positions and counts; positions go under standard names, absent ones become 0. ``counts=False`` reads positions only."""
+    path = f"{base}/spatial/tissue_positions.parquet"
+    if not files.exists(spark, path):
+        raise FileNotFoundError(f"{path} is absent")
+    spots = spark.read.parquet(path)
     require(spots, ["barcode"], "positions")
     for name, others in POSITION_COLUMNS.items():
         found = name if name in spots.columns else first_present(spots, list(others))
@@ -217,9 +227,13 @@ def read_spot_bundle(spark: SparkSession, base: str, *, use_filtered: bool = Tru
     spots = spots.select(F.col("barcode").cast("string").alias("cell_id"), *POSITION_COLUMNS).withColumns({
         "x": F.col("pxl_col_in_fullres").cast("double"), "y": F.col("pxl_row_in_fullres").cast("double")})
     kind = "filtered" if use_filtered else "raw"
-    found = sorted(Path(base).glob(f"{kind}_feature_bc_matrix*"))
-    usable = [p for p in found if p.suffix != ".h5"]
-    expression = read_expression(spark, str(usable[0])) if usable else None
+    expression = None
+    if counts:
+        found = files.listed(spark, base, f"{kind}_feature_bc_matrix*")
+        if not found:
+            raise FileNotFoundError(f"nothing at {base}/{kind}_feature_bc_matrix*")
+        # an HDF5 file alone is an error that read_expression states
+        expression = read_expression(spark, next((p for p in found if not p.endswith(".h5")), found[0]))
     return CellBundle(cells=spots, expression=expression, raw=expression)
 
 
@@ -240,12 +254,12 @@ def read_matrix_csv(spark: SparkSession, path: str, *, row: str = "row", column:
 
 def precomputed_tables(spark: SparkSession, path: str) -> tuple[DataFrame | None, DataFrame | None]:
     """(gene topology, structure map) from a result file or folder, first match by name each."""
-    base = Path(path)
+    is_file = path.endswith(".csv") and not files.listed(spark, path, "*")
+    folder = path.rpartition("/")[0] or "." if is_file else path
 
-    def pick(folder: Path, patterns) -> Path | None:
-        return next((found[0] for p in patterns if (found := sorted(folder.glob(p)))), None)
+    def pick(patterns) -> str | None:
+        return next((found[0] for p in patterns if (found := files.listed(spark, folder, p))), None)
 
-    topology = base if base.is_file() else pick(base, TOPOLOGY_FILES)
-    structure = pick(base.parent if base.is_file() else base, STRUCTURE_FILES)
-    return (read_matrix_csv(spark, str(topology), row="gene", column="celltype") if topology else None,
-            read_matrix_csv(spark, str(structure)) if structure else None)
+    topology, structure = path if is_file else pick(TOPOLOGY_FILES), pick(STRUCTURE_FILES)
+    return (read_matrix_csv(spark, topology, row="gene", column="celltype") if topology else None,
+            read_matrix_csv(spark, structure) if structure else None)

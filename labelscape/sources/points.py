@@ -19,6 +19,12 @@ def require(df: DataFrame, columns: list[str], what: str = "Input DataFrame") ->
         raise ValueError(f"{what} is missing required columns: {missing}")
 
 
+def one_of(what: str, value: str, allowed) -> None:
+    """Stop if an option has a value that is not known."""
+    if value not in allowed:
+        raise ValueError(f"{what}={value!r} is unknown; use one of {tuple(allowed)}")
+
+
 def first_present(df: DataFrame, candidates: list[str]) -> str | None:
     return next((c for c in candidates if c in df.columns), None)
 
@@ -31,7 +37,7 @@ def coerce_reference(df: DataFrame, *, cell_id_col: str = "cell_id", x_col: str
     a distributed table have no order of their own.
     """
     if celltype_col not in df.columns:
-        raise ValueError(f"reference must contain {celltype_col!r}.")
+        raise ValueError(f"the reference has no label column {celltype_col}; it has {df.columns}")
     require(df, [x_col, y_col], "reference")
     if cell_id_col not in df.columns:
         if order_col is None:

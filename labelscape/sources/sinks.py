@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_COLUMNS = 20_000
+#: Columns of a wide file; more labels make several files.
+COLUMNS = 5_000
 
 
 def write_table(df: DataFrame, path: str, *, mode: str = "overwrite") -> str:
@@ -19,13 +20,27 @@ def write_table(df: DataFrame, path: str, *, mode: str = "overwrite") -> str:
 
 def wide(matrix: DataFrame, row: str, column: str, *, value: str = "value", fill: float | None = None) -> DataFrame:
     """One row per label; the labels of the other axis, a dictionary-sized list, become columns."""
-    names = [r[0] for r in matrix.select(column).distinct().orderBy(column).limit(MAX_COLUMNS + 1).collect()]
-    if len(names) > MAX_COLUMNS:
-        raise ValueError(f"more than {MAX_COLUMNS} columns; keep the long form")
+    return _wide(matrix, row, column, _names(matrix, column), value, fill)
+
+
+def _names(matrix: DataFrame, column: str) -> list:
+    return [r[0] for r in matrix.select(column).distinct().orderBy(column).toLocalIterator()]
+
+
+def _wide(matrix: DataFrame, row: str, column: str, names: list, value: str, fill: float | None) -> DataFrame:
     out = matrix.groupBy(row).pivot(column, names).agg(F.max(value)).orderBy(row)
     return out if fill is None else out.fillna(fill)
 
 
 def write_matrix_csv(matrix: DataFrame, path: str, row: str, column: str, *, value: str = "value",
                      fill: float | None = None) -> str:
-    return write_table(wide(matrix, row, column, value=value, fill=fill), path)
+    """One wide file; with more than COLUMNS labels a folder of files ``columns_0``, ``columns_1``, ... that share the row labels."""
+    names = _names(matrix, column)
+    if len(names) <= COLUMNS:
+        return write_table(_wide(matrix, row, column, names, value, fill), path)
+    rows = matrix.select(row).distinct()
+    for i in range(0, len(names), COLUMNS):
+        some = names[i:i + COLUMNS]
+        block = rows.join(_wide(matrix.where(F.col(column).isin(some)), row, column, some, value, None), row, "left").orderBy(row)
+        write_table(block if fill is None else block.fillna(fill), f"{path}/columns_{i // COLUMNS}")
+    return path

@@ -215,8 +215,9 @@ def test_entities_match_full_recomputation(spark, cells):
             if label in LABELS:
                 assert got[name, label] == pytest.approx(v, abs=1e-12)
     assert got["empty", "Sender"] is None and len(got) == 9
-    with pytest.raises(ValueError, match="min_weight"):
-        entity.entity_to_cell(cells, points, min_weight=1.0)
+    heavy = points.withColumn("weight", F.lit(2.0)).unionByName(spark.createDataFrame([("Rare", 0.0, 0.0, 2.0)], points.schema))
+    got = {(r.entity, r.celltype): r.value for r in entity.entity_to_cell(cells, heavy, min_weight=1.0).collect()}
+    assert len(got) == 9 and {k for k, v in got.items() if v is not None} == {("Rare", "Rare")} and got["Rare", "Rare"] == 0
 
 
 def test_transcripts_skip_own_label_and_silent_genes(spark, cells):

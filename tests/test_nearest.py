@@ -101,17 +101,20 @@ def test_missing_labels_and_coordinates_are_ignored(spark):
         (1, "a"): 0, (1, "b"): 3, (4, "a"): 3, (4, "b"): 0}
 
 
-def test_broadcast_is_refused_beyond_its_bound(spark):
+def test_beyond_its_bound_broadcast_gives_way(spark):
     df, axes = frame(spark, *cloud(60))
-    assert nn.nearest_per_label(df, df, axes, "label", broadcast_rows=5).count() == 60 * df.select("label").distinct().count()
-    with pytest.raises(ValueError):
-        nn.k_nearest(df, axes, "id", 2, strategy="broadcast", broadcast_rows=5)
+    assert nn.nearest_per_label(df, df, axes, "label", strategy="broadcast", broadcast_rows=5).count() == 60 * df.select("label").distinct().count()
+    few = {tuple(r) for r in nn.k_nearest(df, axes, "id", 2, strategy="broadcast", broadcast_rows=5).collect()}
+    assert few == {tuple(r) for r in nn.k_nearest(df, axes, "id", 2).collect()} and len(few) == 120
 
 
 def test_radius_is_inclusive_and_skips_self(spark):
     df = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.0, 0.0), (3, 1.0, 0.0), (4, 2.5, 0.0)], "cell_id long, x double, y double")
     got = {(r.cell_id, r.neighbor) for r in radius_edges(df, 1.0).collect()}
     assert got == {(1, 2), (2, 1), (1, 3), (3, 1), (2, 3), (3, 2)}
+    # just so far apart, although rounding puts the points near the edges of cells of that side
+    edge = spark.createDataFrame([(1, 0.24999999999999997, 0.0), (2, 0.5, 0.0)], "cell_id long, x double, y double")
+    assert {(r.cell_id, r.neighbor) for r in radius_edges(edge, 0.25).collect()} == {(1, 2), (2, 1)}
 
 
 def test_smoothing_counts_absent_values_as_zero(spark):

@@ -1,6 +1,7 @@
 """Loaders on small files, sinks, figures' data steps and streaming sums."""
 
 import gzip
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from labelscape.operators import samples, synthetic
 from labelscape.operators.matrices import searcher_findee
 from labelscape.render import figures
-from labelscape.sources import bundles, points
+from labelscape.sources import bundles, points, sinks
 from labelscape.sources.sinks import write_matrix_csv, write_table
 from labelscape.streaming.accumulate import accumulate, accumulated
 
@@ -36,8 +37,8 @@ def test_table_bundle(spark, tmp_path):
     with pytest.raises(FileExistsError):
         bundles.load_table_bundle(spark, str(tmp_path))
     with pytest.raises(FileNotFoundError):
-        bundles.bundle_path(str(tmp_path), None, "absent*")
-    assert bundles.bundle_path(str(tmp_path), "given", "absent*") == "given"
+        bundles.bundle_path(spark, str(tmp_path), None, "absent*")
+    assert bundles.bundle_path(spark, str(tmp_path), "given", "absent*") == "given"
     with pytest.raises(NotImplementedError):
         bundles.read_expression(spark, "matrix.h5")
 
@@ -88,7 +89,12 @@ def test_spot_positions(spark, tmp_path):
     (tmp_path / "spatial").mkdir()
     spark.createDataFrame([("b1", 3, 4, 1.5)], "barcode string, row int, col int, pxl_x double").toPandas().to_parquet(
         tmp_path / "spatial/tissue_positions.parquet")
-    row = bundles.read_spot_bundle(spark, str(tmp_path)).cells.first()
+    with pytest.raises(FileNotFoundError):
+        bundles.read_spot_bundle(spark, str(tmp_path))
+    (tmp_path / "filtered_feature_bc_matrix.h5").write_bytes(b"")
+    with pytest.raises(NotImplementedError):
+        bundles.read_spot_bundle(spark, str(tmp_path))
+    row = bundles.read_spot_bundle(spark, str(tmp_path), counts=False).cells.first()
     assert (row.array_row, row.array_col, row.x, row.y, row.in_tissue) == (3, 4, 1.5, 0.0, 0)
 
 
@@ -127,8 +133,76 @@ def test_reference_and_expression_coercion(spark):
 def test_rank_sum_by_hand(spark):
     df = spark.createDataFrame([("k", "a", 1.0), ("k", "a", 2.0), ("k", "b", 3.0), ("k", "b", 4.0), ("l", "a", 1.0), ("l", "b", 2.0)],
                                "key string, outcome string, value double")
-    row, = samples.rank_sum(df, ["key"]).collect()
-    assert (row.key, row.W) == ("k", 0.0) and row.z == pytest.approx(1.5 / (4 * 5 / 12) ** 0.5)
+    rows = {r.key: r for r in samples.rank_sum(df, ["key"]).collect()}
+    z = 1.5 / (4 * 5 / 12) ** 0.5
+    assert rows["k"].W == 0.0 and rows["k"].z == pytest.approx(z)
+    assert rows["k"].p_value == pytest.approx(math.erfc(z / 2**0.5), rel=1e-12)
+    assert (rows["l"].n1, rows["l"].n2, rows["l"].W, rows["l"].z, rows["l"].p_value) == (1, 1, 0.0, None, None)
+
+
+def test_rank_sum_with_one_key_of_nearly_all_rows(spark):
+    df = spark.range(6000).select(
+        F.when(F.col("id") < 5900, "hot").otherwise("cold").alias("key"), (F.col("id") % 2).alias("arm"),
+        F.when(F.col("id") % 3 == 0, "u").otherwise("v").alias("outcome"), F.floor(F.pow(F.col("id") % 97, F.lit(2)) / 3).alias("value"))
+    got = {(r.key, r.arm): r for r in samples.rank_sum(df, ["key", "arm"]).collect()}
+    frame = df.toPandas()
+    for (key, arm), part in frame.groupby(["key", "arm"]):
+        rank = part.value.rank()
+        own = part.outcome == "u"
+        n1, n2, n = own.sum(), (~own).sum(), len(part)
+        w = rank[own].sum() - n1 * (n1 + 1) / 2
+        ties = (part.value.value_counts() ** 3 - part.value.value_counts()).sum()
+        z = (abs(w - n1 * n2 / 2) - 0.5) / (n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1)))) ** 0.5
+        assert (got[key, arm].W, got[key, arm].z) == (w, pytest.approx(z))
+        assert got[key, arm].p_value == pytest.approx(math.erfc(z / 2**0.5), abs=1e-13)
+
+
+def test_samples_named_by_two_columns(spark):
+    rows = [(p, f, float(i), 0.0, "AB"[i % 2]) for p in ("p1", "p2") for f in (1, 2) for i in range(4 + f)]
+    df = spark.createDataFrame(rows, "patient string, phase int, x double, y double, celltype string")
+    both = {(r.patient, r.phase, r.source, r.target): r.value for r in samples.sample_matrices(df, ["patient", "phase"]).collect()}
+    one = {(r.source, r.target): r.value for r in searcher_findee(df.where("patient = 'p2' and phase = 1")).collect()}
+    assert len(both) == 16 and {k[2:]: v for k, v in both.items() if k[:2] == ("p2", 1)} == one
+    kept = samples.sample_sizes(df, ["patient", "phase"], min_points=6).collect()
+    assert {(r.patient, r.phase): (r.n_points, r.kept) for r in kept} == {
+        (p, f): (4 + f, f == 2) for p in ("p1", "p2") for f in (1, 2)}
+
+
+def test_repeated_barcodes_are_reported(spark):
+    cells = spark.createDataFrame([("c1",), ("c2",)], "cell_id string")
+    twice = spark.createDataFrame([("c1", "1"), ("c1", "2")], "Barcode string, Cluster string")
+    with pytest.raises(ValueError, match="c1"):
+        samples.map_clusters(cells, {"k": twice})
+    same = spark.createDataFrame([("c1", "1"), ("c1", "1")], "BARCODE string, cluster string")
+    assert {r.cell_id: r.k for r in samples.map_clusters(cells, {"k": same})[0].collect()} == {"c1": "1", "c2": None}
+
+
+def test_clusters_by_label_id(spark, tmp_path):
+    where = tmp_path / "analysis/clustering/graphclust"
+    where.mkdir(parents=True)
+    (where / "clusters.csv").write_text("Barcode,Cluster\nb7,1\n")
+    masks = spark.createDataFrame([("7.0",), ("8.0",)], "cell_id string")
+    lookup = spark.createDataFrame([(7, "b7"), (8, "b8")], "label_id int, cell_id string")
+    merged, columns, _ = bundles.merge_clusters(masks, f"file:{tmp_path}", label_ids=lookup)
+    assert {r.cell_id: r.xoa_graphclust for r in merged.collect()} == {"7.0": "1", "8.0": None}
+
+
+def test_loaders_take_any_address(spark, tmp_path):
+    folder = f"file:{bundle(spark, tmp_path)}"
+    assert bundles.load_table_bundle(spark, folder).cells.count() == 2 and bundles.load_cells(spark, folder).raw.count() == 3
+    spark.createDataFrame([(0.0, 1.0, "G1")], "x double, y double, gene_name string").toPandas().to_parquet(tmp_path / "transcripts.parquet")
+    assert bundles.load_transcripts(spark, folder).count() == 1
+    (tmp_path / "t_and_c_result_a.csv").write_text(",A\ng1,0.1\n")
+    assert bundles.precomputed_tables(spark, folder)[0].count() == 1
+
+
+def test_more_labels_than_columns(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "COLUMNS", 3)
+    df = spark.createDataFrame([(f"r{i % 2}", f"c{i}", float(i)) for i in range(8)], "row string, col string, value double")
+    path = sinks.write_matrix_csv(df, str(tmp_path / "wide.csv"), "row", "col")
+    parts = [spark.read.csv(f"{path}/columns_{i}", header=True) for i in range(3)]
+    assert [p.columns for p in parts] == [["row", "c0", "c1", "c2"], ["row", "c3", "c4", "c5"], ["row", "c6", "c7"]]
+    assert all(p.count() == 2 for p in parts)
 
 
 def test_streamed_sums_equal_the_batch_matrix(spark, tmp_path):

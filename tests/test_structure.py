@@ -158,7 +158,20 @@ def test_strict_mean_over_samples(spark):
     assert {r.target: r.value for r in mx.mean_matrix(df, "sample", strict=False).collect()} == {"B": 3.0, "C": 7.0}
 
 
-def test_batch_size_is_clamped(monkeypatch):
-    assert api.pick_batch_size(10) == 10
-    monkeypatch.setenv("BATCH_SIZE_OVERRIDE", "70000")
-    assert api.pick_batch_size(10**9) == 70000
+def test_drift_on_the_union_of_labels(spark):
+    kinds = "source string, target string, value double"
+    before = points(spark, [("A", "B", 0.2), ("B", "A", 0.4), ("A", "A", 5.0)], kinds)
+    after = points(spark, [("A", "B", 0.5), ("C", "A", 0.3)], kinds)
+    delta, score = mx.drift(before, after)
+    want = {("A", "B"): 0.3, ("B", "A"): 0.6, ("C", "A"): -0.7}
+    got = {(r.source, r.target): r.delta for r in delta.collect()}
+    assert len(got) == 9 and all(got[k] == pytest.approx(want.get(k, 0.0)) for k in got)
+    assert {r.source: r.mean_abs_delta for r in score.collect()} == pytest.approx({"A": 0.1, "B": 0.2, "C": 0.7 / 3})
+
+
+def test_stage_means(spark):
+    rows = [("s", "A", "B", 0.2), ("s", "A", "B", 0.4), ("t", "C", "A", 0.5)]
+    got = mx.stage_mean(points(spark, rows, "stage string, source string, target string, value double"), "stage")
+    values = {(r.stage, r.source, r.target): r.value for r in got.collect()}
+    assert len(values) == 18 and values["s", "A", "B"] == pytest.approx(0.3) and values["t", "C", "A"] == 0.5
+    assert values["t", "A", "B"] == 1 and values["s", "B", "B"] == 0
