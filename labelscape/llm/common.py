@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from labelscape.session import written
 
-__all__ = ["input_bytes", "rows_of", "spread", "table", "written"]
+__all__ = ["having", "input_bytes", "lacking", "make_room", "rows_of", "spread", "table", "written"]
+
+#: Bits of the filter that ``having`` and ``lacking`` hand to every task, whatever the number of keys.
+FILTER_BITS = 1 << 24
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,3 +35,44 @@ def rows_of(batches: Iterable[pa.RecordBatch], size: int = 64) -> Iterator[pa.Re
     for batch in batches:
         for start in range(0, batch.num_rows, size):
             yield batch.slice(start, size)
+
+
+_rooms: dict[str, Callable[[], None]] = {}
+
+
+def make_room(name: str, empty: Callable[[], None]) -> None:
+    """Called by an operator that keeps a cache in its worker: those of other operators, which the worker served before, are emptied."""
+    for other, clear in _rooms.items():
+        if other != name:
+            clear()
+    _rooms[name] = empty
+
+
+def among(keys: DataFrame, key: str) -> Callable[[Column], Column]:
+    """A test that holds for all ``keys`` and few others: a bit for each hash, in a bitmap of FILTER_BITS, kept in pieces of 4 KB."""
+    piece = 8 * 4096
+
+    def place(column: Column) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+
+    bitmap = written(keys.select(place(F.col(key)).alias("at")).groupBy(F.floor(F.col("at") / piece).alias("piece")).agg(
+        F.bitmap_construct_agg(F.col("at") % piece).alias("bits")))
+    held = bitmap.agg(F.map_from_entries(F.collect_list(F.struct("piece", "bits")))).scalar()
+
+    def test(column: Column) -> Column:
+        at = place(column)
+        byte = F.conv(F.hex(F.substring(F.try_element_at(held, F.floor(at / piece)), (F.floor(at % piece / 8) + 1).cast("int"), F.lit(1))), 16, 10)
+        return F.coalesce(byte.cast("int").bitwiseAND(F.pow(F.lit(2), (at % 8).cast("int")).cast("int")) != 0, F.lit(False))
+
+    return test
+
+
+def having(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is among ``keys``; most of the others are told by a filter and never shuffled."""
+    return df.where(F.col(key).isNotNull() & among(keys, key)(F.col(key))).join(keys, key, "left_semi")
+
+
+def lacking(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is not among ``keys`` or null; most are told by a filter and never shuffled."""
+    maybe = F.col(key).isNotNull() & among(keys, key)(F.col(key))
+    return df.where(~maybe).unionByName(df.where(maybe).join(keys, key, "left_anti"))
