@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -17,15 +18,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelscape.llm.common import rows_of, written
+from labelscape.llm.common import make_room, rows_of, written
 
 END = 1
-#: Entries of a worker's cache of encoded words; beyond, it starts anew.
-CACHE = 300_000
+#: Entries of a worker's cache of encoded words.
+CACHE = 800_000
+
+
+#: A stop or comma next to another mark, with which it may form one token.
+MARKS = re.compile(r"(?:[^\w \n]|_)[.,]|[.,](?:[^\w \n]|_)")
 
 
 class WordEncoder:
-    """Encodes text word by word: white space always separates tokens in this kind of vocabulary."""
+    """Encodes text word by word. This kind of vocabulary takes lower case, and white space always separates its tokens, so words
+    can be brought to few forms before they are looked up."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -36,18 +42,33 @@ class WordEncoder:
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
+        if "\u03a3" not in text and "\u0130" not in text:  # whose lower case depends on its place, or is two characters
+            text = text.lower()
+            if not MARKS.search(text):  # then every stop and comma is a token of its own
+                text = text.replace(".", " . ").replace(",", " , ")
         words = text.replace("\n", " ").split(" ")
         known = self.known
-        new = list(set(words).difference(known))
+        new = set(words).difference(known)
         if new:
             if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list(set(words))
-            for word, encoding in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[word] = np.array(encoding.ids, "<u4").tobytes()
+                self.forget()
+                new = set(words).difference(known)
+            self.learn(new)
         return b"".join(map(known.__getitem__, words))
 
 
+    def learn(self, new: set[str]) -> None:
+        words = list(new)
+        for word, encoding in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
+            self.known[word] = np.array(encoding.ids, "<u4").tobytes()
+
+    def forget(self) -> None:
+        """Make room; short words are the ones that come again."""
+        kept = {word: ids for word, ids in self.known.items() if len(word) <= 7}
+        self.known.clear()
+        self.known.update(kept if len(kept) < CACHE // 2 else {})
+
+
 @lru_cache(maxsize=2)
 def encoder_of(path: str) -> WordEncoder:
     """One per worker process, so that what it has seen serves later tasks too."""
@@ -66,6 +87,7 @@ def cut(df: DataFrame, path: str, *, size: int = 2048, end: int = END, key: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, last = encoder_of(path), np.array([end], "<u4").tobytes()
+        make_room("packing", encoder.known.clear)
         for batch in rows_of(batches):
             source, start, length, crc, total = [], [], [], [], []
             for i, value in enumerate(batch.column(1)):
