@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelscape.llm.common import rows_of
+from labelscape.llm.common import make_room, rows_of
 
 SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)|\n+")
 #: single letters held apart by blanks or marks, as in "i d i o t" or "i.d.i.o.t"
@@ -31,7 +31,7 @@ SIGNS = str.maketrans(dict.fromkeys("*-_.,;:!?'\"()[]{}<>/\\|~^+=#%&`", "") | {
     "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
 #: Longer words are seen through overlapping windows of this many letters.
 LONGEST = 20
-CACHE = 500_000
+CACHE = 600_000
 
 
 @dataclass(frozen=True)
@@ -42,7 +42,7 @@ class Settings:
     order: int = 4
     decay: float = 0.6
     landmarks: int = 96
-    sample: int = 3_000
+    sample: int = 5_000
     letters: int = 3_000  # of each sampled document's sentences, whole sentences
     rounds: int = 2
     telling: float = 3.0
@@ -75,66 +75,66 @@ class Subsequences:
 
     def __init__(self, order: int, decay: float, alphabet: str):
         self.order, self.decay = order, decay
-        self.letters = np.array(sorted(set(map(ord, alphabet))), np.int64)
-        self.base = len(self.letters) + 1  # 0 is any other letter
+        self.letters = np.array(sorted(set(map(ord, alphabet))), np.uint32)
+        self.base = len(self.letters) + 1  # 0 is any other letter; no feature of the landmarks has one
         self.offsets = np.cumsum([0] + [self.base ** r for r in range(1, order + 1)])
         self.size = int(self.offsets[-1])
-        self._places: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self._places: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
 
-    def places(self, length: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For 1 to ``order`` letters: the positions, and decay to the power of the span."""
+    def places(self, length: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For 1 to ``order`` letters: which shorter subsequence is continued, by which position, and decay to the power of the span."""
         if length not in self._places:
-            rows = []
+            rows, before = [], {(): 0}
             for r in range(1, self.order + 1):
-                at = np.array(list(combinations(range(length), r)), np.int64).reshape(-1, r)
-                rows.append((at, (self.decay ** (at[:, -1] - at[:, 0] + 1.0)).astype(np.float32) if len(at) else np.zeros(0, np.float32)))
+                some = list(combinations(range(length), r))
+                rows.append((np.array([before[p[:-1]] for p in some], np.intp), np.array([p[-1] for p in some], np.intp),
+                             np.array([self.decay ** (p[-1] - p[0] + 1) for p in some], np.float32)))
+                before = {p: i for i, p in enumerate(some)}
             self._places[length] = rows
         return self._places[length]
 
     def grid(self, words: list[str], length: int) -> np.ndarray:
-        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
         at = np.minimum(np.searchsorted(self.letters, points), len(self.letters) - 1)
-        return np.where(self.letters[at] == points, at + 1, 0).reshape(len(words), length)
+        return np.where(self.letters[at] == points, at + 1, 0).astype(np.int32).reshape(len(words), length)
 
     def listed(self, words: list[str], length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Feature numbers (a row for each word) and weights; a feature with a foreign letter is number 0, which never counts."""
+        """Feature numbers (a row for each word) and weights."""
         grid = self.grid(words, length)
-        for r, (at, weight) in enumerate(self.places(length)):
-            if len(at):
-                number = np.zeros((len(words), len(at)), np.int64)
-                known = np.ones(number.shape, bool)
-                for column in at.T:
-                    letter = grid[:, column]
-                    number = number * self.base + letter
-                    known &= letter > 0
-                yield np.where(known, number + self.offsets[r], 0), weight
+        number = np.zeros((len(words), 1), np.int32)
+        for r, (before, last, weight) in enumerate(self.places(length)):
+            if not len(last):
+                return
+            number = number.take(before, axis=1)
+            number *= np.int32(self.base)
+            number += grid.take(last, axis=1)
+            yield number + np.int32(self.offsets[r]), weight
 
     def table(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Where each feature stands, and a column of values for each word; only features of these words have a row, the first is empty."""
         rows = []
         for j, word in enumerate(words):
             for numbers, weight in self.listed([word], len(word)):
-                rows.append((numbers[0], np.full(len(weight), j), weight))
+                rows.append((numbers[0], np.full(len(weight), j), weight))  # every letter is in the alphabet here
         numbers, column, weight = (np.concatenate(c) for c in zip(*rows))
-        kept = numbers > 0
-        used, row = np.unique(numbers[kept], return_inverse=True)
+        used, row = np.unique(numbers, return_inverse=True)
         index = np.zeros(self.size, np.int32)
         index[used] = np.arange(1, len(used) + 1)
         values = np.zeros((len(used) + 1, len(words)), np.float32)
-        np.add.at(values, (row + 1, column[kept]), weight[kept])
+        np.add.at(values, (row + 1, column), weight)
         return index, values
 
     def products(self, words: list[str], index: np.ndarray, values: np.ndarray) -> np.ndarray:
         """Inner products of the words' features with each column of ``values``."""
         out = np.zeros((len(words), values.shape[1]), np.float32)
         for length, at in grouped(words):
-            step = max(1, (1 << 21) // (values.shape[1] * len(self.places(length)[-1][0]) + 1))
+            step = max(1, (1 << 19 if values.shape[1] == 1 else 1 << 21) // (values.shape[1] * len(self.places(length)[-1][0]) + 1))
             for start in range(0, len(at), step):
                 mine = at[start:start + step]
                 for numbers, weight in self.listed([words[i] for i in mine], length):
-                    rows = index[numbers]
+                    rows = index.take(numbers)
                     if values.shape[1] == 1:
-                        out[mine, 0] += values[:, 0][rows] @ weight
+                        out[mine, 0] += values[:, 0].take(rows) @ weight
                     else:
                         out[mine] += np.einsum("wcm,c->wm", values[rows], weight)
         return out
@@ -161,7 +161,8 @@ def self_kernel(words: list[str], order: int, decay: float) -> np.ndarray:
             ends = match
             total = ends.sum(axis=(1, 2))
             for _ in range(1, order):
-                summed = gaps.T @ ends @ gaps
+                half = (ends.reshape(-1, length) @ gaps).reshape(ends.shape)
+                summed = (half.transpose(0, 2, 1).reshape(-1, length) @ gaps).reshape(ends.shape)  # its own transpose: the kernel is symmetric
                 ends = np.zeros_like(match)
                 ends[:, 1:, 1:] = match[:, 1:, 1:] * summed[:, :-1, :-1]
                 total += ends.sum(axis=(1, 2))
@@ -211,25 +212,30 @@ class Model:
         s = self.settings
         return self.space.products(words, self.index, self.folded)[:, 0] / np.sqrt(self_kernel(words, s.order, s.decay)) + self.bias
 
-    def margin(self, words: Iterable[str]) -> float:
-        """The largest margin of the words; those seen lately are not computed again."""
-        words, known = set(words), self.known
+    def worst(self, docs: list[set[str]]) -> list[float]:
+        """The largest margin of each document's words (-1 without words); words seen lately are not computed again."""
+        known = self.known
+        words = set().union(*docs)
         new = list(words.difference(known))
         if new:
             if len(known) + len(new) > CACHE:
+                # make room; short words are the ones that come again
+                kept = {word: value for word, value in known.items() if len(word) <= 7}
                 known.clear()
-                new = list(words)
+                known.update(kept if len(kept) < CACHE // 2 else {})
+                new = list(words.difference(known))
             parts = [windows(word) for word in new]
             values = self.margins([part for some in parts for part in some]).tolist()
             at = 0
             for word, some in zip(new, parts):
                 known[word] = max(values[at:at + len(some)])
                 at += len(some)
-        return max(map(known.__getitem__, words)) if words else -1.0
+        return [max(map(known.__getitem__, doc), default=-1.0) for doc in docs]
 
-    def score(self, text: str) -> float:
+    def scores(self, texts: list[str]) -> list[float]:
         """A document is as toxic as its worst word; a text without words has the margin of a clean one."""
-        return float(1 / (1 + np.exp(-np.clip(self.slope * (self.margin(words_of(text)) - self.middle), -60, 60))))
+        margins = np.array(self.worst([words_of(text) for text in texts]))
+        return (1 / (1 + np.exp(-np.clip(self.slope * (margins - self.middle), -60, 60)))).tolist()
 
 
 def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float, passes: int = 300) -> tuple[np.ndarray, float]:
@@ -321,7 +327,7 @@ def train(labelled: list[tuple[str, int]], settings: Settings = Settings()) -> M
         rank = candidates @ w + b
     model.weights, model.bias = root @ w, b
     model.fold()
-    margins = np.array([model.margin(d) for d in toxic] + [model.margin(d) for d in clean])
+    margins = np.array(model.worst(toxic) + model.worst(clean))
     marks = np.concatenate([np.ones(len(toxic)), np.zeros(len(clean))])
     model.slope, model.middle = curve(margins, marks)
     model.known = {}
@@ -394,7 +400,7 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine_ = here(shared)
         for batch in rows_of(batches):
-            values = [machine_.score(v.as_py() or "") for v in batch.column(batch.schema.get_field_index(text))]
+            values = machine_.scores([v.as_py() or "" for v in batch.column(batch.schema.get_field_index(text))])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], [*batch.schema.names, "toxicity"])
 
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own)
@@ -407,4 +413,6 @@ _models: dict[int, Model] = {}
 def here(shared) -> Model:
     """The broadcast model; a worker that serves several tasks goes on with the words it has scored."""
     model = shared.value
-    return _models.setdefault((tuple(model.landmarks), model.bias, model.slope), model)
+    model = _models.setdefault((tuple(model.landmarks), model.bias, model.slope), model)
+    make_room("toxicity", model.known.clear)
+    return model
