@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from labelscape.llm.common import rows_of
+from labelscape.llm.common import make_room, rows_of
 
 NEVER = 1 << 40
 #: Entries of a worker's caches; beyond, they start anew.
@@ -228,6 +228,7 @@ def encode(df: DataFrame, path: str, pattern: str, *, key: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path, pattern)
         vocabulary = encoder.vocabulary
+        make_room("bpe", encoder.known.clear)
         for batch in rows_of(batches):
             lists, decoded = [], []
             for value in batch.column(1):

@@ -178,5 +178,8 @@ def redact(docs: DataFrame, *, key: str = "doc_id", text: str = "text", mark: st
         (F.when(i < F.size("gaps"), F.get("gaps", i)["start"]).otherwise(F.char_length(text))
          - F.when(i > 0, F.get("gaps", i - 1)["end"]).otherwise(0)).cast("int")))
     own = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    return docs.join(found, docs[key].eqNullSafe(F.col("f_row_key")) & (own == F.col("f_row_hash")), "left").withColumn(
-        text, F.when(F.col("gaps").isNotNull(), F.array_join(pieces, mark)).otherwise(F.col(text))).select(*docs.columns)
+    # a text without any of the patterns stays where it is
+    some = F.coalesce(F.col(text).rlike(ANY), F.lit(False))
+    rest, docs = docs.where(~some), docs.where(some)
+    return rest.unionByName(docs.join(found, docs[key].eqNullSafe(F.col("f_row_key")) & (own == F.col("f_row_hash")), "left").withColumn(
+        text, F.when(F.col("gaps").isNotNull(), F.array_join(pieces, mark)).otherwise(F.col(text))).select(*docs.columns))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelscape.llm.common import input_bytes, rows_of, written
+from labelscape.llm.common import having, input_bytes, lacking, rows_of, written
 from labelscape.llm.components import components
 from labelscape.llm.shingles import shingle_set
 
@@ -135,7 +135,7 @@ def meetings(texts: DataFrame, width: int, percent: int, bits: int, level: np.nd
 
     Sets that meet in a task are tied there (``a``, ``b``), and only one of each size class is sent on.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(level)
+    shared = texts.sparkSession.sparkContext.broadcast(level)  # given up when the result has been written
     shards = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
     schema = pa.schema([("doc", pa.int64()), ("key", pa.binary()), ("mark", pa.int64()), ("n", pa.int64()),
                         ("shard", pa.int32()), ("blob", pa.binary()), ("a", pa.int64()), ("b", pa.int64())])
@@ -180,7 +180,9 @@ def meetings(texts: DataFrame, width: int, percent: int, bits: int, level: np.nd
         if size:
             yield from sent(held, marks)
 
-    return texts.mapInArrow(run, "doc long, key binary, mark long, n long, shard int, blob binary, a long, b long")
+    met = written(texts.mapInArrow(run, "doc long, key binary, mark long, n long, shard int, blob binary, a long, b long"))
+    shared.unpersist()
+    return met
 
 
 def tied(numbers: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -331,11 +333,11 @@ def jaccard_join(df: DataFrame, *, width: int = 4, percent: int = 85, key: str =
     """
     texts = texts_of(df, key, text)
     bits = shard_bits(df)
-    met = written(meetings(texts, width, percent, bits, levels(texts, width, bits, level_bits(df))))
+    met = meetings(texts, width, percent, bits, levels(texts, width, bits, level_bits(df)))
     docs = met.where("key is not null").select("doc", "key", "mark", "n")
     sets = docs.where("n > 0 and doc is not null").groupBy("key", "mark", "n").agg(F.min("doc").alias("doc"))
     members = written(sets.join(clusters(met), "mark"))
-    own = written(texts.join(members.select("doc").distinct(), "doc", "left_semi"))
+    own = written(having(texts, members.select("doc").distinct(), "doc"))
 
     counts = members.groupBy("cluster").count()
     nothing = F.lit(None).cast("binary").alias("group")
@@ -389,7 +391,10 @@ def one_of_each(df: DataFrame, *, width: int = 4, percent: int = 85, key: str =
 
     Rows equal in key and text are one document; rows with a null key link with nothing and all stay.
     """
-    found = jaccard_join(df, width=width, percent=percent, key=key, text=text)
-    kept = found.where(F.col(key) == F.col("component_id")).select(F.col(key).cast(df.schema[key].dataType).alias(key)).distinct()
-    return df.where(F.col(key).isNotNull()).join(kept, key, "left_semi").dropDuplicates([key, text]).unionByName(
-        df.where(F.col(key).isNull())).select(*df.columns)
+    found = written(jaccard_join(df, width=width, percent=percent, key=key, text=text).where(F.col(key).isNotNull()))
+    kind = df.schema[key].dataType
+    gone = found.where(F.col(key) != F.col("component_id")).select(F.col(key).cast(kind).alias(key))
+    twice = found.groupBy(key).count().where("count > 1").select(F.col(key).cast(kind).alias(key))
+    single = lacking(df, written(gone.union(twice).distinct()), key)
+    kept = found.join(twice, key, "left_semi").where(F.col(key) == F.col("component_id")).select(F.col(key).cast(kind).alias(key)).distinct()
+    return single.unionByName(having(df, kept, key).dropDuplicates([key, text])).select(*df.columns)
