@@ -6,16 +6,22 @@ are long matrices (source, target, value); pairs without expression are absent u
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelscape.functions.quantiles import aggregate_distances
-from labelscape.operators.nearest import nearest_per_label
+from labelscape.operators.nearest import BROADCAST_ROWS, nearest_per_label, nearest_sums
 from labelscape.operators.neighbors import spacing
 from labelscape.session import written
 from labelscape.sources.points import require
 
 CENTRE_CHUNK = 1024
+#: Distances held at once, and parts into which a gene's spots are dealt.
+CELLS, SPREAD = 4_000_000, 16
 
 
 def _placed(expression: DataFrame, spots: DataFrame, threshold: float, coords: list[str], spot_col: str) -> DataFrame:
@@ -48,36 +54,86 @@ def weighted_nearest(expression: DataFrame, spots: DataFrame, *, threshold: floa
     """Expression-weighted mean distance from gene i's spots to the nearest spot of gene j."""
     coords = _axes(z_col)
     placed = _placed(expression, spots, threshold, coords, spot_col)
-    sources = placed.groupBy(F.col("gene").alias("source"), *coords).agg(F.sum("value").alias("w"))
-    near = nearest_per_label(sources, placed, coords, "gene", strategy=strategy)
-    return near.groupBy("source", "target").agg(
-        F.try_divide(F.sum(F.col("dist") * F.col("w")), F.sum("w")).alias("value"))
+    sources = placed.groupBy(F.col("gene").alias("source"), *coords).agg(F.count("*").alias("n"), F.sum("value").alias("w"))
+    sums = nearest_sums(sources.where("source is not null"), placed, coords, "gene", strategy=strategy)
+    return sums.groupBy("source", "target").agg(F.try_divide(F.sum("wd"), F.sum("w")).alias("value"))
 
 
 def wmda(expression: DataFrame, spots: DataFrame, *, threshold: float = 0.0, z_col: str | None = None,
-         spot_col: str = "cell_id") -> DataFrame:
+         spot_col: str = "cell_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Expression-weighted mean distance from gene i's spots to gene j's weighted centroid.
 
-    Centroids are one row per gene. They are packed into chunks of bounded size and each spot row
-    meets every chunk once.
+    Centroids are one row per gene. Up to ``broadcast_rows`` of them go to every task, which adds up distances gene by gene; a gene with many
+    spots is dealt to several tasks. Beyond, spots meet blocks of centroids.
     """
     coords = _axes(z_col)
-    placed = _placed(expression, spots, threshold, coords, spot_col)
-    centres = placed.groupBy("gene").agg(
-        *[F.try_divide(F.sum(F.col(c) * F.col("value")), F.sum("value")).alias(c) for c in coords])
-    number = F.row_number().over(Window.orderBy("gene")) - 1
-    chunks = centres.withColumn("chunk", F.floor(number / CENTRE_CHUNK).cast("int")).groupBy("chunk").agg(
-        F.collect_list(F.struct(F.col("gene").alias("target"), *[F.col(c).alias(f"_{c}") for c in coords])).alias("centres"))
-    last = centres.agg(F.floor((F.count("*") - 1) / CENTRE_CHUNK).cast("int")).scalar()
+    placed = written(_placed(expression, spots, threshold, coords, spot_col).where("gene is not null"))
+    centres = written(placed.groupBy("gene").agg(
+        *[F.try_divide(F.sum(F.col(c) * F.col("value")), F.sum("value")).alias(c) for c in coords]))
     rows = placed.groupBy(F.col("gene").alias("source"), *coords).agg(F.sum("value").alias("w"))
-    rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), last)))
-    met = rows.join(chunks, "chunk").select("source", "w", *coords, F.inline("centres"))
+    table = centres.limit(broadcast_rows + 1).toArrow()
+    if table.num_rows <= broadcast_rows:
+        sums = _to_centres(rows, table, coords)
+    else:
+        sums = _to_centre_blocks(rows, centres, coords)
+    whole = rows.groupBy("source").agg(F.sum("w").alias("w"))
+    value = F.try_divide(F.when(~F.isnan("wd"), F.col("wd")), F.col("w"))  # a target whose weights add up to 0 has no centre
+    return sums.groupBy("source", "target").agg(F.sum("wd").alias("wd")).join(whole, "source").select(
+        "source", "target", value.alias("value"))
+
+
+def _to_centres(rows: DataFrame, table: pa.Table, coords: list[str]) -> DataFrame:
+    """(source, target, wd), one row a task for each of its sources and every target."""
+    names = table.column("gene").combine_chunks()
+    places = np.stack([table.column(c).to_numpy() for c in coords], axis=1)
+    shared = rows.sparkSession.sparkContext.broadcast((names.to_pylist(), places))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        targets, centres = shared.value
+        targets = pa.array(targets, pa.string())
+        step = max(1, CELLS // max(1, len(centres)))
+        now, total = None, None
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(now, pa.string()), len(targets)), targets, pa.array(total)],
+                                              ["source", "target", "wd"])
+
+        for batch in batches:
+            xyz = np.stack([batch.column(batch.schema.get_field_index(c)).cast(pa.float64()).to_numpy(zero_copy_only=False)
+                            for c in coords], axis=1)
+            weight = batch.column(batch.schema.get_field_index("w")).cast(pa.float64()).to_numpy(zero_copy_only=False)
+            # rows come sorted by source, so each is one run
+            source = batch.column(batch.schema.get_field_index("source")).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.concatenate([[True], source[1:] != source[:-1], [True]])) if len(source) else []
+            for start, stop in zip(cuts, cuts[1:]):
+                if source[start] != now:
+                    if now is not None:
+                        yield done()
+                    now, total = source[start], np.zeros(len(targets))
+                for at in range(start, stop, step):
+                    some = slice(at, min(at + step, stop))
+                    square = sum((xyz[some, i, None] - centres[None, :, i]) ** 2 for i in range(len(coords)))
+                    total += weight[some] @ np.sqrt(square)
+        if now is not None:
+            yield done()
+
+    spread = F.pmod(F.xxhash64(*coords), F.lit(SPREAD))
+    return rows.withColumn("_spread", spread).repartition("source", "_spread").sortWithinPartitions("source").drop("_spread").mapInArrow(
+        add, "source string, target string, wd double")
+
+
+def _to_centre_blocks(rows: DataFrame, centres: DataFrame, coords: list[str]) -> DataFrame:
+    """The same with centroids in blocks of bounded size; a spot meets each block once."""
+    blocks = max(1, -(-centres.count() // CENTRE_CHUNK))
+    chunks = centres.withColumn("chunk", F.pmod(F.xxhash64("gene"), F.lit(blocks))).groupBy("chunk").agg(
+        F.collect_list(F.struct(F.col("gene").alias("target"), *[F.col(c).alias(f"_{c}") for c in coords])).alias("centres"))
+    met = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))).join(
+        chunks, "chunk").select("source", "w", *coords, F.inline("centres"))
     total = F.lit(0.0)
     for c in coords:
         gap = F.col(c) - F.col(f"_{c}")
         total = total + gap * gap
-    return met.groupBy("source", "target").agg(
-        F.try_divide(F.sum(F.sqrt(total) * F.col("w")), F.sum("w")).alias("value"))
+    return met.groupBy("source", "target").agg(F.sum(F.sqrt(total) * F.col("w")).alias("wd"))
 
 
 def visium(expression: DataFrame, spots: DataFrame, *, genes: DataFrame | None = None, threshold: float = 0.0,

@@ -7,17 +7,18 @@ clustering per entity runs in parallel over the entities.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 from labelscape.functions import linkage as link
 from labelscape.functions.normalize import shifted_nonnegative
 from labelscape.operators.matrices import axes, located, mean_by_source, searcher_findee, weighted_searcher_findee
-from labelscape.operators.nearest import nearest_per_label
+from labelscape.operators.nearest import nearest_sums
 from labelscape.operators.structure import structure_map
 from labelscape.session import written
 from labelscape.sources.points import dense, require
@@ -42,26 +43,19 @@ def entity_points(reference: DataFrame, expression: DataFrame, *, entities: Data
         "cell_id", "x", "y", "celltype", F.col("gene").alias("entity"), "weight")
 
 
-@pandas_udf(T.ArrayType(T.DoubleType()))
-def _entity_row(block: pd.Series, to_labels: pd.Series, from_labels: pd.Series, slot: pd.Series,
-                known: pd.Series, method: pd.Series) -> pd.Series:
+def _entity_row(block: np.ndarray, labels: list[str], entity: str, out: list[float], back: list[float], method: str) -> np.ndarray:
     """Cophenetic row of one entity over the labels, from the label block and its own vectors."""
-    out = []
-    for base, row, col, at, old, how in zip(block, to_labels, from_labels, slot, known, method):
-        k = len(row)
-        square = np.asarray(base, dtype=float).reshape(k, k)
-        if old:
-            full = square.copy()
-            full[at, :], full[:, at] = row, col
-            full[at, at] = 0.0
-        else:
-            full = np.zeros((k + 1, k + 1))
-            keep = np.delete(np.arange(k + 1), at)
-            full[np.ix_(keep, keep)] = square
-            full[at, keep], full[keep, at] = row, col
-        mapped = link.structure_map(full, how)[at]
-        out.append(mapped if old else np.delete(mapped, at))
-    return pd.Series(out)
+    at = bisect_left(labels, entity)
+    if at < len(labels) and labels[at] == entity:
+        full = block.copy()
+        full[at, :], full[:, at] = out, back
+        full[at, at] = 0.0
+        return link.structure_map(full, method)[at]
+    full = np.zeros((len(labels) + 1, len(labels) + 1))
+    keep = np.delete(np.arange(len(labels) + 1), at)
+    full[np.ix_(keep, keep)] = block
+    full[at, keep], full[keep, at] = out, back
+    return np.delete(link.structure_map(full, method)[at], at)
 
 
 def entity_to_cell(reference: DataFrame, entities: DataFrame, *, x_col: str = "x", y_col: str = "y",
@@ -91,26 +85,37 @@ def entity_to_cell(reference: DataFrame, entities: DataFrame, *, x_col: str = "x
     namesakes = cells.join(cloud.select(F.col("entity").alias("celltype")).distinct(), "celltype", "left_semi")
     cloud = cloud.unionByName(namesakes.select(*coords, F.col("celltype").alias("entity"), F.lit(1.0).alias("weight")))
 
+    cells, cloud = written(cells), written(cloud)
     block = searcher_findee(cells, x_col=x_col, y_col=y_col, z_col=z_col, celltype_col="celltype", strategy=strategy)
-    outward = mean_by_source(nearest_per_label(
+    outward = mean_by_source(nearest_sums(
         located(cloud, coords, "entity", "weight"), cells, coords, "celltype", strategy=strategy), ["source", "target"])
-    inward = mean_by_source(nearest_per_label(
+    inward = mean_by_source(nearest_sums(
         located(cells, coords, "celltype"), cloud, coords, "entity", strategy=strategy), ["source", "target"])
 
-    entry = F.sort_array(F.collect_list(F.struct("source", "target", "value")))
-    packed = block.agg(F.transform(entry, lambda e: e["value"]).alias("_block"), F.lit(0).alias("_one"))
+    def listed(matrix: DataFrame, entity: str, label: str, name: str) -> DataFrame:
+        return matrix.groupBy(F.col(entity).alias("entity")).agg(
+            F.sort_array(F.collect_list(F.struct(F.col(label).alias("k"), F.col("value").alias("v")))).alias(name))
+
+    # the label block goes to every task once; it is as large as the square of the number of labels
+    square = block.toArrow()
+    names = np.unique(square.column("source").to_numpy(zero_copy_only=False).astype(str))
+    base = np.zeros((len(names), len(names)))
+    place = [np.searchsorted(names, square.column(c).to_numpy(zero_copy_only=False).astype(str)) for c in ("source", "target")]
+    base[place[0], place[1]] = square.column("value").to_numpy()
+    shared = reference.sparkSession.sparkContext.broadcast((names.tolist(), base))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels, matrix = shared.value
+        for batch in batches:
+            for name, out, back in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                found = _entity_row(matrix, labels, name, [e["v"] for e in out], [e["v"] for e in back], method)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(name, len(labels)), pa.array(labels, pa.string()), pa.array(found, pa.float64())],
+                    ["entity", "celltype", "value"])
+
+    vectors = listed(outward, "source", "target", "_out").join(listed(inward, "target", "source", "_in"), "entity")
     labels = cells.agg(F.sort_array(F.collect_set("celltype"))).scalar()
-    vectors = outward.groupBy(F.col("source").alias("entity")).agg(
-        F.sort_array(F.collect_list(F.struct(F.col("target").alias("k"), F.col("value").alias("v")))).alias("_out"))
-    vectors = vectors.join(inward.groupBy(F.col("target").alias("entity")).agg(
-        F.sort_array(F.collect_list(F.struct(F.col("source").alias("k"), F.col("value").alias("v")))).alias("_in")), "entity")
-    # the label block is one row of label-count squared numbers; it goes along with every entity
-    vectors = vectors.withColumn("_labels", labels).withColumn("_one", F.lit(0)).join(packed, "_one")
-    slot = F.size(F.filter("_labels", lambda name: name < F.col("entity")))
-    row = _entity_row(F.col("_block"), F.col("_out.v"), F.col("_in.v"), slot,
-                      F.array_contains("_labels", F.col("entity")), F.lit(method))
-    placed = vectors.select("entity", "_labels", row.alias("_row")).select(
-        "entity", F.inline(F.arrays_zip(F.col("_labels").alias("celltype"), F.col("_row").alias("value"))))
+    placed = vectors.select("entity", "_out", "_in").mapInArrow(rows, "entity string, celltype string, value double")
     empty = everyone.join(cloud.select("entity").distinct(), "entity", "left_anti").select(
         "entity", F.explode(labels).alias("celltype"), F.lit(None).cast("double").alias("value"))
     return placed.unionByName(empty)

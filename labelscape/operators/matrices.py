@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelscape.functions.normalize import shifted_nonnegative
-from labelscape.operators.nearest import nearest_per_label
+from labelscape.operators.nearest import nearest_per_label, nearest_sums
 from labelscape.session import written
 from labelscape.sources.points import require
 
@@ -23,11 +23,10 @@ def located(df: DataFrame, coords: list[str], label: str, weight: str | None = N
     ).agg(F.count("*").alias("n"), mass.alias("w"))
 
 
-def mean_by_source(near: DataFrame, keys: list[str]) -> DataFrame:
-    """Weighted mean distance; the plain mean where the weights add up to nothing."""
-    plain = F.sum(F.col("dist") * F.col("n")) / F.sum("n")
-    value = F.when(F.sum("w") > 1e-8, F.sum(F.col("dist") * F.col("w")) / F.sum("w")).otherwise(plain)
-    return near.groupBy(*keys).agg(value.alias("value"))
+def mean_by_source(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """Weighted mean distance from summed distances; the plain mean where the weights add up to nothing."""
+    plain = F.sum("nd") / F.sum("n")
+    return sums.groupBy(*keys).agg(F.when(F.sum("w") > 1e-8, F.sum("wd") / F.sum("w")).otherwise(plain).alias("value"))
 
 
 def searcher_findee(points: DataFrame, *, x_col: str = "x", y_col: str = "y", z_col: str | None = None,
@@ -36,7 +35,7 @@ def searcher_findee(points: DataFrame, *, x_col: str = "x", y_col: str = "y", z_
     coords = axes(x_col, y_col, z_col)
     require(points, [*coords, celltype_col])
     places = located(points, coords, celltype_col)
-    near = nearest_per_label(places, places, coords, "source", strategy=strategy)
+    near = nearest_sums(places, places, coords, "source", strategy=strategy)
     return mean_by_source(near, ["source", "target"])
 
 
@@ -55,7 +54,7 @@ def weighted_searcher_findee(points: DataFrame, *, x_col: str = "x", y_col: str
         points = points.withColumn(weight_col, F.lit(1.0))
     points = shifted_nonnegative(points, weight_col).where(F.col(weight_col) > float(min_weight))
     places = located(points, coords, group_col, weight_col)
-    near = nearest_per_label(places, places, coords, "source", strategy=strategy)
+    near = nearest_sums(places, places, coords, "source", strategy=strategy)
     return mean_by_source(near, ["source", "target"])
 
 
@@ -66,8 +65,7 @@ def between_tables(sources: DataFrame, targets: DataFrame, *, x_col: str = "x",
     require(sources, [x_col, y_col, source_label], "first table")
     require(targets, [x_col, y_col, target_label], "second table")
     coords = [x_col, y_col]
-    near = nearest_per_label(located(sources, coords, source_label), targets, coords, target_label,
-                             strategy=strategy)
+    near = nearest_sums(located(sources, coords, source_label), targets, coords, target_label, strategy=strategy)
     return mean_by_source(near, ["source", "target"])
 
 

@@ -73,6 +73,56 @@ def nearest_per_label(
     return _packed_join(sources, targets, coords, factor=factor, by=by)
 
 
+def nearest_sums(sources: DataFrame, targets: DataFrame, coords: list[str], label: str, *, by: str | None = None,
+                 strategy: str = "auto", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """([by], source, target, n, nd, w, wd): the search's result added up where it is found.
+
+    ``sources`` has ``source``, ``n`` and ``w``; ``nd`` and ``wd`` are the sums of the smallest distances times those. A task gives a row
+    for each pair of labels in a batch and not one for each source point and label.
+    """
+    targets = _targets(targets, coords, label, None, by)
+    names = [*([by] if by else []), "source", "n", "w", *coords]
+    sources = _complete(sources, coords).select(*[
+        F.col(c).cast({"n": "long", "w": "double", "source": "string"}[c]).alias(c) if c in {"n", "w", "source"} else F.col(c) for c in names])
+    if by is not None:
+        sources = sources.where(F.col(by).isNotNull())
+    if strategy not in {"auto", "broadcast", "packed"}:
+        raise ValueError("strategy must be one of: auto, broadcast, packed")
+    if strategy != "packed":
+        table = targets.limit(broadcast_rows + 1).toArrow()
+        if table.num_rows <= broadcast_rows:
+            return _broadcast_nearest(sources, table, coords, None, True, by, total=True)
+    return _packed_join(sources, targets, coords, by=by, total=True)
+
+
+class _Totals:
+    """Sums over the rows of one batch of sources, which all have one ``by`` value."""
+
+    def __init__(self, batch: pa.RecordBatch, by: str | None):
+        index = batch.schema.get_field_index
+        coded = batch.column(index("source")).dictionary_encode()
+        self.names, self.codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        self.mass = [batch.column(index(c)).to_numpy(zero_copy_only=False) for c in ("n", "w")]
+        self.by = None if by is None else (by, batch.column(index(by)).slice(0, 1))
+
+    def rows(self, target: str, dist: np.ndarray) -> pa.RecordBatch:
+        n, w = self.mass
+        k = len(self.names)
+        sums = [np.bincount(self.codes, x, k) for x in (n, n * dist, w, w * dist)]
+        columns = [self.names, pa.repeat(target, k), pa.array(sums[0].astype(np.int64)), *map(pa.array, sums[1:])]
+        names = ["source", "target", "n", "nd", "w", "wd"]
+        if self.by is not None:
+            columns.insert(0, self.by[1].take(pa.array(np.zeros(k, np.int64))))
+            names.insert(0, self.by[0])
+        return pa.RecordBatch.from_arrays(columns, names)
+
+
+def _totals_schema(fields, by: str | None) -> T.StructType:
+    kinds = [("source", T.StringType()), ("target", T.StringType()), ("n", T.LongType()), *[(c, T.DoubleType()) for c in ("nd", "w", "wd")]]
+    own = [f for f in fields if f.name == by] if by else []
+    return T.StructType([*own, *[T.StructField(name, kind) for name, kind in kinds]])
+
+
 def k_nearest(
     points: DataFrame,
     coords: list[str],
@@ -167,7 +217,7 @@ def _rows_by(batch: pa.RecordBatch, by: str | None) -> Iterator[tuple[str, pa.Re
         yield name, batch.take(pa.array(np.flatnonzero(codes == code)))
 
 
-def _broadcast_nearest(sources, table, coords, factor, spread, by) -> DataFrame:
+def _broadcast_nearest(sources, table, coords, factor, spread, by, total: bool = False) -> DataFrame:
     spark = sources.sparkSession
     clouds = spark.sparkContext.broadcast(_clouds(table, len(coords), factor is not None, False))
     if spread and table.num_rows <= FEW_TARGETS:
@@ -194,14 +244,18 @@ def _broadcast_nearest(sources, table, coords, factor, spread, by) -> DataFrame:
                 starts = geo.chunk_starts(len(xyz), geo.SOURCE_CHUNK)
                 low, high = geo.chunk_bounds(xyz, starts)
                 names = [*batch.schema.names, "target", "dist"]
+                totals = _Totals(batch, by) if total else None
                 for name, cloud in ready.get(within, []):
                     best = np.full(len(xyz), np.inf)
                     geo.lower_to_nearest(xyz, starts, low, high, cloud, best)
+                    if total:
+                        yield totals.rows(name, best)
+                        continue
                     yield pa.RecordBatch.from_arrays(
                         [*batch.columns, pa.repeat(name, len(xyz)), pa.array(best)], names)
 
-    out = T.StructType([*fields, T.StructField("target", T.StringType()),
-                        T.StructField("dist", T.DoubleType())])
+    out = _totals_schema(fields, by) if total else T.StructType([
+        *fields, T.StructField("target", T.StringType()), T.StructField("dist", T.DoubleType())])
     return sources.mapInArrow(search, out)
 
 
@@ -410,7 +464,7 @@ def _block_pairs(s_blocks, t_blocks, height: int, dims: int, k: int) -> DataFram
     return pairs.select("by", "s", "target", "t")
 
 
-def _packed_join(sources, targets, coords, *, factor=None, k: int = 1, id_col=None, by=None) -> DataFrame:
+def _packed_join(sources, targets, coords, *, factor=None, k: int = 1, id_col=None, by=None, total: bool = False) -> DataFrame:
     dims = len(coords)
     axes = list(AXES[:dims])
     if by is not None:
@@ -434,15 +488,17 @@ def _packed_join(sources, targets, coords, *, factor=None, k: int = 1, id_col=No
         F.lit(None).cast(shipped).alias("cloud"))
     stream = own.unionByName(incoming).repartition(_partitions(sources), "by", "group")
     stream = stream.sortWithinPartitions("by", "group", "role", "target", "block")
-    if k == 1 and id_col is None:
+    if total:
+        out = _totals_schema(payload.elementType.fields, by)
+    elif k == 1 and id_col is None:
         out = T.StructType([*payload.elementType.fields, T.StructField("target", T.StringType()),
                             T.StructField("dist", T.DoubleType())])
     else:
         out = _neighbor_schema(id_col)
-    return stream.mapInArrow(_folder(coords, axes, factor is not None, k, id_col), out).drop("_by")
+    return stream.mapInArrow(_folder(coords, axes, factor is not None, k, id_col, total, by), out).drop("_by")
 
 
-def _folder(coords, axes, scaled: bool, k: int, id_col: str | None):
+def _folder(coords, axes, scaled: bool, k: int, id_col: str | None, total: bool = False, by: str | None = None):
     """Streaming pass over rows sorted by (group, role, target): sources first, then targets."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -485,6 +541,8 @@ def _folder(coords, axes, scaled: bool, k: int, id_col: str | None):
             if id_col is not None:
                 own = batch.column(batch.schema.get_field_index(id_col)).to_numpy()
                 return _neighbor_batch(own, best, ids, id_col)
+            if total:
+                return _Totals(batch, by).rows(target.partition(SEPARATOR)[2], best)
             return pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.repeat(target.partition(SEPARATOR)[2], batch.num_rows), pa.array(best)],
                 [*batch.schema.names, "target", "dist"])

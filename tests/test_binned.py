@@ -16,6 +16,24 @@ def test_centroid_distances(spark):
     expr = spark.createDataFrame([(1, "g1", 1.0), (2, "g1", 1.0), (3, "g2", 3.0)], "cell_id long, gene string, value double")
     got = pivot(binned.wmda(expr, spots))
     assert got.loc["g1"].tolist() == [1, 3] and got.loc["g2"].tolist() == [3, 0]
+    assert pivot(binned.wmda(expr, spots, broadcast_rows=1)).equals(got)
+
+
+def test_centroid_distances_both_ways(spark, monkeypatch):
+    monkeypatch.setattr(binned, "CENTRE_CHUNK", 2)
+    monkeypatch.setattr(binned, "CELLS", 12)
+    rng = np.random.default_rng(1)
+    spots = spark.createDataFrame([(i, *map(float, rng.uniform(0, 9, 2))) for i in range(60)], "cell_id long, x double, y double")
+    rows = [(i, f"g{g}", float(rng.uniform(0.1, 4))) for i in range(60) for g in range(7) if rng.random() < (0.9 if g == 0 else 0.2)]
+    expr = spark.createDataFrame(rows, "cell_id long, gene string, value double")
+    one, other = pivot(binned.wmda(expr, spots)), pivot(binned.wmda(expr, spots, broadcast_rows=1))
+    assert one.shape == (7, 7) and np.allclose(one, other)
+    frame = expr.toPandas().merge(spots.toPandas(), on="cell_id")
+    centre = frame.groupby("gene").apply(lambda g: pd.Series({c: np.average(g[c], weights=g["value"]) for c in "xy"}))
+    for name, part in frame.groupby("gene"):
+        for target, place in centre.iterrows():
+            want = np.average(np.hypot(part["x"] - place["x"], part["y"] - place["y"]), weights=part["value"])
+            assert one.loc[name, target] == pytest.approx(want)
 
 
 def test_shared_spots_cost_almost_nothing(spark):

@@ -122,3 +122,28 @@ def test_smoothing_counts_absent_values_as_zero(spark):
     values = spark.createDataFrame([(1, "g", 4.0), (3, "g", 5.0)], "cell_id long, gene string, value double")
     got = {r.cell_id: r.value for r in smooth(values, edges).collect()}
     assert got == {1: 2.0, 2: 2.0, 3: 5.0}
+
+
+@pytest.mark.parametrize("strategy", ["broadcast", "packed"])
+def test_sums_equal_the_rows_added_up(spark, strategy):
+    df, axes = frame(spark, *cloud(300))
+    sources = df.select(F.col("label").alias("source"), (F.col("id") % 3).alias("part"), *axes).groupBy("source", "part", *axes).agg(
+        F.count("*").alias("n"), F.sum(F.lit(0.5)).alias("w"))
+    targets = df.withColumn("part", F.col("id") % 3)
+    for by in (None, "part"):
+        keys = [*([by] if by else []), "source", "target"]
+        rows = nn.nearest_per_label(sources, targets, axes, "label", by=by, strategy=strategy).groupBy(*keys).agg(
+            F.sum("n"), F.sum(F.col("dist") * F.col("n")), F.sum("w"), F.sum(F.col("dist") * F.col("w"))).collect()
+        some = nn.nearest_sums(sources, targets, axes, "label", by=by, strategy=strategy)
+        sums = some.groupBy(*keys).agg(*[F.sum(c) for c in ("n", "nd", "w", "wd")]).collect()
+        k = len(keys)
+        got = {tuple(r)[:k]: tuple(r)[k:] for r in sums}
+        assert len(got) == len(rows) and all(got[tuple(r)[:k]] == pytest.approx(tuple(r)[k:]) for r in rows)
+
+
+def test_a_batch_of_sources_gives_a_row_for_each_pair_of_labels(spark):
+    df, axes = frame(spark, *cloud(400))
+    labels = df.select("label").distinct().count()
+    sources = df.select(F.col("label").alias("source"), *axes, F.lit(1).alias("n"), F.lit(1.0).alias("w")).repartition(2)
+    rows = nn.nearest_sums(sources, df, axes, "label", strategy="broadcast").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert max(r["count"] for r in rows) <= labels * labels
