@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -42,7 +42,7 @@ class Settings:
     order: int = 4
     decay: float = 0.6
     landmarks: int = 96
-    sample: int = 5_000
+    sample: int = 4_000
     letters: int = 3_000  # of each sampled document's sentences, whole sentences
     rounds: int = 2
     telling: float = 3.0
@@ -265,22 +265,28 @@ def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float, passe
     return w[:-1], float(w[-1])
 
 
-def train(labelled: list[tuple[str, int]], settings: Settings = Settings()) -> Model:
+def train(labelled: Iterable[tuple[str, int]], settings: Settings = Settings()) -> Model:
     """Learn from texts with labels 0 and 1. Without both labels, every text is scored as clean as its margin is low."""
-    docs = [(words, int(label)) for text, label in labelled if (words := words_of(clipped(text, settings.letters)))]
-    toxic = [words for words, label in docs if label == 1]
-    clean = [words for words, label in docs if label == 0]
+    place: dict[str, int] = {}
+    docs: list[list[np.ndarray]] = [[], []]
+    for text, label in labelled:
+        words = words_of(clipped(text, settings.letters))
+        if words:
+            docs[int(label)].append(np.fromiter((place.setdefault(w, len(place)) for w in sorted(words)), np.int32, len(words)))
+    clean, toxic = docs
     if not toxic or not clean:
         return Model(settings, ["a"], np.zeros(1), -1.0)
-    dirty, plain = Counter(w for d in toxic for w in d), Counter(w for d in clean for w in d)
+    vocabulary = list(place)
+    dirty, plain = (np.bincount(np.concatenate(some), minlength=len(vocabulary)) for some in (toxic, clean))
     # how far a word's share of toxic documents lies above that expected from its share of clean ones
-    ratio = len(toxic) / len(clean)
-    telling = {w: (n - ratio * plain[w]) / np.sqrt(n + ratio * plain[w] + 2.0) for w, n in dirty.items()}
-    order = sorted(telling, key=lambda w: (-telling[w], w))
-    sure = [w for w in order if telling[w] >= settings.telling and len(w) > 2 and plain[w] * ratio < 0.1 * dirty[w]]
+    expected = plain * (len(toxic) / len(clean))
+    telling = (dirty - expected) / np.sqrt(dirty + expected + 2.0)
+    order = sorted(np.flatnonzero(telling > 0).tolist(), key=lambda i: (-telling[i], vocabulary[i]))
+    often = sorted(np.flatnonzero(plain > 0).tolist(), key=lambda i: (-plain[i], vocabulary[i]))
+    sure = [i for i in order if telling[i] >= settings.telling and len(vocabulary[i]) > 2 and expected[i] < 0.1 * dirty[i]]
     half = settings.landmarks // 2
-    bad = [w[:LONGEST] for w in order[:4 * half] if plain[w] * ratio < 0.2 * dirty[w] and len(w) > 2]
-    good = [w[:LONGEST] for w, _ in sorted(plain.items(), key=lambda p: (-p[1], p[0]))[:8 * half] if len(w) > 2]
+    bad = [vocabulary[i][:LONGEST] for i in order[:4 * half] if expected[i] < 0.2 * dirty[i] and len(vocabulary[i]) > 2]
+    good = [vocabulary[i][:LONGEST] for i in often[:8 * half] if len(vocabulary[i]) > 2]
     landmarks = spread_out(bad, half, settings) + spread_out(good, half, settings)
     if not landmarks:
         return Model(settings, ["a"], np.zeros(1), -1.0)
@@ -293,44 +299,40 @@ def train(labelled: list[tuple[str, int]], settings: Settings = Settings()) -> M
         return model.features([w[:LONGEST] for w in words]) @ root.astype(np.float32)
 
     rng = np.random.default_rng(3)
-    negatives = sorted(plain, key=lambda w: (-plain[w], w))
-    rest = mapped(negatives)
-    vocabulary = sorted(dirty)
-    place = {w: i for i, w in enumerate(vocabulary)}
-    candidates = mapped(vocabulary)
-    bent = [v for w in sure if len(w) > 3 for v in disguised(w, rng) if v not in plain]
-    altered = mapped(bent) if bent else np.zeros((0, len(landmarks)))
-    told = {place[w] for w in sure}
-    rank = np.array([telling[w] for w in vocabulary])
-    held = np.unique(np.concatenate([np.arange(min(len(negatives), 3000)), rng.integers(0, len(negatives), 3000)]))
+    every = mapped(vocabulary)
+    bent = [v for i in sure if len(vocabulary[i]) > 3 for v in disguised(vocabulary[i], rng)
+            if v not in place or plain[place[v]] == 0]
+    altered = mapped(bent) if bent else np.zeros((0, len(landmarks)), np.float32)
+    told = np.zeros(len(vocabulary), bool)
+    told[sure] = True
+    often = np.array(often)
+    held = np.unique(np.concatenate([often[:3000], often[rng.integers(0, len(often), 3000)]]))
     hard = np.zeros(0, np.int64)
-    w = b = None
+    rank, w, b = telling, None, None
     for _ in range(settings.rounds):
         # a toxic document's witnesses: its surely telling words, or else the word that ranks highest
         chosen: Counter = Counter()
         for d in toxic:
-            own = [place[v] for v in d]
-            chosen.update([i for i in own if i in told] or [max(own, key=lambda i: (rank[i], -i))])
+            own = d[told[d]]
+            chosen.update(own.tolist() if len(own) else [int(d[np.argmax(rank[d])])])
         at = np.array(sorted(chosen))
         share = np.sqrt(np.array([chosen[i] for i in at], np.float64))
         for _ in range(6):
-            x = np.vstack([candidates[at], altered, rest[held]])
+            x = np.vstack([every[at], altered, every[held]])
             y = np.concatenate([np.ones(len(at) + len(altered)), -np.ones(len(held))])
             weight = np.concatenate([10 + 500 * share / share.sum(), np.full(len(altered), 1.0),
                                      np.where(np.isin(held, hard), 1.0, 200 / len(held))])
             w, b = machine(x, y, weight, settings.cost)
-            wrong = np.flatnonzero(rest @ w + b > -0.3)  # clean words on or over the edge join, worst first
-            more = np.setdiff1d(wrong[np.argsort(-(rest[wrong] @ w))][:600], held)
+            rank = every @ w.astype(np.float32) + b
+            wrong = often[rank[often] > -0.3]  # clean words on or over the edge join, worst first
+            more = np.setdiff1d(wrong[np.argsort(-rank[wrong], kind="stable")][:600], held)
             if not len(more):
                 break
             held, hard = np.concatenate([held, more]), np.union1d(hard, more)
-        rank = candidates @ w + b
     model.weights, model.bias = root @ w, b
     model.fold()
-    margins = np.array(model.worst(toxic) + model.worst(clean))
-    marks = np.concatenate([np.ones(len(toxic)), np.zeros(len(clean))])
-    model.slope, model.middle = curve(margins, marks)
-    model.known = {}
+    margins = np.array([rank[d].max() for d in (*toxic, *clean)], np.float64)
+    model.slope, model.middle = curve(margins, np.concatenate([np.ones(len(toxic)), np.zeros(len(clean))]))
     return model
 
 
@@ -389,7 +391,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), *,
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).where("text is not null").join(
         marked.orderBy(F.xxhash64("k"), "k", "label").limit(settings.sample), "k").orderBy(F.xxhash64("k"), "k", "text").limit(
         settings.sample).select("text", "label").collect()  # bounded by ``sample``
-    return train([(row["text"], row["label"]) for row in rows], settings)
+    return train(((row["text"], row["label"]) for row in rows), settings)
 
 
 def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:
