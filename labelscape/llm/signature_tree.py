@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelscape.llm.common import having, input_bytes, lacking, rows_of, written
+from labelscape.llm.common import having, input_bytes, lacking, make_room, rows_of, written
 from labelscape.llm.components import components
 from labelscape.llm.shingles import shingle_set
 
 #: The table of levels has at most 2**LEVEL_BITS bytes, whatever the input.
 LEVEL_BITS = 26
 #: Shingles held back by a task before it sends them on.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 #: Sets in a block, children of a tree's node.
 BLOCK, FAN = 128, 8
 #: A set's mark has its size class in so many low bits; classes are a quarter of the largest step between sizes that link.
@@ -74,6 +74,7 @@ def levels(texts: DataFrame, width: int, bits: int, table_bits: int) -> np.ndarr
                                          ["shard", "once", "often"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room("signature_tree", list)
         held, size = [], 0
         for batch in rows_of(batches):
             for value in batch.column(0):
@@ -174,7 +175,7 @@ def meetings(texts: DataFrame, width: int, percent: int, bits: int, level: np.nd
                     size += len(held[-1])
             yield batch_of(doc=batch.column(0), key=pa.array(keys, pa.binary()), mark=pa.array(own, pa.int64()),
                            n=pa.array(n, pa.int64()))
-            if size >= FLUSH // 2:
+            if size >= FLUSH:
                 yield from sent(held, marks)
                 held, marks, size = [], [], 0
         if size:
