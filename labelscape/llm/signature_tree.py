@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelscape.llm.common import having, input_bytes, lacking, make_room, rows_of, written
-from labelscape.llm.components import components
+from labelscape.llm.components import components, stars
 from labelscape.llm.shingles import shingle_set
 
 #: The table of levels has at most 2**LEVEL_BITS bytes, whatever the input.
@@ -187,16 +187,15 @@ def meetings(texts: DataFrame, width: int, percent: int, bits: int, level: np.nd
 
 
 def tied(numbers: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Shingles and marks, sorted by shingle and size class, and the distinct pairs of neighbours in that order whose sizes may link.
+    """Shingles and marks, sorted by shingle and size class, and pairs of marks that connect what shares a shingle and may link.
 
-    All sizes between two that may link may link with both, so the pairs connect whatever shares a shingle and may link.
+    All sizes between two that may link may link with both, so it is enough to look at neighbours in that order.
     """
     low = owner & ((1 << CLASS_BITS) - 1)
     order = np.lexsort((owner, low, numbers))
     numbers, owner, low = numbers[order], owner[order], low[order]
     near = (numbers[1:] == numbers[:-1]) & (low[1:] - low[:-1] <= STEPS + 1) & (owner[1:] != owner[:-1])
-    pairs = np.unique(np.stack([owner[:-1][near], owner[1:][near]], axis=1), axis=0)
-    return numbers, owner, pairs[:, 0], pairs[:, 1]
+    return numbers, owner, *stars(owner[:-1][near], owner[1:][near])
 
 
 def clusters(met: DataFrame) -> DataFrame:
@@ -299,7 +298,7 @@ def linked_pairs(sets: list[np.ndarray], group: list, percent: int) -> list[tupl
 
 
 def joined(units: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b: set keys) found by a tree for each ``unit``; ``units`` has unit, doc, key and group."""
+    """What the links that a tree finds in each ``unit`` connect, as pairs (a, b) of set keys; ``units`` has unit, doc, key and group."""
     def run(table: pa.Table) -> pa.Table:
         keys, sets, group = [], [], []
         for key, text, own in zip(*(table.column(c) for c in ("key", "text", "group"))):
@@ -308,9 +307,9 @@ def joined(units: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
                 keys.append(name)
                 sets.append(numbers)
                 group.append(own.as_py())
-        pairs = linked_pairs(sets, group, percent) if len(sets) > 1 else []
-        return pa.table({"a": pa.array([keys[i] for i, _ in pairs], pa.binary()),
-                         "b": pa.array([keys[j] for _, j in pairs], pa.binary())})
+        pairs = np.array(linked_pairs(sets, group, percent) if len(sets) > 1 else [], np.int64).reshape(-1, 2)
+        one, other = stars(pairs[:, 0], pairs[:, 1])
+        return pa.table({"a": pa.array([keys[i] for i in one], pa.binary()), "b": pa.array([keys[j] for j in other], pa.binary())})
 
     return units.join(texts, "doc").select("unit", "key", "group", "text").groupBy("unit").applyInArrow(
         run, "a binary, b binary")
