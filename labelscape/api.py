@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from labelscape.operators import binned, entity, interaction, matrices, neighbors, pathway, structure
 from labelscape.operators.expression import summarize_by_celltype as summarize_expression_by_celltype  # noqa: F401
 from labelscape.plans.interaction import ligand_receptor_topology as ligand_receptor_topology_analysis  # noqa: F401
+from labelscape.plans import transcripts
 from labelscape.plans.pathway import pathway_topology as pathway_topology_analysis  # noqa: F401
 from labelscape.render import figures
 from labelscape.session import written
@@ -35,8 +36,8 @@ calculate_gene_distance_matrix_wmda_gpu = binned.wmda
 build_entity_points_from_expression = entity.entity_points
 compute_entity_to_cell_topology = entity.entity_to_cell
 compute_entity_structuremap = entity.entity_structuremap
-transcript_by_cell_analysis = entity.transcript_to_cell
-transcript_by_cell_analysis_serial = entity.transcript_to_cell
+transcript_by_cell_analysis = transcripts.transcript_by_cell
+transcript_by_cell_analysis_serial = transcripts.transcript_by_cell
 
 compute_pathway_activity_matrix = pathway.pathway_activity
 ligand_receptor_target_consistency = interaction.target_consistency

@@ -482,6 +482,22 @@ ORACLES: dict[str, str] = {
         select=f"""SELECT celltype, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, {r('s - n1 * (n1 + 1) / 2.0', '"W"')},
   {r('z')}, {r(TAIL, 'p_value')} FROM (SELECT *, GREATEST(abs(s - n1 * (n1 + 1) / 2.0 - n1 * n2 / 2.0) - 0.5, 0)
     / sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1.0)))) AS z FROM ag)"""),
+    "transcript_by_cell_counts": query(CELLS, select="""SELECT p_type AS gene, c.celltype, CAST(COUNT(*) AS BIGINT) AS count FROM lineitem
+  JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey
+  LEFT JOIN (SELECT * FROM cells WHERE celltype < 'H') c ON c.cell_id = o_custkey GROUP BY ALL"""),
+    "batch_sums": query(CELLS, select=f"""SELECT source, target, {r('SUM(dist)', 'total')}, CAST(COUNT(*) AS BIGINT) AS n FROM (
+  SELECT a.cell_id, a.celltype AS source, b.celltype AS target, MIN({dist()}) AS dist FROM cells a CROSS JOIN cells b WHERE a.x < 50 GROUP BY ALL) GROUP BY ALL"""),
+    "circle_data": query(CELLS, near("cells"), MEAN, clustered(), """pc AS (SELECT a.celltype AS row, b.col, AVG(CASE WHEN a.x > b.mean THEN 1.0 ELSE 0.0 END) * 150 AS percent
+  FROM cells a CROSS JOIN (SELECT celltype AS col, AVG(x) AS mean FROM cells GROUP BY 1) b GROUP BY ALL)""", recursive=True,
+        select=f"""SELECT row, col, {r('value')}, {r('percent')}, {r('pow(LEAST(GREATEST(percent / 100, 0), 1), 0.5) * 100', 'area')}
+  FROM smap JOIN pc USING (row, col)"""),
+    "pathway_hotspots": query(
+        CELLS, expr(), SETS, ACTIVITY, robust("act", "scaled_act"), TOPOLOGY, gene_aggregate("weighted_median"),
+        "best AS (SELECT pathway FROM agg_rows GROUP BY 1 HAVING MIN(value) IS NOT NULL ORDER BY MIN(value), pathway LIMIT 1)",
+        "own AS (SELECT * FROM scaled_act WHERE pathway IN (SELECT pathway FROM best))",
+        select=f"""SELECT o.cell_id, {r('c.x', 'x')}, {r('c.y', 'y')}, c.celltype, o.pathway, {r('o.value', 'score')},
+  {r('(SELECT MAX(value) FROM own)', 'retained_quantile')}, (SELECT COUNT(*) FROM own) AS retained_cell_count, 'all' AS activity_mode
+  FROM own o JOIN cells c USING (cell_id) WHERE o.value >= (SELECT QUANTILE_CONT(value, 0.9) FROM own)"""),
     "selection_filter": query(CELLS, PICKED, select=f"SELECT cell_id, {r('x')}, {r('y')}, celltype FROM cells WHERE cell_id IN (SELECT cell_id FROM picked)"),
     "landmark_union": query(CELLS, PICKED, """pts AS (SELECT * FROM cells UNION ALL SELECT cell_id, x, y, 'Landmark' FROM cells
   WHERE cell_id IN (SELECT cell_id FROM picked))""", near(), MEAN, select=MATRIX),

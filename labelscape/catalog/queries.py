@@ -17,7 +17,10 @@ from labelscape.operators import (
 )
 from labelscape.plans.interaction import ligand_receptor_topology
 from labelscape.plans.pathway import niche_smoothed, pathway_topology
+from labelscape.plans.transcripts import counts_by_group
+from labelscape.render import figures
 from labelscape.session import written
+from labelscape.streaming.accumulate import partial_sums
 
 Query = Callable[[SparkSession, str], DataFrame]
 DIGITS = 6
@@ -260,6 +263,29 @@ def _drift(s, d) -> DataFrame:
     return rounded(mx.drift(first, last)[1])
 
 
+def given_sizes(spark, folder) -> DataFrame:
+    """Percentages for every pair of labels: each customer label's share of customers with a balance above the other's mean."""
+    means = cells(spark, folder).groupBy(F.col("celltype").alias("col")).agg(F.avg("x").alias("mean"))
+    return cells(spark, folder).join(means, F.lit(True)).groupBy(F.col("celltype").alias("row"), "col").agg(
+        (F.avg((F.col("x") > F.col("mean")).cast("double")) * 150).alias("value"))
+
+
+def _pathway_hotspots(s, d) -> DataFrame:
+    activity = written(scaled_activity(s, d))
+    diagnostics = activity.groupBy("pathway").agg(
+        F.max("value").alias("retained_quantile"), F.count("*").alias("retained_cell_count"), F.lit("all").alias("activity_mode"))
+    to_cell = pw.gene_aggregate(derived_topology(s, d), type_sets(s, d))
+    return rounded(pw.pathway_hotspots(cells(s, d), activity, to_cell, diagnostics, q=0.9))
+
+
+def owned_transcripts(spark, folder) -> DataFrame:
+    """Order lines as molecules that lie in their customer's cell."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey")
+    kinds = table(spark, folder, "part").select("p_partkey", F.col("p_type").alias("feature_name"))
+    orders = table(spark, folder, "orders").select("o_orderkey", F.col("o_custkey").alias("cell_id"))
+    return lines.join(kinds, F.col("l_partkey") == F.col("p_partkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+
+
 def _mode_summary(s, d) -> DataFrame:
     aggregate = pw.gene_aggregate(derived_topology(s, d), type_sets(s, d))
     mean = pw.gene_aggregate(derived_topology(s, d), type_sets(s, d), aggregate="mean")
@@ -321,6 +347,11 @@ QUERIES: dict[str, Query] = {
     "entity_structuremap": lambda s, d: rounded(entity.entity_structuremap(
         entity.entity_points(cells(s, d), expression(s, d, "p_type")))),
     "transcript_by_cell": lambda s, d: rounded(entity.transcript_to_cell(cells(s, d), transcripts(s, d))[1]),
+    "transcript_by_cell_counts": lambda s, d: rounded(counts_by_group(owned_transcripts(s, d), cells(s, d).where("celltype < 'H'"))),
+    "batch_sums": lambda s, d: rounded(partial_sums(weighted_cells(s, d).where("weight < 0"), cells(s, d))),
+    "circle_data": lambda s, d: rounded(figures.circle_data(
+        st.structure_map(mx.searcher_findee(cells(s, d))), given_sizes(s, d), exponent=0.5, max_area=100)),
+    "pathway_hotspots": _pathway_hotspots,
     "lr_contact": lambda s, d: rounded(brand_contact(s, d)),
     "lr_scores": lambda s, d: rounded(brand_scores(s, d)),
     "lr_top_pairs": lambda s, d: rounded(ia.top_pairs(brand_scores(s, d), 12)),

@@ -12,20 +12,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from labelscape.operators.matrices import axes, located
-from labelscape.operators.nearest import nearest_per_label
+from labelscape.operators.nearest import nearest_sums
+from labelscape.session import written
 
 
 def partial_sums(points: DataFrame, targets: DataFrame, *, x_col: str = "x", y_col: str = "y", z_col: str | None = None,
                  celltype_col: str = "celltype", strategy: str = "auto") -> DataFrame:
     """(source, target, total, n) of one batch of source points."""
     coords = axes(x_col, y_col, z_col)
-    near = nearest_per_label(located(points, coords, celltype_col), targets, coords, celltype_col, strategy=strategy)
-    return near.groupBy("source", "target").agg(
-        F.sum(F.col("dist") * F.col("n")).alias("total"), F.sum("n").alias("n"))
+    sums = nearest_sums(located(points, coords, celltype_col), targets, coords, celltype_col, strategy=strategy)
+    return sums.groupBy("source", "target").agg(F.sum("nd").alias("total"), F.sum("n").alias("n"))
 
 
 def accumulate(stream: DataFrame, targets: DataFrame, path: str, checkpoint: str, **columns) -> StreamingQuery:
-    """Start writing partial sums of all available points of ``stream`` under ``path``."""
+    """Start writing partial sums of all available points of ``stream`` under ``path``. The targets are brought to distinct places once."""
+    kept = [*axes(columns.get("x_col", "x"), columns.get("y_col", "y"), columns.get("z_col")), columns.get("celltype_col", "celltype")]
+    targets = written(targets.select(*kept).distinct())
 
     def store(batch: DataFrame, number: int) -> None:
         partial_sums(batch, targets, **columns).write.mode("overwrite").parquet(f"{path}/batch={number}")
