@@ -1,7 +1,8 @@
 """Runnable queries over the given tables, one per operator; SQL twins are in ``oracles``.
 
 Bindings: customers are cells (x = balance / 100, y = nation key, label = market segment), parts and
-embeddings are point clouds, and the quantity of each brand or type a customer ordered is expression.
+embeddings are point clouds, and the quantity of each brand or type a customer ordered is expression. Points have two or three
+coordinates by definition, so an embedding's first numbers are its place; every row of the table is one.
 """
 
 from __future__ import annotations

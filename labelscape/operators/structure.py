@@ -1,7 +1,7 @@
 """Structure maps: cophenetic distances of clustered label matrices, scaled to [0, 1].
 
-The clustering input is a matrix of labels, not of points; it is bounded by the number of
-distinct labels (checked against ``MAX_LABELS``) and handled one group (sample, entity) per call.
+The clustering input is a matrix of labels, not of points; a task holds the matrix of one group (sample, entity), whose size is
+the square of the number of distinct labels.
 """
 
 from __future__ import annotations
@@ -15,8 +15,6 @@ from pyspark.sql import types as T
 from labelscape.functions import linkage as link
 from labelscape.session import written
 
-MAX_LABELS = 20_000
-
 
 def profile_distances(matrix: DataFrame, axis: str = "row") -> DataFrame:
     """Euclidean distance between every two rows (or columns) of a label matrix."""
@@ -37,8 +35,6 @@ def _profiles(matrix: DataFrame, groups: list[str], axis: str) -> DataFrame:
 
 def _square(pdf: pd.DataFrame) -> tuple[list[str], np.ndarray]:
     pdf = pdf.sort_values("label", kind="stable")
-    if len(pdf) > MAX_LABELS:
-        raise ValueError(f"clustering {len(pdf)} labels at once exceeds the bound of {MAX_LABELS}")
     if pdf["values"].map(len).nunique() > 1:
         raise ValueError("the label matrix has missing entries")
     return list(pdf["label"]), np.stack([np.asarray(v, dtype=float) for v in pdf["values"]])
