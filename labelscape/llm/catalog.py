@@ -73,6 +73,7 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat, op2_toxicity, op3_warc, op4_licenses, op5_bit_codes, op6_order_minhash, op7_secrets, op8_jaccard_join, op9_packing, op10_byte_bpe)}
 ORACLES: dict[str, str] = {
     "op1_chat": chat.SQL,
+    "op8_jaccard_join": signature_tree.SQL,
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),

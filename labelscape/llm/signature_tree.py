@@ -398,3 +398,17 @@ def one_of_each(df: DataFrame, *, width: int = 4, percent: int = 85, key: str =
     single = lacking(df, written(gone.union(twice).distinct()), key)
     kept = found.join(twice, key, "left_semi").where(F.col(key) == F.col("component_id")).select(F.col(key).cast(kind).alias(key)).distinct()
     return single.unionByName(having(df, kept, key).dropDuplicates([key, text])).select(*df.columns)
+
+
+#: The join in DuckDB, over ``documents``; for tables small enough to compare all documents that share a shingle.
+SQL = r"""
+    WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))) END AS shingles FROM w),
+    u AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+    links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+        GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+    reached AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b)
+    SELECT s.doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, min(b) AS component_id
+    FROM s JOIN reached ON s.doc_id = a GROUP BY s.doc_id, shingles"""
