@@ -26,10 +26,10 @@ def escaped(text: Column) -> Column:
 def turns_in_order(df: DataFrame, conversation: str, turn: str, speaker: str, text: str, system: tuple[str, ...]) -> DataFrame:
     """Distinct turns, dealt by ranges of their order; ``part`` is the range, so that a long dialogue has many."""
     rows = df.select(
-        F.col(conversation).alias("conv"), F.col(turn).cast("long").alias("turn"),
+        F.struct(F.col(conversation).alias("id")).alias("conv"), F.col(turn).cast("long").alias("turn"),
         F.coalesce(F.regexp_replace(F.col(speaker).cast("string"), r"[\x00-\x20]+", "_"), F.lit("unknown")).alias("speaker"),
         F.coalesce(escaped(F.col(text).cast("string")), F.lit("")).alias("text")).distinct()
-    order = [F.col("conv").asc_nulls_last(), F.col("turn").asc_nulls_last(), F.col("speaker"), F.col("text")]
+    order = [F.col("conv"), F.col("turn").asc_nulls_last(), F.col("speaker"), F.col("text")]
     return written(rows.repartitionByRange(*order).withColumn("is_system", F.col("speaker").isin(*system)).withColumn(
         "part", F.spark_partition_id()))
 
@@ -46,11 +46,12 @@ def perspectives(df: DataFrame, *, conversation: str = "conv_id", turn: str = "t
     A conversation without participants has no rows.
     """
     turns = turns_in_order(df, conversation, turn, speaker, text, system)
-    people = turns.where("not is_system").select(F.col("conv").alias("p_conv"), F.col("speaker").alias("participant")).distinct()
+    # ``conv`` is a struct, so that a null conversation is a key like any other
+    people = turns.where("not is_system").select("conv", F.col("speaker").alias("participant")).distinct()
     own = F.col("speaker") == F.col("participant")
     head = F.concat(F.lit(OPEN), F.when(F.col("is_system"), "system").when(own, "assistant").otherwise(
         F.concat(F.lit("user name="), F.col("speaker"))), F.lit("\n"))
-    said = turns.join(people, F.col("conv").eqNullSafe(F.col("p_conv"))).select(
+    said = turns.join(people, "conv").select(
         "conv", "participant", "part", "turn", "speaker", "text", own.alias("own"), head.alias("head")).withColumn(
         "size", F.char_length("head") + F.char_length("text") + len(CLOSE) + 1)
     # where each turn begins: running sums inside a range of turns, and the ranges before it
@@ -59,11 +60,9 @@ def perspectives(df: DataFrame, *, conversation: str = "conv_id", turn: str = "t
     inside = F.sum("size").over(Window.partitionBy(*group, "part").orderBy(*order)) - F.col("size")
     totals = said.groupBy("conv", "participant", "part").agg(F.sum("size").alias("total"))
     before = F.sum("total").over(Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    bases = totals.select(F.col("conv").alias("b_conv"), F.col("participant").alias("b_participant"), F.col("part").alias("b_part"),
-                          F.coalesce(before, F.lit(0)).alias("base"))
-    placed = said.withColumn("inside", inside).join(
-        bases, F.col("conv").eqNullSafe(F.col("b_conv")) & (F.col("participant") == F.col("b_participant"))
-        & (F.col("part") == F.col("b_part"))).withColumn("at", F.col("base") + F.col("inside"))
+    bases = totals.select("conv", "participant", "part", F.coalesce(before, F.lit(0)).alias("base"))
+    placed = said.withColumn("inside", inside).join(bases, ["conv", "participant", "part"]).withColumn(
+        "at", F.col("base") + F.col("inside"))
     rendered = F.concat("head", "text", F.lit(CLOSE + "\n"))
     spoken = F.col("at") + F.char_length("head")
     grouped = placed.withColumn("segment", F.floor(F.col("at") / segment)).groupBy("conv", "participant", "segment").agg(
@@ -72,7 +71,7 @@ def perspectives(df: DataFrame, *, conversation: str = "conv_id", turn: str = "t
             (spoken + F.char_length("text") + len(CLOSE)).alias("to")))).alias("said"))
     first = F.col("said")[0]["at"]
     return grouped.select(
-        F.col("conv").alias(conversation), "participant", "segment", F.size("said").cast("long").alias("n_turns"),
+        F.col("conv")["id"].alias(conversation), "participant", "segment", F.size("said").cast("long").alias("n_turns"),
         F.array_join(F.transform("said", lambda t: t["text"]), "").alias("text"),
         F.array_join(F.transform(F.filter("said", lambda t: t["own"]), lambda t: F.concat_ws(
             ":", t["from"] - first, t["to"] - first)), ",").alias("mask"))
