@@ -42,9 +42,9 @@ _rooms: dict[str, Callable[[], None]] = {}
 
 def make_room(name: str, empty: Callable[[], None]) -> None:
     """Called by an operator that keeps a cache in its worker: those of other operators, which the worker served before, are emptied."""
-    for other, clear in _rooms.items():
-        if other != name:
-            clear()
+    for other in [other for other in _rooms if other != name]:
+        _rooms.pop(other)()
+        pa.default_memory_pool().release_unused()
     _rooms[name] = empty
 
 

@@ -415,6 +415,10 @@ _models: dict[int, Model] = {}
 def here(shared) -> Model:
     """The broadcast model; a worker that serves several tasks goes on with the words it has scored."""
     model = shared.value
-    model = _models.setdefault((tuple(model.landmarks), model.bias, model.slope), model)
+    name = (tuple(model.landmarks), model.bias, model.slope)
+    if name not in _models:
+        _models.clear()  # one model at a time, with the words it has scored
+        _models[name] = model
+    model = _models[name]
     make_room("toxicity", model.known.clear)
     return model
