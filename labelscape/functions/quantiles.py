@@ -70,7 +70,7 @@ def quantile(df: DataFrame, keys: list[str], value: str, q: dict[str, float], *,
     base = base.where(F.col("_f") > 0)
     if not bounded:
         base = written(base)
-    if bounded or base.limit(small_rows + 1).count() <= small_rows:
+    if bounded or base.count() <= small_rows:
         return base.groupBy(*keys).agg(
             *[F.percentile("_v", F.lit(float(p)), F.col("_f")).alias(name) for name, p in q.items()])
     total = base.groupBy(*keys).agg(F.sum("_f").alias("_n"))

@@ -67,8 +67,8 @@ def nearest_per_label(
     if strategy not in {"auto", "broadcast", "packed"}:
         raise ValueError("strategy must be one of: auto, broadcast, packed")
     if strategy != "packed":
-        table = targets.limit(broadcast_rows + 1).toArrow()
-        if table.num_rows <= broadcast_rows:
+        table, targets = _if_few(targets, broadcast_rows)
+        if table is not None:
             return _broadcast_nearest(sources, table, coords, factor, spread, by)
     return _packed_join(sources, targets, coords, factor=factor, by=by)
 
@@ -89,8 +89,8 @@ def nearest_sums(sources: DataFrame, targets: DataFrame, coords: list[str], labe
     if strategy not in {"auto", "broadcast", "packed"}:
         raise ValueError("strategy must be one of: auto, broadcast, packed")
     if strategy != "packed":
-        table = targets.limit(broadcast_rows + 1).toArrow()
-        if table.num_rows <= broadcast_rows:
+        table, targets = _if_few(targets, broadcast_rows)
+        if table is not None:
             return _broadcast_nearest(sources, table, coords, None, True, by, total=True)
     return _packed_join(sources, targets, coords, by=by, total=True)
 
@@ -145,12 +145,19 @@ def k_nearest(
         F.col(id_col).alias("_tid"),
     )
     if strategy != "packed":
-        table = targets.limit(broadcast_rows + 1).toArrow()
-        if table.num_rows <= broadcast_rows:
+        table, targets = _if_few(targets, broadcast_rows)
+        if table is not None:
             return _broadcast_k_nearest(points, table, coords, id_col, k)
     return _packed_join(points, targets, coords, k=k, id_col=id_col)
 
 
+def _if_few(targets: DataFrame, bound: int) -> tuple[pa.Table | None, DataFrame]:
+    """The targets if they are few enough to be sent to every task, and the targets written once: their number comes from the files,
+    so that nothing is gathered before it is known to be small."""
+    targets = written(targets)
+    return (targets.toArrow() if targets.count() <= bound else None), targets
+
+
 def _complete(df: DataFrame, coords: list[str]) -> DataFrame:
     for c in coords:
         df = df.where(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")))
