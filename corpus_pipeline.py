@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from labelscape.llm import packing, secrets, signature_tree, toxicity
 from labelscape.llm.catalog import THRESHOLD, held_out
-from labelscape.llm.common import table, written
+from labelscape.llm.common import small_batches, table, written
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,6 +21,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8), the document with the smallest doc_id."""
+    small_batches(spark)
     return signature_tree.one_of_each(docs, width=5, percent=80)
 
 
@@ -33,6 +34,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, packed into sequences of at most 2048 tokens."""
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

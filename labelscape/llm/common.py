@@ -10,13 +10,22 @@ from pyspark.sql import functions as F
 
 from labelscape.session import written
 
-__all__ = ["having", "input_bytes", "lacking", "make_room", "rows_of", "spread", "table", "written"]
+__all__ = ["having", "input_bytes", "lacking", "make_room", "rows_of", "small_batches", "spread", "table", "written"]
 
 #: Bits of the filter that ``having`` and ``lacking`` hand to every task, whatever the number of keys.
 FILTER_BITS = 1 << 24
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts come in batches of at most ``rows`` from here on; Spark's default of 10,000 makes them tens of MB, on both sides
+    of the pipe and for every core. A session that has another number keeps it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
