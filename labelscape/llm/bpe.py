@@ -214,6 +214,11 @@ def encoder_of(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
+def forget() -> None:
+    encoder_of.cache_clear()
+    vocabulary_of.cache_clear()
+
+
 def encode(df: DataFrame, path: str, pattern: str, *, key: str = "doc_id", text: str = "text",
            digests: bool = False) -> DataFrame:
     """``key``, ``ids`` array<int> (null text: none) and ``decoded`` binary, row for row.
@@ -228,7 +233,7 @@ def encode(df: DataFrame, path: str, pattern: str, *, key: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path, pattern)
         vocabulary = encoder.vocabulary
-        make_room("bpe", encoder.known.clear)
+        make_room("bpe", forget)
         for batch in rows_of(batches):
             lists, decoded = [], []
             for value in batch.column(1):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 
 from labelscape.session import written
 
-__all__ = ["having", "input_bytes", "lacking", "make_room", "rows_of", "small_batches", "spread", "table", "written"]
+__all__ = ["give_back", "having", "input_bytes", "lacking", "make_room", "rows_of", "small_batches", "spread", "table", "written"]
 
 #: Bits of the filter that ``having`` and ``lacking`` hand to every task, whatever the number of keys.
 FILTER_BITS = 1 << 24
@@ -50,11 +53,21 @@ _rooms: dict[str, Callable[[], None]] = {}
 
 
 def make_room(name: str, empty: Callable[[], None]) -> None:
-    """Called by an operator that keeps a cache in its worker: those of other operators, which the worker served before, are emptied."""
-    for other in [other for other in _rooms if other != name]:
+    """Called by an operator that keeps data in its worker: that of other operators, which the worker served before, goes."""
+    others = [other for other in _rooms if other != name]
+    for other in others:
         _rooms.pop(other)()
-        pa.default_memory_pool().release_unused()
     _rooms[name] = empty
+    if others:
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, which an idle worker would otherwise hold."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def among(keys: DataFrame, key: str) -> Callable[[Column], Column]:

@@ -87,7 +87,7 @@ def cut(df: DataFrame, path: str, *, size: int = 2048, end: int = END, key: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, last = encoder_of(path), np.array([end], "<u4").tobytes()
-        make_room("packing", encoder.known.clear)
+        make_room("packing", encoder_of.cache_clear)
         for batch in rows_of(batches):
             source, start, length, crc, total = [], [], [], [], []
             for i, value in enumerate(batch.column(1)):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelscape.llm.common import having, input_bytes, lacking, make_room, rows_of, written
+from labelscape.llm.common import give_back, having, input_bytes, lacking, make_room, rows_of, written
 from labelscape.llm.components import components, stars
 from labelscape.llm.shingles import shingle_set
 
@@ -85,6 +85,8 @@ def levels(texts: DataFrame, width: int, bits: int, table_bits: int) -> np.ndarr
                 held, size = [], 0
         if size:
             yield from sent(held)
+        held.clear()
+        give_back()
 
     def total(table: pa.Table) -> pa.Table:
         once = [np.frombuffer(v.as_py(), "<u4") for v in table.column("once")]
@@ -181,6 +183,8 @@ def meetings(texts: DataFrame, width: int, percent: int, bits: int, level: np.nd
                 held, marks, size = [], [], 0
         if size:
             yield from sent(held, marks)
+        held.clear()
+        give_back()
 
     met = written(texts.mapInArrow(run, "doc long, key binary, mark long, n long, shard int, blob binary, a long, b long"))
     shared.unpersist()

@@ -42,7 +42,7 @@ class Settings:
     order: int = 4
     decay: float = 0.6
     landmarks: int = 96
-    sample: int = 4_000
+    sample: int = 5_000
     letters: int = 3_000  # of each sampled document's sentences, whole sentences
     rounds: int = 2
     telling: float = 3.0
@@ -283,7 +283,11 @@ def train(labelled: Iterable[tuple[str, int]], settings: Settings = Settings())
     telling = (dirty - expected) / np.sqrt(dirty + expected + 2.0)
     order = sorted(np.flatnonzero(telling > 0).tolist(), key=lambda i: (-telling[i], vocabulary[i]))
     often = sorted(np.flatnonzero(plain > 0).tolist(), key=lambda i: (-plain[i], vocabulary[i]))
-    sure = [i for i in order if telling[i] >= settings.telling and len(vocabulary[i]) > 2 and expected[i] < 0.1 * dirty[i]]
+    # surely telling: so unlikely by chance that not even the largest of as many random words would get there
+    share, both = len(toxic) / (len(toxic) + len(clean)), dirty + plain
+    evidence = dirty * np.log(np.maximum(dirty, 1) / (both * share)) + plain * np.log(np.maximum(plain, 1) / (both * (1 - share)))
+    enough = np.log(len(vocabulary)) + settings.telling
+    sure = [i for i in order if evidence[i] >= enough and len(vocabulary[i]) > 2 and expected[i] < 0.1 * dirty[i]]
     half = settings.landmarks // 2
     bad = [vocabulary[i][:LONGEST] for i in order[:4 * half] if expected[i] < 0.2 * dirty[i] and len(vocabulary[i]) > 2]
     good = [vocabulary[i][:LONGEST] for i in often[:8 * half] if len(vocabulary[i]) > 2]
@@ -310,18 +314,20 @@ def train(labelled: Iterable[tuple[str, int]], settings: Settings = Settings())
     hard = np.zeros(0, np.int64)
     rank, w, b = telling, None, None
     for _ in range(settings.rounds):
-        # a toxic document's witnesses: its surely telling words, or else the word that ranks highest
+        # a toxic document's witnesses: its surely telling words; where no word is sure, the word that ranks highest. A document
+        # without any is left out, since its label may be wrong and its words would be taught as toxic
         chosen: Counter = Counter()
         for d in toxic:
             own = d[told[d]]
-            chosen.update(own.tolist() if len(own) else [int(d[np.argmax(rank[d])])])
+            chosen.update(own.tolist() if sure else [int(d[np.argmax(rank[d])])])
         at = np.array(sorted(chosen))
         share = np.sqrt(np.array([chosen[i] for i in at], np.float64))
         for _ in range(6):
             x = np.vstack([every[at], altered, every[held]])
             y = np.concatenate([np.ones(len(at) + len(altered)), -np.ones(len(held))])
-            weight = np.concatenate([10 + 500 * share / share.sum(), np.full(len(altered), 1.0),
-                                     np.where(np.isin(held, hard), 1.0, 200 / len(held))])
+            # a clean word weighs by how often it would be a false alarm, and at least 1 once it has been one
+            alarm = np.maximum(0.04 * np.sqrt(plain[held]), np.isin(held, hard))
+            weight = np.concatenate([10 + 500 * share / share.sum(), np.full(len(altered), 1.0), alarm])
             w, b = machine(x, y, weight, settings.cost)
             rank = every @ w.astype(np.float32) + b
             wrong = often[rank[often] > -0.3]  # clean words on or over the edge join, worst first
@@ -332,7 +338,10 @@ def train(labelled: Iterable[tuple[str, int]], settings: Settings = Settings())
     model.weights, model.bias = root @ w, b
     model.fold()
     margins = np.array([rank[d].max() for d in (*toxic, *clean)], np.float64)
-    model.slope, model.middle = curve(margins, np.concatenate([np.ones(len(toxic)), np.zeros(len(clean))]))
+    marks = np.concatenate([np.ones(len(toxic)), np.zeros(len(clean))])
+    seen = (marks == 0) | (margins > 0)
+    if (marks[seen] == 1).any():
+        model.slope, model.middle = curve(margins[seen], marks[seen])
     return model
 
 
@@ -368,14 +377,13 @@ def spread_out(words: list[str], many: int, settings: Settings) -> list[str]:
 
 
 def curve(margins: np.ndarray, marks: np.ndarray) -> tuple[float, float]:
-    """Slope and middle of the logistic curve with the least log loss, the rarer label weighing more, by Newton steps."""
+    """Slope and middle of the logistic curve with the least log loss, by Newton steps."""
     a, c = 4.0, 0.0
     target = np.where(marks == 1, (marks.sum() + 1) / (marks.sum() + 2), 1 / (len(marks) - marks.sum() + 2))
-    even = np.where(marks == 1, np.sqrt((len(marks) - marks.sum()) / marks.sum()), 1.0)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * margins - c, -40, 40)))
-        g = np.array([(even * (p - target) * margins).sum(), -(even * (p - target)).sum()])
-        v = even * p * (1 - p) + 1e-9
+        g = np.array([((p - target) * margins).sum(), -(p - target).sum()])
+        v = p * (1 - p) + 1e-9
         h = np.array([[(v * margins * margins).sum(), -(v * margins).sum()], [-(v * margins).sum(), v.sum()]])
         step = np.linalg.solve(h + 1e-6 * np.eye(2), g)
         a, c = a - np.clip(step[0], -2, 2), c - np.clip(step[1], -2, 2)
@@ -420,5 +428,5 @@ def here(shared) -> Model:
         _models.clear()  # one model at a time, with the words it has scored
         _models[name] = model
     model = _models[name]
-    make_room("toxicity", model.known.clear)
+    make_room("toxicity", _models.clear)
     return model
