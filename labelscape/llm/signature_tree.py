@@ -30,7 +30,7 @@ from labelscape.llm.shingles import shingle_set
 #: The table of levels has at most 2**LEVEL_BITS bytes, whatever the input.
 LEVEL_BITS = 26
 #: Shingles held back by a task before it sends them on.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 #: Sets in a block, children of a tree's node.
 BLOCK, FAN = 128, 8
 #: A set's mark has its size class in so many low bits; classes are a quarter of the largest step between sizes that link.

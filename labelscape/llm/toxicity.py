@@ -31,7 +31,7 @@ SIGNS = str.maketrans(dict.fromkeys("*-_.,;:!?'\"()[]{}<>/\\|~^+=#%&`", "") | {
     "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
 #: Longer words are seen through overlapping windows of this many letters.
 LONGEST = 20
-CACHE = 400_000
+CACHE = 300_000
 
 
 @dataclass(frozen=True)
