@@ -61,6 +61,10 @@ def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return signature_tree.jaccard_join(table(spark, folder, "documents"))
 
 
+def op8_link_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return signature_tree.jaccard_join(table(spark, folder, "documents"), links=True)
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -83,3 +87,6 @@ ORACLES: dict[str, str] = {
             CASE WHEN first <> page_id THEN first END AS refers_to
         FROM d LEFT JOIN f USING (payload_digest)""",
 }
+#: Further queries of an operator: the join with the number of links of each document.
+FURTHER: dict[str, Query] = {"op8_link_counts": op8_link_counts}
+FURTHER_ORACLES: dict[str, str] = {"op8_link_counts": signature_tree.LINKS_SQL}

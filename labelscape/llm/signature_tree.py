@@ -11,6 +11,9 @@ Two documents link if the Jaccard similarity of their sets of word shingles reac
    largest overlap that their bitmaps allow cannot reach the threshold, or if all their members are linked already. Leaves are compared exactly.
 4. A cluster with more sets than a task should hold is cut into blocks. First each block is joined with itself and one
    block of its size; what that leaves unlinked is then joined block by block, except within what is linked already.
+
+Groups of linked documents need only links that join them, so what is linked already is passed over. The number of links of each
+document needs all: with ``links`` every pair of sets that sizes and bitmaps leave is compared, each in one unit of work.
 """
 
 from __future__ import annotations
@@ -302,6 +305,103 @@ def linked_pairs(sets: list[np.ndarray], group: list, percent: int) -> list[tupl
     return found
 
 
+def all_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs that link: of different sides if there are two, else any. Trees drop pairs by their bounds only."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    bitmaps, excess = bits_of(sets)
+    order = np.lexsort(([int(s[0]) if len(s) else 0 for s in sets], sizes))
+    roots = [signature_tree(order[side[order] == v], bitmaps, sizes, excess) for v in np.unique(side)]
+    left: list[np.ndarray] = []
+    right: list[np.ndarray] = []
+    stack = [(roots[0], roots[-1])]
+    while stack:
+        one, other = stack.pop()
+        if 100 * min(one.most, other.most) < percent * max(one.least, other.least):
+            continue
+        need = -(-percent * int(one.least + other.least) // (100 + percent))
+        if one is not other and np.bitwise_count(one.bitmap & other.bitmap).sum() + min(one.excess, other.excess) < need:
+            continue
+        if not one.children and not other.children:
+            i, j = np.repeat(one.members, len(other.members)), np.tile(other.members, len(one.members))
+            if one is other:
+                x, y = np.triu_indices(len(one.members), 1)
+                i, j = one.members[x], one.members[y]
+            small, large = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+            most = np.bitwise_count(bitmaps[i] & bitmaps[j]).sum(axis=1, dtype=np.int64) + np.minimum(excess[i], excess[j])
+            maybe = (100 * small >= percent * large) & ((100 + percent) * most >= percent * (small + large))
+            left.append(i[maybe])
+            right.append(j[maybe])
+        elif one is other:
+            for x, child in enumerate(one.children):
+                stack.extend((child, later) for later in one.children[x:])
+        elif not other.children or (one.children and len(one.members) >= len(other.members)):
+            stack.extend((child, other) for child in one.children)
+        else:
+            stack.extend((one, child) for child in other.children)
+    i, j = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (left, right))
+    # exact overlaps: tokens get local numbers, those of one set are marked, and all sets count their marked ones
+    tokens, local = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    marked, overlap = np.zeros(len(tokens), np.int64), np.zeros(len(i), np.int64)
+    by = np.argsort(i, kind="stable")
+    firsts, at = np.unique(i[by], return_index=True)
+    for first, mine in zip(firsts, np.split(by, at[1:])):
+        own = local[starts[first]:starts[first] + sizes[first]]
+        marked[own] = 1
+        overlap[mine] = np.add.reduceat(marked[local], starts)[j[mine]]
+        marked[own] = 0
+    linked = (100 + percent) * overlap >= percent * (sizes[i] + sizes[j])
+    return i[linked], j[linked]
+
+
+def counted(units: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Rows (a, b) that connect what links in each ``unit``, and (a, n): documents that link with those of set ``a`` there, its own left out.
+
+    ``units`` has unit, doc, key, side and copies (documents of that set).
+    """
+    def run(table: pa.Table) -> pa.Table:
+        found: dict[bytes, tuple] = {}
+        for key, text, side, copies in zip(*(table.column(c) for c in ("key", "text", "side", "copies"))):
+            numbers, name = shingle_set(text.as_py(), width), key.as_py()
+            if name not in found and digest(numbers) == name:  # not another text under the same document number
+                found[name] = numbers, side.as_py(), copies.as_py()
+        keys, (sets, side, copies) = list(found), zip(*found.values())
+        one, other = all_links(list(sets), np.array(side), percent)
+        n = np.zeros(len(keys), np.int64)
+        np.add.at(n, one, np.array(copies)[other])
+        np.add.at(n, other, np.array(copies)[one])
+        a, b = stars(one, other)
+        some = np.flatnonzero(n)
+        return pa.table({"a": pa.array([keys[i] for i in (*a, *some)], pa.binary()),
+                         "b": pa.array([keys[i] for i in b] + [None] * len(some), pa.binary()),
+                         "n": pa.array([None] * len(a) + n[some].tolist(), pa.int64())})
+
+    return units.join(texts, "doc").select("unit", "key", "side", "copies", "text").groupBy("unit").applyInArrow(
+        run, "a binary, b binary, n long")
+
+
+def every_unit(members: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
+    """Units for ``counted``: clusters of one block, and of larger ones each pair of blocks whose sizes may link once."""
+    ends = [F.lit(0).alias("size"), F.lit(0).cast("long").alias("part"), F.lit(0).alias("o_size"), F.lit(0).cast("long").alias("o_part")]
+    small = members.join(counts.where(F.col("count") <= BLOCK), "cluster").select(
+        F.struct("cluster", *ends).alias("unit"), "doc", "key", F.lit(0).alias("side"), "copies")
+    large = written(blocks(members.join(counts.where(F.col("count") > BLOCK), "cluster").drop("count"), percent))
+    if large.isEmpty():
+        return small
+    one = large.groupBy("cluster", "size", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    other = one.withColumnsRenamed({c: f"o_{c}" for c in one.columns})
+    pairs = one.withColumn("near", F.explode(F.array("size", F.col("size") + 1))).join(
+        other, (F.col("cluster") == F.col("o_cluster")) & (F.col("near") == F.col("o_size"))).where(
+        (F.struct("size", "part") <= F.struct(F.col("o_size").alias("size"), F.col("o_part").alias("part")))
+        & (100 * F.col("most") >= percent * F.col("o_least")) & (100 * F.col("o_most") >= percent * F.col("least")))
+    unit = F.struct("cluster", "size", "part", "o_size", "o_part").alias("unit")
+    mine = pairs.select(unit, "cluster", "size", "part", F.lit(0).alias("side"))
+    theirs = pairs.where((F.col("size") != F.col("o_size")) | (F.col("part") != F.col("o_part"))).select(
+        unit, "cluster", F.col("o_size").alias("size"), F.col("o_part").alias("part"), F.lit(1).alias("side"))
+    return small.unionByName(mine.unionByName(theirs).join(large, ["cluster", "size", "part"]).select(
+        "unit", "doc", "key", "side", "copies"))
+
+
 def joined(units: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """What the links that a tree finds in each ``unit`` connect, as pairs (a, b) of set keys; ``units`` has unit, doc, key and group."""
     def run(table: pa.Table) -> pa.Table:
@@ -329,22 +429,8 @@ def blocks(members: DataFrame, percent: int, *pools: str) -> DataFrame:
         "part", F.pmod(F.xxhash64("key"), F.ceil(F.col("count") / BLOCK))).drop("count")
 
 
-def jaccard_join(df: DataFrame, *, width: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, n_shingles and component_id, the smallest key that links lead to (its own included).
-
-    Documents link if 100 x intersection >= percent x union of their shingles. A text with fewer words than ``width`` is one
-    shingle; one without words, or null, links with nothing, as does a row with a null key, whose component_id is
-    null. Rows of equal key are documents of their own. Other columns are not read.
-    """
-    texts = texts_of(df, key, text)
-    bits = shard_bits(df)
-    met = meetings(texts, width, percent, bits, levels(texts, width, bits, level_bits(df)))
-    docs = met.where("key is not null").select("doc", "key", "mark", "n")
-    sets = docs.where("n > 0 and doc is not null").groupBy("key", "mark", "n").agg(F.min("doc").alias("doc"))
-    members = written(sets.join(clusters(met), "mark"))
-    own = written(having(texts, members.select("doc").distinct(), "doc"))
-
-    counts = members.groupBy("cluster").count()
+def forest(members: DataFrame, counts: DataFrame, own: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of set keys that connect all sets which links connect."""
     nothing = F.lit(None).cast("binary").alias("group")
     small = members.join(counts.where(F.col("count") <= BLOCK), "cluster").select(
         F.struct(F.col("cluster"), F.lit(0).alias("size"), F.lit(0).cast("long").alias("part")).alias("unit"), "doc", "key", nothing)
@@ -380,15 +466,47 @@ def jaccard_join(df: DataFrame, *, width: int = 4, percent: int = 85, key: str =
         units = sides.select("unit", F.col("unit.cluster").alias("cluster"), "side.*").distinct().join(
             cut, ["cluster", "size", "pool", "part"]).select("unit", "doc", "key", "group")
         links = links.unionByName(written(joined(units, own, width, percent)))
+    return links
+
 
-    labels = components(links)
-    named = sets.select("key", "doc").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn(
+def jaccard_join(df: DataFrame, *, width: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text",
+                 links: bool = False) -> DataFrame:
+    """Per row: key, n_shingles and component_id, the smallest key that links lead to (its own included).
+
+    Documents link if 100 x intersection >= percent x union of their shingles. A text with fewer words than ``width`` is one
+    shingle; one without words, or null, links with nothing, as does a row with a null key, whose component_id is
+    null. Rows of equal key are documents of their own. Other columns are not read. With ``links`` a further column, n_links, has
+    the number of other documents that each one links with.
+    """
+    texts = texts_of(df, key, text)
+    bits = shard_bits(df)
+    met = meetings(texts, width, percent, bits, levels(texts, width, bits, level_bits(df)))
+    docs = met.where("key is not null").select("doc", "key", "mark", "n")
+    sets = docs.where("n > 0 and doc is not null").groupBy("key", "mark", "n").agg(
+        F.min("doc").alias("doc"), F.count("*").alias("copies"))
+    members = written(sets.join(clusters(met), "mark"))
+    own = written(having(texts, members.select("doc").distinct(), "doc"))
+
+    counts = members.groupBy("cluster").count()
+    if links:
+        found = written(counted(every_unit(members, counts, percent), own, width, percent))
+        more = found.where("n is not null").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("more"))
+        pairs = found.where("b is not null").select("a", "b")
+    else:
+        pairs = forest(members, counts, own, width, percent)
+    labels = components(pairs)
+    named = sets.select("key", "doc", "copies").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn(
         "label", F.coalesce("label", "key"))
     smallest = named.groupBy("label").agg(F.min("doc").alias("component_id"))
-    classes = written(named.join(smallest, "label").select("key", "component_id"))
+    classes = named.join(smallest, "label")
+    if links:
+        classes = classes.join(more, "key", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("more", F.lit(0)))
+    classes = written(classes.select("key", "component_id", *["n_links"] * links))
+    counted_ = F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links")
     return docs.join(classes, "key", "left").select(
         F.col("doc").alias(key), F.col("n").alias("n_shingles"),
-        F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))
+        F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.col("component_id")).otherwise(F.col("doc")).alias("component_id"),
+        *[counted_] * links)
 
 
 def one_of_each(df: DataFrame, *, width: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -417,3 +535,5 @@ SQL = r"""
     reached AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b)
     SELECT s.doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, min(b) AS component_id
     FROM s JOIN reached ON s.doc_id = a GROUP BY s.doc_id, shingles"""
+#: The same with n_links.
+LINKS_SQL = SQL.replace("min(b) AS component_id", "min(b) AS component_id, (SELECT count(*) FROM links WHERE links.a = s.doc_id) AS n_links")

@@ -141,3 +141,40 @@ def test_one_of_each(spark):
 
 def test_no_rows(spark):
     assert tree.jaccard_join(documents(spark, [])).count() == 0
+
+
+def brute_links(texts, percent=85, width=4):
+    """brute() with the number of links of each document."""
+    sets = [shingles(t, width) if key is not None else set() for key, t in texts]
+    sizes = [len(shingles(t, width)) for _, t in texts]
+    n = [sum(1 for j, b in enumerate(sets) if j != i and a and b and 100 * len(a & b) >= percent * len(a | b)) for i, a in enumerate(sets)]
+    return Counter((key, size, m) for (key, _), size, m in zip(texts, sizes, n))
+
+
+def counted(df, **options):
+    rows = tree.jaccard_join(df, links=True, **options).collect()
+    return Counter(tuple(r)[:3] for r in rows), Counter((r[0], r[1], r[3]) for r in rows)
+
+
+def test_links_of_awkward_table(spark):
+    assert counted(documents(spark)) == (brute(TEXTS), brute_links(TEXTS))
+
+
+@pytest.mark.parametrize("block", [128, 4])
+def test_every_link_is_counted(spark, monkeypatch, block):
+    monkeypatch.setattr(tree, "BLOCK", block)
+    texts = near_copies(3, groups=4, size=25, words=60)
+    texts += texts[:7]
+    assert counted(documents(spark, texts).repartition(5)) == (brute(texts), brute_links(texts))
+
+
+def test_link_counts_equal_sql(spark):
+    import duckdb
+
+    from compare import difference
+    from labelscape.llm import catalog
+    folder = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    for name, sql in catalog.FURTHER_ORACLES.items():
+        assert difference(catalog.FURTHER[name](spark, folder).toPandas(), db.execute(sql).df()) is None
