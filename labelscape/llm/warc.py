@@ -6,7 +6,8 @@ records under 16 MiB, so the sink's line end (a zero byte) takes its place; a la
 by an empty member for that purpose.
 
 The reader checks every record (gzip sums, version line, headers, lengths, closing line, digest). After a failed check it
-looks for the next gzip member or version line that begins a valid record and logs the bytes between as a gap.
+looks for the next gzip member or version line that begins a valid record, inside a member's inflated bytes as well, and logs the
+bytes between as a gap. Records of a member that is cut off or damaged further on are kept.
 """
 
 from __future__ import annotations
@@ -102,19 +103,24 @@ class Broken(ValueError):
     """A check failed."""
 
 
-def inflated(data: bytes, start: int) -> tuple[bytes, int]:
-    """The member that begins at ``start``, and where it ends."""
+def inflated(data: bytes, start: int) -> tuple[bytes, int, str]:
+    """What comes out of the member that begins at ``start``, where it ends, and what is wrong with it ("" if nothing)."""
     inflate, at, out, step = zlib.decompressobj(31), start, [], 1 << 13
-    try:
-        while not inflate.eof:
-            if at >= len(data):
-                raise Broken("member cut off")
+    while not inflate.eof:
+        if at >= len(data):
+            return b"".join(out), len(data), "member cut off"
+        before = inflate.copy()
+        try:
             out.append(inflate.decompress(data[at:at + step]))
-            at += step
-            step = min(2 * step, 1 << 18)
-    except zlib.error:
-        raise Broken("member damaged") from None
-    return b"".join(out), min(at, len(data)) - len(inflate.unused_data)
+        except zlib.error:
+            try:
+                for i in range(at, at + step):  # what comes out before the damage
+                    out.append(before.decompress(data[i:i + 1]))
+            except zlib.error:
+                return b"".join(out), i, "member damaged"
+        at += step
+        step = min(2 * step, 1 << 18)
+    return b"".join(out), min(at, len(data)) - len(inflate.unused_data), ""
 
 
 def parsed(data: bytes, start: int) -> tuple[dict[str, str], bytes, int]:
@@ -151,61 +157,103 @@ def parsed(data: bytes, start: int) -> tuple[dict[str, str], bytes, int]:
     return headers, block, end + 4
 
 
-def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict[str, str] | str, bytes]]:
-    """('record', start, end, headers, block) and ('gap', start, end, reason, b'') in order of place; together they cover all bytes but empty members."""
+def within(inside: bytes) -> Iterator[tuple[int, int, dict[str, str] | str, bytes | None]]:
+    """Start, end, headers and block of each record in a member, in order; a gap has its reason and no block."""
     at, gap, why = 0, -1, ""
-    ahead = {MEMBER: -1, VERSION: -1}
-    while at < len(data):
+    while at < len(inside):
         try:
-            if data.startswith(MEMBER, at):
-                inside, end = inflated(data, at)
-                found, place = [], 0
-                while place < len(inside):
-                    headers, block, place = parsed(inside, place)
-                    found.append((headers, block))
-            else:
-                headers, block, end = parsed(data, at)
-                found = [(headers, block)]
+            headers, block, end = parsed(inside, at)
         except Broken as error:
             if gap < 0:
                 gap, why = at, str(error)
-            for sign in ahead:
-                if 0 <= ahead[sign] <= at or ahead[sign] == -1:
-                    ahead[sign] = data.find(sign, at + 1)
-                    if ahead[sign] < 0:
-                        ahead[sign] = len(data)
-            at = min(ahead.values())
+            at = inside.find(VERSION, at + 1)
+            if at < 0:
+                break
             continue
         if gap >= 0:
-            yield "gap", gap, at, why, b""
+            yield gap, at, why, None
             gap = -1
-        for headers, block in found:
-            yield "record", at, end, headers, block
+        yield at, end, headers, block
         at = end
     if gap >= 0:
-        yield "gap", gap, len(data), why, b""
+        yield gap, len(inside), why, None
+
+
+Piece = tuple[str, int, int, dict[str, str] | str, bytes, int | None, int | None, str | None]
+
+
+def salvage(data: bytes) -> Iterator[Piece]:
+    """('record', start, end, headers, block, ...) and ('gap', start, end, reason, b'', ...) in order of place; together they cover all bytes but
+    empty members. Then follow the start and end in the inflated member (None outside of one) and, of a record whose member is cut off or
+    damaged further on, what is wrong there.
+
+    Pieces of one member have its start and end, which is where inflating stopped if it is not sound. The gap after such a member begins where it does;
+    its place inside is where the last record ended. A member that is not sound and gives one record only, up to its end, is a gap.
+    """
+    at, gap, why, inner = 0, -1, "", None
+    ahead, read = {MEMBER: -1, VERSION: -1}, 0
+    while at < len(data):
+        fault, found = "", []
+        try:
+            if data.startswith(MEMBER, at):
+                inside, end, fault = inflated(data, at)
+                found = list(within(inside))
+                if fault and found and found[-1][3] is None:
+                    found.pop()  # the end of it is lost: part of the gap that follows
+                if fault and (not found or found[0][:2] == (0, len(inside))):
+                    raise Broken(fault)
+                if found and all(block is None for *_, block in found):
+                    raise Broken(found[0][2])
+            else:
+                headers, block, end = parsed(data, at)
+                found = [(None, None, headers, block)]
+        except Broken as error:
+            fault, found = str(error), []
+        if gap >= 0 and (found or not fault):
+            yield "gap", gap, at, why, b"", inner, None, None
+            gap = -1
+        for first, last, what, block in found:
+            if block is None:
+                yield "gap", at, end, what, b"", first, last, None
+            else:
+                yield "record", at, end, what, block, first, last, fault or None
+        if not fault:
+            at = end
+            continue
+        if gap < 0:
+            gap, why, inner = at, fault, found[-1][1] if found else None
+        read = end if found else read  # bytes stored as they are have given their records already
+        for sign, least in ((MEMBER, at + 1), (VERSION, max(at + 1, read))):
+            if ahead[sign] < least:
+                ahead[sign] = data.find(sign, least)
+                if ahead[sign] < 0:
+                    ahead[sign] = len(data)
+        at = min(ahead.values())
+    if gap >= 0:
+        yield "gap", gap, len(data), why, b"", inner, None, None
 
 
 SCAN = pa.schema([
     ("archive", pa.string()), ("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("reason", pa.string()),
     ("record_type", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()),
-    ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
+    ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()),
+    ("inside_start", pa.int64()), ("inside_end", pa.int64())])
 
 
 def read_archives(spark: SparkSession, path: str, *, payloads: bool = True) -> DataFrame:
     """Records and gaps of all archives under ``path``, compressed or not.
 
-    Columns: archive, kind ('record' or 'gap'), start, end (bytes in the archive), reason (of a gap), record_type, record_id,
-    target_uri, refers_to, payload_bytes, payload_digest (bare SHA-256), payload. The payload of an HTTP block is what follows its
+    Columns: archive, kind ('record' or 'gap'), start, end (bytes in the archive), reason (of a gap, or what is wrong with a record's member further on), record_type, record_id,
+    target_uri, refers_to, payload_bytes, payload_digest (bare SHA-256), payload, inside_start, inside_end (bytes in the inflated member). The payload of an HTTP block is what follows its
     headers; a revisit has its payload's size from those headers and its digest from the record's, and a null payload. An
     archive is one task's unit and is held in memory, so Spark's 2 GB limit for a binary value holds for a file.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, 1):
             archive, rows, size = batch.column(0)[0].as_py(), [], 0
-            for kind, start, end, what, block in salvage(batch.column(1)[0].as_py()):
+            for kind, start, end, what, block, first, last, fault in salvage(batch.column(1)[0].as_py()):
                 if kind == "gap":
-                    rows.append((archive, kind, start, end, what, None, None, None, None, None, None, None))
+                    rows.append((archive, kind, start, end, what, None, None, None, None, None, None, None, first, last))
                 else:
                     body, n = block, len(block)
                     if what.get("content-type", "").startswith("application/http"):
@@ -216,8 +264,8 @@ def read_archives(spark: SparkSession, path: str, *, payloads: bool = True) -> D
                         digest, body = what.get("warc-payload-digest", "").partition(":")[2] or None, None
                     else:
                         digest = hashlib.sha256(body).hexdigest()
-                    rows.append((archive, kind, start, end, None, what.get("warc-type"), what.get("warc-record-id"),
-                                 what.get("warc-target-uri"), what.get("warc-refers-to"), n, digest, body if payloads else None))
+                    rows.append((archive, kind, start, end, fault, what.get("warc-type"), what.get("warc-record-id"),
+                                 what.get("warc-target-uri"), what.get("warc-refers-to"), n, digest, body if payloads else None, first, last))
                     size += len(body or b"") if payloads else 0
                 if len(rows) >= 1000 or size > CHUNK_BYTES:
                     yield table_of(rows)

@@ -83,3 +83,40 @@ def test_read_archives_reports_gaps(spark):
     rows = warc.read_archives(spark, path).orderBy("start").collect()
     assert [(r["kind"], r["start"]) for r in rows][:2] == [("gap", 0), ("record", 5)]
     assert rows[1]["payload"] == b"p0" * 50 and rows[-1]["kind"] == "gap"  # the sink's own line end
+
+
+def inside(found):
+    return [(f[0], f[3]["warc-record-id"] if f[0] == "record" else f[3], f[5], f[6]) for f in found]
+
+
+def test_damaged_record_inside_a_member():
+    parts = records(5)
+    sizes = [sum(map(len, parts[:i])) for i in range(6)]
+    plain = b"".join(parts)
+    for at in (sizes[2] + 3, sizes[2] + len(parts[2]) - 20):  # its version line, its payload
+        data = gzip.compress(damaged(plain, at)) + gzip.compress(parts[0])
+        found = list(warc.salvage(data))
+        kinds = inside(found)
+        assert [k for k in kinds if k[0] == "record"] == [
+            ("record", f"<urn:page:{i}>", sizes[i], sizes[i + 1]) for i in (0, 1, 3, 4)] + [("record", "<urn:page:0>", 0, sizes[1])]
+        assert [k[2:] for k in kinds if k[0] == "gap"] == [(sizes[2], sizes[3])]
+
+
+def test_records_before_a_cut_or_damage_inside_a_member():
+    import random
+    rng = random.Random(5)
+    texts = [bytes(rng.randrange(256) for _ in range(3000)) for _ in range(6)]
+    parts = [warc.record_of(i, "u", t, 3000, hashlib.sha256(t).hexdigest(), None, "2024-01-01T00:00:00Z") for i, t in enumerate(texts)]
+    sizes = [sum(map(len, parts[:i])) for i in range(7)]
+    whole = gzip.compress(b"".join(parts))
+    cut = whole[:len(whole) * 7 // 12]
+    found = list(warc.salvage(cut))
+    assert inside(found) == [("record", f"<urn:page:{i}>", sizes[i], sizes[i + 1]) for i in range(3)] + [("gap", "member cut off", sizes[3], None)]
+    assert found[0][7] == "member cut off" and found[-1][1:3] == (0, len(cut))
+    # a wrong sum at the end loses nothing, and what follows is found
+    found = list(warc.salvage(damaged(whole, len(whole) - 6) + gzip.compress(parts[0])))
+    assert [f[3]["warc-record-id"] for f in found if f[0] == "record"] == [f"<urn:page:{i}>" for i in (0, 1, 2, 3, 4, 5, 0)]
+    assert [f[1:3] for f in found if f[0] == "gap"] == [(0, len(whole))]
+    stored = gzip.compress(b"".join(parts), 0)  # its records stand in the archive as they are
+    found = list(warc.salvage(stored[:sizes[2] + 99]))
+    assert [f[3]["warc-record-id"] for f in found if f[0] == "record"] == ["<urn:page:0>", "<urn:page:1>"]
