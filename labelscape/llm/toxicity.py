@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from labelscape.llm.common import make_room, rows_of
 
-SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)|\n+")
 #: single letters held apart by blanks or marks, as in "i d i o t" or "i.d.i.o.t"
 SPACED = re.compile(r"(?<![^\W\d_])[^\W\d_](?:[\s\W_]{1,3}[^\W\d_](?![^\W\d_])){2,}")
 SIGNS = str.maketrans(dict.fromkeys("*-_.,;:!?'\"()[]{}<>/\\|~^+=#%&`", "") | {
@@ -43,7 +42,6 @@ class Settings:
     decay: float = 0.6
     landmarks: int = 96
     sample: int = 5_000
-    letters: int = 3_000  # of each sampled document's sentences, whole sentences
     rounds: int = 2
     telling: float = 3.0
     cost: float = 10.0
@@ -267,10 +265,15 @@ def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float, passe
 
 def train(labelled: Iterable[tuple[str, int]], settings: Settings = Settings()) -> Model:
     """Learn from texts with labels 0 and 1. Without both labels, every text is scored as clean as its margin is low."""
+    return learn(((words_of(text), label) for text, label in labelled), settings)
+
+
+def learn(labelled: Iterable[tuple[Iterable[str], int]], settings: Settings = Settings()) -> Model:
+    """Learn from the distinct words of texts with labels 0 and 1."""
     place: dict[str, int] = {}
     docs: list[list[np.ndarray]] = [[], []]
-    for text, label in labelled:
-        words = words_of(clipped(text, settings.letters))
+    for own, label in labelled:
+        words = set(own)
         if words:
             docs[int(label)].append(np.fromiter((place.setdefault(w, len(place)) for w in sorted(words)), np.int32, len(words)))
     clean, toxic = docs
@@ -354,15 +357,6 @@ def disguised(word: str, rng: np.random.Generator, many: int = 6) -> list[str]:
     return out
 
 
-def clipped(text: str, letters: int) -> str:
-    """Whole sentences of a training text, spread over it, of about ``letters`` letters."""
-    if len(text) <= letters:
-        return text
-    sentences = [s for s in SENTENCE.split(text) if s]
-    step = max(1, round(len(text) / letters))
-    return "\n".join(sentences[::step])
-
-
 def spread_out(words: list[str], many: int, settings: Settings) -> list[str]:
     """The first of at most 200 words that are not nearly the same as one taken before."""
     words = list(dict.fromkeys(words))[:200]
@@ -396,10 +390,18 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), *,
     """Train on at most ``settings.sample`` labelled rows, those with the smallest hash of the key; other rows of a key with several
     labels count as often as they occur, rows with null text, key or label not at all."""
     marked = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("label")).where("k is not null and label in (0, 1)")
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).where("text is not null").join(
-        marked.orderBy(F.xxhash64("k"), "k", "label").limit(settings.sample), "k").orderBy(F.xxhash64("k"), "k", "text").limit(
-        settings.sample).select("text", "label").collect()  # bounded by ``sample``
-    return train(((row["text"], row["label"]) for row in rows), settings)
+    found = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).where("text is not null").join(
+        marked.orderBy(F.xxhash64("k"), "k", "label").limit(settings.sample), "k")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches):
+            words = [" ".join(sorted(words_of(v.as_py()))) for v in batch.column(1)]  # words hold no blanks
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.string()), batch.column(2)], ["k", "words", "label"])
+
+    kind = found.schema["k"].dataType.simpleString()
+    rows = found.select("k", "text", "label").mapInArrow(run, f"k {kind}, words string, label int").orderBy(
+        F.xxhash64("k"), "k", "words").limit(settings.sample).select("words", "label").collect()  # bounded by ``sample``
+    return learn(((row["words"].split(), row["label"]) for row in rows), settings)
 
 
 def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -88,3 +88,25 @@ def test_awkward_table(spark, sentences):
     assert len(rows) == len(set(TEXTS)) + 1 and all(0 <= v <= 1 for v in rows.values())
     assert rows[50, "an idiot"] > 0.3 > max(v for k, v in rows.items() if not (k[1] or "").strip())
     assert tox.score(documents(spark, []).drop("toxicity"), model).count() == 0
+
+
+def test_long_texts_are_learnt_from_as_a_whole(spark):
+    rng = np.random.default_rng(8)
+    plain = ["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(300)]
+
+    def text(telling):
+        sentences = [" ".join(rng.choice(plain, 8)) + "." for _ in range(200)]
+        sentences[2 * int(rng.integers(1, 99)) + 1] += f" {telling}."
+        return " ".join(sentences)
+
+    rows = [(i, text("grubblewort" if i % 4 == 0 else "harmless"), int(i % 4 == 0)) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    seen = []
+    learn = tox.learn
+    try:
+        tox.learn = lambda labelled, settings: seen.extend((set(w), y) for w, y in labelled) or learn(seen, settings)
+        model = tox.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    finally:
+        tox.learn = learn
+    assert sorted((sorted(w), y) for w, y in seen) == sorted((sorted(tox.words_of(t)), y) for _, t, y in rows)
+    assert min(model.scores([t for _, t, y in rows if y])) > max(model.scores([t for _, t, y in rows if not y]))
