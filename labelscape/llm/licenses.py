@@ -55,12 +55,20 @@ TEMPLATES = {
 @dataclass(frozen=True)
 class Scan:
     """``gram`` words a hash and ``window`` hashes a choice: any ``gram + window - 1`` words in a row that match share one. ``band`` is how far
-    an alignment may leave its diagonals, ``coverage`` the least share of a template's words that counts."""
+    an alignment may leave its diagonals, ``coverage`` the least share of a template's words that counts. Templates of fewer than
+    ``short`` words are found by each run of words that a place of that coverage must have if words are left out or changed, not by
+    chosen hashes; words put in between more often may part such runs."""
 
     gram: int = 3
     window: int = 3
     band: int = 12
     coverage: float = 0.8
+    short: int = 25
+
+    def run(self, n: int) -> int:
+        """Words in a row that match in a place that covers enough of ``n`` words: those left out or changed part the others into so many runs."""
+        matched = next(m for m in range(n + 1) if m >= self.coverage * n)
+        return max(1, min(self.gram, -(-matched // (n - matched + 1))))
 
 
 def words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,14 +84,21 @@ def words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts, ends
 
 
+def grams_of(numbers: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of each ``gram`` words in a row."""
+    n = max(0, len(numbers) - gram + 1)
+    grams = numbers[:n].copy()
+    for i in range(1, gram):
+        grams = mixed(grams * MULTIPLIER + numbers[i:i + n])
+    return grams
+
+
 def fingerprints(numbers: np.ndarray, scan: Scan) -> tuple[np.ndarray, np.ndarray]:
     """Winnowed hashes and their places: the smallest of every ``window`` hashes in a row."""
-    n = len(numbers) - scan.gram + 1
-    if n <= 0:
+    grams = grams_of(numbers, scan.gram)
+    n = len(grams)
+    if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    grams = numbers[:n].copy()
-    for i in range(1, scan.gram):
-        grams = mixed(grams * MULTIPLIER + numbers[i:i + n])
     if n > scan.window:
         least = np.lib.stride_tricks.sliding_window_view(grams, scan.window).min(axis=1)
         chosen = np.zeros(n, bool)
@@ -103,25 +118,45 @@ class Index:
         self.words = [words(text)[0] for text in templates.values()]
         #: at most half a template, so that copies that follow each other stay apart
         self.band = np.array([max(1, min(scan.band, len(w) // 2)) for w in self.words], np.int64)
-        rows = [(h, t, p) for t, numbers in enumerate(self.words) for h, p in zip(*fingerprints(numbers, scan))]
-        rows.sort()
-        self.hashes = np.array([r[0] for r in rows], np.uint64)
-        self.template = np.array([r[1] for r in rows], np.int64)
-        self.place = np.array([r[2] for r in rows], np.int64)
+        #: by length of a run (0: chosen hashes): sorted hashes, their templates and places
+        self.parts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        rows: dict[int, list[tuple[int, int, int]]] = {}
+        for t, numbers in enumerate(self.words):
+            if 0 < len(numbers) < scan.short:
+                gram = scan.run(len(numbers))
+                rows.setdefault(gram, []).extend((h, t, p) for p, h in enumerate(grams_of(numbers, gram)))
+            else:
+                rows.setdefault(0, []).extend((h, t, p) for h, p in zip(*fingerprints(numbers, scan)))
+        for gram, some in rows.items():
+            some.sort()
+            self.parts[gram] = (np.array([r[0] for r in some], np.uint64), np.array([r[1] for r in some], np.int64),
+                                np.array([r[2] for r in some], np.int64))
+
+    def hits(self, numbers: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Template and diagonal (word of the text less word of the template) of every hash found."""
+        for gram, (known, templates, places) in self.parts.items():
+            if gram:
+                hashes = grams_of(numbers, gram)
+                at = np.arange(len(hashes))
+            else:
+                hashes, at = fingerprints(numbers, self.scan)
+            if not len(hashes) or not len(known):
+                continue
+            low = np.searchsorted(known, hashes, side="left")
+            some = np.flatnonzero(known[np.minimum(low, len(known) - 1)] == hashes)
+            if not len(some):
+                continue
+            low = low[some]
+            many = np.searchsorted(known, hashes[some], side="right") - low
+            row = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            yield templates[row], np.repeat(at[some], many) - places[row]
 
     def candidates(self, numbers: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """Template, and the first and last diagonal (word of the text less word of the template) of hits that belong together."""
-        hashes, at = fingerprints(numbers, self.scan)
-        if not len(hashes) or not len(self.hashes):
-            return
-        low = np.searchsorted(self.hashes, hashes, side="left")
-        high = np.searchsorted(self.hashes, hashes, side="right")
-        some = np.flatnonzero(high > low)
-        if not len(some):
+        """Template, and the first and last diagonal of hits that belong together."""
+        found = list(self.hits(numbers))
+        if not found:
             return
-        many = high[some] - low[some]
-        row = np.repeat(low[some], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        template, diagonal = self.template[row], np.repeat(at[some], many) - self.place[row]
+        template, diagonal = (np.concatenate(c) for c in zip(*found))
         order = np.lexsort((diagonal, template))
         template, diagonal = template[order], diagonal[order]
         new = np.concatenate([[True], (template[1:] != template[:-1]) | (diagonal[1:] - diagonal[:-1] > self.band[template[1:]])])

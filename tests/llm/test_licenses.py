@@ -73,3 +73,17 @@ def test_awkward_table(spark):
     assert rows == [(30, "CC-BY-NC-4.0-notice")] * 2 + [(31, "CC-BY-NC-4.0-notice")]
     assert lic.license_scan(documents(spark, [])).count() == 0
     assert lic.license_scan(documents(spark), {}).count() == 0
+
+
+def test_one_word_edits_of_every_notice(index):
+    for name in (n for n in lic.TEMPLATES if n.endswith("notice")):
+        template = lic.words(lic.TEMPLATES[name])[0]
+        plain = lic.TEMPLATES[name].replace(".", " ").replace(",", " ").replace("-", " ").split()
+        own = list(plain)
+        for i in range(len(own)):
+            for edit in ([], ["changed"], [own[i], "inserted"]):
+                text = " ".join(["some", "words", "before", *own[:i], *edit, *own[i + 1:], "and", "some", "after"])
+                numbers = lic.words(text)[0]
+                matched = lic.align(template, numbers, -len(template), len(numbers))[0]  # without an index
+                found = [m[3] for m in index.matches(text) if m[0] == name]
+                assert found == ([matched] if matched >= 0.8 * len(template) else []), (name, text)
