@@ -4,9 +4,10 @@ Two words are alike by the subsequences of letters they share, contiguous or not
 with letters put in between, left out or doubled thus stays near the plain one. The kernel of a word with a few landmark
 words gives its Nyström features, on which a linear support vector machine is trained.
 
-The machine learns from sentences that carry their document's label. A toxic document need not be toxic in every sentence, so training
-alternates between finding each toxic document's most telling words and separating those from all words of clean sentences.
-A sentence scores as its worst word, and a document as its worst sentence; a logistic curve turns that into a probability.
+The machine learns from single words that carry their document's label; it takes the place of one trained on labelled sentences. A toxic
+document need not be toxic in every word, so training alternates between finding each toxic document's most telling words and
+separating those from the words of clean documents. A document scores as its worst word; a logistic curve turns that into a probability.
+No phrase scores above its worst word, so texts toxic only by a combination of ordinary words are not told.
 """
 
 from __future__ import annotations
