@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelscape.llm import bit_codes, bpe, chat, licenses, order_minhash, packing, secrets, signature_tree, toxicity, warc
+from labelscape.llm import (alignment, bit_codes, bpe, chat, licenses, manifest, order_minhash, packing, secrets, signature_tree, simhash, toxicity,
+                            warc)
 from labelscape.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,10 +75,26 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
                       public_tokenizers.PATTERN, digests=True)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat, op2_toxicity, op3_warc, op4_licenses, op5_bit_codes, op6_order_minhash, op7_secrets, op8_jaccard_join, op9_packing, op10_byte_bpe)}
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.alignments(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+def op13_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest.manifest(table(spark, folder, "documents"), tampered=manifest.without_newlines())
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_chat, op2_toxicity, op3_warc, op4_licenses, op5_bit_codes, op6_order_minhash, op7_secrets, op8_jaccard_join, op9_packing, op10_byte_bpe,
+    op11_alignment, op12_simhash, op13_manifest)}
 ORACLES: dict[str, str] = {
     "op1_chat": chat.SQL,
     "op8_jaccard_join": signature_tree.SQL,
+    "op13_manifest": manifest.sql(),
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),
