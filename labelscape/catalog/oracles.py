@@ -124,10 +124,50 @@ KNN = """edges AS (SELECT cell_id, neighbor FROM (SELECT a.cell_id, b.cell_id AS
   FROM {points} a JOIN {points} b ON a.cell_id <> b.cell_id) WHERE rn <= {k})"""
 
 
-def knn(points: str, k: int) -> str:
+def knn(points: str, k: int, rank: bool = False) -> str:
+    if rank:
+        return f"""ranked AS (SELECT * FROM (SELECT a.cell_id, b.cell_id AS neighbor, ROW_NUMBER() OVER (PARTITION BY a.cell_id ORDER BY {dist()}, b.cell_id) AS rank
+  FROM {points} a JOIN {points} b ON a.cell_id <> b.cell_id) WHERE rank <= {k})"""
     return KNN.format(points=points, k=k, d=dist())
 
 
+def within(points: str, setting: str, radius: float, name: str = "graph") -> str:
+    return f"""{name} AS (SELECT {setting} AS setting, a.cell_id AS s, b.cell_id AS t FROM {points} a
+  JOIN {points} b ON a.cell_id <> b.cell_id AND {dist()} <= {radius})"""
+
+
+def falling(n: str, k: int) -> str:
+    return "(" + " * ".join(f"({n} - {i})" for i in range(k)) + ")"
+
+
+def enriched(points: str) -> str:
+    """Edges of ``graph`` between labels, and mean and spread when labels are dealt anew: e edges, eq of them on the same pair of points,
+    of edge pairs f with one source, g with one target, h from end to start, the others apart."""
+    n, a, b = "n", "na", "nb"
+    same = f"""(e + eq) * {falling(a, 2)} / {falling(n, 2)} + (f + g + h) * {falling(a, 3)} / {falling(n, 3)} + rest * {falling(a, 4)} / {falling(n, 4)}"""
+    other = f"""e * {a} * {b} / {falling(n, 2)} + f * {a} * {falling(b, 2)} / {falling(n, 3)} + g * {falling(a, 2)} * {b} / {falling(n, 3)}
+    + rest * {falling(a, 2)} * {falling(b, 2)} / {falling(n, 4)}"""
+    return f"""ends AS (SELECT setting, p, CAST(SUM(o) AS DOUBLE) AS o, CAST(SUM(i) AS DOUBLE) AS i FROM (SELECT setting, s AS p, 1 AS o, 0 AS i FROM graph
+    UNION ALL SELECT setting, t, 0, 1 FROM graph) GROUP BY ALL),
+  turned AS (SELECT a.setting, CAST(COUNT(b.s) AS DOUBLE) AS eq FROM graph a LEFT JOIN graph b ON a.setting = b.setting AND a.s = b.t AND a.t = b.s GROUP BY 1),
+  shapes AS (SELECT setting, SUM(o) AS e, SUM(o * o - o) AS f, SUM(i * i - i) AS g, 2 * (SUM(o * i) - ANY_VALUE(eq)) AS h, ANY_VALUE(eq) AS eq
+    FROM ends JOIN turned USING (setting) GROUP BY 1),
+  sizes AS (SELECT celltype, CAST(COUNT(*) AS DOUBLE) AS n FROM {points} GROUP BY 1),
+  seen AS (SELECT setting, a.celltype AS source, b.celltype AS target, COUNT(*) AS edges FROM graph JOIN {points} a ON a.cell_id = s
+    JOIN {points} b ON b.cell_id = t GROUP BY ALL),
+  moments AS (SELECT setting, source, target, e * CASE WHEN source = target THEN {falling(a, 2)} ELSE {a} * {b} END / {falling(n, 2)} AS expected,
+      CASE WHEN source = target THEN {same} ELSE {other} END AS square
+    FROM (SELECT shapes.*, e * e - e - eq - f - g - h AS rest, x.celltype AS source, y.celltype AS target, x.n AS na, y.n AS nb,
+      (SELECT SUM(n) FROM sizes) AS n FROM shapes CROSS JOIN sizes x CROSS JOIN sizes y)),
+  enriched AS (SELECT setting, source, target, COALESCE(edges, 0) AS edges, expected,
+      CASE WHEN square - expected * expected > 1e-9 * GREATEST(square, 1) THEN sqrt(square - expected * expected) ELSE 0 END AS spread
+    FROM moments LEFT JOIN seen USING (setting, source, target))"""
+
+
+ENRICHED = f"""SELECT {{setting}}source, target, CAST(edges AS BIGINT) AS edges, {r('expected')}, {r('spread')},
+  {r('CASE WHEN spread > 0 THEN (edges - expected) / spread END', 'z')} FROM enriched"""
+
+
 DENSE = """full_expr AS (SELECT c.cell_id, c.celltype, g.gene, COALESCE(e.value, 0) AS value
   FROM cells c CROSS JOIN (SELECT DISTINCT p_brand AS gene FROM part) g LEFT JOIN expr e ON e.cell_id = c.cell_id AND e.gene = g.gene)"""
 
@@ -354,6 +394,13 @@ ORACLES: dict[str, str] = {
   JOIN pts b ON a.cell_id <> b.cell_id AND {dist()} <= 0.25"""),
     "nn_scale": query(VECTORS, select=f"""SELECT {r('MEDIAN(d)', 'scale')} FROM (SELECT a.cell_id, MIN({dist()}) AS d FROM pts a
   JOIN pts b ON a.cell_id <> b.cell_id GROUP BY ALL)"""),
+    "label_enrichment": query(PARTS, within("pts", "'all'", 0.25), enriched("pts"), select=ENRICHED.format(setting="")),
+    "label_proximity": query(CELLS, knn("cells", 6), "graph AS (SELECT 'all' AS setting, cell_id AS s, neighbor AS t FROM edges)", enriched("cells"),
+                             select=f"""SELECT LEAST(source, target) AS label_a, GREATEST(source, target) AS label_b, CAST(SUM(edges) AS BIGINT) AS edges,
+  {r('SUM(expected)', 'expected')}, {r('log2((SUM(edges) + 1) / (SUM(expected) + 1))', 'log_ratio')} FROM enriched GROUP BY ALL"""),
+    "enrichment_sweep": query(CELLS, knn("cells", 8, rank=True), """settings AS (SELECT UNNEST([4, 6, 8]) AS k)""", within("cells", "'r=0.5'", 0.5, "g1"), within("cells", "'r=1.5'", 1.5, "g2"),
+                              """graph AS (SELECT 'k=' || k AS setting, cell_id AS s, neighbor AS t FROM ranked JOIN settings ON rank <= k
+  UNION ALL SELECT * FROM g1 UNION ALL SELECT * FROM g2)""", enriched("cells"), select=ENRICHED.format(setting="setting, ")),
     "niche_smooth": query(CELLS, expr(), knn("cells", 6), select=f"""SELECT l.cell_id, e.gene, {r('SUM(e.value) / 7', 'value')}
   FROM (SELECT * FROM edges UNION ALL SELECT cell_id, cell_id FROM cells) l JOIN expr e ON e.cell_id = l.neighbor GROUP BY ALL HAVING SUM(e.value) <> 0"""),
     "wmda": query(CELLS, expr(), "sp AS (SELECT e.gene, e.value, c.x, c.y FROM expr e JOIN cells c USING (cell_id))",
@@ -486,7 +533,8 @@ ORACLES: dict[str, str] = {
   JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey
   LEFT JOIN (SELECT * FROM cells WHERE celltype < 'H') c ON c.cell_id = o_custkey GROUP BY ALL"""),
     "batch_sums": query(CELLS, select=f"""SELECT source, target, {r('SUM(dist)', 'total')}, CAST(COUNT(*) AS BIGINT) AS n FROM (
-  SELECT a.cell_id, a.celltype AS source, b.celltype AS target, MIN({dist()}) AS dist FROM cells a CROSS JOIN cells b WHERE a.x < 50 GROUP BY ALL) GROUP BY ALL"""),
+  SELECT a.cell_id, a.celltype AS source, b.celltype AS target, MIN({dist()}) AS dist FROM cells a CROSS JOIN cells b GROUP BY ALL) GROUP BY ALL"""),
+    "arriving_targets": query(CELLS, near("cells"), MEAN, select=MATRIX),
     "circle_data": query(CELLS, near("cells"), MEAN, clustered(), """pc AS (SELECT a.celltype AS row, b.col, AVG(CASE WHEN a.x > b.mean THEN 1.0 ELSE 0.0 END) * 150 AS percent
   FROM cells a CROSS JOIN (SELECT celltype AS col, AVG(x) AS mean FROM cells GROUP BY 1) b GROUP BY ALL)""", recursive=True,
         select=f"""SELECT row, col, {r('value')}, {r('percent')}, {r('pow(LEAST(GREATEST(percent / 100, 0), 1), 0.5) * 100', 'area')}

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelscape.operators import (
-    anchors as an, binned, contact, entity, expression as ex, interaction as ia, matrices as mx, neighbors as nb,
+    anchors as an, binned, contact, enrichment as en, entity, expression as ex, interaction as ia, matrices as mx, neighbors as nb,
     pathway as pw, samples as sm, structure as st,
 )
 from labelscape.plans.interaction import ligand_receptor_topology
@@ -22,6 +22,7 @@ from labelscape.plans.transcripts import counts_by_group
 from labelscape.render import figures
 from labelscape.session import written
 from labelscape.streaming.accumulate import partial_sums
+from labelscape.streaming.arriving import closer_places, matrix_of_closest, source_places
 
 Query = Callable[[SparkSession, str], DataFrame]
 DIGITS = 6
@@ -295,6 +296,22 @@ def _mode_summary(s, d) -> DataFrame:
                                       structure_source="precomputed"))
 
 
+def _batch_sums(spark, folder) -> DataFrame:
+    """Sums of two batches of sources that are all customers together, added up."""
+    batches = [partial_sums(weighted_cells(spark, folder).where(part), cells(spark, folder)) for part in ("weight < 0", "not (weight < 0)")]
+    return rounded(batches[0].unionByName(batches[1]).groupBy("source", "target").agg(F.sum("total").alias("total"), F.sum("n").alias("n")))
+
+
+def _arriving_targets(spark, folder) -> DataFrame:
+    """Matrix of all customers after all of them have arrived as targets, in three batches."""
+    places = written(source_places(cells(spark, folder)))
+    state = None
+    for part in ("x < 20", "x >= 20 and x < 60", "not (x < 60)"):
+        found = closer_places(places, cells(spark, folder).where(part), state)
+        state = written(found if state is None else state.unionByName(found))
+    return rounded(matrix_of_closest(places, state))
+
+
 QUERIES: dict[str, Query] = {
     "searcher_findee_2d": lambda s, d: rounded(mx.searcher_findee(vectors(s, d))),
     "searcher_findee_3d": lambda s, d: rounded(mx.searcher_findee(vectors(s, d), z_col="z")),
@@ -329,6 +346,9 @@ QUERIES: dict[str, Query] = {
     "nn_scale": lambda s, d: rounded(nb.spacing(vectors(s, d), id_col="cell_id")),
     "niche_smooth": lambda s, d: rounded(nb.smooth(
         expression(s, d), nb.neighbor_edges(cells(s, d), k_neighbors=6))),
+    "label_enrichment": lambda s, d: rounded(en.label_enrichment(parts(s, d), nb.radius_edges(parts(s, d), 0.25))),
+    "label_proximity": lambda s, d: rounded(en.proximity(en.label_enrichment(cells(s, d), nb.neighbor_edges(cells(s, d), k_neighbors=6)))),
+    "enrichment_sweep": lambda s, d: rounded(en.enrichment_sweep(cells(s, d), neighbors=(4, 6, 8), radii=(0.5, 1.5))),
     "wmda": _binned(binned.wmda, "p_brand"),
     "ewnn": _binned(binned.ewnn, "p_brand", threshold=120.0),
     "visium_distance": _binned(binned.visium),
@@ -349,7 +369,8 @@ QUERIES: dict[str, Query] = {
         entity.entity_points(cells(s, d), expression(s, d, "p_type")))),
     "transcript_by_cell": lambda s, d: rounded(entity.transcript_to_cell(cells(s, d), transcripts(s, d))[1]),
     "transcript_by_cell_counts": lambda s, d: rounded(counts_by_group(owned_transcripts(s, d), cells(s, d).where("celltype < 'H'"))),
-    "batch_sums": lambda s, d: rounded(partial_sums(weighted_cells(s, d).where("weight < 0"), cells(s, d))),
+    "batch_sums": _batch_sums,
+    "arriving_targets": _arriving_targets,
     "circle_data": lambda s, d: rounded(figures.circle_data(
         st.structure_map(mx.searcher_findee(cells(s, d))), given_sizes(s, d), exponent=0.5, max_area=100)),
     "pathway_hotspots": _pathway_hotspots,
