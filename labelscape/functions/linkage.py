@@ -34,7 +34,7 @@ def row_distances(rows: np.ndarray, metric: str = "euclidean") -> np.ndarray:
             elif metric == "chebyshev":
                 out[i] = gap.max(axis=1)
             else:
-                raise ValueError(f"metric must be one of: {', '.join(METRICS)}")
+                raise ValueError(f"metric {metric!r} is not known: {', '.join(METRICS)}")
     np.fill_diagonal(out, 0.0)
     return out
 
@@ -57,14 +57,14 @@ def _joined(method, to_i, to_j, between, n_i, n_j, n_k):
     elif method == "ward":
         square = ((n_k + n_i) * to_i**2 + (n_k + n_j) * to_j**2 - n_k * between**2) / (n + n_k)
     else:
-        raise ValueError(f"method must be one of: {', '.join(METHODS)}")
+        raise ValueError(f"clustering method {method!r} is not known: {', '.join(METHODS)}")
     return np.sqrt(np.maximum(square, 0.0))
 
 
 def linkage(distances: np.ndarray, method: str = "average") -> np.ndarray:
     """Merge table (left id, right id, height, leaves) from a square distance matrix."""
     if method not in METHODS:
-        raise ValueError(f"method must be one of: {', '.join(METHODS)}")
+        raise ValueError(f"clustering method {method!r} is not known: {', '.join(METHODS)}")
     n = len(distances)
     if n < 2:
         raise ValueError("clustering needs at least two labels")
@@ -73,30 +73,30 @@ def linkage(distances: np.ndarray, method: str = "average") -> np.ndarray:
     work = distances.astype(float).copy()
     np.fill_diagonal(work, np.inf)
     size, name = np.ones(n), np.arange(n)
-    active = np.ones(n, dtype=bool)
     nearest = work.min(axis=1)
     merges = np.zeros((n - 1, 4))
     for step in range(n - 1):
-        i = int(np.argmin(nearest))
-        j = int(np.argmin(work[i]))
+        i = int(nearest.argmin())
+        j = int(work[i].argmin())
         i, j = min(i, j), max(i, j)
         height = work[i, j]
         merges[step] = (min(name[i], name[j]), max(name[i], name[j]), height, size[i] + size[j])
-        active[j] = False
-        others = np.flatnonzero(active)
-        others = others[others != i]
-        to_i, to_j = work[i, others], work[j, others]
-        fresh = _joined(method, to_i, to_j, height, size[i], size[j], size[others])
-        stale = others[nearest[others] >= np.minimum(to_i, to_j)]
+        # slots that are merged away are at infinity from everything, and stay there
+        to_i, to_j = work[i].copy(), work[j].copy()
+        to_i[j] = to_j[i] = np.inf
+        fresh = _joined(method, to_i, to_j, height, size[i], size[j], size)
+        stale = (nearest >= np.minimum(to_i, to_j)) & (nearest < np.inf)
+        stale[i] = stale[j] = False
         size[i] += size[j]
         name[i] = n + step
         work[j, :] = work[:, j] = np.inf
-        work[i, others] = work[others, i] = fresh
+        work[i, :] = work[:, i] = fresh
         nearest[j] = np.inf
-        nearest[i] = fresh.min() if len(fresh) else np.inf
-        nearest[others] = np.minimum(nearest[others], fresh)
-        if len(stale):
-            nearest[stale] = work[stale].min(axis=1)
+        nearest[i] = fresh.min()
+        np.minimum(nearest, fresh, out=nearest)
+        again = np.flatnonzero(stale)
+        if len(again):
+            nearest[again] = work[again].min(axis=1)
     return merges
 
 
@@ -112,6 +112,40 @@ def cophenetic(merges: np.ndarray) -> np.ndarray:
     return out
 
 
+def cophenetic_row(merges: np.ndarray, leaf: int) -> np.ndarray:
+    """One leaf's row of ``cophenetic``: a cluster that joins the leaf's own is as far away as it joins high."""
+    n = len(merges) + 1
+    members = {i: [i] for i in range(n)}
+    out, own = np.zeros(n), leaf
+    for step, (left, right, height, _) in enumerate(merges):
+        a, b = int(left), int(right)
+        if own in (a, b):
+            out[members[b if own == a else a]] = height
+            own = n + step
+        members[n + step] = members.pop(a) + members.pop(b)
+    return out
+
+
+def with_one_more(squares: np.ndarray, rows: np.ndarray, out: np.ndarray, back: np.ndarray, at: int) -> np.ndarray:
+    """Row distances of a matrix that gets one more row (``out``) and column (``back``) at ``at``, from the squared row distances it has.
+
+    Every old pair gains the square of its difference in the new column; only the new row is computed over all columns.
+    """
+    n = len(rows)
+    old = np.subtract.outer(back, back)
+    old *= old
+    old += squares
+    np.sqrt(old, out=old)
+    grown = np.zeros((n + 1, n + 1))
+    grown[:at, :at], grown[:at, at + 1:] = old[:at, :at], old[:at, at:]
+    grown[at + 1:, :at], grown[at + 1:, at + 1:] = old[at:, :at], old[at:, at:]
+    gap = rows - out
+    new = np.sqrt(np.einsum("ij,ij->i", gap, gap) + back * back)
+    grown[at, :at], grown[at, at + 1:] = new[:at], new[at:]
+    grown[:at, at], grown[at + 1:, at] = new[:at], new[at:]
+    return grown
+
+
 def cophenetic_correlation(distances: np.ndarray, heights: np.ndarray) -> float:
     upper = np.triu_indices(len(distances), 1)
     return float(np.corrcoef(distances[upper], heights[upper])[0, 1])

@@ -147,7 +147,7 @@ def visium(expression: DataFrame, spots: DataFrame, *, genes: DataFrame | None =
     ``symmetric``: none, or the smaller / the mean of both directions where known; the diagonal is 0.
     """
     if symmetric not in {"none", "min", "mean"}:
-        raise ValueError("symmetric must be one of: none, min, mean")
+        raise ValueError(f"{symmetric!r} is no way to make a matrix symmetric; there are none, min and mean")
     coords = ["x", "y"]
     names = (genes if genes is not None else expression.select("gene")).distinct()
     names = names.select(F.col(names.columns[0]).cast("string").alias("gene"))

@@ -1,8 +1,8 @@
 """Weighted entities (genes, pathways) placed relative to the labels of a reference table.
 
-Adding an entity to a label matrix only adds its own row and column, so the label block is
-computed once for all entities; each entity then contributes two short vectors, and one small
-clustering per entity runs in parallel over the entities.
+Adding an entity to a label matrix only adds its own row and column, so the label block and the
+distances between its rows are computed once for all entities; each entity then contributes two short
+vectors, and one small clustering per entity runs in parallel over the entities.
 """
 
 from __future__ import annotations
@@ -24,6 +24,10 @@ from labelscape.session import written
 from labelscape.sources.points import dense, require
 
 
+#: Entries of a label matrix that may pass the driver.
+BLOCK_ROWS = 1_000_000
+
+
 def entity_points(reference: DataFrame, expression: DataFrame, *, entities: DataFrame | None = None,
                   min_weight: float = 0.0) -> DataFrame:
     """(cell_id, x, y, celltype, entity, weight) for every cell where the entity exceeds ``min_weight``.
@@ -43,35 +47,53 @@ def entity_points(reference: DataFrame, expression: DataFrame, *, entities: Data
         "cell_id", "x", "y", "celltype", F.col("gene").alias("entity"), "weight")
 
 
-def _entity_row(block: np.ndarray, labels: list[str], entity: str, out: list[float], back: list[float], method: str) -> np.ndarray:
-    """Cophenetic row of one entity over the labels, from the label block and its own vectors."""
-    at = bisect_left(labels, entity)
-    if at < len(labels) and labels[at] == entity:
-        full = block.copy()
-        full[at, :], full[:, at] = out, back
-        full[at, at] = 0.0
-        return link.structure_map(full, method)[at]
-    full = np.zeros((len(labels) + 1, len(labels) + 1))
-    keep = np.delete(np.arange(len(labels) + 1), at)
-    full[np.ix_(keep, keep)] = block
-    full[at, keep], full[keep, at] = out, back
-    return np.delete(link.structure_map(full, method)[at], at)
+class LabelBlock:
+    """The label matrix and the squared distances between its rows, made once for all entities."""
+
+    def __init__(self, labels: list[str], block: np.ndarray):
+        self.labels, self.block = labels, block
+        self.squares = link.row_distances(block, "sqeuclidean")
+
+    @classmethod
+    def of(cls, square: pa.Table) -> LabelBlock:
+        """From rows of source, target, value."""
+        coded = [square.column(c).combine_chunks().dictionary_encode() for c in ("source", "target")]
+        names = sorted(coded[0].dictionary.to_pylist())
+        at = {name: i for i, name in enumerate(names)}
+        block = np.zeros((len(names), len(names)))
+        place = [np.array([at[name] for name in c.dictionary.to_pylist()], np.int64)[c.indices.to_numpy()] for c in coded]
+        block[place[0], place[1]] = square.column("value").to_numpy()
+        return cls(names, block)
+
+    def entity_row(self, entity: str, out: list[float], back: list[float], method: str) -> np.ndarray:
+        """Cophenetic row of one entity over the labels, from the label block and the entity's own vectors."""
+        at = bisect_left(self.labels, entity)
+        if at < len(self.labels) and self.labels[at] == entity:
+            full = self.block.copy()
+            full[at, :], full[:, at] = out, back
+            full[at, at] = 0.0
+            return link.structure_map(full, method)[at]
+        merges = link.linkage(link.with_one_more(self.squares, self.block, np.array(out), np.array(back), at), method)
+        row = np.delete(link.cophenetic_row(merges, at), at)
+        high = merges[:, 2].max()
+        return row / high if high > 0 else row  # the smallest entry of the map is the 0 of its diagonal
 
 
 def entity_to_cell(reference: DataFrame, entities: DataFrame, *, x_col: str = "x", y_col: str = "y",
                    z_col: str | None = None, celltype_col: str = "celltype", entity_col: str = "entity",
                    weight_col: str = "weight", min_weight: float = 0.0, method: str = "average",
-                   strategy: str = "auto") -> DataFrame:
+                   strategy: str = "auto", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(entity, celltype, value): cophenetic distance of every entity to every label.
 
     An entity without points above ``min_weight`` gets NULLs. An entity named like a label shares that label's points. Reference points
     weigh 1: from a ``min_weight`` of 1 on none of them counts, and only an entity's distance to a label of its own name, 0, is left.
+    A label matrix of at most ``block_rows`` entries is sent to every task; a larger one reaches the tasks by a shuffle.
     """
     coords = axes(x_col, y_col, z_col)
     require(reference, [*coords, celltype_col], "reference")
     require(entities, [*coords, entity_col, weight_col], "entity points")
     if method not in link.METHODS:
-        raise ValueError(f"method must be one of: {', '.join(link.METHODS)}")
+        raise ValueError(f"clustering method {method!r} is not known: {', '.join(link.METHODS)}")
     cells = reference.where(F.col(celltype_col).isNotNull()).select(
         *coords, F.col(celltype_col).cast("string").alias("celltype"))
     cloud = shifted_nonnegative(written(entities.select(
@@ -96,26 +118,38 @@ def entity_to_cell(reference: DataFrame, entities: DataFrame, *, x_col: str = "x
         return matrix.groupBy(F.col(entity).alias("entity")).agg(
             F.sort_array(F.collect_list(F.struct(F.col(label).alias("k"), F.col("value").alias("v")))).alias(name))
 
-    # the label block goes to every task once; it is as large as the square of the number of labels
-    square = block.toArrow()
-    names = np.unique(square.column("source").to_numpy(zero_copy_only=False).astype(str))
-    base = np.zeros((len(names), len(names)))
-    place = [np.searchsorted(names, square.column(c).to_numpy(zero_copy_only=False).astype(str)) for c in ("source", "target")]
-    base[place[0], place[1]] = square.column("value").to_numpy()
-    shared = reference.sparkSession.sparkContext.broadcast((names.tolist(), base))
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels, matrix = shared.value
-        for batch in batches:
-            for name, out, back in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                found = _entity_row(matrix, labels, name, [e["v"] for e in out], [e["v"] for e in back], method)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(name, len(labels)), pa.array(labels, pa.string()), pa.array(found, pa.float64())],
-                    ["entity", "celltype", "value"])
-
-    vectors = listed(outward, "source", "target", "_out").join(listed(inward, "target", "source", "_in"), "entity")
+    def placed_rows(labels: LabelBlock, entities: Iterator[tuple[str, list, list]]) -> Iterator[pa.RecordBatch]:
+        for name, out, back in entities:
+            found = labels.entity_row(name, [e["v"] for e in out], [e["v"] for e in back], method)
+            yield pa.RecordBatch.from_arrays(
+                [pa.repeat(name, len(found)), pa.array(labels.labels, pa.string()), pa.array(found, pa.float64())],
+                ["entity", "celltype", "value"])
+
+    vectors = listed(outward, "source", "target", "_out").join(listed(inward, "target", "source", "_in"), "entity").select("entity", "_out", "_in")
+    kind = "entity string, celltype string, value double"
+    block = written(block)
+    if block.count() <= block_rows:
+        shared = reference.sparkSession.sparkContext.broadcast(block.toArrow())
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            labels = LabelBlock.of(shared.value)
+            for batch in batches:
+                yield from placed_rows(labels, zip(*(batch.column(i).to_pylist() for i in range(3))))
+
+        placed = vectors.mapInArrow(rows, kind)
+    else:
+        # a larger block does not pass the driver: a copy goes to each of as many shares of the entities as there are tasks
+        shares = int(reference.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+        def share(entities: pa.Table, square: pa.Table) -> pa.Table:
+            if not entities.num_rows:
+                return pa.table([pa.array([], t) for t in (pa.string(), pa.string(), pa.float64())], ["entity", "celltype", "value"])
+            return pa.Table.from_batches(placed_rows(LabelBlock.of(square), zip(*(entities.column(c).to_pylist() for c in ("entity", "_out", "_in")))))
+
+        copies = block.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+        placed = vectors.withColumn("_share", F.pmod(F.xxhash64("entity"), F.lit(shares)).cast("int")).groupBy("_share").cogroup(
+            copies.groupBy("_copy")).applyInArrow(share, kind)
     labels = cells.agg(F.sort_array(F.collect_set("celltype"))).scalar()
-    placed = vectors.select("entity", "_out", "_in").mapInArrow(rows, "entity string, celltype string, value double")
     empty = everyone.join(cloud.select("entity").distinct(), "entity", "left_anti").select(
         "entity", F.explode(labels).alias("celltype"), F.lit(None).cast("double").alias("value"))
     return placed.unionByName(empty)

@@ -32,6 +32,7 @@ from labelscape.session import written
 
 BROADCAST_ROWS = 200_000
 FEW_TARGETS = 30_000
+FEW_BYTES = 16 << 20
 SOURCE_BLOCK = 1024
 TARGET_BLOCK = 256
 FANOUT_BITS = 3
@@ -65,7 +66,7 @@ def nearest_per_label(
     if by is not None:
         sources = sources.where(F.col(by).isNotNull())
     if strategy not in {"auto", "broadcast", "packed"}:
-        raise ValueError("strategy must be one of: auto, broadcast, packed")
+        raise ValueError(f"no search plan {strategy!r}; there are auto, broadcast and packed")
     if strategy != "packed":
         table, targets = _if_few(targets, broadcast_rows)
         if table is not None:
@@ -87,7 +88,7 @@ def nearest_sums(sources: DataFrame, targets: DataFrame, coords: list[str], labe
     if by is not None:
         sources = sources.where(F.col(by).isNotNull())
     if strategy not in {"auto", "broadcast", "packed"}:
-        raise ValueError("strategy must be one of: auto, broadcast, packed")
+        raise ValueError(f"no search plan {strategy!r}; there are auto, broadcast and packed")
     if strategy != "packed":
         table, targets = _if_few(targets, broadcast_rows)
         if table is not None:
@@ -152,8 +153,15 @@ def k_nearest(
 
 
 def _if_few(targets: DataFrame, bound: int) -> tuple[pa.Table | None, DataFrame]:
-    """The targets if they are few enough to be sent to every task, and the targets written once: their number comes from the files,
-    so that nothing is gathered before it is known to be small."""
+    """The targets if they are few enough to be sent to every task, else None and the targets written once.
+
+    Where the optimizer expects few bytes, no more than the bound and one row are asked for at once. Else they are written and counted
+    first, so that nothing is gathered before it is known to be small.
+    """
+    if int(str(targets._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= FEW_BYTES:
+        table = targets.limit(bound + 1).toArrow()
+        if table.num_rows <= bound:
+            return table, targets
     targets = written(targets)
     return (targets.toArrow() if targets.count() <= bound else None), targets
 

@@ -7,32 +7,15 @@ from pyspark.sql import functions as F
 
 from labelscape.functions.quantiles import quantile
 from labelscape.operators.nearest import k_nearest, nearest_per_label
+from labelscape.operators.radius import pairs_within
 from labelscape.session import written
 from labelscape.sources.points import require
 
 
 def radius_edges(points: DataFrame, radius: float, *, id_col: str = "cell_id", x_col: str = "x",
                  y_col: str = "y") -> DataFrame:
-    """(id, neighbor, dist) for all ordered pairs of different points at most ``radius`` apart.
-
-    Each point is looked up in the 3x3 ring of cells around it, so candidates stay proportional to true neighbours. Cells are a
-    little wider than the radius: rounding then cannot put two points that are just so far apart two cells from each other.
-    """
-    if radius <= 0:
-        raise ValueError("radius must be positive")
-    own = points.select(F.col(id_col).alias("_id"), F.col(x_col).cast("double").alias("_x"),
-                        F.col(y_col).cast("double").alias("_y")).where("_x is not null and _y is not null")
-    side = radius * (1 + 1e-6)
-    cell_x, cell_y = F.floor(F.col("_x") / side), F.floor(F.col("_y") / side)
-    near = F.array([F.lit(i) for i in (-1, 0, 1)])
-    left = own.withColumn("_dx", F.explode(near)).withColumn("_dy", F.explode(near)).select(
-        (cell_x + F.col("_dx")).alias("_cx"), (cell_y + F.col("_dy")).alias("_cy"), "_id", "_x", "_y")
-    right = own.select(cell_x.alias("_cx"), cell_y.alias("_cy"), F.col("_id").alias("neighbor"),
-                       F.col("_x").alias("_nx"), F.col("_y").alias("_ny"))
-    dx, dy = F.col("_x") - F.col("_nx"), F.col("_y") - F.col("_ny")
-    pairs = left.join(right, ["_cx", "_cy"]).withColumn("dist", F.sqrt(dx * dx + dy * dy))
-    return pairs.where((F.col("dist") <= radius) & (F.col("_id") != F.col("neighbor"))).select(
-        F.col("_id").alias(id_col), "neighbor", "dist")
+    """(id, neighbor, dist) for all ordered pairs of different points at most ``radius`` apart."""
+    return pairs_within(points, [x_col, y_col], id_col, radius)
 
 
 def neighbor_edges(points: DataFrame, *, id_col: str = "cell_id", x_col: str = "x", y_col: str = "y",

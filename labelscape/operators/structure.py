@@ -69,7 +69,7 @@ def structure_map(matrix: DataFrame, *, method: str = "average", axis: str = "ro
     """
     groups = groups or []
     if method not in link.METHODS:
-        raise ValueError(f"method must be one of: {', '.join(link.METHODS)}")
+        raise ValueError(f"clustering method {method!r} is not known: {', '.join(link.METHODS)}")
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         labels, rows = _square(pdf)
@@ -114,7 +114,7 @@ def cophenetic_from_mean_matrix(matrix: DataFrame, *, method: str = "average", m
     if not isinstance(matrix, DataFrame):
         raise TypeError("matrix must be a DataFrame of source, target, value")
     if metric not in link.METRICS:
-        raise ValueError(f"metric must be one of: {', '.join(link.METRICS)}")
+        raise ValueError(f"metric {metric!r} is not known: {', '.join(link.METRICS)}")
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         labels, rows = _square(pdf)

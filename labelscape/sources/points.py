@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from labelscape.functions.normalize import number
 
 
-def require(df: DataFrame, columns: list[str], what: str = "Input DataFrame") -> None:
-    missing = sorted(set(columns) - set(df.columns))
-    if missing:
-        raise ValueError(f"{what} is missing required columns: {missing}")
+def require(df: DataFrame, columns: list[str], what: str = "the table") -> None:
+    """Stop if a column that is needed is not there."""
+    absent = [c for c in dict.fromkeys(columns) if c not in df.columns]
+    if absent:
+        raise ValueError(f"{what} lacks {', '.join(absent)}; it has {', '.join(df.columns)}")
 
 
 def one_of(what: str, value: str, allowed) -> None:
