@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from labelscape.session import written
 
-__all__ = ["give_back", "having", "input_bytes", "lacking", "make_room", "rows_of", "small_batches", "spread", "table", "written"]
+__all__ = ["columns_of", "give_back", "having", "input_bytes", "lacking", "make_room", "rows_of", "small_batches", "spread", "table", "unused", "written"]
 
 #: Bits of the filter that ``having`` and ``lacking`` hand to every task, whatever the number of keys.
 FILTER_BITS = 1 << 24
@@ -42,6 +42,19 @@ def spread(df: DataFrame, bytes_each: int = 8 << 20, least: int = 32, most: int
     return max(least, min(most, input_bytes(df) // bytes_each))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it what no column of ``df`` is called."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` to select from a table that has more of them, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def rows_of(batches: Iterable[pa.RecordBatch], size: int = 64) -> Iterator[pa.RecordBatch]:
     """Batches of at most ``size`` rows, so that few long texts are held as Python objects at once."""
     for batch in batches:

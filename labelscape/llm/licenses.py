@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 from labelscape.llm.common import rows_of
 from labelscape.llm.order_minhash import MULTIPLIER, mixed
-from labelscape.llm.shingles import _LETTERS, powers
+from labelscape.llm.shingles import runs_hashed
 
 #: Wordings of well-known licences and of the lines that point to them.
 TEMPLATES = {
@@ -79,9 +79,7 @@ def words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
         return np.zeros(0, np.uint64), starts, ends
-    up, down = powers(len(data) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTERS[data] * up[:-1], dtype=np.uint64)])
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts, ends
+    return runs_hashed(data, starts, ends), starts, ends
 
 
 def grams_of(numbers: np.ndarray, gram: int) -> np.ndarray:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 from labelscape.llm.order_minhash import MULTIPLIER, mixed
 
 _LETTERS = np.random.default_rng(11).integers(0, 1 << 64, 256, np.uint64)
 _BACK = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
+#: Words of more bytes get a digest: sums modulo 2**64 are alike for some words of 1,024 letters and more.
+LONG = 64
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -22,6 +26,16 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def runs_hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each run of bytes, whatever its place."""
+    up, down = powers(len(data) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTERS[data] * up[:-1], dtype=np.uint64)])
+    numbers = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    for i in np.flatnonzero(ends - starts > LONG):
+        numbers[i] = int.from_bytes(hashlib.blake2b(data[starts[i]:ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return numbers
+
+
 def word_numbers(text: str) -> np.ndarray:
     """A number for each word ``[^\\x20\\x09-\\x0D]+``, the letters A-Z lower-cased."""
     data = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
@@ -30,9 +44,7 @@ def word_numbers(text: str) -> np.ndarray:
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = powers(len(data) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTERS[data] * up[:-1], dtype=np.uint64)])
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return runs_hashed(data, starts, ends)
 
 
 def shingle_set(text: str, width: int = 4) -> np.ndarray:

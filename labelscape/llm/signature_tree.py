@@ -26,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelscape.llm.common import give_back, having, input_bytes, lacking, make_room, rows_of, written
+from labelscape.llm.common import columns_of, give_back, having, input_bytes, lacking, make_room, rows_of, written
 from labelscape.llm.components import components, stars
 from labelscape.llm.shingles import shingle_set
 
 #: The table of levels has at most 2**LEVEL_BITS bytes, whatever the input.
 LEVEL_BITS = 26
+#: A cluster's sets are numbered in so many slices.
+SLICES = 16
 #: Shingles held back by a task before it sends them on.
 FLUSH = 1 << 19
 #: Sets in a block, children of a tree's node.
@@ -424,9 +426,11 @@ def blocks(members: DataFrame, percent: int, *pools: str) -> DataFrame:
     """Cut each cluster into blocks of about BLOCK sets by size class (sets that link differ by one at most), ``pools`` and key."""
     size = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) - F.lit(1e-9)).cast("int")
     classed = members.withColumn("size", size)
-    counts = classed.groupBy("cluster", "size", *pools).count()
-    return classed.join(counts, ["cluster", "size", *pools]).withColumn(
-        "part", F.pmod(F.xxhash64("key"), F.ceil(F.col("count") / BLOCK))).drop("count")
+    # a cluster's sets meet its counts in slices, so that a large one is many tasks' work
+    counts = classed.groupBy("cluster", "size", *pools).count().withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    return classed.withColumn("slice", F.pmod(F.xxhash64(F.lit(SLICES), F.col("key")), F.lit(SLICES)).cast("int")).join(
+        counts, ["cluster", "size", *pools, "slice"]).withColumn(
+        "part", F.pmod(F.xxhash64("key"), F.ceil(F.col("count") / BLOCK))).drop("count", "slice")
 
 
 def forest(members: DataFrame, counts: DataFrame, own: DataFrame, width: int, percent: int) -> DataFrame:
@@ -520,7 +524,7 @@ def one_of_each(df: DataFrame, *, width: int = 4, percent: int = 85, key: str =
     twice = found.groupBy(key).count().where("count > 1").select(F.col(key).cast(kind).alias(key))
     single = lacking(df, written(gone.union(twice).distinct()), key)
     kept = found.join(twice, key, "left_semi").where(F.col(key) == F.col("component_id")).select(F.col(key).cast(kind).alias(key)).distinct()
-    return single.unionByName(having(df, kept, key).dropDuplicates([key, text])).select(*df.columns)
+    return single.unionByName(having(df, kept, key).dropDuplicates([key, text])).select(*columns_of(df))
 
 
 #: The join in DuckDB, over ``documents``; for tables small enough to compare all documents that share a shingle.

@@ -7,7 +7,7 @@ import pytest
 
 from labelscape.llm import signature_tree as tree
 from labelscape.llm.components import components
-from labelscape.llm.shingles import shingle_set
+from labelscape.llm.shingles import shingle_set, word_numbers
 from tests.llm.awkward import TEXTS, documents
 
 
@@ -68,6 +68,15 @@ def test_shingle_numbers_are_one_to_one():
     assert shingle_set("x y").tolist() != shingle_set("x y z w").tolist() and len(shingle_set(" \n")) == 0
 
 
+def test_long_words_do_not_collide():
+    """Letters in Thue-Morse order and their complement are alike in sums modulo powers of two."""
+    for size in (1024, 2048, 4096):
+        one = "".join("ab"[i.bit_count() % 2] for i in range(size))
+        other = one.translate(str.maketrans("ab", "ba"))
+        assert word_numbers(one)[0] != word_numbers(other)[0]
+        assert word_numbers(f"{one} x {other}").tolist() == [*word_numbers(one), *word_numbers("x"), *word_numbers(other)]
+
+
 def test_awkward_table(spark):
     assert result(documents(spark)) == brute(TEXTS)
 
