@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelscape.llm.common import written
+from labelscape.llm.common import columns_of, unused, written
 
 
 @dataclass(frozen=True)
@@ -33,8 +33,8 @@ KINDS = (
          "secret", True, 2, 12),
     Kind("access", r"AKIA[A-Z0-9]+", "identifier", True, 0, 18),
     Kind("hex", r"[0-9a-f]{16,}", "secret", True),
-    Kind("account", r"""(?i:user(?:_?name|_?id)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,64}"""
-                    r"""|[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+""", "identifier", False),
+    Kind("account", r"""(?i:user(?:_?name|_?id)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}"""
+                    r"""|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+""", "identifier", False),
     Kind("bare", r"(?<![A-Za-z0-9+/_-])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}",
          "secret", False),
     Kind("endpoint", r"""[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]{3,}|(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{1,5})?(?![0-9.])""",
@@ -74,7 +74,8 @@ def matches(rows: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
         "hit.hits is not null").select(
         *ROW, "rank", "at", (F.col("at") / RUN).cast("int").alias("run"), F.col("hit.hits.size").alias("size"),
         F.col("hit.hits.told").alias("told"), (F.col("hit.between") + F.col("hit.hits.size")).cast("long").alias("step"))
-    each = each.dropDuplicates([*ROW, "rank", "at"])  # repeated rows have equal matches
+    # repeated rows have equal matches; written, since the patterns would else run anew for each use
+    each = written(each.dropDuplicates([*ROW, "rank", "at"]))
     within = Window.partitionBy(*ROW, "rank", "run").orderBy("at")
     runs = each.groupBy(*ROW, "rank", "run").agg(F.sum("step").alias("total"))
     before = Window.partitionBy(*ROW, "rank").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
@@ -162,7 +163,8 @@ def secret_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", re
 def redact(docs: DataFrame, *, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]",
            reach: int = REACH) -> DataFrame:
     """``docs`` with every reported span (overlapping ones as one) replaced by ``mark``; all rows and columns stay."""
-    found = scan(docs, key=key, text=text, reach=reach).withColumnsRenamed({c: f"f_{c}" for c in ROW})
+    names = {c: unused(docs, f"f_{c}") for c in [*ROW, "gaps"]}
+    found = scan(docs, key=key, text=text, reach=reach)
     merged = F.aggregate(
         "found", F.array().cast("array<struct<start:bigint,end:bigint>>"),
         lambda done, s: F.when(
@@ -171,15 +173,16 @@ def redact(docs: DataFrame, *, key: str = "doc_id", text: str = "text", mark: st
                 F.element_at(done, -1)["start"].alias("start"),
                 F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end")))))
         .otherwise(F.concat(done, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))))
-    found = found.select("f_row_key", "f_row_hash", merged.alias("gaps"))
+    found = found.select(*[F.col(c).alias(names[c]) for c in ROW], merged.alias(names["gaps"]))
+    gaps = F.col(names["gaps"])
     # pieces of text between the gaps, one more than there are gaps
-    pieces = F.transform(F.sequence(F.lit(0), F.size("gaps")), lambda i: F.substring(
-        F.col(text), (F.when(i > 0, F.get("gaps", i - 1)["end"]).otherwise(0) + 1).cast("int"),
-        (F.when(i < F.size("gaps"), F.get("gaps", i)["start"]).otherwise(F.char_length(text))
-         - F.when(i > 0, F.get("gaps", i - 1)["end"]).otherwise(0)).cast("int")))
+    pieces = F.transform(F.sequence(F.lit(0), F.size(gaps)), lambda i: F.substring(
+        F.col(text), (F.when(i > 0, F.get(gaps, i - 1)["end"]).otherwise(0) + 1).cast("int"),
+        (F.when(i < F.size(gaps), F.get(gaps, i)["start"]).otherwise(F.char_length(text))
+         - F.when(i > 0, F.get(gaps, i - 1)["end"]).otherwise(0)).cast("int")))
     own = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
     # a text without any of the patterns stays where it is
     some = F.coalesce(F.col(text).rlike(ANY), F.lit(False))
     rest, docs = docs.where(~some), docs.where(some)
-    return rest.unionByName(docs.join(found, docs[key].eqNullSafe(F.col("f_row_key")) & (own == F.col("f_row_hash")), "left").withColumn(
-        text, F.when(F.col("gaps").isNotNull(), F.array_join(pieces, mark)).otherwise(F.col(text))).select(*docs.columns))
+    return rest.unionByName(docs.join(found, docs[key].eqNullSafe(F.col(names["row_key"])) & (own == F.col(names["row_hash"])), "left").withColumn(
+        text, F.when(gaps.isNotNull(), F.array_join(pieces, mark)).otherwise(F.col(text))).select(*columns_of(docs)))

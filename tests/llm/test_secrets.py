@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from labelscape.llm import secrets
@@ -50,6 +51,28 @@ def test_weak_parts_count_only_together(spark):
     assert [s.split(":")[0] for s in spans_of(spark, f"10.0.0.1:22 {'-' * 150} AKIAABCDEFGHIJKLMN0 {bare}")] == ["endpoint", "access", "bare"]
 
 
+def test_weak_runs_are_whole(spark):
+    for value in ("client_id = " + "k" * 80, "user=" + "x" * 5000, "n" * 90 + "@" + "d" * 80 + ".example"):
+        found = spans_of(spark, f"token=abcdefghijkl {value} end")
+        assert found[1] == f"account:19:{19 + len(value)}"
+    assert spans_of(spark, "w" * 200_000 + " token=abcdefghijkl") == ["assign:200001:200019"]  # no @ in a long run: one pass
+
+
+def test_weak_spans_equal_brute_force(spark):
+    """Weak parts are told by the patterns alone, and kept where a part that completes them is within reach."""
+    patterns = {k.name: re.compile(k.pattern) for k in secrets.KINDS if k.name != "assign"}
+    rng = random.Random(4)
+    pieces = ["user=someone", "10.0.0.1:22", "Ab3dEf6hIj9kLm2nOp5qRs8t", "token=abcdefghijkl", "a@b.example", "ftp://x/yyy", "0123456789abcdef01", "AKIAABCDEFGHIJKLMN0"]
+    texts = {i: "".join(rng.choice(pieces) + " " + ". " * rng.choice([0, 3, 60, 99, 120]) for _ in range(rng.randint(1, 7))) for i in range(40)}
+    got = {r["doc_id"]: set(filter(None, r["spans"].split(","))) for r in secrets.secret_spans(documents(spark, list(texts.items()))).collect()}
+    for i, text in texts.items():
+        parts = [(k, m.start(), m.end()) for k in secrets.KINDS for m in (ASSIGN if k.name == "assign" else patterns[k.name]).finditer(text)
+                 if len(m[k.group]) >= k.least]
+        near = [(a, b) for a in parts for b in parts if a[0].role == "secret" and b[0].role != "secret" and b[1] <= a[2] + 200 and a[1] <= b[2] + 200]
+        kept = {p for p in parts if p[0].strong} | {p for pair in near for p in pair}
+        assert got[i] == {f"{k.name}:{a}:{b}" for k, a, b in kept}, text
+
+
 def test_reach_is_exact(spark):
     for gap in (198, 199, 200, 201, 202):
         found = spans_of(spark, "token=abcdefghijkl" + " " * gap + "a@b.example")
