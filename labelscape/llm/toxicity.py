@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelscape.llm.common import make_room, rows_of
 
@@ -405,19 +406,20 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), *,
     return learn(((row["words"].split(), row["label"]) for row in rows), settings)
 
 
-def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``toxicity`` (0 to 1); a null text is empty. ``key`` is not read."""
-    own = docs.schema
+def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", name: str = "toxicity") -> DataFrame:
+    """All columns of ``docs`` and ``name`` (0 to 1); a null text is empty. ``key`` is not read. An empty table gives no rows.
+
+    For a table that may have a column of that name choose another one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # landmarks and weights only
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine_ = here(shared)
         for batch in rows_of(batches):
             values = machine_.scores([v.as_py() or "" for v in batch.column(batch.schema.get_field_index(text))])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], [*batch.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], [*batch.schema.names, name])
 
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own)
-    return docs.mapInArrow(run, f"{names}, toxicity double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 _models: dict[int, Model] = {}
