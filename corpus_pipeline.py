@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from labelscape.llm import packing, secrets, signature_tree, toxicity
 from labelscape.llm.catalog import THRESHOLD, held_out
-from labelscape.llm.common import small_batches, table, written
+from labelscape.llm.common import columns_of, small_batches, table, unused, written
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold."""
     labels = table(spark, sf_dir, "labels").where(~held_out("doc_id"))
-    return toxicity.score(docs, toxicity.fit(docs, labels)).where(F.col("toxicity") < THRESHOLD).select(*docs.columns)
+    name = unused(docs, "toxicity")
+    return toxicity.score(docs, toxicity.fit(docs, labels), name=name).where(F.col(name) < THRESHOLD).select(*columns_of(docs))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +30,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """All documents, their secrets replaced by a mark; n_chars follows the text."""
     return secrets.redact(docs).withColumn(
         "n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(
-            F.col("n_chars"))).select(*docs.columns)
+            F.col("n_chars"))).select(*columns_of(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
