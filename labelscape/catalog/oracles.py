@@ -172,9 +172,12 @@ DENSE = """full_expr AS (SELECT c.cell_id, c.celltype, g.gene, COALESCE(e.value,
   FROM cells c CROSS JOIN (SELECT DISTINCT p_brand AS gene FROM part) g LEFT JOIN expr e ON e.cell_id = c.cell_id AND e.gene = g.gene)"""
 
 SOME = DENSE.replace("FROM part)", "FROM part WHERE p_brand < 'Brand#3')")
-# two-sided tail of the standard normal distribution: x**(2n+1) sqrt(pi) / (2 gamma(n + 1.5)) are the terms of its series
-TAIL = """CASE WHEN z > 8.5 THEN 0.0 ELSE GREATEST(1 - 2 / sqrt(pi()) * exp(-z * z / 2) * list_sum(list_transform(range(0, 201),
-  lambda n: exp((2 * n + 1) * ln(GREATEST(z, 1e-300) / sqrt(2)) + ln(sqrt(pi()) / 2) - lgamma(n + 1.5)))), 0.0) END"""
+# two-sided tail of the standard normal distribution: near 0 x**(2n+1) sqrt(pi) / (2 gamma(n + 1.5)) are the terms of its series; farther out
+# the density over z + 1 / (z + 2 / (z + 3 / ...))
+TAIL = """CASE WHEN z <= 2 THEN 1 - 2 / sqrt(pi()) * exp(-z * z / 2) * list_sum(list_transform(range(0, 201),
+  lambda n: exp((2 * n + 1) * ln(GREATEST(z, 1e-300) / sqrt(2)) + ln(sqrt(pi()) / 2) - lgamma(n + 1.5))))
+  ELSE 2 * exp(-z * z / 2) / sqrt(2 * pi()) / list_reduce(list_prepend(CAST(z AS DOUBLE), list_transform(range(200, 0, -1), lambda k: CAST(k AS DOUBLE))),
+    lambda t, k: z + k / t) END"""
 
 SCALED = """lim AS (SELECT gene, MIN(value) AS lo, LEAST(QUANTILE_CONT(value, 0.99), MAX(value)) AS hi,
     QUANTILE_CONT(value, 0.75) FILTER (value > 0) AS thr FROM full_expr GROUP BY 1),

@@ -12,10 +12,12 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from labelscape.functions.normalize import number
 from labelscape.operators.expression import normalize_log_scale
 from labelscape.operators.samples import map_clusters, single_labels
 from labelscape.sources import files
-from labelscape.sources.points import first_present, require, wide_to_long
+from labelscape.sources.points import first_present, require
+from labelscape.sources.sinks import read_lines
 
 # Column names and patterns of the file formats read here.
 COORDINATE_COLUMNS = (
@@ -248,8 +250,7 @@ def read_selection(spark: SparkSession, path: str) -> DataFrame:
 
 def read_matrix_csv(spark: SparkSession, path: str, *, row: str = "row", column: str = "col") -> DataFrame:
     """Wide labelled matrix file as a long table; the first column holds the row labels."""
-    table = spark.read.csv(path, header=True)
-    return wide_to_long(table, table.columns[0], row=row, column=column)
+    return read_lines(spark, path, row=row, column=column).withColumn("value", number(F.col("value"), None))
 
 
 def precomputed_tables(spark: SparkSession, path: str) -> tuple[DataFrame | None, DataFrame | None]:

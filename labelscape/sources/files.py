@@ -18,9 +18,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(listed(spark, folder or ".", name))
 
 
-def below(spark: SparkSession, folder: str, name: str, depth: int = 6) -> list[str]:
-    """Files of that name in the folder or up to ``depth`` folders down."""
-    return sorted(path for d in range(depth + 1) for path in listed(spark, folder, "*/" * d + name))
+def below(spark: SparkSession, folder: str, name: str) -> list[str]:
+    """Files of that name in the folder or anywhere below it; none if the folder is absent."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(str(folder).rstrip("/"))
+    system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not system.exists(path):
+        return []
+    found, walk = [], system.listFiles(path, True)
+    while walk.hasNext():
+        status = walk.next()
+        if status.getPath().getName() == name:
+            found.append(status.getPath().toString())
+    return sorted(found)
 
 
 def only(spark: SparkSession, folder: str, pattern: str) -> str:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-#: Columns of a wide file; more labels make several files.
-COLUMNS = 5_000
+import csv
+import io
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 def write_table(df: DataFrame, path: str, *, mode: str = "overwrite") -> str:
     """Folder of part files; the format follows the path's suffix. Errors are raised, not hidden."""
@@ -20,27 +21,56 @@ def write_table(df: DataFrame, path: str, *, mode: str = "overwrite") -> str:
 
 def wide(matrix: DataFrame, row: str, column: str, *, value: str = "value", fill: float | None = None) -> DataFrame:
     """One row per label; the labels of the other axis, a dictionary-sized list, become columns."""
-    return _wide(matrix, row, column, _names(matrix, column), value, fill)
+    out = matrix.groupBy(row).pivot(column, _names(matrix, column)).agg(F.max(value)).orderBy(row)
+    return out if fill is None else out.fillna(fill)
 
 
 def _names(matrix: DataFrame, column: str) -> list:
     return [r[0] for r in matrix.select(column).distinct().orderBy(column).toLocalIterator()]
 
 
-def _wide(matrix: DataFrame, row: str, column: str, names: list, value: str, fill: float | None) -> DataFrame:
-    out = matrix.groupBy(row).pivot(column, names).agg(F.max(value)).orderBy(row)
-    return out if fill is None else out.fillna(fill)
+def line(fields: list) -> str:
+    """Fields as a line of CSV text; null is nothing."""
+    out = io.StringIO()
+    csv.writer(out, lineterminator="").writerow(["" if x is None else repr(x) if isinstance(x, float) else x for x in fields])
+    return out.getvalue()
 
 
 def write_matrix_csv(matrix: DataFrame, path: str, row: str, column: str, *, value: str = "value",
                      fill: float | None = None) -> str:
-    """One wide file; with more than COLUMNS labels a folder of files ``columns_0``, ``columns_1``, ... that share the row labels."""
+    """A folder of wide CSV files, each with the header; a row's values are put in a line by its task, so any number of labels will do."""
     names = _names(matrix, column)
-    if len(names) <= COLUMNS:
-        return write_table(_wide(matrix, row, column, names, value, fill), path)
-    rows = matrix.select(row).distinct()
-    for i in range(0, len(names), COLUMNS):
-        some = names[i:i + COLUMNS]
-        block = rows.join(_wide(matrix.where(F.col(column).isin(some)), row, column, some, value, None), row, "left").orderBy(row)
-        write_table(block if fill is None else block.fillna(fill), f"{path}/columns_{i // COLUMNS}")
+    place = {name: i for i, name in enumerate(names)}
+    header = line([row, *names])
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = True
+        for batch in batches:
+            out = [header] if first else []
+            for label, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                values: list = [fill] * len(names)
+                for e in entries:
+                    values[place[e["k"]]] = fill if e["v"] is None else e["v"]
+                out.append(line([label, *values]))
+            first = False
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+
+    cells = matrix.groupBy(row, column).agg(F.max(value).alias("_v"))
+    rows = cells.groupBy(row).agg(F.collect_list(F.struct(F.col(column).alias("k"), F.col("_v").alias("v"))).alias("_e"))
+    rows.orderBy(row).mapInArrow(lines, "value string").write.mode("overwrite").text(path)
     return path
+
+
+def read_lines(spark: SparkSession, path: str, *, row: str, column: str) -> DataFrame:
+    """(row, column, value) of a wide CSV file or folder of such; the first column holds the row labels, empty fields are NULL."""
+    text = spark.read.text(path)
+    header = next(iter(text.head(1)), [""])[0]  # each file begins with it
+    names = next(csv.reader([header]), [""])[1:]
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for fields in csv.reader(x for x in batch.column(0).to_pylist() if x and x != header):
+                yield pa.RecordBatch.from_arrays([pa.array([fields[0] or None] * len(names), pa.string()), pa.array(names, pa.string()),
+                                                  pa.array([x or None for x in fields[1:len(names) + 1]], pa.string())], [row, column, "value"])
+
+    return text.mapInArrow(entries, f"`{row}` string, `{column}` string, value string")

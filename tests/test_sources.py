@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from labelscape.operators import samples, synthetic
 from labelscape.operators.matrices import searcher_findee
 from labelscape.render import figures
-from labelscape.sources import bundles, points, sinks
+from labelscape.sources import bundles, files, points
 from labelscape.sources.sinks import write_matrix_csv, write_table
 from labelscape.streaming.accumulate import accumulate, accumulated
 
@@ -196,13 +196,23 @@ def test_loaders_take_any_address(spark, tmp_path):
     assert bundles.precomputed_tables(spark, folder)[0].count() == 1
 
 
-def test_more_labels_than_columns(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(sinks, "COLUMNS", 3)
-    df = spark.createDataFrame([(f"r{i % 2}", f"c{i}", float(i)) for i in range(8)], "row string, col string, value double")
-    path = sinks.write_matrix_csv(df, str(tmp_path / "wide.csv"), "row", "col")
-    parts = [spark.read.csv(f"{path}/columns_{i}", header=True) for i in range(3)]
-    assert [p.columns for p in parts] == [["row", "c0", "c1", "c2"], ["row", "c3", "c4", "c5"], ["row", "c6", "c7"]]
-    assert all(p.count() == 2 for p in parts)
+def test_wide_files_come_back(spark, tmp_path):
+    names = [f'c{i:05d}, "x"' if i % 2 else f"c{i:05d}" for i in range(6000)]
+    rows = [(f"r{i}", c, float(i) + j / 7) for i in range(3) for j, c in enumerate(names) if (i + j) % 3] + [("r9", names[0], None)]
+    df = spark.createDataFrame(rows, "row string, col string, value double").repartition(4)
+    path = write_matrix_csv(df, str(tmp_path / "wide.csv"), "row", "col")
+    back = {(r.row, r.col): r.value for r in bundles.read_matrix_csv(spark, path).collect()}
+    assert len(back) == 4 * 6000 and {k: v for k, v in back.items() if v is not None} == {(a, b): v for a, b, v in rows if v is not None}
+    filled = bundles.read_matrix_csv(spark, write_matrix_csv(df, str(tmp_path / "filled.csv"), "row", "col", fill=0.0)).where("value = 0").count()
+    assert filled == 4 * 6000 - len(rows) + 1 + sum(v == 0 for *_, v in rows)
+
+
+def test_files_are_found_however_deep(spark, tmp_path):
+    deep = tmp_path.joinpath(*"abcdefghij")
+    deep.mkdir(parents=True)
+    for folder in (deep, tmp_path):
+        (folder / "clusters.csv").write_text("x\n")
+    assert len(files.below(spark, str(tmp_path), "clusters.csv")) == 2 and files.below(spark, str(tmp_path / "none"), "clusters.csv") == []
 
 
 def test_streamed_sums_equal_the_batch_matrix(spark, tmp_path):

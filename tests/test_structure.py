@@ -7,12 +7,14 @@ import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as hs
+from pyspark.sql import functions as F
 
 from labelscape import api
 from labelscape.functions import linkage as link
 from labelscape.operators import matrices as mx
 from labelscape.operators import structure as st
 from labelscape.operators.neighbors import split_by_distance
+from labelscape.operators.samples import two_sided
 from tests import brute
 
 
@@ -175,3 +177,10 @@ def test_stage_means(spark):
     values = {(r.stage, r.source, r.target): r.value for r in got.collect()}
     assert len(values) == 18 and values["s", "A", "B"] == pytest.approx(0.3) and values["t", "C", "A"] == 0.5
     assert values["t", "A", "B"] == 1 and values["s", "B", "B"] == 0
+
+
+def test_normal_tails(spark):
+    values = [0.0, 1e-9, 0.3, 1.0, 1.9999, 2.0, 2.0001, 3.0, 6.0, 8.0, 8.6, 12.0, 25.0, 37.0, 60.0]
+    rows = spark.createDataFrame([(v,) for v in values] + [(None,)], "z double").select("z", two_sided(F.col("z")).alias("p")).collect()
+    for r in rows:
+        assert r.p == (None if r.z is None else pytest.approx(math.erfc(r.z / math.sqrt(2)), rel=1e-11, abs=1e-320))
