@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,13 @@ from labelscape.llm.common import make_room, rows_of, written
 
 #: Texts are aligned together up to so many letters, and counted together up to so many links; a longer text is alone.
 TOGETHER, UNIT = 1 << 20, 1 << 20
+#: Encoded words that a worker keeps, twice: when so many are new, those before them are dropped unless they came again.
+CACHE = 200_000
+#: A single blank before a letter, digit or printable mark. Neither tokenizer joins what stands on its two sides: the first cuts there
+#: by its pattern; the second if none of its pieces has a blank behind something else.
+CUT = re.compile(r"(?<=[^ ]) (?=[!-~\w])")
+#: Words that CUT parts from any other one on both sides.
+PLAIN = re.compile(r"[!-~\w](?:.*[^ ])?\Z", re.DOTALL)
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
@@ -108,22 +117,67 @@ class Aligner:
         self.length_a, self.length_b = (np.array([len(x) for x in table], np.int64) for table in (self.bytes_a, self.bytes_b))
         self.bits = max(1, (len(self.bytes_b) - 1).bit_length())
         self.text_bits = max(1, (len(self.bytes_a) - 1).bit_length()) + self.bits
+        self.cuts = not any(b" " in word.lstrip(b" ") for word in self.bytes_b)
+        self.known_a: dict[str, bytes] = {}
+        self.known_b: dict[str, bytes] = {}
+        self.before: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
+        self.inexact: set[str] = set()
         # an id's digits with the mark behind it: tokens A inside and at the end of their part, then tokens B
         self.shown = np.array([f"{i}{mark}".encode() for many, marks in ((len(self.bytes_a), ",|"), (len(self.bytes_b), ",;"))
                                for mark in marks for i in range(many)])
 
+    def learn(self, words: list[str]) -> None:
+        """Encode words, a blank before each. Words that stay apart are encoded in one go."""
+        if len(words) == 1 or not self.cuts:
+            for word in words:
+                self.learn_alone(word)
+            return
+        plain = [word for word in words if PLAIN.match(word)]
+        whole = " ".join(plain)
+        data, a, b = self.both(whole)
+        if not plain or data is None:  # some word is not exactly its tokens
+            plain = []
+        stops = np.cumsum(np.fromiter((len(word.encode("utf-8", "surrogatepass")) + 1 for word in plain), np.int64, len(plain)))
+        for known, ids, length in ((self.known_a, a, self.length_a), (self.known_b, b, self.length_b)):
+            at = 4 * np.searchsorted(np.cumsum(length[ids]), stops, side="right")
+            held = ids.astype("<u4").tobytes()
+            known.update((word, held[i:j]) for word, i, j in zip(plain, [0, *at.tolist()], at.tolist()))
+        for word in set(words).difference(plain):
+            self.learn_alone(word)
+
+    def learn_alone(self, word: str) -> None:
+        data, a, b = self.both(word)
+        self.known_a[word], self.known_b[word] = a.astype("<u4").tobytes(), b.astype("<u4").tobytes()
+        if data is None:
+            self.inexact.add(word)
+
+    def both(self, text: str) -> tuple[bytes | None, np.ndarray, np.ndarray]:
+        """The bytes of a blank and the text, None if they are not those of its tokens, and the ids."""
+        data = (" " + text).encode("utf-8", "surrogatepass")
+        a, b = self.first.encode(" " + text, add_special_tokens=False).ids, self.second.encode(text)
+        exact = b"".join(map(self.bytes_a.__getitem__, a)) == data == b"".join(map(self.bytes_b.__getitem__, b))
+        return data if exact else None, np.array(a, np.int64), np.array(b, np.int64)
+
+    def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[bytes]]:
+        """Ids of both as unsigned 32-bit numbers; of a text that is null, empty, or not exactly the bytes of its tokens none."""
+        words = [(CUT.split(text) if self.cuts else [text]) if text else [] for text in texts]
+        distinct = set(chain.from_iterable(words))
+        new = distinct.difference(self.known_a)
+        if len(self.known_a) + len(new) > CACHE and self.known_a:
+            self.before, self.known_a, self.known_b = (self.known_a, self.known_b), {}, {}
+            new = distinct
+        again = new.intersection(self.before[0])
+        for known, before in zip((self.known_a, self.known_b), self.before):
+            known.update((word, before[word]) for word in again)
+        if len(new) > len(again):
+            self.learn(list(new - again))
+        if not self.inexact.isdisjoint(distinct):
+            words = [[] if not self.inexact.isdisjoint(some) else some for some in words]
+        return [b"".join(map(self.known_a.__getitem__, some)) for some in words], [b"".join(map(self.known_b.__getitem__, some)) for some in words]
+
     def align(self, texts: list[str | None]) -> Aligned:
         """Texts that are null, empty, or not exactly the bytes of their tokens have no tokens."""
-        use = [i for i, text in enumerate(texts) if text]
-        lead = [" " + texts[i] for i in use]
-        codes = [e.ids for e in self.first.encode_batch_fast(lead, add_special_tokens=False)] if use else []
-        pieces = self.second.encode([texts[i] for i in use], num_threads=1) if use else []
-        held_a, held_b = [[] for _ in texts], [[] for _ in texts]
-        for i, text, a, b in zip(use, lead, codes, pieces):
-            data = text.encode("utf-8", "surrogatepass")
-            if b"".join(map(self.bytes_a.__getitem__, a)) == data == b"".join(map(self.bytes_b.__getitem__, b)):
-                held_a[i], held_b[i] = a, b
-        (a, from_a), (b, from_b) = joined(held_a), joined(held_b)
+        (a, from_a), (b, from_b) = map(joined, self.encode(texts))
         ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
         label = terminals(ends_a, ends_b)
         group = np.searchsorted(np.flatnonzero(label == np.arange(len(label))), label)
@@ -153,9 +207,8 @@ class Aligner:
         return keys & ((1 << self.text_bits) - 1), times, begin
 
 
-def joined(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    begin = np.cumsum([0, *map(len, lists)])
-    return np.fromiter((x for one in lists for x in one), np.int64, begin[-1]), begin
+def joined(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(ids), "<u4").astype(np.int64), np.cumsum([0, *map(len, ids)]) // 4
 
 
 @lru_cache(maxsize=1)

@@ -1,5 +1,6 @@
 import hashlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -15,9 +16,14 @@ PATHS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("pie
 MORE = ["Ünï cödé 中文 😀 don't  stop", "tabs\tand\nlines", " <|endoftext|> <s> </s> <unk> ", "ﬁ ligature Å", "aaaaaaaaaaaaaaa" * 40, "x", " ", "　wide", "a▁b", "nul\0 in it"]
 
 
+@lru_cache
+def aligner_here():
+    return alignment.Aligner(*PATHS)
+
+
 @pytest.fixture(scope="module")
 def aligner():
-    return alignment.Aligner(*PATHS)
+    return aligner_here()
 
 
 def tokens(aligner, text):
@@ -80,6 +86,15 @@ def test_portions_keep_the_order():
     assert [k.to_pylist() for k, _ in parts] == [[0, 1], [2], [3], [4], [5]] and sum((t for _, t in parts), []) == texts
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("ab Zé'1.\t\n  \x85\x1c\u180e\u200b\u3000中▁😀-_<|>s"), max_size=40))
+def test_words_encode_as_the_whole_text(text):
+    one = aligner_here()
+    found = tokens(one, text)
+    want = [[i for i, _, _ in side] for side in found] if found else [[], []]
+    assert [np.frombuffer(x, "<u4").tolist() for x, in one.encode([text])] == want
+
+
 @pytest.mark.parametrize("size", [1, 1 << 20])
 def test_alignments_equal_brute_force(spark, aligner, size):
     texts = [t if t is None or len(t) < 400 else t[:400] for _, t in TEXTS] + MORE
