@@ -131,6 +131,11 @@ def _meet(source: np.ndarray, rows: np.ndarray, chunks: np.ndarray, cloud: Targe
         best[r[new_row]] = np.minimum(best[r[new_row]], found)
 
 
+def lower_to_likely(source: np.ndarray, cloud: TargetCloud, best: np.ndarray) -> None:
+    """Let every row meet the one chunk at its own place along the curve."""
+    _meet(source, np.arange(len(source)), cloud.likely_chunk(source), cloud, best)
+
+
 def lower_to_nearest(source: np.ndarray, starts: np.ndarray, low: np.ndarray, high: np.ndarray,
                      cloud: TargetCloud, best: np.ndarray) -> None:
     """Fold one target cloud into ``best``, the running smallest distance per source row.
@@ -140,7 +145,7 @@ def lower_to_nearest(source: np.ndarray, starts: np.ndarray, low: np.ndarray, hi
     """
     stops = np.append(starts[1:], len(source))
     if len(cloud.coords) > 4 * FEW_TARGETS:
-        _meet(source, np.arange(len(source)), cloud.likely_chunk(source), cloud, best)
+        lower_to_likely(source, cloud, best)
     for i in range(len(starts)):
         a, b = starts[i], stops[i]
         part, own = source[a:b], best[a:b]

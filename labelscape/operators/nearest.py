@@ -92,8 +92,58 @@ def nearest_sums(sources: DataFrame, targets: DataFrame, coords: list[str], labe
     if strategy != "packed":
         table, targets = _if_few(targets, broadcast_rows)
         if table is not None:
-            return _broadcast_nearest(sources, table, coords, None, True, by, total=True)
-    return _packed_join(sources, targets, coords, by=by, total=True)
+            return _broadcast_nearest(sources, table, coords, None, True, by, _Totals)
+    return _packed_join(sources, targets, coords, by=by, total=_Totals)
+
+
+def cheapest(sources: DataFrame, targets: DataFrame, coords: list[str], label: str, *, factor: str, strategy: str = "auto",
+             broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(source, target, cost): the least ``scale`` times scaled distance from a source's points to a label's points.
+
+    ``sources`` has ``source`` and ``scale``. A task gives a row for each source and label in a batch, and within the batch a source's points
+    share their bound: a point looks on only where it could undercut the cheapest pair so far.
+    """
+    targets = _targets(targets, coords, label, factor, None)
+    sources = _complete(sources, coords).select(
+        F.col("source").cast("string").alias("source"), F.col("scale").cast("double").alias("scale"), *coords)
+    if strategy not in {"auto", "broadcast", "packed"}:
+        raise ValueError(f"no search plan {strategy!r}; there are auto, broadcast and packed")
+    if strategy != "packed":
+        table, targets = _if_few(targets, broadcast_rows)
+        if table is not None:
+            return _broadcast_nearest(sources, table, coords, factor, True, None, _Cheapest)
+    return _packed_join(sources, targets, coords, factor=factor, total=_Cheapest)
+
+
+class _Cheapest:
+    """The least cost of each source among the rows of one batch."""
+
+    def __init__(self, batch: pa.RecordBatch, by: str | None):
+        index = batch.schema.get_field_index
+        coded = batch.column(index("source")).dictionary_encode(null_encoding="encode")
+        self.names, self.codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        self.scale = batch.column(index("scale")).to_numpy(zero_copy_only=False)
+
+    @staticmethod
+    def schema(fields, by: str | None) -> T.StructType:
+        return T.StructType([T.StructField("source", T.StringType()), T.StructField("target", T.StringType()), T.StructField("cost", T.DoubleType())])
+
+    def least(self, best: np.ndarray) -> np.ndarray:
+        out = np.full(len(self.names), np.inf)
+        np.minimum.at(out, self.codes, best * self.scale)
+        return out
+
+    def lower(self, xyz, starts, low, high, cloud: geo.TargetCloud, best: np.ndarray) -> None:
+        geo.lower_to_likely(xyz, cloud, best)
+        # no row may be cut to below what its source has, so the slack keeps the cheapest row's own distance
+        bound = np.full(len(best), np.inf)
+        np.divide(self.least(best)[self.codes] * geo.SLACK, self.scale, out=bound, where=self.scale > 0)
+        np.minimum(best, bound, out=best)
+        geo.lower_to_nearest(xyz, starts, low, high, cloud, best)
+
+    def rows(self, target: str, best: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([self.names, pa.repeat(target, len(self.names)), pa.array(self.least(best))],
+                                          ["source", "target", "cost"])
 
 
 class _Totals:
@@ -106,6 +156,15 @@ class _Totals:
         self.mass = [batch.column(index(c)).to_numpy(zero_copy_only=False) for c in ("n", "w")]
         self.by = None if by is None else (by, batch.column(index(by)).slice(0, 1))
 
+    @staticmethod
+    def schema(fields, by: str | None) -> T.StructType:
+        kinds = [("source", T.StringType()), ("target", T.StringType()), ("n", T.LongType()), *[(c, T.DoubleType()) for c in ("nd", "w", "wd")]]
+        own = [f for f in fields if f.name == by] if by else []
+        return T.StructType([*own, *[T.StructField(name, kind) for name, kind in kinds]])
+
+    def lower(self, xyz, starts, low, high, cloud: geo.TargetCloud, best: np.ndarray) -> None:
+        geo.lower_to_nearest(xyz, starts, low, high, cloud, best)
+
     def rows(self, target: str, dist: np.ndarray) -> pa.RecordBatch:
         n, w = self.mass
         k = len(self.names)
@@ -118,12 +177,6 @@ class _Totals:
         return pa.RecordBatch.from_arrays(columns, names)
 
 
-def _totals_schema(fields, by: str | None) -> T.StructType:
-    kinds = [("source", T.StringType()), ("target", T.StringType()), ("n", T.LongType()), *[(c, T.DoubleType()) for c in ("nd", "w", "wd")]]
-    own = [f for f in fields if f.name == by] if by else []
-    return T.StructType([*own, *[T.StructField(name, kind) for name, kind in kinds]])
-
-
 def k_nearest(
     points: DataFrame,
     coords: list[str],
@@ -232,7 +285,7 @@ def _rows_by(batch: pa.RecordBatch, by: str | None) -> Iterator[tuple[str, pa.Re
         yield name, batch.take(pa.array(np.flatnonzero(codes == code)))
 
 
-def _broadcast_nearest(sources, table, coords, factor, spread, by, total: bool = False) -> DataFrame:
+def _broadcast_nearest(sources, table, coords, factor, spread, by, total: type | None = None) -> DataFrame:
     spark = sources.sparkSession
     clouds = spark.sparkContext.broadcast(_clouds(table, len(coords), factor is not None, False))
     if spread and table.num_rows <= FEW_TARGETS:
@@ -259,17 +312,18 @@ def _broadcast_nearest(sources, table, coords, factor, spread, by, total: bool =
                 starts = geo.chunk_starts(len(xyz), geo.SOURCE_CHUNK)
                 low, high = geo.chunk_bounds(xyz, starts)
                 names = [*batch.schema.names, "target", "dist"]
-                totals = _Totals(batch, by) if total else None
+                totals = total(batch, by) if total else None
                 for name, cloud in ready.get(within, []):
                     best = np.full(len(xyz), np.inf)
-                    geo.lower_to_nearest(xyz, starts, low, high, cloud, best)
                     if total:
+                        totals.lower(xyz, starts, low, high, cloud, best)
                         yield totals.rows(name, best)
                         continue
+                    geo.lower_to_nearest(xyz, starts, low, high, cloud, best)
                     yield pa.RecordBatch.from_arrays(
                         [*batch.columns, pa.repeat(name, len(xyz)), pa.array(best)], names)
 
-    out = _totals_schema(fields, by) if total else T.StructType([
+    out = total.schema(fields, by) if total else T.StructType([
         *fields, T.StructField("target", T.StringType()), T.StructField("dist", T.DoubleType())])
     return sources.mapInArrow(search, out)
 
@@ -479,7 +533,7 @@ def _block_pairs(s_blocks, t_blocks, height: int, dims: int, k: int) -> DataFram
     return pairs.select("by", "s", "target", "t")
 
 
-def _packed_join(sources, targets, coords, *, factor=None, k: int = 1, id_col=None, by=None, total: bool = False) -> DataFrame:
+def _packed_join(sources, targets, coords, *, factor=None, k: int = 1, id_col=None, by=None, total: type | None = None) -> DataFrame:
     dims = len(coords)
     axes = list(AXES[:dims])
     if by is not None:
@@ -504,7 +558,7 @@ def _packed_join(sources, targets, coords, *, factor=None, k: int = 1, id_col=No
     stream = own.unionByName(incoming).repartition(_partitions(sources), "by", "group")
     stream = stream.sortWithinPartitions("by", "group", "role", "target", "block")
     if total:
-        out = _totals_schema(payload.elementType.fields, by)
+        out = total.schema(payload.elementType.fields, by)
     elif k == 1 and id_col is None:
         out = T.StructType([*payload.elementType.fields, T.StructField("target", T.StringType()),
                             T.StructField("dist", T.DoubleType())])
@@ -513,7 +567,7 @@ def _packed_join(sources, targets, coords, *, factor=None, k: int = 1, id_col=No
     return stream.mapInArrow(_folder(coords, axes, factor is not None, k, id_col, total, by), out).drop("_by")
 
 
-def _folder(coords, axes, scaled: bool, k: int, id_col: str | None, total: bool = False, by: str | None = None):
+def _folder(coords, axes, scaled: bool, k: int, id_col: str | None, total: type | None = None, by: str | None = None):
     """Streaming pass over rows sorted by (group, role, target): sources first, then targets."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -528,7 +582,7 @@ def _folder(coords, axes, scaled: bool, k: int, id_col: str | None, total: bool
             batch = pa.RecordBatch.from_struct_array(table)
             xyz = _source_matrix(batch, coords)
             starts = geo.chunk_starts(len(xyz), geo.SOURCE_CHUNK)
-            return batch, xyz, starts, *geo.chunk_bounds(xyz, starts)
+            return batch, xyz, starts, *geo.chunk_bounds(xyz, starts), total(batch, by) if total else None
 
         def reset():
             rows = len(source[1])
@@ -537,14 +591,16 @@ def _folder(coords, axes, scaled: bool, k: int, id_col: str | None, total: bool
             return np.full((rows, k), np.inf), np.zeros((rows, k), dtype=np.int64)
 
         def absorb():
-            batch, xyz, starts, low, high = source
+            batch, xyz, starts, low, high, totals = source
             block = pa.RecordBatch.from_struct_array(pa.concat_arrays(held))
             index = block.schema.get_field_index
             cloud_xyz = _source_matrix(block, axes)
             values = block.column(index("_factor")).to_numpy() if scaled else None
             tid = block.column(index("_tid")).to_numpy() if id_col else None
             cloud = geo.TargetCloud(cloud_xyz, ids=tid, factor=values)
-            if id_col is None:
+            if totals is not None:
+                totals.lower(xyz, starts, low, high, cloud, best)
+            elif id_col is None:
                 geo.lower_to_nearest(xyz, starts, low, high, cloud, best)
             else:
                 own = batch.column(batch.schema.get_field_index(id_col)).to_numpy()
@@ -557,7 +613,7 @@ def _folder(coords, axes, scaled: bool, k: int, id_col: str | None, total: bool
                 own = batch.column(batch.schema.get_field_index(id_col)).to_numpy()
                 return _neighbor_batch(own, best, ids, id_col)
             if total:
-                return _Totals(batch, by).rows(target.partition(SEPARATOR)[2], best)
+                return source[5].rows(target.partition(SEPARATOR)[2], best)
             return pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.repeat(target.partition(SEPARATOR)[2], batch.num_rows), pa.array(best)],
                 [*batch.schema.names, "target", "dist"])

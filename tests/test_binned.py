@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from labelscape.operators import binned
+from labelscape.operators import nearest as nn
 
 
 def pivot(df):
@@ -20,7 +21,8 @@ def test_centroid_distances(spark):
 
 
 def test_centroid_distances_both_ways(spark, monkeypatch):
-    monkeypatch.setattr(binned, "CENTRE_CHUNK", 2)
+    for name, value in (("CENTRE_CHUNK", 2), ("SPOT_BLOCK", 25), ("SLICE", 8)):
+        monkeypatch.setattr(binned, name, value)
     monkeypatch.setattr(binned, "CELLS", 12)
     rng = np.random.default_rng(1)
     spots = spark.createDataFrame([(i, *map(float, rng.uniform(0, 9, 2))) for i in range(60)], "cell_id long, x double, y double")
@@ -46,6 +48,30 @@ def test_shared_spots_cost_almost_nothing(spark):
         binned.ewnn(expr, spots, threshold=-1)
 
 
+@pytest.mark.parametrize("strategy", ["broadcast", "packed"])
+def test_cheapest_pairs_by_loops(spark, strategy):
+    rng = np.random.default_rng(3)
+    xy = np.round(rng.uniform(0, 9, (1500, 2)), 1)
+    rows = [(i, f"g{g}", float(rng.uniform(0.1, 40))) for i in range(1500) for g in range(3) if rng.random() < (0.9, 0.8, 0.01)[g]]
+    spots = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(xy)], "cell_id long, x double, y double")
+    expr = spark.createDataFrame([*rows, (0, None, 2.0)], "cell_id long, gene string, value double")
+    got = {(r.source, r.target): r.value for r in binned.ewnn(expr, spots, strategy=strategy).collect() if r.source is not None}
+    for a in ("g0", "g1", "g2"):
+        for b in ("g0", "g1", "g2"):
+            one, two = (np.array([[*xy[i], v] for i, g, v in rows if g == name]) for name in (a, b))
+            cost = np.hypot(*(one[:, None, :2] - two[None, :, :2]).transpose(2, 0, 1)) / np.sqrt(one[:, None, 2] * two[None, :, 2])
+            assert got[a, b] == pytest.approx(cost.min() + 1e-8, rel=1e-12)
+    assert len(got) == 9
+
+
+def test_the_cost_kernel_gives_one_row_a_pair(spark):
+    rng = np.random.default_rng(4)
+    points = [(f"g{i % 3}", *map(float, rng.uniform(0, 9, 2)), float(rng.uniform(0.1, 2))) for i in range(3000)]
+    df = spark.createDataFrame(points, "source string, x double, y double, scale double")
+    got = nn.cheapest(df, df.withColumnRenamed("source", "gene"), ["x", "y"], "gene", factor="scale")
+    assert got.count() <= 9 * 8 and got.select("source", "target").distinct().count() == 9
+
+
 def sparse_case(spark):
     rng = np.random.default_rng(2)
     xy = rng.uniform(0, 10, (60, 2))
