@@ -5,7 +5,10 @@ the inner product of the rotated vector with its own sign vector. Dividing a que
 the sign vector by that scalar estimates the cosine without bias, and the scalar also bounds the error with high probability.
 Vectors whose upper bound reaches the k-th best lower bound are ranked again by their exact cosine.
 
-Queries meet all vectors block by block; a task holds one block of each. Nothing is capped: the bound decides how many are reranked.
+Inner products come from the packed bits: a query makes a table of 256 sums for each byte of a code, and a code looks up one of each.
+
+Queries meet all vectors block by block; a task holds one block of each. They meet twice: first codes alone give each query's k-th best lower
+bound over all blocks, then blocks with their vectors rank again what reaches it. Nothing is capped: the bound decides how many are reranked.
 """
 
 from __future__ import annotations
@@ -21,6 +24,10 @@ from labelscape.llm.common import written
 
 #: Vectors in a block of codes, queries in a block.
 BLOCK, QUERIES = 4096, 4096
+#: Queries at a time.
+FEW = 256
+#: The signs that each byte stands for.
+SIGNS = (2.0 * np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1) - 1).astype(np.float32)
 
 
 @lru_cache(maxsize=4)
@@ -43,38 +50,54 @@ def norms(vectors: np.ndarray) -> np.ndarray:
     return top * np.sqrt(((vectors / top[:, None]) ** 2).sum(axis=1))
 
 
+def signed_sums(bits: np.ndarray, turned: np.ndarray) -> np.ndarray:
+    """Inner products of each query (a row of ``turned``) with the sign vectors that the rows of ``bits`` hold."""
+    padded = np.zeros((len(turned), 8 * bits.shape[1]), np.float32)
+    padded[:, :turned.shape[1]] = turned
+    tables = np.ascontiguousarray((padded.reshape(len(turned), -1, 8) @ SIGNS.T).transpose(1, 2, 0))
+    out = np.zeros((len(bits), len(turned)), np.float32)
+    for table, column in zip(tables, bits.T):
+        out += table[column]
+    return out.T
+
+
 def estimate(bits: np.ndarray, scalars: np.ndarray, queries: np.ndarray, seed: int,
              sureness: float) -> tuple[np.ndarray, np.ndarray]:
     """Estimated cosines (a row for each query) and each code's error bound."""
     size = queries.shape[1]
     turned = (queries / norms(queries)[:, None] @ rotation(size, seed).T).astype(np.float32)
-    signs = np.unpackbits(bits, axis=1, count=size).astype(np.float32)
-    inner = (2 * (turned @ signs.T) - turned.sum(axis=1)[:, None]) / np.float32(np.sqrt(size))
+    inner = signed_sums(bits, turned) / np.float32(np.sqrt(size))
     error = sureness * np.sqrt(np.maximum(0, 1 - scalars ** 2) / scalars ** 2 / max(1, size - 1))
     return inner / scalars.astype(np.float32)[None, :], error.astype(np.float32)
 
 
-def nearest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, bits: np.ndarray,
+def lower_bounds(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, bits: np.ndarray, scalars: np.ndarray, k: int, seed: int,
+                 sureness: float) -> tuple[np.ndarray, np.ndarray]:
+    """Query and lower bound of each query's ``k`` largest lower bounds in this block, its own row left out."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.float32))]
+    for start in range(0, len(queries), FEW):
+        guess, error = estimate(bits, scalars, queries[start:start + FEW], seed, sureness)
+        for own, low in zip(query_ids[start:start + FEW], guess - error[None, :]):
+            low = low[ids != own]
+            best = np.partition(low, -k)[-k:] if len(low) > k else low
+            found.append((np.full(len(best), own), best))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def nearest(query_ids: np.ndarray, queries: np.ndarray, least: np.ndarray, ids: np.ndarray, vectors: np.ndarray, bits: np.ndarray,
             scalars: np.ndarray, k: int, seed: int, sureness: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query, vector and exact cosine of each query's ``k`` best in this block (ties to the smaller id), its own row left out."""
-    lengths, found = norms(vectors), []
-    for start in range(0, len(queries), 256):
-        some = queries[start:start + 256]
-        guess, error = estimate(bits, scalars, some, seed, sureness)
-        lower, upper = guess - error[None, :], guess + error[None, :]
-        for row, (own, query) in enumerate(zip(query_ids[start:start + 256], some)):
-            other = ids != own
-            low = lower[row][other]
-            if not len(low):
-                continue
-            least = np.partition(low, -k)[-k] if len(low) > k else -np.inf
-            at = np.flatnonzero(other & (upper[row] >= least))
+    """Query, vector and exact cosine of each query's ``k`` best in this block (ties to the smaller id) among those whose upper bound
+    reaches the query's ``least``; its own row left out."""
+    lengths, found = norms(vectors), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for start in range(0, len(queries), FEW):
+        some = slice(start, start + FEW)
+        guess, error = estimate(bits, scalars, queries[some], seed, sureness)
+        for own, query, bound, upper in zip(query_ids[some], queries[some], least[some], guess + error[None, :]):
+            at = np.flatnonzero((ids != own) & (upper >= bound))
             # summed row by row, so that equal vectors have equal scores
             scores = (vectors[at] / lengths[at, None] * (query / norms(query[None])[0])).sum(axis=1)
             best = np.lexsort((ids[at], -scores))[:k]
             found.append((np.full(len(best), own), ids[at[best]], scores[best]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
@@ -89,7 +112,8 @@ def search(df: DataFrame, is_query: Column, *, k: int = 5, key: str = "vec_id",
     """query_id, rank (from 1), vec_id, score: the ``k`` rows with the largest cosine found for every row for which ``is_query`` holds.
 
     ``sureness`` is the number of standard deviations in the error bound. Rows with a null key or unusable vector take no part; of
-    rows with equal keys the smallest vector counts; vectors of another length than the query's are no candidates.
+    rows with equal keys the smallest vector counts; vectors of another length than the query's are no candidates. An empty table gives no
+    rows, and other columns are not looked at.
     """
     own = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), is_query.alias("asks"))
     own = written(own.where(F.col("id").isNotNull() & usable("vector")).groupBy("id").agg(
@@ -113,31 +137,48 @@ def search(df: DataFrame, is_query: Column, *, k: int = 5, key: str = "vec_id",
 
     def asking(table: pa.Table) -> pa.Table:
         ids, vectors = matrix(table)
-        return pa.table({"size": pa.array([vectors.shape[1]], pa.int32()), "part": pa.array([table.column("part")[0].as_py()], pa.int64()),
-                         "query_ids": pa.array([ids.tobytes()], pa.binary()), "queries": pa.array([vectors.tobytes()], pa.binary())})
-
-    codes = own.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(many))).groupBy("size", "block").applyInArrow(
-        coded, "size int, block long, ids binary, vectors binary, bits binary, scalars binary").withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.lit(asked - 1)).cast("array<long>")))
-    queries = own.where("asks").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(asked))).groupBy("size", "part").applyInArrow(
-        asking, "size int, part long, query_ids binary, queries binary").withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(many - 1)).cast("array<long>")))
+        columns = {"size": pa.array([vectors.shape[1]], pa.int32()), "part": pa.array([table.column("part")[0].as_py()], pa.int64()),
+                   "query_ids": pa.array([ids.tobytes()], pa.binary()), "queries": pa.array([vectors.tobytes()], pa.binary())}
+        return pa.table(columns | {"least": pa.array([table.column("least").to_numpy().astype(np.float32).tobytes()], pa.binary())})
+
+    codes = written(own.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(many))).groupBy("size", "block").applyInArrow(
+        coded, "size int, block long, ids binary, vectors binary, bits binary, scalars binary"))
+
+    def met_by(queries: DataFrame, columns: list[str]):
+        """Each block of codes beside each block of queries of its size."""
+        asks = queries.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(asked))).groupBy("size", "part").applyInArrow(
+            asking, "size int, part long, query_ids binary, queries binary, least binary").withColumn(
+            "block", F.explode(F.sequence(F.lit(0), F.lit(many - 1)).cast("array<long>")))
+        blocks = codes.select("size", "block", *columns).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(asked - 1)).cast("array<long>")))
+        unit = ["size", "block", "part"]
+        return blocks.groupBy(*unit).cogroup(asks.groupBy(*unit))
+
+    def of(table: pa.Table, name: str, kind: type, width: int = 0) -> np.ndarray:
+        values = np.frombuffer(table.column(name)[0].as_py(), kind)
+        return values.reshape(-1, width) if width else values
+
+    def bound(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = (np.zeros(0, np.int64), np.zeros(0, np.float32))
+        if left.num_rows and right.num_rows:
+            size = left.column("size")[0].as_py()
+            out = lower_bounds(of(right, "query_ids", np.int64), of(right, "queries", np.float64, size), of(left, "ids", np.int64),
+                               of(left, "bits", np.uint8, -(-size // 8)), of(left, "scalars", np.float64), k, seed, sureness)
+        return pa.table(dict(zip(("id", "lower"), map(pa.array, out))))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         out = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         if left.num_rows and right.num_rows:
             size = left.column("size")[0].as_py()
-
-            def of(table: pa.Table, name: str, kind: type, width: int) -> np.ndarray:
-                values = np.frombuffer(table.column(name)[0].as_py(), kind)
-                return values.reshape(-1, width) if width else values
-
-            out = nearest(of(right, "query_ids", np.int64, 0), of(right, "queries", np.float64, size), of(left, "ids", np.int64, 0),
-                          of(left, "vectors", np.float64, size), of(left, "bits", np.uint8, -(-size // 8)),
-                          of(left, "scalars", np.float64, 0), k, seed, sureness)
+            out = nearest(of(right, "query_ids", np.int64), of(right, "queries", np.float64, size), of(right, "least", np.float32),
+                          of(left, "ids", np.int64), of(left, "vectors", np.float64, size), of(left, "bits", np.uint8, -(-size // 8)),
+                          of(left, "scalars", np.float64), k, seed, sureness)
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, out))))
 
-    unit = ["size", "block", "part"]
-    best = codes.groupBy(*unit).cogroup(queries.groupBy(*unit)).applyInArrow(meet, "query_id long, vec_id long, score double")
+    queries = own.where("asks")
+    lowest = met_by(queries.withColumn("least", F.lit(float("-inf")).cast("float")), ["ids", "bits", "scalars"]).applyInArrow(bound, "id long, lower float")
+    lowest = lowest.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("lower")))).where(
+        F.col("place") <= k).groupBy("id").agg(F.min(F.when(F.col("place") == k, F.col("lower"))).alias("least"))
+    queries = queries.join(lowest, "id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf")).cast("float")))
+    best = met_by(queries, ["ids", "vectors", "bits", "scalars"]).applyInArrow(meet, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -57,6 +57,24 @@ def test_bound_holds_mostly():
     assert abs((guess - truth).mean()) < 0.01
 
 
+def test_sums_from_packed_bits():
+    rng = np.random.default_rng(4)
+    for size in (1, 7, 8, 13, 64):
+        signs, queries = rng.random((70, size)) < 0.5, rng.normal(size=(9, size)).astype(np.float32)
+        got = bit_codes.signed_sums(np.packbits(signs, axis=1), queries)
+        assert np.allclose(got, queries @ (2.0 * signs - 1).T, atol=1e-4)
+
+
+def test_recall_on_the_whole_table(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    found = {}
+    for r in search(table, F.col("vec_id") % 50 == 0).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    rows = {r["vec_id"]: r["embedding"] for r in table.select("vec_id", "embedding").collect()}
+    wanted = {q: set(exact(rows, q, 5)[0]) for q in rows if q % 50 == 0}
+    assert set(found) == set(wanted) and sum(len(found[q] & wanted[q]) for q in wanted) >= 0.95 * 5 * len(wanted)
+
+
 def test_ties_repeats_and_few_candidates(spark):
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(0, 9)] + [(0, [1.0, 2.0, 3.0]), (3, [1.0, 2.0, 3.0]), (100, [2.0, 4.0, 6.0]), (50, [1.0, 0.0])]
     got = search(frame(spark, rows), F.col("vec_id") % 50 == 0).collect()
