@@ -24,8 +24,8 @@ from labelscape.llm.common import written
 
 #: Vectors in a block of codes, queries in a block.
 BLOCK, QUERIES = 4096, 4096
-#: Queries at a time.
-FEW = 256
+#: Queries at a time, and how far two estimates of one inner product may be apart by rounding.
+FEW, ROUNDING = 256, 1e-5
 #: The signs that each byte stands for.
 SIGNS = (2.0 * np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1) - 1).astype(np.float32)
 
@@ -93,7 +93,7 @@ def nearest(query_ids: np.ndarray, queries: np.ndarray, least: np.ndarray, ids:
         some = slice(start, start + FEW)
         guess, error = estimate(bits, scalars, queries[some], seed, sureness)
         for own, query, bound, upper in zip(query_ids[some], queries[some], least[some], guess + error[None, :]):
-            at = np.flatnonzero((ids != own) & (upper >= bound))
+            at = np.flatnonzero((ids != own) & (upper >= bound - ROUNDING))
             # summed row by row, so that equal vectors have equal scores
             scores = (vectors[at] / lengths[at, None] * (query / norms(query[None])[0])).sum(axis=1)
             best = np.lexsort((ids[at], -scores))[:k]
