@@ -421,6 +421,14 @@ ORACLES: dict[str, str] = {
     "expression_summary": query(CELLS, expr(), SUMMARY.format(cut=0), select=f"""SELECT gene, celltype, {r('share')}, {r('detected')}, {r('raw')},
   {r('normalized')} FROM summary"""),
     "expression_rank": query(CELLS, expr(), DENSE, RANKS, select=f"SELECT cell_id, gene, {r('rank')} FROM ranked"),
+    "rank_label_means": query(CELLS, expr(), DENSE, RANKS, select=f"""SELECT celltype, gene, {r('AVG(rank)', 'rank')} FROM ranked
+  JOIN cells USING (cell_id) GROUP BY celltype, gene"""),
+    "normalized_label_means": query(
+        CELLS, expr(), """logged AS (SELECT cell_id, gene, ln(1 + value * 10000 / SUM(value) OVER (PARTITION BY cell_id)) AS value FROM expr)""",
+        DENSE.replace("JOIN expr e", "JOIN logged e"),
+        """scored AS (SELECT celltype, gene, LEAST((value - AVG(value) OVER g) / COALESCE(NULLIF(STDDEV_SAMP(value) OVER g, 0), 1), 10) AS value
+  FROM full_expr WINDOW g AS (PARTITION BY gene))""",
+        select=f"SELECT celltype, gene, {r('AVG(value)', 'value')} FROM scored GROUP BY celltype, gene"),
     "normalize_log_scale": query(
         "expr AS (SELECT user_id AS cell_id, event_type AS gene, SUM(value) AS value FROM events GROUP BY ALL)",
         """logged AS (SELECT cell_id, gene, ln(1 + CASE WHEN SUM(value) OVER (PARTITION BY cell_id) = 0 THEN value
@@ -488,6 +496,12 @@ ORACLES: dict[str, str] = {
        for n, m in (("median", "weighted_median"), ("trimmed", "weighted_trimmed_mean"), ("mean", "mean"))},
     "pathway_points": query(*POINT_CTES, select=f"""SELECT cell_id, {r('x')}, {r('y')}, celltype, pathway AS entity, {r('value', 'weight')}
   FROM kept JOIN cells USING (cell_id)"""),
+    "pathway_points_highest": query(
+        CELLS, expr(), "cuts AS (SELECT gene, QUANTILE_CONT(value, 0.9999) AS cut FROM expr WHERE value > 0 GROUP BY 1)",
+        """placed AS (SELECT e.*, cut, SUM(CASE WHEN value >= cut THEN 1 ELSE 0 END) OVER (PARTITION BY gene) AS enough,
+    ROW_NUMBER() OVER (PARTITION BY gene ORDER BY value DESC, cell_id) AS place FROM expr e JOIN cuts USING (gene))""",
+        select=f"""SELECT cell_id, {r('x')}, {r('y')}, celltype, gene AS entity, {r('value', 'weight')} FROM placed JOIN cells USING (cell_id)
+  WHERE CASE WHEN enough >= 60 THEN value >= cut ELSE place <= 60 END"""),
     "pathway_diagnostics": query(*POINT_CTES, select=f"""SELECT pathway, n AS retained_cell_count, {r('q', 'retained_quantile')},
   'intrinsic' AS activity_mode FROM chosen"""),
     "pathway_mode_summary": query(

@@ -357,6 +357,10 @@ QUERIES: dict[str, Query] = {
     "nn_weighted_gene": _binned(binned.weighted_nearest),
     "expression_summary": lambda s, d: rounded(ex.summarize_by_celltype(expression(s, d), cells(s, d))),
     "expression_rank": lambda s, d: rounded(ex.ranks(expression(s, d), cells(s, d), genes(s, d))),
+    "rank_label_means": lambda s, d: rounded(ex.sparse_ranks(expression(s, d), cells(s, d), genes(s, d)).mean_by_label(
+        cells(s, d), genes(s, d))),
+    "normalized_label_means": lambda s, d: rounded(ex.sparse_log_scale(expression(s, d), cells(s, d), genes(s, d)).mean_by_label(
+        cells(s, d), genes(s, d))),
     "normalize_log_scale": lambda s, d: rounded(ex.normalize_log_scale(
         event_expression(s, d), event_expression(s, d).select("cell_id").distinct(),
         event_expression(s, d).select("gene").distinct())),
@@ -392,6 +396,8 @@ QUERIES: dict[str, Query] = {
     "pathway_gene_trimmed": _aggregate("weighted_trimmed_mean"),
     "pathway_gene_mean": _aggregate("mean"),
     "pathway_points": lambda s, d: rounded(retained_points(s, d)[0]),
+    "pathway_points_highest": lambda s, d: rounded(pw.activity_points(
+        cells(s, d), expression(s, d).withColumnRenamed("gene", "pathway"), schedule=(0.9999,), min_cells=60)[0]),
     "pathway_diagnostics": lambda s, d: rounded(retained_points(s, d)[1]),
     "pathway_mode_summary": _mode_summary,
     "pathway_topology_activity": lambda s, d: rounded(pathway_topology(

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelscape.functions.normalize import number
-from labelscape.operators.expression import normalize_log_scale
+from labelscape.operators.expression import Filled, normalize_log_scale, sparse_log_scale
 from labelscape.operators.samples import map_clusters, single_labels
 from labelscape.sources import files
 from labelscape.sources.points import first_present, require
@@ -39,12 +39,16 @@ STRUCTURE_FILES = ("StructureMap_table*.csv", "*StructureMap*.csv")
 
 @dataclass
 class CellBundle:
-    """cells: cell_id, x, y, Cluster and the file's other columns; genes: gene, name; long expression."""
+    """cells: cell_id, x, y, Cluster and the file's other columns; genes: gene, name; long expression.
+
+    ``filled``, where asked for: the normalised expression without rows for absent values.
+    """
 
     cells: DataFrame
     genes: DataFrame | None = None
     expression: DataFrame | None = None
     raw: DataFrame | None = None
+    filled: Filled | None = None
 
 
 def bundle_path(spark: SparkSession, folder: str, given: str | None, pattern: str) -> str:
@@ -123,14 +127,17 @@ def load_table_bundle(spark: SparkSession, folder: str, *, cells_path: str | Non
     return _bundle(coerce_cells(joined, cluster_col=cluster_col, cell_id_col=own_id), read_expression(spark, matrix), normalize)
 
 
-def load_cells(spark: SparkSession, folder: str, *, normalize: bool = True) -> CellBundle:
-    """Cells with any cluster column they carry, and the expression matrix."""
+def load_cells(spark: SparkSession, folder: str, *, normalize: bool = True, sparse: bool = False) -> CellBundle:
+    """Cells with any cluster column they carry, and the expression matrix; with ``sparse`` its normalised form is ``filled``."""
     cells = coerce_cells(spark.read.parquet(f"{folder}/cells.parquet"), cluster_col="cluster")
-    return _bundle(cells, read_expression(spark, bundle_path(spark, folder, None, "cell_feature_matrix*")), normalize)
+    return _bundle(cells, read_expression(spark, bundle_path(spark, folder, None, "cell_feature_matrix*")), normalize, sparse)
 
 
-def _bundle(cells: DataFrame, expression: DataFrame, normalize: bool) -> CellBundle:
+def _bundle(cells: DataFrame, expression: DataFrame, normalize: bool, sparse: bool = False) -> CellBundle:
     names = expression.select("gene").distinct()
+    if normalize and sparse:
+        filled = sparse_log_scale(expression, cells, names)
+        return CellBundle(cells=cells, genes=names.withColumn("name", F.col("gene")), expression=filled.rows, raw=expression, filled=filled)
     scaled = normalize_log_scale(expression, cells, names) if normalize else expression
     return CellBundle(cells=cells, genes=names.withColumn("name", F.col("gene")), expression=scaled, raw=expression)
 

@@ -9,7 +9,7 @@ from labelscape import api
 from labelscape.operators import anchors as an
 from labelscape.operators import contact, entity, pathway
 from labelscape.operators import interaction as ia
-from labelscape.operators.expression import nonzero_ranks, ranks, summarize_by_celltype
+from labelscape.operators.expression import normalize_log_scale, nonzero_ranks, ranks, sparse_log_scale, sparse_ranks, summarize_by_celltype
 from labelscape.operators.matrices import searcher_findee
 from labelscape.operators.structure import structure_map
 from labelscape.plans.interaction import ligand_receptor_topology
@@ -144,6 +144,12 @@ def test_ranks_include_zeros(spark, cells, expression):
     got = ranks(expression, cells, genes).toPandas().pivot(index="cell_id", columns="gene", values="rank")
     want = pd.DataFrame(GENES, index=[f"cell_{i}" for i in range(10)]).rank(axis=1, pct=True)
     assert np.allclose(got.sort_index()[list(GENES)], want.sort_index())
+    for few, full in ((sparse_ranks(expression, cells, genes), ranks(expression, cells, genes)),
+                      (sparse_log_scale(expression, cells, genes), normalize_log_scale(expression, cells, genes))):
+        assert few.rows.count() == expression.join(genes, "gene").where("value <> 0").count() < full.count()
+        mean = full.join(cells, "cell_id").groupBy("celltype", "gene").agg(F.avg(few.value).alias("mean"))
+        both = few.mean_by_label(cells, genes).join(mean, ["celltype", "gene"])
+        assert both.count() == 3 * len(GENES) and both.where(F.abs(F.col(few.value) - F.col("mean")) > 1e-12).count() == 0
     signed = spark.createDataFrame([("c", "a", -1.0), ("c", "b", 2.0)], "cell_id string, gene string, value double")
     rows = {r.gene: (r.rank, r.zero_rank) for r in nonzero_ranks(signed, F.lit(4)).collect()}
     assert rows == {"a": (0.25, 0.625), "b": (1.0, 0.625)}

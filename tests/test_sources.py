@@ -33,6 +33,10 @@ def test_table_bundle(spark, tmp_path):
     assert {(r.cell_id, r.gene): r.value for r in got.expression.collect()} == {("c1", "G1"): 5, ("c1", "G2"): 1, ("c2", "G2"): 7}
     scaled = bundles.load_cells(spark, str(tmp_path))
     assert scaled.expression.count() == 4 and scaled.raw.count() == 3
+    few = bundles.load_cells(spark, str(tmp_path), sparse=True)
+    assert few.expression.count() == 3 and few.filled.rest.count() == 2
+    want = {(r.cell_id, r.gene): r.value for r in scaled.expression.collect()}
+    assert {(r.cell_id, r.gene): r.value for r in few.filled.dense(few.cells, few.genes).collect()} == want
     (tmp_path / "other_cell_groups.csv").write_text("Barcode,Clusters\n")
     with pytest.raises(FileExistsError):
         bundles.load_table_bundle(spark, str(tmp_path))
