@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from labelscape.functions.normalize import winsor_limits, winsorised
 from labelscape.functions.quantiles import quantile
+from labelscape.operators.spreading import vector_sums
 from labelscape.session import written
 from labelscape.sources.points import dense
 
@@ -53,7 +54,7 @@ def local_contact(reference: DataFrame, expression: DataFrame, edges: DataFrame,
     ``edges`` is (cell_id, neighbor), ``pairs`` has pair_id, ligand, receptor. Strength is the mean
     product of scaled ligand (sender cell) and receptor (neighbour) over directed edges, coverage the
     fraction of edges with both active. Ligand values are summed per receiving cell before they meet
-    the receptor, so edges are never multiplied by pairs and receptors at once.
+    the receptor, block by block, so edges are never multiplied by genes, pairs or receptors.
     """
     label = reference.select("cell_id", "celltype")
     pairs = written(pairs)
@@ -67,9 +68,10 @@ def local_contact(reference: DataFrame, expression: DataFrame, edges: DataFrame,
 
     crossing = written(crossing)
     ligands = pairs.select(F.col("ligand").alias("gene")).distinct()
-    sent = directed.join(scaled.join(ligands, "gene", "left_semi"), "cell_id").groupBy(
-        F.col("gene").alias("ligand"), "neighbor", "sender").agg(
-        F.sum("scaled").alias("sent"), F.sum("active").alias("sent_active"))
+    places = reference.select("cell_id", "x", "y") if {"x", "y"} <= set(reference.columns) else None
+    sent = vector_sums(scaled.join(ligands, "gene", "left_semi"), directed, source="cell_id", keys=["neighbor", "sender"], column="gene",
+                       values=["scaled", "active"], places=places).withColumnsRenamed(
+        {"gene": "ligand", "scaled": "sent", "active": "sent_active"})
     receptors = pairs.select("pair_id", "ligand", F.col("receptor").alias("gene")).join(scaled, "gene").join(
         label.withColumnRenamed("celltype", "receiver"), "cell_id").withColumnRenamed("cell_id", "neighbor")
     met = sent.join(receptors, ["ligand", "neighbor"]).groupBy("pair_id", "sender", "receiver").agg(

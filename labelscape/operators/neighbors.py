@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from labelscape.functions.quantiles import quantile
 from labelscape.operators.nearest import k_nearest, nearest_per_label
 from labelscape.operators.radius import pairs_within
+from labelscape.operators.spreading import vector_sums
 from labelscape.session import written
 from labelscape.sources.points import require
 
@@ -41,18 +42,18 @@ def neighbor_edges(points: DataFrame, *, id_col: str = "cell_id", x_col: str = "
 
 
 def smooth(values: DataFrame, edges: DataFrame, *, id_col: str = "cell_id", column: str = "gene",
-           value: str = "value", include_self: bool = True) -> DataFrame:
+           value: str = "value", include_self: bool = True, places: DataFrame | None = None) -> DataFrame:
     """Mean over neighbours (and self) per point and column; absent values count as 0.
 
-    A point without neighbours keeps its own value. Only non-zero results are returned.
+    A point without neighbours keeps its own value. Only non-zero results are returned. ``places`` (id, x, y) lets neighbouring points share
+    the vectors that they need.
     """
+    edges = written(edges.select(id_col, "neighbor"))
     degree = edges.groupBy(id_col).agg(F.count("*").alias("_n"))
-    own = values.select(F.col(id_col), F.col(column), F.col(value).alias("_v"), F.lit(1).alias("_own"))
-    taken = edges.join(values.select(F.col(id_col).alias("neighbor"), column, F.col(value).alias("_v")),
-                       "neighbor").select(id_col, column, "_v", F.lit(0).alias("_own"))
-    total = taken.unionByName(own).groupBy(id_col, column).agg(
-        F.sum(F.when(F.col("_own") == 0, F.col("_v"))).alias("_near"),
-        F.sum(F.when(F.col("_own") == 1, F.col("_v"))).alias("_self"))
+    own = values.select(F.col(id_col), F.col(column), F.col(value).alias("_self"), F.lit(None).cast("double").alias("_near"))
+    near = vector_sums(values.select(F.col(id_col).alias("neighbor"), column, F.col(value).alias("_near")), edges, source="neighbor", keys=[id_col],
+                       column=column, values=["_near"], places=None if places is None else places.select(id_col, "x", "y"))
+    total = own.unionByName(near, allowMissingColumns=True).groupBy(id_col, column).agg(F.sum("_near").alias("_near"), F.sum("_self").alias("_self"))
     near, mine = F.coalesce("_near", F.lit(0.0)), F.coalesce("_self", F.lit(0.0))
     mean = (near + mine) / (F.col("_n") + 1) if include_self else near / F.col("_n")
     out = total.join(degree, id_col, "left").withColumn(

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelscape.operators import nearest as nn
+from labelscape.operators import spreading
 from labelscape.operators.neighbors import neighbor_edges, radius_edges, smooth
 from labelscape.operators.samples import sample_matrices
 from tests import brute
@@ -124,6 +125,30 @@ def test_smoothing_counts_absent_values_as_zero(spark):
     assert got == {1: 2.0, 2: 2.0, 3: 5.0}
 
 
+def test_vector_sums_by_loops(spark, monkeypatch):
+    monkeypatch.setattr(spreading, "BLOCK", 16)
+    monkeypatch.setattr(spreading, "ENTRIES", 37)
+    rng = np.random.default_rng(5)
+    entries = [(f"p{i}", f"g{g}", float(rng.integers(1, 9)), 1) for i in range(80) for g in range(12) if rng.random() < 0.4 and i % 9]
+    links = [(f"p{rng.integers(90)}", int(i), "ab"[i % 2]) for i in range(100) for _ in range(rng.integers(0, 9))] + [("p1", i, "a") for i in range(100)]
+    rows = spark.createDataFrame(entries, "source string, gene string, v long, one int".replace("v long", "v double"))
+    edges = spark.createDataFrame(links, "source string, id long, kind string")
+    places = spark.createDataFrame([(i, float(rng.random()), float(rng.random())) for i in range(95)], "id long, x double, y double")
+    want = {}
+    for source, i, kind in links:
+        for _, gene, v, one in (e for e in entries if e[0] == source):
+            a, b = want.get((i, kind, gene), (0.0, 0.0))
+            want[i, kind, gene] = (a + v, b + one)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "23")
+    try:
+        for few, where in ((1000, None), (0, None), (0, places)):
+            monkeypatch.setattr(spreading, "FEW_EDGES", few)
+            got = spreading.vector_sums(rows, edges, source="source", keys=["id", "kind"], column="gene", values=["v", "one"], places=where).collect()
+            assert {tuple(r)[:3]: tuple(r)[3:] for r in got} == want and len(got) == len(want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 @pytest.mark.parametrize("strategy", ["broadcast", "packed"])
 def test_sums_equal_the_rows_added_up(spark, strategy):
     df, axes = frame(spark, *cloud(300))
