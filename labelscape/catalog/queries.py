@@ -346,7 +346,7 @@ QUERIES: dict[str, Query] = {
     "nn_scale": lambda s, d: rounded(nb.spacing(vectors(s, d), id_col="cell_id")),
     "niche_smooth": lambda s, d: rounded(nb.smooth(
         expression(s, d), nb.neighbor_edges(cells(s, d), k_neighbors=6), places=cells(s, d))),
-    "label_enrichment": lambda s, d: rounded(en.label_enrichment(parts(s, d), nb.radius_edges(parts(s, d), 0.25))),
+    "label_enrichment": lambda s, d: rounded(en.radius_enrichment(parts(s, d), 0.25)),
     "label_proximity": lambda s, d: rounded(en.proximity(en.label_enrichment(cells(s, d), nb.neighbor_edges(cells(s, d), k_neighbors=6)))),
     "enrichment_sweep": lambda s, d: rounded(en.enrichment_sweep(cells(s, d), neighbors=(4, 6, 8), radii=(0.5, 1.5))),
     "wmda": _binned(binned.wmda, "p_brand"),

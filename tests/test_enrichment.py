@@ -99,3 +99,16 @@ def test_sweep_is_each_setting_alone(spark):
     assert len(pair) == 6 and pair["a", "b"]["edges"] == rows["k=3", "a", "b"][0] + rows["k=3", "b", "a"][0]
     with pytest.raises(ValueError):
         en.enrichment_sweep(points, neighbors=())
+
+
+def test_radius_counts_equal_listed_edges(spark):
+    from labelscape.operators.neighbors import radius_edges
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(40) / 8, rng.randrange(6) / 2, rng.choice("abcd")) for i in range(700)]
+    rows += [(800, None, 1.0, "a"), (801, 1.0, 1.0, None), (802, float("nan"), 1.0, "b"), (None, 1.0, 1.0, "c"), (803, 90.0, 1.0, "e")]
+    points = spark.createDataFrame(rows, "cell_id long, x double, y double, celltype string").repartition(5)
+    for radius in (0.125, 0.5, 30.0):
+        want = {(r["source"], r["target"]): tuple(r)[2:] for r in en.label_enrichment(points, radius_edges(points, radius)).collect()}
+        got = {(r["source"], r["target"]): tuple(r)[2:] for r in en.radius_enrichment(points, radius).collect()}
+        assert set(got) == set(want) and len(got) == 25
+        assert all(got[pair] == pytest.approx(want[pair]) for pair in want)
