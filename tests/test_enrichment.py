@@ -112,3 +112,13 @@ def test_radius_counts_equal_listed_edges(spark):
         got = {(r["source"], r["target"]): tuple(r)[2:] for r in en.radius_enrichment(points, radius).collect()}
         assert set(got) == set(want) and len(got) == 25
         assert all(got[pair] == pytest.approx(want[pair]) for pair in want)
+
+
+def test_crowded_places_are_counted_without_a_row_for_each_edge(spark):
+    """200,000 points at four places: 10**10 edges within the radius, more than any disk here holds."""
+    n = 200_000
+    points = spark.range(n).selectExpr("id AS cell_id", "double(id % 4) AS x", "0D AS y", "CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS celltype")
+    rows = {(r["setting"], r["source"], r["target"]): r["edges"] for r in en.enrichment_sweep(points, neighbors=(), radii=(0.5, 2.0)).collect()}
+    spot = n // 4
+    assert rows["r=0.5", "a", "a"] == 2 * spot * (spot - 1) and rows["r=0.5", "a", "b"] == 0
+    assert rows["r=2.0", "a", "a"] == 2 * spot * (2 * spot - 1) and rows["r=2.0", "a", "b"] == 3 * spot * spot
