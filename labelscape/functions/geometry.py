@@ -12,6 +12,8 @@ SOURCE_CHUNK = 128
 TARGET_CHUNK = 16
 FEW_TARGETS = 512
 PAIRS_AT_ONCE = 20_000
+#: Targets that a run of source rows meets at once in the search for k; a run in a wider box is halved first.
+MOST_TARGETS = 2048
 SLACK = 1.0 + 1e-9
 
 
@@ -83,13 +85,14 @@ class TargetCloud:
         at = np.searchsorted(self.first_codes, morton_codes(source, self.scale), side="right") - 1
         return np.maximum(at, 0)
 
-    def bounds_to(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Smallest and largest possible (scaled) distance from a source box to each chunk."""
-        near = np.maximum(0.0, np.maximum(self.low - high, low - self.high))
-        far = np.maximum(np.abs(self.high - low), np.abs(high - self.low))
+    def bounds_to(self, low: np.ndarray, high: np.ndarray, chunks: slice | np.ndarray = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """Smallest and largest possible (scaled) distance from a source box to each chunk, or to some."""
+        own_low, own_high = self.low[chunks], self.high[chunks]
+        near = np.maximum(0.0, np.maximum(own_low - high, low - own_high))
+        far = np.maximum(np.abs(own_high - low), np.abs(high - own_low))
         near, far = np.sqrt((near * near).sum(axis=1)), np.sqrt((far * far).sum(axis=1))
         if self.min_factor is not None:
-            near, far = near * self.min_factor, far * self.min_factor
+            near, far = near * self.min_factor[chunks], far * self.min_factor[chunks]
         return near, far
 
     def gather(self, chunks: np.ndarray) -> np.ndarray:
@@ -181,34 +184,54 @@ def merge_k_nearest(source: np.ndarray, own: np.ndarray, starts: np.ndarray, low
     Order is (distance, target id); a target whose id equals the source's own id is skipped.
     ``best`` has shape (rows, k) and holds ``inf`` where fewer than k are known.
     """
-    k = best.shape[1]
     stops = np.append(starts[1:], len(source))
     for i in range(len(starts)):
-        a, b = starts[i], stops[i]
-        near, far = cloud.bounds_to(low[i], high[i])
-        cutoff = best[a:b, -1].max()
-        by_far = np.argsort(far, kind="stable")
-        reached = np.flatnonzero(np.cumsum(cloud.sizes[by_far]) >= k + 1)
-        if len(reached):
-            cutoff = min(cutoff, far[by_far[reached[0]]])
-        chosen = np.flatnonzero(near <= cutoff * SLACK)
-        if not len(chosen):
-            continue
-        rows = cloud.gather(chosen)
-        dist = pairwise(source[a:b], cloud.coords[rows])
-        ids = cloud.ids[rows]
-        dist[own[a:b][:, None] == ids[None, :]] = np.inf
-        dist = np.concatenate([best[a:b], dist], axis=1)
-        all_ids = np.concatenate([best_ids[a:b], np.broadcast_to(ids, (b - a, len(ids)))], axis=1)
-        kth = np.partition(dist, k - 1, axis=1)[:, k - 1]
-        row, col = np.nonzero((dist <= kth[:, None]) & np.isfinite(dist))
-        d, t = dist[row, col], all_ids[row, col]
-        order = np.lexsort((t, d, row))
-        row, d, t = row[order], d[order], t[order]
-        rank = np.arange(len(row)) - np.searchsorted(row, row, side="left")
-        keep = rank < k
-        fresh = np.full((b - a, k), np.inf)
-        fresh_ids = np.zeros((b - a, k), dtype=best_ids.dtype)
-        fresh[row[keep], rank[keep]] = d[keep]
-        fresh_ids[row[keep], rank[keep]] = t[keep]
-        best[a:b], best_ids[a:b] = fresh, fresh_ids
+        _merge_run(source, own, starts[i], stops[i], low[i], high[i], cloud, np.arange(len(cloud.sizes)), best, best_ids)
+
+
+def _merge_run(source, own, a: int, b: int, low, high, cloud: TargetCloud, among: np.ndarray, best, best_ids) -> None:
+    """Rows a to b meet those of the given chunks that may matter, nearest first, a bounded number of targets at a time.
+
+    A run whose box is so wide that many chunks may matter (at a jump of the curve, say) is halved; the halves look at its chunks only.
+    """
+    k = best.shape[1]
+    near, far = cloud.bounds_to(low, high, among)
+    sizes = cloud.sizes[among]
+    cutoff = best[a:b, -1].max()
+    by_far = np.argsort(far, kind="stable")
+    reached = np.searchsorted(np.cumsum(sizes[by_far]), k + 1)
+    if reached < len(by_far):
+        cutoff = min(cutoff, far[by_far[reached]])
+    keep = np.flatnonzero(near <= cutoff * SLACK)
+    if b - a > 1 and sizes[keep].sum() > MOST_TARGETS and (low < high).any():
+        middle = (a + b) // 2
+        for i, j in ((a, middle), (middle, b)):
+            _merge_run(source, own, i, j, source[i:j].min(axis=0), source[i:j].max(axis=0), cloud, among[keep], best, best_ids)
+        return
+    keep = keep[np.argsort(near[keep], kind="stable")]
+    slab = np.cumsum(sizes[keep]) // MOST_TARGETS
+    for part in np.split(keep, np.flatnonzero(np.diff(slab)) + 1):
+        if not len(part) or near[part[0]] > best[a:b, -1].max() * SLACK:
+            return
+        rows = cloud.gather(among[part])
+        best[a:b], best_ids[a:b] = _merged(source[a:b], own[a:b], cloud.coords[rows], cloud.ids[rows], best[a:b], best_ids[a:b], k)
+
+
+def _merged(source, own, coords, ids, best, best_ids, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest among those known so far and some more targets."""
+    dist = pairwise(source, coords)
+    dist[own[:, None] == ids[None, :]] = np.inf
+    dist = np.concatenate([best, dist], axis=1)
+    all_ids = np.concatenate([best_ids, np.broadcast_to(ids, (len(source), len(ids)))], axis=1)
+    kth = np.partition(dist, k - 1, axis=1)[:, k - 1]
+    row, col = np.nonzero((dist <= kth[:, None]) & np.isfinite(dist))
+    d, t = dist[row, col], all_ids[row, col]
+    order = np.lexsort((t, d, row))
+    row, d, t = row[order], d[order], t[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row, side="left")
+    keep = rank < k
+    fresh = np.full((len(source), k), np.inf)
+    fresh_ids = np.zeros((len(source), k), dtype=best_ids.dtype)
+    fresh[row[keep], rank[keep]] = d[keep]
+    fresh_ids[row[keep], rank[keep]] = t[keep]
+    return fresh, fresh_ids

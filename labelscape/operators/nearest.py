@@ -188,7 +188,8 @@ def k_nearest(
 ) -> DataFrame:
     """The ``k`` nearest other points of every point: (id, neighbor, rank, dist).
 
-    Order is distance, then neighbour id; ids must be unique whole numbers.
+    Order is distance, then neighbour id; ids must be unique whole numbers. Of equal places the ``k + 1`` lowest ids are targets: with
+    the point itself among them, no other copy can be one of its nearest.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -198,6 +199,8 @@ def k_nearest(
         *[F.col(c).cast("double").alias(a) for c, a in zip(coords, AXES)],
         F.col(id_col).alias("_tid"),
     )
+    place = F.row_number().over(Window.partitionBy(*AXES[:len(coords)]).orderBy("_tid"))
+    targets = targets.withColumn("_copy", place).where(F.col("_copy") <= k + 1).drop("_copy")
     if strategy != "packed":
         table, targets = _if_few(targets, broadcast_rows)
         if table is not None:
@@ -285,16 +288,20 @@ def _rows_by(batch: pa.RecordBatch, by: str | None) -> Iterator[tuple[str, pa.Re
         yield name, batch.take(pa.array(np.flatnonzero(codes == code)))
 
 
+def _along_curve(sources: DataFrame, table: pa.Table, coords: list[str], *spread: str) -> DataFrame:
+    """The sources in shuffle partitions, by hash or, against many targets, by region: a batch from one region rules out most of them at once."""
+    if table.num_rows <= FEW_TARGETS:
+        return sources.repartition(_partitions(sources), *spread)
+    low, high = _table_extent(table, len(coords))
+    return with_curve_position(sources, coords, low, high).repartitionByRange(
+        _partitions(sources), "_z", *spread).sortWithinPartitions("_z").drop("_z")
+
+
 def _broadcast_nearest(sources, table, coords, factor, spread, by, total: type | None = None) -> DataFrame:
     spark = sources.sparkSession
     clouds = spark.sparkContext.broadcast(_clouds(table, len(coords), factor is not None, False))
-    if spread and table.num_rows <= FEW_TARGETS:
-        sources = sources.repartition(_partitions(sources), *coords)
-    elif spread:
-        # many targets: a batch of sources from one region rules out most of them at once
-        low, high = _table_extent(table, len(coords))
-        sources = with_curve_position(sources, coords, low, high).repartitionByRange(
-            _partitions(sources), "_z", *coords).sortWithinPartitions("_z").drop("_z")
+    if spread:
+        sources = _along_curve(sources, table, coords, *coords)
     fields = sources.schema.fields
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,8 +367,7 @@ def _broadcast_k_nearest(points, table, coords, id_col, k) -> DataFrame:
                 geo.merge_k_nearest(xyz, own, starts, low, high, cloud, best, ids)
             yield _neighbor_batch(own, best, ids, id_col)
 
-    spread = points.repartition(_partitions(points), id_col)
-    return spread.mapInArrow(search, _neighbor_schema(id_col))
+    return _along_curve(points, table, coords, id_col).mapInArrow(search, _neighbor_schema(id_col))
 
 
 # --------------------------------------------------------------------------- packed plan
@@ -556,7 +562,9 @@ def _packed_join(sources, targets, coords, *, factor=None, k: int = 1, id_col=No
         F.lit("").alias("target"), "block", F.col("rows").alias("source"),
         F.lit(None).cast(shipped).alias("cloud"))
     stream = own.unionByName(incoming).repartition(_partitions(sources), "by", "group")
-    stream = stream.sortWithinPartitions("by", "group", "role", "target", "block")
+    # blocks travel whole and are taken apart after the sort, so that a task's batches are so many points and not so many blocks
+    stream = stream.sortWithinPartitions("by", "group", "role", "target", "block").withColumn(
+        "source", F.explode_outer("source")).withColumn("cloud", F.explode_outer("cloud")).drop("block")
     if total:
         out = total.schema(payload.elementType.fields, by)
     elif k == 1 and id_col is None:
@@ -619,19 +627,23 @@ def _folder(coords, axes, scaled: bool, k: int, id_col: str | None, total: type
                 [*batch.schema.names, "target", "dist"])
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            groups = list(zip(columns["by"].to_pylist(), columns["group"].to_pylist()))
-            roles = columns["role"].to_numpy()
-            for i in range(batch.num_rows):
-                if roles[i] == 0:
-                    if groups[i] != group:
+            keys = [columns[c].dictionary_encode().indices.to_numpy() if c in {"by", "target"} else columns[c].to_numpy()
+                    for c in ("by", "group", "role", "target")]
+            cuts = (np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in keys])) + 1).tolist()
+            for i, j in zip([0, *cuts], [*cuts, batch.num_rows]):
+                if keys[2][i] == 0:
+                    own = (columns["by"][i].as_py(), int(keys[1][i]))
+                    if own != group:
                         if target is not None:
                             if held:
                                 absorb()
                             yield emit()
-                        group, target, source = groups[i], None, None
+                        group, target, source = own, None, None
                         parts.clear()
-                    parts.append(_list_item(columns["source"], i))
+                    parts.append(columns["source"].slice(i, j - i))
                     continue
                 name = columns["target"][i].as_py()
                 if source is None:
@@ -643,7 +655,7 @@ def _folder(coords, axes, scaled: bool, k: int, id_col: str | None, total: type
                         yield emit()
                     target = name
                     best, ids = reset()
-                held.append(_list_item(columns["cloud"], i))
+                held.append(columns["cloud"].slice(i, j - i))
                 if sum(map(len, held)) >= FOLD_ROWS:
                     absorb()
         if target is not None:
@@ -652,9 +664,3 @@ def _folder(coords, axes, scaled: bool, k: int, id_col: str | None, total: type
             yield emit()
 
     return fold
-
-
-def _list_item(lists: pa.ListArray, i: int) -> pa.StructArray:
-    offsets = lists.offsets
-    start, stop = offsets[i].as_py(), offsets[i + 1].as_py()
-    return lists.values.slice(start, stop - start)
