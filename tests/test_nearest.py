@@ -172,3 +172,31 @@ def test_a_batch_of_sources_gives_a_row_for_each_pair_of_labels(spark):
     sources = df.select(F.col("label").alias("source"), *axes, F.lit(1).alias("n"), F.lit(1.0).alias("w")).repartition(2)
     rows = nn.nearest_sums(sources, df, axes, "label", strategy="broadcast").groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert max(r["count"] for r in rows) <= labels * labels
+
+
+def test_many_copies_of_a_place_are_few_targets(spark):
+    """4,000 points at five places: of each place the lowest ids are met, and no task holds all pairs of copies."""
+    import tracemalloc
+    from labelscape.functions import geometry as geo
+    rows = [(i, float(i % 5), float(i % 5 % 2)) for i in range(4000)]
+    points = spark.createDataFrame(rows, "cell_id long, x double, y double").repartition(4)
+    for strategy in ("broadcast", "packed"):
+        got = {}
+        for r in nn.k_nearest(points, ["x", "y"], "cell_id", 3, strategy=strategy).collect():
+            got.setdefault(r["cell_id"], []).append((r["rank"], r["neighbor"], r["dist"]))
+        assert len(got) == 4000
+        for i, found in got.items():
+            others = [j for j in range(i % 5, 40, 5) if j != i][:3]
+            assert sorted(found) == [(n + 1, j, 0.0) for n, j in enumerate(others)]
+    # a run of sources at two far places meets the points between them a part at a time
+    rng = np.random.default_rng(1)
+    cloud = geo.TargetCloud(rng.random((60_000, 2)), ids=np.arange(60_000))
+    source = np.concatenate([np.full((64, 2), 0.01), np.full((64, 2), 0.99)])
+    best, ids = np.full((128, 4), np.inf), np.zeros((128, 4), np.int64)
+    tracemalloc.start()
+    geo.merge_k_nearest(source, np.full(128, -1), np.array([0]), source.min(axis=0)[None], source.max(axis=0)[None], cloud, best, ids)
+    assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    tracemalloc.stop()
+    for row in (0, 127):
+        far = np.sqrt(((cloud.coords - source[row]) ** 2).sum(axis=1))
+        assert set(ids[row]) == set(cloud.ids[np.argsort(far)[:4]])
