@@ -96,8 +96,9 @@ def entity_to_cell(reference: DataFrame, entities: DataFrame, *, x_col: str = "x
         raise ValueError(f"clustering method {method!r} is not known: {', '.join(link.METHODS)}")
     cells = reference.where(F.col(celltype_col).isNotNull()).select(
         *coords, F.col(celltype_col).cast("string").alias("celltype"))
-    cloud = shifted_nonnegative(written(entities.select(
-        *coords, F.col(entity_col).cast("string").alias("entity"), F.col(weight_col).alias("weight"))), "weight")
+    # equal points are one row with their number from here on
+    cloud = shifted_nonnegative(written(entities.groupBy(
+        *coords, F.col(entity_col).cast("string").alias("entity"), F.col(weight_col).alias("weight")).agg(F.count("*").alias("_n"))), "weight")
     everyone = cloud.select("entity").distinct()
     cloud = cloud.where(F.col("weight") > float(min_weight))
     if min_weight >= 1:
@@ -105,12 +106,12 @@ def entity_to_cell(reference: DataFrame, entities: DataFrame, *, x_col: str = "x
         held = cloud.select("entity", F.col("entity").alias("celltype"), F.lit(0.0).alias("value")).distinct()
         return everyone.select("entity", F.explode(every_label).alias("celltype")).join(held, ["entity", "celltype"], "left")
     namesakes = cells.join(cloud.select(F.col("entity").alias("celltype")).distinct(), "celltype", "left_semi")
-    cloud = cloud.unionByName(namesakes.select(*coords, F.col("celltype").alias("entity"), F.lit(1.0).alias("weight")))
+    cloud = cloud.unionByName(namesakes.select(*coords, F.col("celltype").alias("entity"), F.lit(1.0).alias("weight"), F.lit(1).cast("long").alias("_n")))
 
     cells, cloud = written(cells), written(cloud)
     block = searcher_findee(cells, x_col=x_col, y_col=y_col, z_col=z_col, celltype_col="celltype", strategy=strategy)
     outward = mean_by_source(nearest_sums(
-        located(cloud, coords, "entity", "weight"), cells, coords, "celltype", strategy=strategy), ["source", "target"])
+        located(cloud, coords, "entity", "weight", freq="_n"), cells, coords, "celltype", strategy=strategy), ["source", "target"])
     inward = mean_by_source(nearest_sums(
         located(cells, coords, "celltype"), cloud, coords, "entity", strategy=strategy), ["source", "target"])
 

@@ -15,12 +15,13 @@ def axes(x_col: str, y_col: str, z_col: str | None) -> list[str]:
     return [x_col, y_col] + ([z_col] if z_col else [])
 
 
-def located(df: DataFrame, coords: list[str], label: str, weight: str | None = None) -> DataFrame:
-    """Distinct places per label with how many points (``n``) and how much weight (``w``) they hold."""
-    mass = F.sum(weight) if weight else F.count("*").cast("double")
+def located(df: DataFrame, coords: list[str], label: str, weight: str | None = None, freq: str | None = None) -> DataFrame:
+    """Distinct places per label with how many points (``n``) and how much weight (``w``) they hold. ``freq``: how often a row counts."""
+    often = F.col(freq) if freq else F.lit(1)
+    mass = F.sum(F.col(weight) * often) if weight else F.sum(often).cast("double")
     return df.where(F.col(label).isNotNull()).groupBy(
         F.col(label).cast("string").alias("source"), *[F.col(c).cast("double").alias(c) for c in coords]
-    ).agg(F.count("*").alias("n"), mass.alias("w"))
+    ).agg(F.sum(often).cast("long").alias("n"), mass.alias("w"))
 
 
 def mean_by_source(sums: DataFrame, keys: list[str]) -> DataFrame:
