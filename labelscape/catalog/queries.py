@@ -108,9 +108,9 @@ def type_sets(spark, folder) -> DataFrame:
         F.count("*").cast("double").alias("weight"))
 
 
-def derived_topology(spark, folder) -> DataFrame:
+def derived_topology(spark, folder, values: DataFrame | None = None) -> DataFrame:
     """Given gene-to-label distances in [0, 1]: one minus the detected fraction."""
-    return ex.summarize_by_celltype(expression(spark, folder), cells(spark, folder), detection_threshold=50).select(
+    return ex.summarize_by_celltype(expression(spark, folder) if values is None else values, cells(spark, folder), detection_threshold=50).select(
         "gene", "celltype", (1 - F.col("detected")).alias("value"))
 
 
@@ -132,23 +132,24 @@ def transcripts(spark, folder) -> DataFrame:
         "x", "y", F.col("p_type").alias("feature_name"))
 
 
-def brand_anchors(spark, folder) -> an.Anchors:
+def brand_anchors(spark, folder, values: DataFrame) -> an.Anchors:
     own = genes(spark, folder)
-    return an.resolve_anchors(cells(spark, folder), expression(spark, folder), own,
-                              topology=derived_topology(spark, folder), structure=detected_map(spark, folder))
+    return an.resolve_anchors(cells(spark, folder), values, own, topology=derived_topology(spark, folder, values),
+                              structure=detected_map(spark, folder))
 
 
-def brand_contact(spark, folder) -> DataFrame:
+def brand_contact(spark, folder, values: DataFrame | None = None) -> DataFrame:
     everyone = cells(spark, folder)
     pairs = ia.standard_pairs(brand_pairs(spark, folder))
-    return contact.local_contact(everyone, expression(spark, folder), nb.neighbor_edges(everyone, k_neighbors=6), pairs,
-                                 min_cross_edges=20)
+    return contact.local_contact(everyone, expression(spark, folder) if values is None else values,
+                                 nb.neighbor_edges(everyone, k_neighbors=6), pairs, min_cross_edges=20)
 
 
-def brand_scores(spark, folder) -> DataFrame:
+def brand_scores(spark, folder, values: DataFrame | None = None) -> DataFrame:
+    values = written(expression(spark, folder)) if values is None else values
     pairs = ia.standard_pairs(brand_pairs(spark, folder))
-    summary = ex.summarize_by_celltype(expression(spark, folder), cells(spark, folder))
-    return written(ia.pair_scores(pairs, brand_anchors(spark, folder), summary, brand_contact(spark, folder)))
+    summary = ex.summarize_by_celltype(values, cells(spark, folder))
+    return written(ia.pair_scores(pairs, brand_anchors(spark, folder, values), summary, brand_contact(spark, folder, values)))
 
 
 def recomputed_scores(spark, folder) -> DataFrame:
@@ -180,14 +181,20 @@ def scored_activity(spark, folder, method: str) -> DataFrame:
                                genes=genes(spark, folder), method=method)
 
 
-def scaled_activity(spark, folder) -> DataFrame:
+def scaled_activity(spark, folder, values: DataFrame | None = None) -> DataFrame:
     return pw.robust_activity(pw.pathway_activity(
-        expression(spark, folder), cells(spark, folder), type_sets(spark, folder), genes=genes(spark, folder),
+        expression(spark, folder) if values is None else values, cells(spark, folder), type_sets(spark, folder), genes=genes(spark, folder),
         method="weighted_sum", normalize=False))
 
 
-def retained_points(spark, folder):
-    return pw.activity_points(cells(spark, folder), scaled_activity(spark, folder))
+def retained_points(spark, folder, values: DataFrame | None = None):
+    return pw.activity_points(cells(spark, folder), scaled_activity(spark, folder, values))
+
+
+def brand_topology(spark, folder):
+    values = written(expression(spark, folder))
+    return pathway_topology(cells(spark, folder), values, type_sets(spark, folder), topology=derived_topology(spark, folder, values),
+                            structure=detected_map(spark, folder))
 
 
 def holey_matrix(spark, folder) -> DataFrame:
@@ -288,10 +295,17 @@ def owned_transcripts(spark, folder) -> DataFrame:
     return lines.join(kinds, F.col("l_partkey") == F.col("p_partkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
+def _hotspots(s, d) -> DataFrame:
+    values = written(expression(s, d))
+    return rounded(ia.hotspots(brand_scores(s, d, values), values, cells(s, d)))
+
+
 def _mode_summary(s, d) -> DataFrame:
-    aggregate = pw.gene_aggregate(derived_topology(s, d), type_sets(s, d))
-    mean = pw.gene_aggregate(derived_topology(s, d), type_sets(s, d), aggregate="mean")
-    points, diagnostics = retained_points(s, d)
+    values = written(expression(s, d))
+    topology = written(derived_topology(s, d, values))
+    aggregate = pw.gene_aggregate(topology, type_sets(s, d))
+    mean = pw.gene_aggregate(topology, type_sets(s, d), aggregate="mean")
+    points, diagnostics = retained_points(s, d, values)
     return rounded(pw.mode_comparison(aggregate, mean, diagnostics, primary="gene_topology_aggregate",
                                       structure_source="precomputed"))
 
@@ -382,7 +396,7 @@ QUERIES: dict[str, Query] = {
     "lr_scores": lambda s, d: rounded(brand_scores(s, d)),
     "lr_top_pairs": lambda s, d: rounded(ia.top_pairs(brand_scores(s, d), 12)),
     "lr_summary_matrix": lambda s, d: rounded(ia.summary_matrix(brand_scores(s, d), 12)),
-    "lr_hotspots": lambda s, d: rounded(ia.hotspots(brand_scores(s, d), expression(s, d), cells(s, d))),
+    "lr_hotspots": _hotspots,
     "lr_target_consistency": lambda s, d: rounded(ia.target_consistency(
         brand_scores(s, d), receiver_signatures(s, d), target_prior(s, d)).select(
         "pair_id", "sender_celltype", "receiver_celltype", "target_support", "topology_and_target_supported")),
@@ -400,12 +414,8 @@ QUERIES: dict[str, Query] = {
         cells(s, d), expression(s, d).withColumnRenamed("gene", "pathway"), schedule=(0.9999,), min_cells=60)[0]),
     "pathway_diagnostics": lambda s, d: rounded(retained_points(s, d)[1]),
     "pathway_mode_summary": _mode_summary,
-    "pathway_topology_activity": lambda s, d: rounded(pathway_topology(
-        cells(s, d), expression(s, d), type_sets(s, d), topology=derived_topology(s, d),
-        structure=detected_map(s, d)).pathway_activity_to_cell),
-    "pathway_topology_structuremap": lambda s, d: rounded(pathway_topology(
-        cells(s, d), expression(s, d), type_sets(s, d), topology=derived_topology(s, d),
-        structure=detected_map(s, d)).pathway_structuremap),
+    "pathway_topology_activity": lambda s, d: rounded(brand_topology(s, d).pathway_activity_to_cell),
+    "pathway_topology_structuremap": lambda s, d: rounded(brand_topology(s, d).pathway_structuremap),
     "cluster_merge_hit_rate": _cluster_rates,
     "sample_matrices": lambda s, d: rounded(region_matrices(s, d)),
     "sample_structure_maps": lambda s, d: rounded(sm.sample_structure_maps(sampled_cells(s, d), "sample", min_points=100)),
