@@ -94,20 +94,21 @@ def quantile(df: DataFrame, keys: list[str], value: str, q: dict[str, float], *,
 
 
 def weighted_quantile(df: DataFrame, keys: list[str], value: str, weight: str | None, q: float, *,
-                      small_rows: int = SMALL_ROWS, out: str = "value") -> DataFrame:
+                      freq: str | None = None, small_rows: int = SMALL_ROWS, out: str = "value") -> DataFrame:
     """Smallest value whose cumulative weight reaches ``q`` of the total, no interpolation.
 
     Negative weights count as 0. Where all weights of a group are 0, or without weights, the
-    ordinary interpolated quantile is taken.
+    ordinary interpolated quantile is taken. ``freq`` as for ``quantile``.
     """
     if not keys:
-        return weighted_quantile(df.withColumn("_g", F.lit(0)), ["_g"], value, weight, q,
+        return weighted_quantile(df.withColumn("_g", F.lit(0)), ["_g"], value, weight, q, freq=freq,
                                  small_rows=small_rows, out=out).drop("_g")
     if weight is None:
-        return quantile(df, keys, value, {out: q}, small_rows=small_rows)
+        return quantile(df, keys, value, {out: q}, freq=freq, small_rows=small_rows)
+    often = F.col(freq) if freq else F.lit(1)
     df = df.where(F.col(value).isNotNull() & F.col(weight).isNotNull())
     df = df.withColumn("_w", F.greatest(F.col(weight).cast("double"), F.lit(0.0)))
-    df = written(df.groupBy(*keys, value).agg(F.sum("_w").alias("_w"), F.count("*").alias("_f")))
+    df = written(df.groupBy(*keys, value).agg(F.sum(F.col("_w") * often).alias("_w"), F.sum(often).alias("_f")))
     total = df.groupBy(*keys).agg(F.sum("_w").alias("_t"))
     wanted = total.where(F.col("_t") > 1e-8).select(
         *keys, F.lit("q").alias("slot"), (F.col("_t") * min(max(q, 0.0), 1.0)).alias("want"))
@@ -119,11 +120,17 @@ def weighted_quantile(df: DataFrame, keys: list[str], value: str, weight: str |
     return weighted.unionByName(quantile(flat, keys, value, {out: q}, freq="_f", small_rows=small_rows))
 
 
-def weighted_mean(value: Column, weight: Column) -> Column:
+def plain_mean(value: Column, often: Column) -> Column:
+    """Mean of rows that count ``often``; NULL without values."""
+    return F.try_divide(F.sum(value * often), F.sum(F.when(value.isNotNull(), often)))
+
+
+def weighted_mean(value: Column, weight: Column, often: Column | None = None) -> Column:
     """Weighted mean over usable pairs; the plain mean where the weights add up to nothing."""
     usable = value.isNotNull() & weight.isNotNull()
-    w = F.when(usable, F.greatest(weight, F.lit(0.0)))
-    return F.when(F.sum(w) > 1e-8, F.sum(value * w) / F.sum(w)).otherwise(F.avg(F.when(usable, value)))
+    often = F.lit(1) if often is None else often
+    w = F.when(usable, F.greatest(weight, F.lit(0.0))) * often
+    return F.when(F.sum(w) > 1e-8, F.sum(value * w) / F.sum(w)).otherwise(plain_mean(F.when(usable, value), often))
 
 
 def aggregate_weighted(df: DataFrame, keys: list[str], value: str, weight: str,
@@ -146,12 +153,13 @@ def aggregate_weighted(df: DataFrame, keys: list[str], value: str, weight: str,
 
 
 def aggregate_distances(df: DataFrame, keys: list[str], value: str, weight: str, *, agg: str = "quantile",
-                        q: float = 0.9, weight_by_expression: bool = True, out: str = "value") -> DataFrame:
-    """One number per group from nearest-neighbour distances: mean, median or quantile."""
+                        q: float = 0.9, weight_by_expression: bool = True, freq: str | None = None, out: str = "value") -> DataFrame:
+    """One number per group from nearest-neighbour distances: mean, median or quantile. ``freq``: how often a row counts."""
     if agg == "mean":
-        mean = weighted_mean(F.col(value), F.col(weight)) if weight_by_expression else F.avg(value)
+        often = F.col(freq) if freq else F.lit(1)
+        mean = weighted_mean(F.col(value), F.col(weight), often) if weight_by_expression else plain_mean(F.col(value), often)
         return df.groupBy(*keys).agg(mean.alias(out))
     if agg not in {"median", "quantile"}:
         raise ValueError(f"Unknown agg: {agg}")
     return weighted_quantile(df, keys, value, weight if weight_by_expression else None,
-                             0.5 if agg == "median" else q, out=out)
+                             0.5 if agg == "median" else q, freq=freq, out=out)

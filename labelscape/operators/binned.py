@@ -202,11 +202,13 @@ def visium(expression: DataFrame, spots: DataFrame, *, genes: DataFrame | None =
     status = names.join(held, "gene", "left").select(
         "gene", wide.alias("reachable"), (wide & (F.coalesce("total", F.lit(0.0)) > min_total_expr)).alias("dense"))
     placed, status = written(placed), written(status)
-    sources = placed.join(status.where("dense").select("gene"), "gene", "left_semi")
+    # spots of one gene with equal places and values are one row with their number
+    equal = placed.groupBy("gene", *coords, "value").agg(F.count("*").alias("_n"))
+    sources = equal.join(status.where("dense").select("gene"), "gene", "left_semi")
     targets = placed.join(status.where("reachable").select("gene"), "gene", "left_semi")
     near = nearest_per_label(sources.withColumnRenamed("gene", "source"), targets, coords, "gene", strategy=strategy)
     far = aggregate_distances(near.where("source <> target"), ["source", "target"], "dist", "value",
-                              agg=agg, q=quantile, weight_by_expression=weight_by_expression)
+                              agg=agg, q=quantile, weight_by_expression=weight_by_expression, freq="_n")
     unit = spacing(spots, id_col=spot_col, strategy=strategy).scalar()
     others = names.agg(F.collect_list("gene")).scalar()
     grid = names.select(F.col("gene").alias("source"), F.explode(others).alias("target"))
