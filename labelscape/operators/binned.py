@@ -194,14 +194,15 @@ def visium(expression: DataFrame, spots: DataFrame, *, genes: DataFrame | None =
     if symmetric not in {"none", "min", "mean"}:
         raise ValueError(f"{symmetric!r} is no way to make a matrix symmetric; there are none, min and mean")
     coords = ["x", "y"]
+    expression = written(expression)  # it may be a long join, and is read for the names and the places
     names = (genes if genes is not None else expression.select("gene")).distinct()
-    names = names.select(F.col(names.columns[0]).cast("string").alias("gene"))
-    placed = _placed(expression.join(names, "gene", "left_semi"), spots, threshold, coords, spot_col)
+    names = written(names.select(F.col(names.columns[0]).cast("string").alias("gene")))
+    placed = written(_placed(expression.join(names, "gene", "left_semi"), spots, threshold, coords, spot_col))
     held = placed.groupBy("gene").agg(F.count("*").alias("spots"), F.sum("value").alias("total"))
     wide = F.coalesce("spots", F.lit(0)) >= min_spots
     status = names.join(held, "gene", "left").select(
         "gene", wide.alias("reachable"), (wide & (F.coalesce("total", F.lit(0.0)) > min_total_expr)).alias("dense"))
-    placed, status = written(placed), written(status)
+    status = written(status)
     # spots of one gene with equal places and values are one row with their number
     equal = placed.groupBy("gene", *coords, "value").agg(F.count("*").alias("_n"))
     sources = equal.join(status.where("dense").select("gene"), "gene", "left_semi")
