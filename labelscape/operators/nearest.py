@@ -36,7 +36,8 @@ FEW_BYTES = 16 << 20
 SOURCE_BLOCK = 1024
 TARGET_BLOCK = 256
 FANOUT_BITS = 3
-GROUP_BITS = 6
+#: Groups have 2**GROUP_BITS source blocks, fewer where there would be too few groups for the tasks.
+GROUP_BITS, LEAST_GROUP_BITS = 6, 3
 FOLD_ROWS = 500_000
 AXES = ("_c0", "_c1", "_c2")
 SEPARATOR = "\u001f"  # between the ``by`` value and the label inside ``target`` keys
@@ -124,6 +125,10 @@ class _Cheapest:
         self.names, self.codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
         self.scale = batch.column(index("scale")).to_numpy(zero_copy_only=False)
 
+    def places(self, xyz: np.ndarray) -> np.ndarray:
+        """Where to search from; here every row on its own, since rows have bounds of their own."""
+        return xyz
+
     @staticmethod
     def schema(fields, by: str | None) -> T.StructType:
         return T.StructType([T.StructField("source", T.StringType()), T.StructField("target", T.StringType()), T.StructField("cost", T.DoubleType())])
@@ -156,6 +161,12 @@ class _Totals:
         self.mass = [batch.column(index(c)).to_numpy(zero_copy_only=False) for c in ("n", "w")]
         self.by = None if by is None else (by, batch.column(index(by)).slice(0, 1))
 
+    def places(self, xyz: np.ndarray) -> np.ndarray:
+        """Where to search from: rows in a run at one place, of whatever label, share one search."""
+        fresh = np.append(True, (xyz[1:] != xyz[:-1]).any(axis=1))
+        self.place = np.cumsum(fresh) - 1
+        return xyz[fresh]
+
     @staticmethod
     def schema(fields, by: str | None) -> T.StructType:
         kinds = [("source", T.StringType()), ("target", T.StringType()), ("n", T.LongType()), *[(c, T.DoubleType()) for c in ("nd", "w", "wd")]]
@@ -165,8 +176,8 @@ class _Totals:
     def lower(self, xyz, starts, low, high, cloud: geo.TargetCloud, best: np.ndarray) -> None:
         geo.lower_to_nearest(xyz, starts, low, high, cloud, best)
 
-    def rows(self, target: str, dist: np.ndarray) -> pa.RecordBatch:
-        n, w = self.mass
+    def rows(self, target: str, best: np.ndarray) -> pa.RecordBatch:
+        (n, w), dist = self.mass, best[self.place]
         k = len(self.names)
         sums = [np.bincount(self.codes, x, k) for x in (n, n * dist, w, w * dist)]
         columns = [self.names, pa.repeat(target, k), pa.array(sums[0].astype(np.int64)), *map(pa.array, sums[1:])]
@@ -316,10 +327,12 @@ def _broadcast_nearest(sources, table, coords, factor, spread, by, total: type |
                 xyz = _source_matrix(batch, coords)
                 order = geo.morton_order(xyz)
                 xyz, batch = xyz[order], batch.take(pa.array(order))
+                totals = total(batch, by) if total else None
+                if total:
+                    xyz = totals.places(xyz)
                 starts = geo.chunk_starts(len(xyz), geo.SOURCE_CHUNK)
                 low, high = geo.chunk_bounds(xyz, starts)
                 names = [*batch.schema.names, "target", "dist"]
-                totals = total(batch, by) if total else None
                 for name, cloud in ready.get(within, []):
                     best = np.full(len(xyz), np.inf)
                     if total:
@@ -549,7 +562,8 @@ def _packed_join(sources, targets, coords, *, factor=None, k: int = 1, id_col=No
     s_blocks, s_height = _numbered(_pack(sources, coords, None if by is None else "_by", SOURCE_BLOCK))
     t_blocks, t_height = _numbered(_pack(targets, axes, "target", TARGET_BLOCK))
     pairs = _block_pairs(s_blocks, t_blocks, max(s_height, t_height), dims, k)
-    group = F.shiftright(F.col("s"), GROUP_BITS)
+    bits = min(GROUP_BITS, max(LEAST_GROUP_BITS, (s_blocks.count() // (4 * _partitions(sources))).bit_length()))
+    group = F.shiftright(F.col("s"), bits)
     needed = pairs.select("by", group.alias("group"), "target", F.col("t").alias("block")).distinct()
     payload = s_blocks.schema["rows"].dataType
     shipped = t_blocks.schema["rows"].dataType
@@ -558,7 +572,7 @@ def _packed_join(sources, targets, coords, *, factor=None, k: int = 1, id_col=No
     ).select("by", "group", F.lit(1).alias("role"), "target", "block",
              F.lit(None).cast(payload).alias("source"), F.col("rows").alias("cloud"))
     own = s_blocks.select(
-        F.col("label").alias("by"), F.shiftright(F.col("block"), GROUP_BITS).alias("group"), F.lit(0).alias("role"),
+        F.col("label").alias("by"), F.shiftright(F.col("block"), bits).alias("group"), F.lit(0).alias("role"),
         F.lit("").alias("target"), "block", F.col("rows").alias("source"),
         F.lit(None).cast(shipped).alias("cloud"))
     stream = own.unionByName(incoming).repartition(_partitions(sources), "by", "group")
@@ -589,8 +603,11 @@ def _folder(coords, axes, scaled: bool, k: int, id_col: str | None, total: type
             table = pa.concat_arrays(parts)
             batch = pa.RecordBatch.from_struct_array(table)
             xyz = _source_matrix(batch, coords)
+            totals = total(batch, by) if total else None
+            if total:
+                xyz = totals.places(xyz)
             starts = geo.chunk_starts(len(xyz), geo.SOURCE_CHUNK)
-            return batch, xyz, starts, *geo.chunk_bounds(xyz, starts), total(batch, by) if total else None
+            return batch, xyz, starts, *geo.chunk_bounds(xyz, starts), totals
 
         def reset():
             rows = len(source[1])
