@@ -48,7 +48,7 @@ def smooth(values: DataFrame, edges: DataFrame, *, id_col: str = "cell_id", colu
     A point without neighbours keeps its own value. Only non-zero results are returned. ``places`` (id, x, y) lets neighbouring points share
     the vectors that they need.
     """
-    edges = written(edges.select(id_col, "neighbor"))
+    edges, values = written(edges.select(id_col, "neighbor")), written(values.select(id_col, column, value))
     degree = edges.groupBy(id_col).agg(F.count("*").alias("_n"))
     own = values.select(F.col(id_col), F.col(column), F.col(value).alias("_self"), F.lit(None).cast("double").alias("_near"))
     near = vector_sums(values.select(F.col(id_col).alias("neighbor"), column, F.col(value).alias("_near")), edges, source="neighbor", keys=[id_col],

@@ -214,3 +214,18 @@ def test_rows_at_one_place_share_one_search():
     for name in "ab":
         own = np.array(names) == name
         assert found[name]["n"] == own.sum() and found[name]["nd"] == dist[own].sum() and found[name]["wd"] == (dist * np.arange(9.0))[own].sum()
+
+
+def test_smoothing_makes_its_values_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def value(i):
+        made.add(1)
+        return float(i)
+
+    points = spark.range(40).select(F.col("id").alias("cell_id"), F.lit("g").alias("gene"), (F.col("id") + 1).alias("_i"))
+    edges = spark.range(39).select(F.col("id").alias("cell_id"), (F.col("id") + 1).alias("neighbor"))
+    found = {r["cell_id"]: r["value"] for r in smooth(points.select("cell_id", "gene", value("_i").alias("value")), edges).collect()}
+    assert found == {i: i + 1.5 if i < 39 else 40.0 for i in range(40)}
+    assert made.value == 40
