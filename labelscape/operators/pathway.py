@@ -16,6 +16,8 @@ from labelscape.sources.points import require
 
 RANK_METHODS = ("rank_mean", "ucell", "aucell")
 SUM_METHODS = ("weighted_sum", "progeny")
+#: Pairs of a pathway and a gene that may go to every task; they are counted first.
+FEW_MEMBERS = 100_000
 
 
 def standard_pathways(pathways: DataFrame | Mapping, spark: SparkSession | None = None) -> DataFrame:
@@ -48,7 +50,11 @@ def pathway_activity(expression: DataFrame, reference: DataFrame, pathways: Data
         lift = F.abs("weight") * (F.col("rank") - F.col("zero_rank"))
         held = ranked.join(members, "gene").groupBy("cell_id", "pathway").agg(F.sum(lift).alias("_sum"))
     else:
-        held = expression.join(members, "gene").groupBy("cell_id", "pathway").agg(
+        # a cell's genes together, so that they are added up before and not after each meets its pathways
+        members, rows = written(members), expression
+        if members.count() <= FEW_MEMBERS:
+            members, rows = F.broadcast(members), expression.repartition("cell_id")
+        held = rows.join(members, "gene").groupBy("cell_id", "pathway").agg(
             F.sum(F.col("value") * F.col("weight")).alias("_sum"))
     sets = pathways.select("pathway").distinct().agg(F.collect_list("pathway")).scalar()
     grid = reference.select("cell_id", F.explode(sets).alias("pathway"))

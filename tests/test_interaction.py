@@ -247,3 +247,18 @@ def test_public_names(cells, spark):
     assert near.count() == 30 and rows.count() == cols.count() == 9
     assert api.generate_TCR_distance_heatmap_from_df(cells).count() == 9
     assert api.generate_TCR_distance_heatmap_from_df(cells.where("celltype = 'Rare'")) is None
+
+
+def test_pathway_sums_are_made_where_a_cell_is(spark, monkeypatch):
+    reference = spark.range(30).select(F.col("id").alias("cell_id"))
+    values = reference.select("cell_id", F.explode(F.array(F.lit("g1"), F.lit("g2"), F.lit("g3"))).alias("gene"), (F.col("cell_id") + 1.0).alias("value"))
+    sets = spark.createDataFrame([("p", "g1", 1.0), ("p", "g2", 3.0), ("q", "g3", 2.0)], "pathway string, gene string, weight double")
+
+    def activity():
+        return pathway.pathway_activity(values, reference, sets, method="weighted_sum", normalize=False)
+
+    assert "REPARTITION_BY_COL" in activity()._jdf.queryExecution().toString()  # the values meet by cell, before pathways multiply them
+    found = {(r["cell_id"], r["pathway"]): r["value"] for r in activity().collect()}
+    assert found == {(i, p): i + 1.0 for i in range(30) for p in "pq"}
+    monkeypatch.setattr(pathway, "FEW_MEMBERS", 0)  # more members than may go to every task
+    assert {(r["cell_id"], r["pathway"]): r["value"] for r in activity().collect()} == found
