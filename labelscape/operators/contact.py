@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from labelscape.functions.normalize import winsor_limits, winsorised
 from labelscape.functions.quantiles import quantile
-from labelscape.operators.spreading import vector_sums
+from labelscape.operators.spreading import product_sums
 from labelscape.session import written
 from labelscape.sources.points import dense
 
@@ -54,29 +54,25 @@ def local_contact(reference: DataFrame, expression: DataFrame, edges: DataFrame,
     ``edges`` is (cell_id, neighbor), ``pairs`` has pair_id, ligand, receptor. Strength is the mean
     product of scaled ligand (sender cell) and receptor (neighbour) over directed edges, coverage the
     fraction of edges with both active. Ligand values are summed per receiving cell before they meet
-    the receptor, block by block, so edges are never multiplied by genes, pairs or receptors.
+    the receptor, block by block, so edges are never multiplied by genes, pairs or receptors, and sums meet
+    the receptor where they are made.
     """
     label = reference.select("cell_id", "celltype")
     pairs = written(pairs)
     names = pairs.select(F.col("ligand").alias("gene")).union(pairs.select("receptor")).distinct()
     scaled = written(scaled_expression(written(expression.join(names, "gene", "left_semi")), reference, names,
                                        threshold=contact_expr_threshold, upper=winsor_quantile))
-    directed = written(edges.join(label.withColumnRenamed("celltype", "sender"), "cell_id"))
-    crossing = directed.groupBy("neighbor", "sender").agg(F.count("*").alias("_e")).join(
-        label.select(F.col("cell_id").alias("neighbor"), F.col("celltype").alias("receiver")), "neighbor"
-    ).groupBy("sender", "receiver").agg(F.sum("_e").alias("cross_edge_count"))
+    directed = written(edges.join(label.withColumnRenamed("celltype", "sender"), "cell_id").join(
+        label.select(F.col("cell_id").alias("neighbor"), F.col("celltype").alias("receiver")), "neighbor"))
+    crossing = written(directed.groupBy("sender", "receiver").agg(F.count("*").alias("cross_edge_count")))
 
-    crossing = written(crossing)
     ligands = pairs.select(F.col("ligand").alias("gene")).distinct()
     places = reference.select("cell_id", "x", "y") if {"x", "y"} <= set(reference.columns) else None
-    sent = vector_sums(scaled.join(ligands, "gene", "left_semi"), directed, source="cell_id", keys=["neighbor", "sender"], column="gene",
-                       values=["scaled", "active"], places=places).withColumnsRenamed(
-        {"gene": "ligand", "scaled": "sent", "active": "sent_active"})
-    receptors = pairs.select("pair_id", "ligand", F.col("receptor").alias("gene")).join(scaled, "gene").join(
-        label.withColumnRenamed("celltype", "receiver"), "cell_id").withColumnRenamed("cell_id", "neighbor")
-    met = sent.join(receptors, ["ligand", "neighbor"]).groupBy("pair_id", "sender", "receiver").agg(
-        F.sum(F.col("sent") * F.col("scaled")).alias("strength"),
-        F.sum(F.col("sent_active") * F.col("active")).alias("both"))
+    receptors = pairs.select("pair_id", "ligand", F.col("receptor").alias("gene")).join(scaled, "gene").select(
+        F.col("cell_id").alias("neighbor"), "pair_id", F.col("ligand").alias("gene"), "scaled", "active")
+    met = product_sums(scaled.join(ligands, "gene", "left_semi"), receptors, directed, source="cell_id", keys=["neighbor", "sender", "receiver"],
+                       column="gene", values=["scaled", "active"], name="pair_id", places=places).withColumnsRenamed(
+        {"scaled": "strength", "active": "both"})
 
     order = label.agg(F.collect_set("celltype")).scalar()
     grid = pairs.select("pair_id").distinct().select("pair_id", F.explode(order).alias("sender")).select(

@@ -149,6 +149,37 @@ def test_vector_sums_by_loops(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_product_sums_by_loops(spark, monkeypatch):
+    monkeypatch.setattr(spreading, "BLOCK", 16)
+    monkeypatch.setattr(spreading, "ENTRIES", 37)
+    rng = np.random.default_rng(6)
+    entries = [(f"p{i}", f"g{g}", float(rng.integers(1, 9)), 1.0) for i in range(80) for g in range(12) if rng.random() < 0.4 and i % 9]
+    # g3 meets under three names, g11 under none; some points have no partners and some no edges
+    named = [("u", 0), ("u", 1), ("w", 2), ("u", 3), ("v", 3), ("w", 3), *[(f"n{g}", g) for g in range(4, 11)]]
+    meets = [(i, n, f"g{g}", float(rng.integers(1, 9)), float(rng.integers(2))) for i in range(0, 110) for n, g in named if rng.random() < 0.5 and i % 7]
+    links = [(f"p{rng.integers(90)}", int(i), "ab"[i % 2], "xyz"[i % 3]) for i in range(100) for _ in range(rng.integers(0, 9))]
+    links += [("p1", i, "a", "x") for i in range(100)]
+    rows = spark.createDataFrame(entries, "source string, gene string, v double, one double")
+    partners = spark.createDataFrame(meets, "id int, name string, gene string, v double, one double")
+    edges = spark.createDataFrame(links, "source string, id long, kind string, type string")
+    places = spark.createDataFrame([(i, float(rng.random()), float(rng.random())) for i in range(95)], "id long, x double, y double")
+    want = {}
+    for source, i, kind, other in links:
+        for _, gene, v, one in (e for e in entries if e[0] == source):
+            for _, name, _, w, two in (m for m in meets if m[0] == i and m[2] == gene):
+                a, b = want.get((name, kind, other), (0.0, 0.0))
+                want[name, kind, other] = (a + v * w, b + one * two)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "23")
+    try:
+        for few, where in ((10000, None), (0, None), (0, places)):
+            monkeypatch.setattr(spreading, "FEW_EDGES", few)
+            got = spreading.product_sums(rows, partners, edges, source="source", keys=["id", "kind", "type"], column="gene", values=["v", "one"],
+                                         name="name", places=where).collect()
+            assert {tuple(r)[:3]: tuple(r)[3:] for r in got} == want and len(got) == len(want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 @pytest.mark.parametrize("strategy", ["broadcast", "packed"])
 def test_sums_equal_the_rows_added_up(spark, strategy):
     df, axes = frame(spark, *cloud(300))
