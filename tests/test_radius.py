@@ -1,10 +1,12 @@
+import math
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from labelscape.operators.neighbors import neighbor_edges, radius_edges
-from labelscape.operators.radius import _Chunks, _reached, counts_within, pairs_within
+from labelscape.operators.radius import _Chunks, _largest_square, _reached, counts_within, pairs_within
 
 
 def brute(rows, radius):
@@ -78,3 +80,35 @@ def test_counting_measures_only_where_the_radius_ends(monkeypatch):
     reached = ((side[:, None] - side[None]) ** 2).sum(axis=-1) <= radius * radius
     assert got.tolist() == [[reached[a::2, b::2].sum() for b in range(2)] for a in range(2)]
     assert sum(measured) < n * n / 3
+
+
+def test_pairs_are_made_without_python_and_given_out_as_they_come(spark):
+    """Pairs came from Python, 24 bytes a pair; joined in one compiled loop, a group's pairs with a block would all be held."""
+    rng = random.Random(12)
+    rows = [(i, rng.random(), rng.random()) for i in range(600)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = radius_edges(frame(spark, rows), 0.1)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "InArrow" not in plan and "InPandas" not in plan
+    above = plan[:plan.index("SortMergeJoin")]
+    assert above.count("Generate inline") == 2 and not above.rstrip(" :+-").endswith(")")  # "*(n)" marks what is compiled
+    assert {(r["cell_id"], r["neighbor"]): r["dist"] for r in found.collect()} == pytest.approx(brute(rows, 0.1))
+
+
+@pytest.mark.parametrize("kind", ["double", "string"])
+def test_pairs_in_space_with_ids_that_come_twice(spark, kind):
+    rng = random.Random(13)
+    rows = [(float(i % 350), *(rng.randrange(12) / 8 for _ in range(3))) for i in range(400)]
+    want = sorted((a[0], b[0], math.sqrt(sum((p - q) ** 2 for p, q in zip(a[1:], b[1:])))) for a in rows for b in rows if a[0] != b[0])
+    points = spark.createDataFrame(rows, "cell_id double, x double, y double, z double").withColumn("cell_id", F.col("cell_id").cast(kind))
+    got = pairs_within(points, ["x", "y", "z"], "cell_id", 0.25, block=64).collect()
+    assert sorted((float(a), float(b), d) for a, b, d in got) == [r for r in want if r[2] <= 0.25]
+
+
+@pytest.mark.parametrize("radius", [0.25, 0.1, 1.0, 3, 1e-4, 1 / 3, 1e-160, 1e-200, 1e200, math.inf])
+def test_squares_are_cut_where_roots_are(radius):
+    last = _largest_square(radius)
+    assert math.sqrt(last) <= radius and (last >= 1.7e308 or math.sqrt(math.nextafter(last, math.inf)) > radius)
